@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobtrace.llm import ball_tree, byte_bpe, odd_sketch, warc
+from mobtrace.llm import ball_tree, byte_bpe, licenses, odd_sketch, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,11 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM g
 """
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_license_scan"] = licenses.oracle_sql()
