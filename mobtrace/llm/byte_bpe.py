@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,9 +165,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern:
     path, pattern = _given(path, pattern)
 
     @F.pandas_udf("ids array<int>, offsets array<struct<start:int,end:int>>")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = list(encoded(batch.fillna("").tolist(), path, pattern))
             yield pd.DataFrame({"ids": [i for i, _ in found], "offsets": [[{"start": a, "end": b} for a, b in o] for _, o in found]})
@@ -180,9 +179,7 @@ def decoded_bytes(ids: Column, path: str | None = None, pattern: str | None = No
     path, pattern = _given(path, pattern)
 
     @F.pandas_udf("binary")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         _, table = load(path, pattern)
         for batch in batches:
             yield pd.Series([None if x is None else decode(x, table) for x in batch])
