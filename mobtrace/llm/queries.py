@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobtrace.llm import ball_tree, byte_bpe, licenses, odd_sketch, pii, warc
+from mobtrace.llm import ball_tree, byte_bpe, interleaved, licenses, odd_sketch, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_media_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleaved.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
