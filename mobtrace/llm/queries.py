@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobtrace.llm import ball_tree, byte_bpe, interleaved, licenses, odd_sketch, packing, pii, warc
+from mobtrace.llm import ball_tree, byte_bpe, interleaved, langid, licenses, odd_sketch, packing, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_langid_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"))
