@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobtrace.llm import ball_tree, byte_bpe, interleaved, langid, licenses, odd_sketch, packing, pii, warc
+from mobtrace.llm import ball_tree, byte_bpe, cross_entropy, interleaved, langid, licenses, odd_sketch, packing, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 @query
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
