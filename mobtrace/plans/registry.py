@@ -28,3 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
+    from mobtrace.plans import scalars  # noqa: F401
