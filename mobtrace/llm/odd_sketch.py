@@ -3,12 +3,14 @@
 Documents with equal shingle sets form one node. A node's MinHash values give its
 band keys, which propose candidates, and an odd sketch: a bitmap in which every
 value flips one bit, so the bits in which two sketches differ estimate how many
-values differ, and most precisely so at high similarity. Candidates whose sketches
-are near enough are confirmed on the full sets.
+values differ, and most precisely so at high similarity. A second bitmap folds the
+whole set in the same way; the bits in which two of them differ never exceed the number
+of shingles that only one document has. Candidates that pass both are confirmed
+on the full sets.
 
-No bucket is expanded into pairs: its smallest member is compared with the others,
-confirmed links merge nodes into components, and only members that are then still
-in different components meet each other, sketch against sketch.
+No bucket is expanded into pairs: some member leads it and is compared with the others,
+confirmed links merge nodes into components, and after some rounds with other leaders
+only members that are still in different components meet, sketch against sketch.
 
 Edge cases: a null, empty or blank text has an empty set and stays alone; fewer words
 than a shingle has make one shingle of the whole sequence; rows without ``doc_id``
@@ -47,6 +49,8 @@ class Plan:
     bands: int = 36
     rows: int = 6
     bits: int = 512
+    set_bits: int = 2048
+    leaders: int = 3
 
     @property
     def values(self) -> int:
@@ -63,7 +67,7 @@ class Plan:
 
     @property
     def most_differing(self) -> int:
-        """No pair at the threshold differs in more bits, but for one in about 1e9 (six deviations)."""
+        """A pair at the threshold differs in more bits with a probability below 1e-8 (six deviations)."""
         s = self.num / self.den
         m = 2 * self.values * (1 - s)
         slope = math.exp(-2 * m / self.bits)
@@ -86,47 +90,66 @@ def min_hashes(keys: np.ndarray, n: int) -> np.ndarray:
     return low
 
 
-def signature(keys: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketch of a set."""
+def parity(spots: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap in which every value of ``spots`` flips the bit that it falls on."""
+    odd = np.bincount((spots % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def signature(keys: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys, odd sketch of the MinHash values and odd sketch of the whole set."""
     low = min_hashes(keys, plan.values)
     order = constants(plan.rows, 31) | U(1)
     bands = mix((low.reshape(plan.bands, plan.rows) * order).sum(axis=1, dtype=U) + constants(plan.bands, 37))
-    spots = mix(low + constants(plan.values, 41)) % U(plan.bits)
-    odd = np.bincount(spots.astype(np.int64), minlength=plan.bits) & 1
-    return bands.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return bands.view(np.int64), parity(mix(low + constants(plan.values, 41)), plan.bits), parity(mix(keys + U(43)), plan.set_bits)
 
 
 def signatures(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, md5, sets, bands, sketches = [], [], [], [], []
+            n, md5, sets, bands, sketches, folded = [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 keys = shingles(t, plan.words)
                 n.append(len(keys))
                 md5.append(None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
                 sets.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest() if len(keys) else None)
-                b, s = signature(keys, plan) if len(keys) else (None, None)
+                b, s, f = signature(keys, plan) if len(keys) else (None, None, None)
                 bands.append(b)
                 sketches.append(s)
+                folded.append(f)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(md5, pa.binary()), pa.array(sets, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
-                names=["doc_id", "n_shingles", "md5", "set", "bands", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(md5, pa.binary()), pa.array(sets, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs), pa.array(folded, longs)],
+                names=["doc_id", "n_shingles", "md5", "set", "bands", "sketch", "folded"],
             )
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, md5 binary, set binary, bands array<long>, sketch array<long>")
+    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, md5 binary, set binary, bands array<long>, sketch array<long>, folded array<long>")
 
 
-def differing(a: Column | str, b: Column | str, plan: Plan) -> Column:
-    """Bits in which two sketch columns differ."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+def differing(a: Column, b: Column, bits: int) -> Column:
+    """Bits in which two bitmaps differ."""
     total = F.bit_count(a[0].bitwiseXOR(b[0]))
-    for i in range(1, plan.bits // 64):
+    for i in range(1, bits // 64):
         total = total + F.bit_count(a[i].bitwiseXOR(b[i]))
     return total
 
 
+def near(plan: Plan) -> Column:
+    """Whether nodes a and b may reach the threshold, from their set sizes and bitmaps.
+
+    At the threshold ``most`` shingles at most are in one set only. The whole-set bitmaps
+    differ in no more bits than that, and, where sets are so large that many shingles
+    share a bit, in no more than the usual number by six deviations.
+    """
+    m, n_a, n_b = float(plan.set_bits), F.col("n_a"), F.col("n_b")
+    most = (n_a + n_b) * F.lit((plan.den - plan.num) / (plan.den + plan.num)) + 1e-9
+    usual = m / 2 * (1 - F.exp(-2 * most / m)) + 6 * F.sqrt(m / 4 * (1 - F.exp(-4 * most / m)))
+    sizes = plan.den * F.least(n_a, n_b) >= plan.num * F.greatest(n_a, n_b)
+    sketches = differing(F.col("sketch_a"), F.col("sketch_b"), plan.bits) <= plan.most_differing
+    return sizes & sketches & (differing(F.col("folded_a"), F.col("folded_b"), plan.set_bits) <= F.least(most, usual))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """(a, b, linked): whether the full sets of a and b reach the threshold."""
 
@@ -148,79 +171,84 @@ def confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     return pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def linked_components(pairs: DataFrame, texts: DataFrame, plan: Plan, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Confirms candidate pairs (a, b, bits) until each is in one component or was compared on the full sets.
-
-    Two rounds confirm each node's nearest candidate only, which settles most of the
-    others by joining their components; a third takes all that are left. Returns the
-    links, the pairs that were compared, and the components (None without links).
-    """
-    compared, labels = None, components(links) if links is not None else None
-    for turn in range(3):
-        if turn < 2:
-            some = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-        else:
-            some = pairs
-        now = kept(confirmed(some, texts, plan), "compared")
-        compared = now if compared is None else compared.unionByName(now)
-        good = now.filter("linked").select("a", "b")
-        if not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            labels = components(links)
-        if turn == 2:
-            break
-        pairs = pairs.join(now, ["a", "b"], "left_anti")
-        if labels is not None:
-            for end in ("a", "b"):
-                pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
-            pairs = pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "bits")
-        pairs = kept(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-    return links, compared, labels
+class Linking:
+    """Links that were confirmed so far, pairs that were compared, and the components."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, plan: Plan):
+        self.nodes, self.texts, self.plan = nodes, texts, plan
+        self.links = self.compared = self.labels = None
+
+    def labelled(self, rows: DataFrame, node: str, label: str) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn(label, F.col(node))
+        of = self.labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+        rows = rows.join(of, F.col(node) == F.col("__node"), "left")
+        return rows.withColumn(label, F.coalesce("__label", node)).drop("__node", "__label")
+
+    def sketched(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that may reach the threshold, with the bits in which their sketches differ."""
+        for x in "ab":
+            own = self.nodes.select(F.col("id").alias(x), *[F.col(c).alias(f"{n}_{x}") for c, n in (("n_shingles", "n"), ("sketch", "sketch"), ("folded", "folded"))])
+            pairs = pairs.join(own, x)
+        bits = differing(F.col("sketch_a"), F.col("sketch_b"), self.plan.bits)
+        return pairs.filter(near(self.plan)).select("a", "b", bits.alias("bits"))
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirms each node's nearest candidate first, then those pairs that are still in different components."""
+        for turn in range(2):
+            if self.compared is not None:
+                pairs = pairs.join(self.compared.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = self.labelled(self.labelled(pairs, "a", "of_a"), "b", "of_b")
+            pairs = kept(pairs.filter("of_a <> of_b").select("a", "b", "bits"), "pairs")
+            if pairs.isEmpty():
+                return
+            first = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+            now = kept(confirmed(pairs if turn else first, self.texts, self.plan), "compared")
+            self.compared = now if self.compared is None else self.compared.unionByName(now)
+            good = now.filter("linked").select("a", "b")
+            if not good.isEmpty():
+                self.links = good if self.links is None else self.links.unionByName(good)
+                self.labels = components(self.links)
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that can be reached), kept (it is the row's own)."""
     signed = kept(signatures(docs, plan, key, text), "signed")
-    first = F.struct("doc_id", "md5", "bands", "sketch")
+    first = F.struct("doc_id", "md5", "n_shingles", "bands", "sketch", "folded")
     nodes = signed.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_doc"), F.min(first).alias("x"))
     nodes = kept(nodes.select(F.monotonically_increasing_id().alias("id"), "set", "least_doc", "x.*"), "nodes")
 
     buckets = nodes.select("id", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = kept(buckets.join(shared, "band"), "members")
-    sketches = nodes.select("id", "sketch")
-    of_a, of_b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    pairs = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(of_b, "b").join(of_a, "a").withColumn("bits", differing("sketch_a", "sketch_b", plan))
-    pairs = kept(pairs.filter(F.col("bits") <= plan.most_differing).select("a", "b", "bits"), "pairs")
-    labels = None
-    if not members.isEmpty():
-        wanted = nodes.join(members.select("id").distinct(), "id").select("id", F.col("doc_id").alias("rep_id"), F.col("md5").alias("rep_md5"))
-        source = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("md5"), F.col(text).alias("text"))
-        texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("md5") == F.col("rep_md5")))
-        texts = kept(texts.select("id", "text").dropDuplicates(["id"]), "texts")
-        links, compared, labels = linked_components(pairs, texts, plan)
-
-        rows = members.select("id", "band")
-        rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left") if labels is not None else rows.withColumn("label", F.lit(None).cast("long"))
-        rows = kept(rows.withColumn("label", F.coalesce("label", "id")), "rows")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    rows = kept(buckets.join(shared, "band"), "members")
+    wanted = nodes.join(rows.select("id").distinct(), "id").select("id", F.col("doc_id").alias("rep_id"), F.col("md5").alias("rep_md5"))
+    source = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("md5"), F.col(text).alias("text"))
+    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("md5") == F.col("rep_md5")))
+    texts = kept(texts.select("id", "text").dropDuplicates(["id"]), "texts")
+    linking = Linking(nodes, texts, plan)
+    for turn in range(plan.leaders):
+        # each band and turn orders the members in its own way, so that others lead
+        mask = F.xxhash64("band", F.lit(turn)).bitwiseAND(F.lit(2**62 - 1))
+        lead = rows.groupBy("band").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("least"))
+        lead = lead.select("band", F.col("least").bitwiseXOR(mask).alias("lead"))
+        pairs = rows.select("band", "id").join(lead, "band").filter("id <> lead")
+        pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        linking.add(linking.sketched(pairs))
+        rows = kept(linking.labelled(rows.select("band", "id"), "id", "label"), "rows")
         apart = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-        rows = kept(rows.join(apart, "band", "left_semi").join(sketches, "id"), "rows")
-        x = rows.select("band", F.col("id").alias("a"), F.col("label").alias("of_a"), F.col("sketch").alias("sketch_a"))
-        y = rows.select(F.col("band").alias("same"), F.col("id").alias("b"), F.col("label").alias("of_b"), F.col("sketch").alias("sketch_b"))
-        bits = differing("sketch_a", "sketch_b", plan)
-        meet = (F.col("band") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (bits <= plan.most_differing)
-        more = x.join(y, meet).select("a", "b", bits.alias("bits")).distinct()
-        more = kept(more.join(compared, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            _, _, again = linked_components(more, texts, plan, links)
-            labels = again if again is not None else labels
-
-    of = nodes.select("set", "least_doc", F.col("id").alias("node"))
-    of = of.join(labels, "node", "left") if labels is not None else of.withColumn("label", F.lit(None).cast("long"))
-    of = of.withColumn("label", F.coalesce("label", "node"))
+        rows = kept(rows.join(apart, "band", "left_semi"), "rows")
+        if rows.isEmpty():
+            break
+    else:
+        sides = []
+        for x in "ab":
+            own = nodes.select("id", *[F.col(c).alias(f"{n}_{x}") for c, n in (("n_shingles", "n"), ("sketch", "sketch"), ("folded", "folded"))])
+            sides.append(rows.join(own, "id").withColumnsRenamed({"band": f"band_{x}", "id": x, "label": f"of_{x}"}))
+        meet = (F.col("band_a") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & near(plan)
+        bits = differing(F.col("sketch_a"), F.col("sketch_b"), plan.bits)
+        linking.add(sides[0].join(sides[1], meet).select("a", "b", bits.alias("bits")).distinct())
+
+    of = linking.labelled(nodes.select("set", "least_doc", "id"), "id", "label")
     least = of.groupBy("label").agg(F.min("least_doc").alias("component_id"))
     of = of.join(least, "label").select("set", "component_id")
     grouped = signed.filter("set is not null").join(of, "set").select("doc_id", "n_shingles", "component_id")

@@ -84,7 +84,8 @@ def test_estimate():
         both = rng.integers(1, 1 << 63, int(2000 * share), dtype=np.uint64)
         rest = rng.integers(1, 1 << 63, 2000 - len(both), dtype=np.uint64)
         half = len(rest) // 2
-        a, b = (odd_sketch.signature(np.concatenate([both, x]), plan)[1] for x in (rest[:half], rest[half:]))
+        (_, a, c), (_, b, d) = (odd_sketch.signature(np.concatenate([both, x]), plan) for x in (rest[:half], rest[half:]))
         bits = sum(int(x).bit_count() for x in (a.view(np.uint64) ^ b.view(np.uint64)))
         assert abs(plan.similarity(bits) - share) < 0.1
+        assert sum(int(x).bit_count() for x in (c.view(np.uint64) ^ d.view(np.uint64))) <= len(rest)
         assert (bits <= plan.most_differing) or share < 0.85
