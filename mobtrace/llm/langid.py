@@ -271,6 +271,17 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, held_out boolean, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            named, scores = model.predict(b.column(b.schema.get_field_index(text)).to_pylist())
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(named, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_and_identify(docs: DataFrame) -> DataFrame:
     """Learns from the rows that aren't held out, and predicts all."""
     return identify(docs, train(docs.filter(~held_out(F.col("doc_id")))))

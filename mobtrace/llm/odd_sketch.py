@@ -211,8 +211,8 @@ class Linking:
                 self.labels = components(self.links)
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id that can be reached), kept (it is the row's own)."""
+def grouped(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """doc_id, md5 of the text, n_shingles, component_id, and label: a number of the component, null for empty sets."""
     signed = kept(signatures(docs, plan, key, text), "signed")
     first = F.struct("doc_id", "md5", "n_shingles", "bands", "sketch", "folded")
     nodes = signed.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_doc"), F.min(first).alias("x"))
@@ -250,7 +250,24 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
 
     of = linking.labelled(nodes.select("set", "least_doc", "id"), "id", "label")
     least = of.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    of = of.join(least, "label").select("set", "component_id")
-    grouped = signed.filter("set is not null").join(of, "set").select("doc_id", "n_shingles", "component_id")
-    alone = signed.filter("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = of.join(least, "label").select("set", "component_id", "label")
+    linked = signed.filter("set is not null").join(of, "set").select("doc_id", "md5", "n_shingles", "component_id", "label")
+    alone = signed.filter("set is null").select("doc_id", "md5", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id that can be reached), kept (it is the row's own)."""
+    rows = grouped(docs, plan, key, text)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, plan: Plan = USUAL, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; rows without words all stay."""
+    md5, name = F.md5(F.col(text)), lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), m)
+    rows = grouped(docs, plan, key, text).withColumn("name", name(F.col("doc_id"), F.lower(F.hex("md5"))))
+    first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("x"))
+    stay = first.select(F.col("x.name").alias("__name")).distinct()
+    worded = docs.withColumn("__key", name(F.col(key), md5)).join(stay, F.col("__key") == F.col("__name"))
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return worded.dropDuplicates(["__key"]).select(*docs.columns).unionByName(docs.filter(blank))
