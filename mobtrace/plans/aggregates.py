@@ -8,7 +8,6 @@ from mobtrace.fixtures import oracle, table, view
 from mobtrace.operators import rows as r
 from mobtrace.plans.registry import query
 
-NAMES = "p.name AS name"
 
 
 @query("A1_user_summary", oracle("SELECT user_id, count(DISTINCT place_id) AS places, count(DISTINCT visit_id) AS visits, count(DISTINCT day_no) AS n_days, max(departure) AS last_departure, list_sort(list(DISTINCT day_no)) AS days FROM fx_visit WHERE deleted IS NOT TRUE GROUP BY user_id ORDER BY last_departure DESC, user_id"))

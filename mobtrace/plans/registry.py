@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from mobtrace.plans import aggregates, reads, scalars, sequences  # noqa: F401
+    from mobtrace.plans import aggregates, interests, joins, reads, scalars, sequences  # noqa: F401
