@@ -50,14 +50,14 @@ def aggregated_interests(spark, d):
     return view(spark, d, "fx_rating").join(n, "pi_id").groupBy(F.col("session_id").alias("user_id"), "name").agg(F.array_sort(F.collect_set("place_id")).alias("places"), F.max("rating").alias("rating"))
 
 
-MATCHED = f"WITH a AS (SELECT DISTINCT p_type AS name, {TRIGRAMS.format('p_type')} AS t FROM part), b AS (SELECT n_nationkey AS id, n_name, {TRIGRAMS.format('n_name')} AS t FROM nation), s AS (SELECT a.name, b.id, round(len(list_intersect(a.t, b.t))::DOUBLE / len(b.t), 6) AS s FROM a, b WHERE len(list_intersect(a.t, b.t)) > 0) SELECT name, arg_min(id, (-s, id))::BIGINT AS id, max(s) AS score FROM s WHERE s >= 0.01 GROUP BY name"
+MATCHED = f"WITH a AS (SELECT DISTINCT p_name AS name, {TRIGRAMS.format('p_name')} AS t FROM part), b AS (SELECT DISTINCT p_type AS id, {TRIGRAMS.format('p_type')} AS t FROM part), s AS (SELECT a.name, b.id, round(len(list_intersect(a.t, b.t))::DOUBLE / len(b.t), 6) AS s FROM a, b WHERE len(list_intersect(a.t, b.t)) > 0) SELECT name, arg_min(id, (-s, id)) AS id, max(s) AS score FROM s WHERE s >= 0.01 GROUP BY name"
 
 
 @query("C6_matched_names", MATCHED)
 def matched_names(spark, d):
     """Names that share a trigram meet; the best by the share of trigrams found wins."""
-    a = table(spark, d, "part").select(F.col("p_type").alias("name")).distinct().withColumn("t", x.trigrams(F.col("name")))
-    b = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), x.trigrams(F.col("n_name")).alias("u")).withColumn("size", F.size("u"))
+    a = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("t", x.trigrams(F.col("name")))
+    b = table(spark, d, "part").select(F.col("p_type").alias("id")).distinct().withColumn("u", x.trigrams(F.col("id"))).withColumn("size", F.size("u"))
     both = a.select("name", F.explode("t").alias("g")).join(b.select("id", "size", F.explode("u").alias("g")), "g").groupBy("name", "id", "size").agg(F.count("*").alias("n"))
     s = both.withColumn("s", F.round(F.col("n") / F.col("size"), 6)).filter("s >= 0.01")
     return s.groupBy("name").agg(F.min(F.struct(-F.col("s"), "id")).alias("x")).select("name", "x.id", (-F.col("x.col1")).alias("score"))
@@ -159,15 +159,21 @@ def variants(spark, d):
 
 @query("M11_language_votes", oracle("WITH s(lang, word) AS (VALUES " + ", ".join(f"('{lang}', '{w}')" for lang, ws in (("en", "the of and to in"), ("de", "der die und das ein"), ("fr", "le la les et un"), ("es", "el la los y que")) for w in ws.split()) + f"), t AS (SELECT tip_id, unnest({WORDS}) AS w FROM fx_tip), h AS (SELECT tip_id, s.lang, count(*) AS n FROM t JOIN s ON t.w = s.word GROUP BY tip_id, s.lang) SELECT tip_id, arg_min(lang, (-n, lang)) AS voted FROM h GROUP BY tip_id"))
 def language_votes(spark, d):
-    """Function words vote; votes are counted in the row, so the words don't move."""
+    return voted(view(spark, d, "fx_tip")).filter("lang is not null").select("tip_id", F.col("lang").alias("voted"))
+
+
+def voted(tips):
+    """Function words vote for ``lang``; votes are counted in the row, so the words don't move. Null without votes."""
     profile = {"en": "the of and to in", "de": "der die und das ein", "fr": "le la les et un", "es": "el la los y que"}
 
-    def vote(lang: str, known: list[str]):
-        return F.struct((-F.size(F.filter("w", lambda w: w.isin(*known)))).alias("n"), F.lit(lang).alias("lang"))
+    def vote(words, lang: str, known: list[str]):
+        return F.struct((-F.size(F.filter(words, lambda w: w.isin(*known)))).alias("n"), F.lit(lang).alias("lang"))
+
+    def votes(words):
+        return F.array(*[vote(words, lang, known.split()) for lang, known in profile.items()])
 
-    votes = F.array(*[vote(lang, known.split()) for lang, known in profile.items()])
-    t = view(spark, d, "fx_tip").select("tip_id", x.tokens(F.col("text")).alias("w")).select("tip_id", F.array_min(votes).alias("v"))
-    return t.filter("v.n < 0").select("tip_id", F.col("v.lang").alias("voted"))
+    best = F.transform(F.array(x.tokens(F.col("text"))), lambda w: F.array_min(votes(w)))[0]
+    return tips.withColumn("lang", F.when(best["n"] < 0, best["lang"]))
 
 
 @query("T5_topic_words", oracle(f"WITH t AS (SELECT lang, unnest({WORDS}) AS w FROM fx_tip), c AS (SELECT lang, w, count(*) AS n FROM t GROUP BY lang, w) SELECT lang, w AS word, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM c) WHERE r <= 10"))
