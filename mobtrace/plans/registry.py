@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from mobtrace.plans import aggregates, changes, interests, joins, models, reads, scalars, sequences, sources, streams  # noqa: F401
+    from mobtrace.plans import aggregates, changes, documents, interests, joins, models, reads, scalars, sequences, sources, streams  # noqa: F401
