@@ -1,10 +1,11 @@
 """WARC archives: a writer of response and revisit records, and a reader that salvages.
 
-The writer's archives are plain WARC files in the shared folder, written by Spark. The
-reader takes whole archive files, plain or with a gzip member for each record. It trusts
-a record only if its version line, headers, length, end mark and digests hold; after a
-failed check it searches for the next gzip member or version line, recovers the records
-from there on, and logs the bytes between as a quarantined gap.
+The writer's archives are gzipped WARC files in the shared folder, written by Spark. The
+reader takes whole archive files, plain or of gzip members that hold one or more records.
+It trusts a record only if its version line, headers, length, end mark and digests hold;
+after a failed check it searches for the next gzip member or version line, recovers the
+records from there on, and logs the bytes between as a quarantined gap. Of a broken
+member it keeps the records before the damage.
 
 Edge cases: a null payload is empty; equal payloads, empty ones too, make one group whose
 largest page_id is the response; rows of that same id are all responses; rows without id
@@ -15,6 +16,7 @@ are records each; other columns are ignored; an empty table gives no records.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -67,7 +69,7 @@ def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html",
 
 
 def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
-    """One WARC record per row, as plain WARC files; a revisit has headers only and names the response it repeats."""
+    """One WARC record per row, as gzipped WARC files; a revisit has headers only and names the response it repeats."""
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     clean = F.coalesce(F.regexp_replace("url", r"[\r\n]", " "), F.lit(""))
     revisit = F.col("record_type") == "revisit"
@@ -86,7 +88,7 @@ def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
     lines = records.select(F.concat(head, F.lit(END), block).alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def _sha1(data: bytes) -> str:
@@ -138,58 +140,70 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     return found, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, where it ends, and why it is broken, if it is."""
     member, parts, place = zlib.decompressobj(31), [], at
     try:
         while not member.eof and place < len(data):
+            before = member.copy()
             parts.append(member.decompress(data[place : place + 65_536]))
             place += 65_536
-    except zlib.error as error:
-        raise ValueError("bad gzip member") from error
+    except zlib.error:
+        with contextlib.suppress(zlib.error):  # byte by byte up to the damage
+            for i in range(place, len(data)):
+                parts.append(before.decompress(data[i : i + 1]))
+        return b"".join(parts), at, "bad gzip member"
     if not member.eof:
-        raise ValueError("gzip member doesn't end")
-    return b"".join(parts), min(place, len(data)) - len(member.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
-    """(start, end, None, record) of every sound record and (start, end, reason, {}) of every gap, in order."""
-    at = 0
-    while at < len(data):
-        try:
-            if data.startswith(MEMBER, at):
-                inner, end = _inflate(data, at)
-                records, place = [], 0
-                while place < len(inner):
-                    record, place = parse_record(inner, place)
-                    records.append(record)
-                for record in records:
-                    yield at, end, None, record
-            else:
-                record, end = parse_record(data, at)
-                yield at, end, None, record
-            at = end
-        except ValueError as error:
-            start, reason = at, str(error)
-            while True:  # a start counts only if what follows passes its checks
-                m = _START.search(data, at + 1)
-                at = m.start() if m else len(data)
-                if m is None or _sound(data, at):
-                    break
-            yield start, at, reason, {}
+        return b"".join(parts), at, "gzip member doesn't end"
+    return b"".join(parts), min(place, len(data)) - len(member.unused_data), None
 
 
 def _sound(data: bytes, at: int) -> bool:
+    """Whether a record that passes its checks begins at ``at``."""
     try:
         if data.startswith(MEMBER, at):
-            inner, _ = _inflate(data, at)
-            parse_record(inner, 0)
-        else:
-            parse_record(data, at)
+            data, at = _inflate(data, at)[0], 0
+        parse_record(data, at)
         return True
     except ValueError:
         return False
 
 
+def _next(data: bytes, at: int) -> int:
+    """The next place after ``at`` where a sound record begins, or the end."""
+    while m := _START.search(data, at + 1):
+        at = m.start()
+        if _sound(data, at):
+            return at
+    return len(data)
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
+    """(start, end, None, record) of every sound record and (start, end, reason, {}) of every gap, in order.
+
+    What lies in a gzip member has the range of the member.
+    """
+    at = 0
+    while at < len(data):
+        if data.startswith(MEMBER, at):
+            inner, end, broken = _inflate(data, at)
+            end = _next(data, at) if broken else end
+            for start, stop, gap, record in salvage(inner):
+                if gap is None or not broken or stop < len(inner):
+                    yield at, end, gap, record
+            if broken:
+                yield at, end, broken, {}
+            at = end
+            continue
+        try:
+            record, end = parse_record(data, at)
+            yield at, end, None, record
+        except ValueError as error:
+            end = _next(data, at)
+            yield at, end, str(error), {}
+        at = end
+
+
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record and gap of the archives at ``path``: file, byte range, ``gap`` (why, else null) and the record's columns."""
 

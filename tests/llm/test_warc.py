@@ -26,7 +26,7 @@ def test_edge_cases(spark):
 def records(spark, tmp_path, n=30):
     df = spark.createDataFrame([(i, f"<p>page {i} é " + "word " * i) for i in range(n)], "page_id long, html string").coalesce(1)
     warc.write(warc.plan_records(df).coalesce(1).sortWithinPartitions("page_id"), str(tmp_path / "w"))
-    return open(glob.glob(str(tmp_path / "w" / "part-*"))[0], "rb").read()
+    return gzip.open(glob.glob(str(tmp_path / "w" / "part-*"))[0]).read()
 
 
 def test_salvage(spark, tmp_path):
@@ -57,6 +57,11 @@ def test_salvage_gzip(spark, tmp_path):
     path = tmp_path / "z"
     path.mkdir()
     (path / "a.warc.gz").write_bytes(b"".join(members))
+    whole = gzip.compress(data)
+    for cut in (len(whole) // 2, len(whole) - 8):
+        got = list(warc.salvage(whole[:cut] + members[0]))
+        ids = [r[3]["page_id"] for r in got if r[2] is None]
+        assert ids == [*range(len(ids) - 1), 0] and len(ids) > 5 and [r[2] for r in got if r[2]]
     (path / "empty.warc").write_bytes(b"")
     found = warc.read(spark, str(path)).collect()
     assert [r.page_id for r in found if r.gap is None] == [i for i in range(30) if i not in (4, 9)]
