@@ -105,12 +105,13 @@ def rank_by_rating(spark, d):
     return p.select("model_type", "rank", *[F.coalesce(F.col(str(i)), F.lit(0).cast("long")).alias(f"r{i}") for i in range(1, 6)])
 
 
-@query("A15_ensemble_score", oracle(f"SELECT venue_id, pi_id, round(count(*) * avg(score) / (avg(rank) + 1), 4) AS score FROM {RANKED} GROUP BY venue_id, pi_id", "fx_score"))
+@query("A15_ensemble_score", oracle(f"SELECT venue_id, pi_id, round(count(*) * avg(score) / (avg(rank) + 1) + 1e-7, 4) AS score FROM {RANKED} GROUP BY venue_id, pi_id", "fx_score"))
 def ensemble_score(spark, d):
+    """The added 1e-7 keeps scores that lie on a rounding step on one side of it."""
     from mobtrace.plans.reads import ranked
 
     s = view(spark, d, "fx_score").join(ranked(spark, d), ["venue_id", "pi_id", "model_type", "feature_type"])
-    return s.groupBy("venue_id", "pi_id").agg(F.round(F.count("*") * F.avg("score") / (F.avg("rank") + 1), 4).alias("score"))
+    return s.groupBy("venue_id", "pi_id").agg(F.round(F.count("*") * F.avg("score") / (F.avg("rank") + 1) + 1e-7, 4).alias("score"))
 
 
 @query("A16_scores_regrouped", oracle("SELECT venue_id, pi_id, round(avg(score), 6) AS mean, list_sort(list({'model_type': model_type, 'feature_type': feature_type, 'score': score})) AS meta FROM fx_score GROUP BY venue_id, pi_id"))

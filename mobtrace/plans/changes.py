@@ -8,7 +8,7 @@ from mobtrace.fixtures import oracle, table, view
 from mobtrace.operators import changes as c
 from mobtrace.plans.registry import query
 
-NEW = "SELECT user_id, arrival, max(departure) + 600 AS departure, min(place_id) AS place_id FROM fx_visit WHERE user_id < 25 GROUP BY user_id, arrival UNION ALL SELECT user_id, max(arrival) + 1, max(departure), 0 FROM fx_visit GROUP BY user_id"
+NEW = "SELECT user_id, arrival, max(departure) + 600 AS departure, min(place_id) AS place_id FROM fx_visit GROUP BY user_id, arrival HAVING max(departure) - arrival > 7200 UNION ALL SELECT user_id, max(arrival) + 1, max(departure), 0 FROM fx_visit GROUP BY user_id"
 OLD = "SELECT user_id, arrival, max(departure) AS departure, min(place_id) AS place_id FROM fx_visit GROUP BY user_id, arrival"
 
 
@@ -16,7 +16,7 @@ def old_and_new(spark, d):
     v = view(spark, d, "fx_visit")
     old = v.groupBy("user_id", "arrival").agg(F.max("departure").alias("departure"), F.min("place_id").alias("place_id"))
     more = v.groupBy("user_id").agg((F.max("arrival") + 1).alias("arrival"), F.max("departure").alias("departure"), F.lit(0).cast("long").alias("place_id"))
-    return old, old.filter("user_id < 25").withColumn("departure", F.col("departure") + 600).unionByName(more)
+    return old, old.filter("departure - arrival > 7200").withColumn("departure", F.col("departure") + 600).unionByName(more)
 
 
 @query("E1_upserted_visits", oracle(f"WITH o AS ({OLD}), n AS ({NEW}) SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.arrival, n.arrival) AS arrival, greatest(o.departure, n.departure) AS departure, coalesce(o.place_id, n.place_id) AS place_id FROM o FULL JOIN n ON o.user_id = n.user_id AND o.arrival = n.arrival"))
@@ -77,16 +77,16 @@ def without_orphans(spark, d):
     return c.without_orphans(v.select("place_id").distinct(), v, v.filter("deleted"))
 
 
-@query("E7_ratings_upserted", oracle("WITH n AS (SELECT session_id, place_id, pi_id, 6 - rating AS rating FROM fx_rating WHERE pi_id < 5) SELECT r.session_id, r.place_id, r.pi_id, coalesce(n.rating, r.rating) AS rating FROM fx_rating r LEFT JOIN n USING (session_id, place_id, pi_id)"))
+@query("E7_ratings_upserted", oracle("WITH n AS (SELECT session_id, place_id, pi_id, 6 - rating AS rating FROM fx_rating WHERE rating < 4) SELECT r.session_id, r.place_id, r.pi_id, coalesce(n.rating, r.rating) AS rating FROM fx_rating r LEFT JOIN n USING (session_id, place_id, pi_id)"))
 def ratings_upserted(spark, d):
     old = view(spark, d, "fx_rating")
-    new = old.filter("pi_id < 5").withColumn("rating", 6 - F.col("rating"))
+    new = old.filter("rating < 4").withColumn("rating", 6 - F.col("rating"))
     return c.upsert(old, new, ["session_id", "place_id", "pi_id"], {"rating": "new"})
 
 
-@query("E8_saved_reviews", oracle("WITH r AS (SELECT place_id, pi_id, max(rating) AS review FROM fx_rating WHERE session_id % 2 = 0 GROUP BY place_id, pi_id) SELECT s.venue_id, s.pi_id, s.model_type, s.feature_type, r.review FROM fx_score s LEFT JOIN r ON s.venue_id = r.place_id AND s.pi_id = r.pi_id"))
+@query("E8_saved_reviews", oracle("WITH r AS (SELECT place_id, pi_id, max(rating) AS review FROM fx_rating WHERE rating > 2 GROUP BY place_id, pi_id) SELECT s.venue_id, s.pi_id, s.model_type, s.feature_type, r.review FROM fx_score s LEFT JOIN r ON s.venue_id = r.place_id AND s.pi_id = r.pi_id"))
 def saved_reviews(spark, d):
-    r = view(spark, d, "fx_rating").filter("session_id % 2 = 0").groupBy(F.col("place_id").alias("venue_id"), "pi_id").agg(F.max("rating").alias("review"))
+    r = view(spark, d, "fx_rating").filter("rating > 2").groupBy(F.col("place_id").alias("venue_id"), "pi_id").agg(F.max("rating").alias("review"))
     return view(spark, d, "fx_score").join(r, ["venue_id", "pi_id"], "left").select("venue_id", "pi_id", "model_type", "feature_type", "review")
 
 

@@ -80,11 +80,11 @@ def polygons(spark, d):
     return p.select("polygon_id", F.size("ring").cast("long").alias("n_points"), F.round("x1", 6).alias("west"), F.round("y2", 6).alias("north"))
 
 
-@query("F12_polygons_kept", oracle("WITH b AS (SELECT extra_category, (max(lon) - min(lon) + 0.01) AS w FROM fx_venue GROUP BY extra_category) SELECT extra_category AS polygon_id FROM b WHERE w * 0.03 * 1e6 < 3100"))
+@query("F12_polygons_kept", oracle("WITH b AS (SELECT extra_category, (max(lon) - min(lon) + 0.01) AS w FROM fx_venue GROUP BY extra_category) SELECT extra_category AS polygon_id FROM b WHERE w * 0.03 * 1e6 < 6100"))
 def polygons_kept(spark, d):
     """Polygons below an area, by the shoelace formula."""
     area = F.aggregate(F.sequence(F.lit(0), F.size("ring") - 2), F.lit(0.0), lambda s, i: s + F.get("ring", i)["x"] * F.get("ring", i + 1)["y"] - F.get("ring", i + 1)["x"] * F.get("ring", i)["y"])
-    return boxes(spark, d).withColumn("area", F.abs(area) / 2).filter(F.col("area") * 1e6 < 3100).select("polygon_id")
+    return boxes(spark, d).withColumn("area", F.abs(area) / 2).filter(F.col("area") * 1e6 < 6100).select("polygon_id")
 
 
 def venue_json(spark, d):

@@ -182,12 +182,12 @@ def topic_words(spark, d):
     return r.top(c, ["lang"], [F.desc("n"), F.col("word")], 10)
 
 
-@query("T6_nearest_vectors", oracle("WITH s AS (SELECT f.word_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM (SELECT word_id FROM fx_feature WHERE venue_id < 2) f JOIN embeddings a ON f.word_id = a.vec_id, embeddings b WHERE a.vec_id <> b.vec_id) SELECT word_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10"))
+@query("T6_nearest_vectors", oracle("WITH s AS (SELECT f.word_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM (SELECT DISTINCT word_id FROM fx_feature) f JOIN embeddings a ON f.word_id = a.vec_id, embeddings b WHERE a.vec_id <> b.vec_id) SELECT word_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10"))
 def nearest_vectors(spark, d):
     """Ten nearest vectors by cosine of a stated query set against all rows; vectors are normalised once."""
     e = vectors(spark, d)
     unit = e.withColumn("unit", F.transform("embedding", lambda v: v.cast("double") / F.sqrt(op.dot(F.col("embedding"), F.col("embedding"))))).select("word_id", "unit")
-    asked = view(spark, d, "fx_feature").filter("venue_id < 2").select("word_id").join(unit, "word_id").select("word_id", F.col("unit").alias("q"))
+    asked = view(spark, d, "fx_feature").select("word_id").distinct().join(unit, "word_id").select("word_id", F.col("unit").alias("q"))
     every = unit.select(F.col("word_id").alias("vec_id"), "unit")
     s = asked.join(every, F.col("word_id") != F.col("vec_id")).withColumn("score", F.round(op.dot(F.col("q"), F.col("unit")), 6))
     return r.top(s, ["word_id"], [F.desc("score"), F.col("vec_id")], 10).select("word_id", "vec_id", "score")

@@ -10,9 +10,9 @@ from mobtrace.operators import rows as r
 from mobtrace.plans.registry import query
 
 
-@query("F1_points_of_day", oracle("SELECT user_id, ts_local, ts_utc, lat, lon, nb_steps FROM fx_trace WHERE day_no = 1 AND user_id <= 5 ORDER BY user_id, ts_local"))
+@query("F1_points_of_day", oracle("SELECT user_id, ts_local, ts_utc, lat, lon, nb_steps FROM fx_trace WHERE day_no = 1 ORDER BY user_id, ts_local"))
 def points_of_day(spark, d):
-    return view(spark, d, "fx_trace").filter("day_no = 1 and user_id <= 5").select("user_id", "ts_local", "ts_utc", "lat", "lon", "nb_steps").orderBy("user_id", "ts_local")
+    return view(spark, d, "fx_trace").filter("day_no = 1").select("user_id", "ts_local", "ts_utc", "lat", "lon", "nb_steps").orderBy("user_id", "ts_local")
 
 
 @query("F2_trace_between", oracle("SELECT user_id, ts_local, ts_utc FROM fx_trace WHERE ts_local BETWEEN 1704070800 AND 1704085200 OR ts_utc BETWEEN 1704153600 AND 1704157200"))
@@ -32,26 +32,26 @@ def deleted_two_ways(spark, d):
     return v.groupBy("place_id").agg(F.count("*").alias("n"), F.count_if(r.not_true(F.col("deleted"))).alias("not_true"), F.count_if(r.surely_false(F.col("deleted"))).alias("surely_not"))
 
 
-@query("F5_visits_by_day", oracle("SELECT user_id, day_no, visit_id, place_id, arrival, departure, arrival - utc_offset AS local_arrival FROM fx_visit WHERE deleted IS NOT TRUE AND user_id < 10"))
+@query("F5_visits_by_day", oracle("SELECT user_id, day_no, visit_id, place_id, arrival, departure, arrival - utc_offset AS local_arrival FROM fx_visit WHERE deleted IS NOT TRUE"))
 def visits_by_day(spark, d):
-    v = view(spark, d, "fx_visit").filter(r.not_true(F.col("deleted")) & (F.col("user_id") < 10))
+    v = view(spark, d, "fx_visit").filter(r.not_true(F.col("deleted")))
     return v.select("user_id", "day_no", "visit_id", "place_id", "arrival", "departure", (F.col("arrival") - F.col("utc_offset")).alias("local_arrival"))
 
 
-@query("F5_visits_at_place", oracle("SELECT place_id, visit_id, arrival, departure FROM fx_visit WHERE place_id IN (1, 2, 3)"))
+@query("F5_visits_at_place", oracle("SELECT place_id, visit_id, arrival, departure FROM fx_visit ORDER BY place_id, arrival, visit_id"))
 def visits_at_place(spark, d):
-    return view(spark, d, "fx_visit").filter(F.col("place_id").isin(1, 2, 3)).select("place_id", "visit_id", "arrival", "departure")
+    return view(spark, d, "fx_visit").select("place_id", "visit_id", "arrival", "departure").orderBy("place_id", "arrival", "visit_id")
 
 
-@query("F5_messages", oracle("SELECT user_id, ts, sender, message FROM fx_chat WHERE user_id < 20"))
+@query("F5_messages", oracle("SELECT user_id, ts, sender, message FROM fx_chat"))
 def messages(spark, d):
-    return view(spark, d, "fx_chat").filter("user_id < 20").select("user_id", "ts", "sender", "message")
+    return view(spark, d, "fx_chat").select("user_id", "ts", "sender", "message")
 
 
-@query("F6_name_lookup", oracle("SELECT v.venue_id, v.name FROM fx_venue v WHERE lower(v.name) IN (SELECT lower(name) FROM fx_venue WHERE venue_id % 50 = 0)"))
+@query("F6_name_lookup", oracle("SELECT v.venue_id, v.name FROM fx_venue v WHERE lower(v.name) IN (SELECT lower(name) FROM fx_venue WHERE nb_checkins = 500)"))
 def name_lookup(spark, d):
     v = view(spark, d, "fx_venue")
-    asked = v.filter("venue_id % 50 = 0").select(F.lower("name").alias("asked")).distinct()
+    asked = v.filter("nb_checkins = 500").select(F.lower("name").alias("asked")).distinct()
     return v.join(asked, F.lower("name") == F.col("asked"), "left_semi").select("venue_id", "name")
 
 
@@ -143,9 +143,9 @@ def united_ids(spark, d):
     return by.groupBy("pi_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("places"))
 
 
-@query("U3_differences", oracle("SELECT venue_id, list_filter([leaf_category, extra_category], lambda c: c <> 'n3') AS categories FROM fx_venue WHERE venue_id NOT IN (SELECT venue_id FROM fx_checkin WHERE user_id = 1)"))
+@query("U3_differences", oracle("SELECT venue_id, list_filter([leaf_category, extra_category], lambda c: c <> 'n3') AS categories FROM fx_venue WHERE venue_id NOT IN (SELECT venue_id FROM fx_score)"))
 def differences(spark, d):
-    seen = view(spark, d, "fx_checkin").filter("user_id = 1").select("venue_id")
+    seen = view(spark, d, "fx_score").select("venue_id")
     v = view(spark, d, "fx_venue").join(seen, "venue_id", "left_anti")
     return v.select("venue_id", F.array_remove(F.array("leaf_category", "extra_category"), "n3").alias("categories"))
 

@@ -10,6 +10,7 @@ from mobtrace.functions import scalars as x
 from mobtrace.operators import rows as r
 from mobtrace.operators import stays as s
 from mobtrace.plans.registry import query
+from mobtrace.sources.scratch import cut
 
 
 @query("flagship")
@@ -122,15 +123,16 @@ def adaptive_cells(spark, d, most: int = 50, deepest: int = 12):
     level = v.withColumn("depth", F.lit(0)).withColumn("cx", F.lit(0).cast("long")).withColumn("cy", F.lit(0).cast("long"))
     full, done = level, None
     for depth in range(deepest + 1):
-        counts = full.groupBy("depth", "cx", "cy").agg(F.count("*").alias("n"))
-        last = depth == deepest
+        counts = cut(full.groupBy("depth", "cx", "cy").agg(F.count("*").alias("n")), "cells")
+        heavy = counts.filter(F.col("n") >= most).select("cx", "cy")
+        last = depth == deepest or heavy.isEmpty()
         cells = counts if last else counts.filter(F.col("n") < most)
         done = cells if done is None else done.unionByName(cells)
         if last:
             break
-        heavy = counts.filter(F.col("n") >= most).select("cx", "cy")
         side = 2.0 ** (depth + 1)
         full = full.join(heavy, ["cx", "cy"], "left_semi").select("x", "y", F.lit(depth + 1).alias("depth"), F.floor(F.col("x") * side).alias("cx"), F.floor(F.col("y") * side).alias("cy"))
+        full = cut(full, "cell-points")
     return done.select(F.col("depth").cast("long").alias("depth"), "cx", "cy", "n")
 
 

@@ -22,10 +22,10 @@ def traces(spark, d):
     return files.read_traces(spark, path).select("user_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "ts_local", "ts_utc", "day", "nb_steps")
 
 
-@query("S2_points", oracle("SELECT lat, lon, ts_local AS ts FROM fx_trace WHERE user_id = 1"))
+@query("S2_points", oracle("SELECT lat, lon, ts_local AS ts FROM fx_trace"))
 def points(spark, d):
     path = scratch(spark, "points")
-    view(spark, d, "fx_trace").filter("user_id = 1").select("lat", "lon", "ts_local").write.csv(path)
+    view(spark, d, "fx_trace").select("lat", "lon", "ts_local").write.csv(path)
     return files.read_points(spark, path)
 
 
@@ -93,10 +93,11 @@ def features(spark, d):
     return t.select("place_id", files.feature(F.struct("dur", "nb_visits"), F.col("place_id"), F.col("nb_visits")).alias("feature"))
 
 
-@query("S21_user_export", oracle("SELECT visit_id, user_id, place_id, arrival, departure FROM fx_visit WHERE user_id = 7"))
+@query("S21_user_export", oracle("SELECT visit_id, user_id, place_id, arrival, departure FROM fx_visit"))
 def user_export(spark, d):
+    """A folder of JSON for each user, read back as one table."""
     path = scratch(spark, "export")
-    view(spark, d, "fx_visit").filter("user_id = 7").select("visit_id", "user_id", "place_id", "arrival", "departure").write.json(path)
+    view(spark, d, "fx_visit").select("visit_id", "user_id", "place_id", "arrival", "departure").write.partitionBy("user_id").json(path)
     return spark.read.schema("visit_id long, user_id long, place_id long, arrival long, departure long").json(path)
 
 

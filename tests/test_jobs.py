@@ -53,7 +53,7 @@ def test_stays_of_dense_traces(seed):
 
 def test_stays_of_short_days():
     assert stays.stays_of_day(*(np.array([x]) for x in (0, 1.0, 1.0, 1))) == []
-    alone = stays.stays_of_day(np.array([0, 4000, 4060]), np.array([1.0, 1.1, 1.1]), np.array([1.0, 1.1, 1.1]), np.array([1, 2, 3]))
+    alone = stays.stays_of_day(np.array([0, 4000, 4060]), np.array([1.0, 1.01, 1.01]), np.array([1.0, 1.01, 1.01]), np.array([1, 2, 3]))
     assert alone[0][0] == 0 and alone[0][1] == 4000
 
 
@@ -154,3 +154,10 @@ def test_entry_without_llm(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) > 150
+
+
+def test_adaptive_cells(spark, small):
+    n = view(spark, small, "fx_venue").count()
+    cells = sequences.adaptive_cells(spark, small).collect()
+    assert sum(c.n for c in cells) == n and all(c.n < 50 or c.depth == 12 for c in cells)
+    assert len({(c.depth, c.cx, c.cy) for c in cells}) == len(cells)
