@@ -42,6 +42,8 @@ _ASCII = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _SPACE = np.arange(256) == 32
 _LETTER = re.compile(r"[^\W\d_]")
 _TEXT_AT_ONCE = 2_000_000
+#: Distinct words and characters of text that a worker holds tables for at a time.
+WORDS_AT_ONCE, CHARS_AT_ONCE = 20_000, 8_000_000
 
 
 class Pieces:
@@ -84,7 +86,7 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 @dataclass
 class Batch:
-    """Distinct words of some texts (sorted keys, bytes, sizes), and each word's place among them with its text."""
+    """Distinct words of some texts (keys, bytes, sizes; short ones first), and each word's place among them with its text."""
 
     keys: np.ndarray
     data: np.ndarray
@@ -93,6 +95,18 @@ class Batch:
     text: np.ndarray
 
 
+def portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about CHARS_AT_ONCE characters."""
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHARS_AT_ONCE):
+            chars += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
 def read(texts: list[str | None]) -> Batch:
     keys, owner, own_keys, own_data, own_sizes = [], [], [], [], []
     at = 0
@@ -124,8 +138,13 @@ def read(texts: list[str | None]) -> Batch:
     data = np.concatenate(own_data) if own_data else np.zeros(0, np.uint8)
     u, spot = np.unique(all_keys, return_index=True)
     starts = (np.cumsum(sizes) - sizes)[spot]
-    word = np.searchsorted(u, np.concatenate(keys)) if keys else none
-    return Batch(u, _gather(data, starts, sizes[spot]), sizes[spot], word, np.concatenate(owner) if owner else none)
+    # by size, so that some words at a time need about as many steps
+    order = np.argsort(sizes[spot], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    word = place[np.searchsorted(u, np.concatenate(keys))] if keys else none
+    spot, starts = spot[order], starts[order]
+    return Batch(u[order], _gather(data, starts, sizes[spot]), sizes[spot], word, np.concatenate(owner) if owner else none)
 
 
 def steps(batch: Batch, known: Pieces) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -145,15 +164,15 @@ def forward(batch: Batch, known: Pieces, p: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language; p is (piece, language)."""
     n = int(batch.sizes.max(initial=0))
     out = np.zeros((len(batch.sizes), p.shape[1]))
-    for at in range(0, len(batch.sizes), 50_000):  # some words at a time
-        part = _part(batch, at, at + 50_000)
+    for at in range(0, len(batch.sizes), WORDS_AT_ONCE):  # some words at a time
+        part = _part(batch, at, at + WORDS_AT_ONCE)
         n = int(part.sizes.max())
         alpha = np.zeros((n + 1, len(part.sizes), p.shape[1]))
         alpha[0] = 1
         for end, size, rows, ids in steps(part, known):
             alpha[end, rows] += alpha[end - size, rows] * (p[ids] * _SCALE**size)
         total = alpha[part.sizes, np.arange(len(part.sizes))]
-        out[at : at + 50_000] = np.log(np.maximum(total, 1e-300)) - part.sizes[:, None] * np.log(_SCALE)
+        out[at : at + WORDS_AT_ONCE] = np.log(np.maximum(total, 1e-300)) - part.sizes[:, None] * np.log(_SCALE)
     return out
 
 
@@ -171,9 +190,9 @@ def expected(batch: Batch, known: Pieces, counts: np.ndarray) -> np.ndarray:
     """
     out = np.zeros((len(known.tokens), counts.shape[1]))
     p = 1 / len(known.tokens)
-    for at in range(0, len(batch.sizes), 50_000):
-        part = _part(batch, at, at + 50_000)
-        own, n = counts[at : at + 50_000], int(part.sizes.max())
+    for at in range(0, len(batch.sizes), WORDS_AT_ONCE):
+        part = _part(batch, at, at + WORDS_AT_ONCE)
+        own, n = counts[at : at + WORDS_AT_ONCE], int(part.sizes.max())
         found = list(steps(part, known))
         alpha, beta = np.zeros((2, n + 1, len(part.sizes)))
         alpha[0] = 1
@@ -205,6 +224,14 @@ class Model:
     path: str
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        named, scores = [], []
+        for a, b in portions(texts):
+            some = self._predict(texts[a:b])
+            named += some[0]
+            scores += some[1]
+        return named, scores
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         named, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return named, scores
@@ -230,10 +257,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | N
         for b in batches:
             langs = pd.Series(b.column(1).to_pylist(), dtype="object")
             codes, names = pd.factorize(langs)
-            batch = read(b.column(0).to_pylist())
-            counts = np.zeros((len(batch.sizes), len(names)))
-            np.add.at(counts, (batch.word, codes[batch.text]), 1)
-            found = expected(batch, known, counts)
+            found, texts = np.zeros((len(known.tokens), len(names))), b.column(0)
+            for start, end in portions(texts.to_pylist()):
+                batch = read(texts[start:end].to_pylist())
+                own = codes[start:end][batch.text]
+                counts = np.bincount(batch.word * len(names) + own, minlength=len(batch.sizes) * len(names)).reshape(-1, len(names))
+                found += expected(batch, known, counts)
             piece, language = np.nonzero(found)
             # whole millionths add up to the same in any order; piece -1 counts rows
             values = np.rint(found[piece, language] * 1e6).astype(np.int64)

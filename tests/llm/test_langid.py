@@ -29,6 +29,7 @@ def test_sums_over_segmentations(known):
     ends = np.cumsum(batch.sizes)
     found = [bytes(batch.data[e - n : e]) for e, n in zip(ends, batch.sizes, strict=True)]
     assert sorted(found) == sorted([b" the", " éa".encode(), b" th", b" xyz"])
+    assert [len(w) for w in found] == sorted(len(w) for w in found)
     assert [found[w] for w in batch.word] == [b" the", " éa".encode(), b" th", b" xyz", b" the"] and list(batch.text) == [0, 0, 0, 2, 2]
     logs = langid.forward(batch, known, p)
     counts = np.ones((4, 1))
