@@ -172,11 +172,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
 
 
 class Linking:
-    """Links that were confirmed so far, pairs that were compared, and the components."""
+    """Pairs that were compared so far, and the components that their links make."""
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, plan: Plan):
         self.nodes, self.texts, self.plan = nodes, texts, plan
-        self.links = self.compared = self.labels = None
+        self.compared = self.labels = None
 
     def labelled(self, rows: DataFrame, node: str, label: str) -> DataFrame:
         if self.labels is None:
@@ -205,10 +205,21 @@ class Linking:
             first = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
             now = kept(confirmed(pairs if turn else first, self.texts, self.plan), "compared")
             self.compared = now if self.compared is None else self.compared.unionByName(now)
-            good = now.filter("linked").select("a", "b")
-            if not good.isEmpty():
-                self.links = good if self.links is None else self.links.unionByName(good)
-                self.labels = components(self.links)
+            self.merge(now.filter("linked").select("a", "b"))
+
+    def merge(self, links: DataFrame) -> None:
+        """Joins the components that new links connect. Only links between components are walked, each in one round."""
+        between = self.labelled(self.labelled(links, "a", "of_a"), "b", "of_b").filter("of_a <> of_b")
+        between = kept(between.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "between")
+        if between.isEmpty():
+            return
+        ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+        if self.labels is not None:
+            ends = ends.union(self.labels.select("node"))
+        own = self.labelled(ends.distinct(), "node", "own")
+        found = components(between).select(F.col("node").alias("__of"), F.col("label").alias("__to"))
+        joined = own.join(found, F.col("own") == F.col("__of"), "left")
+        self.labels = kept(joined.select("node", F.coalesce("__to", "own").alias("label")), "labels")
 
 
 def grouped(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
