@@ -54,7 +54,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_entropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+    return cross_entropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"), size=None)
 
 
 @query

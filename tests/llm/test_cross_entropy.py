@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from mobtrace.llm import cross_entropy as ce
+from mobtrace.llm.queries import QUERIES
 from mobtrace.llm.words import LOWER
 
 
@@ -70,3 +71,26 @@ def test_edge_cases(spark):
     assert ce.score(df.limit(0), target).count() == 0
     extra = spark.createDataFrame([(None, "a")], "doc_id long, text string")
     assert [r.doc_id for r in ce.score(extra, target, size=4).collect()] == [None]
+
+
+def test_every_word(spark, medium):
+    """The query keeps words beyond any fixed number, in chunks and buckets of any size."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    targets = {r.doc_id for r in spark.read.parquet(f"{medium}/labels.parquet").filter("quality = 1").collect()}
+    words = {w for _, t in rows for w in re.findall("[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))}
+    assert len(words) > 10 * ce.VOCABULARY
+    same(QUERIES["op7_lm_cross_entropy"](spark, medium).collect(), brute(rows, targets, len(words) + 1))
+
+
+def test_chunks(spark, monkeypatch):
+    given = [(i % 90, " ".join(f"w{i * j % 97}" for j in range(i % 40))) for i in range(200)] + [(None, "w1 w2")]
+    df = spark.createDataFrame(given, "doc_id long, text string").coalesce(2)
+    target = spark.createDataFrame([(i,) for i in range(0, 90, 3)], "doc_id long")
+    whole = sorted(map(tuple, ce.score(df, target, size=None).collect()), key=repr)
+    monkeypatch.setattr(ce, "_CHUNK", 100)
+    monkeypatch.setattr(ce, "_BUCKET", 300)
+    parts = sorted(map(tuple, ce.score(df, target, size=None).collect()), key=repr)
+    assert len(whole) == len(parts) == 201
+    for a, b in zip(whole, parts, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
