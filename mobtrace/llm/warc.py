@@ -1,7 +1,7 @@
 """WARC archives: a writer of response and revisit records, and a reader that salvages.
 
-The writer's archives are gzipped WARC files in the shared folder, written by Spark. The
-reader takes whole archive files, plain or of gzip members that hold one or more records.
+The writer's archives are WARC files with a gzip member for each record, so that damage
+takes the record it meets only; Spark writes them to the shared folder. The reader takes whole archive files, plain or of gzip members that hold one or more records.
 It trusts a record only if its version line, headers, length, end mark and digests hold;
 after a failed check it searches for the next gzip member or version line, recovers the
 records from there on, and logs the bytes between as a quarantined gap. Of a broken
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import gzip
 import hashlib
 import re
 import zlib
@@ -69,7 +70,7 @@ def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html",
 
 
 def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
-    """One WARC record per row, as gzipped WARC files; a revisit has headers only and names the response it repeats."""
+    """One WARC record per row, a gzip member each; a revisit has headers only and names the response it repeats."""
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     clean = F.coalesce(F.regexp_replace("url", r"[\r\n]", " "), F.lit(""))
     revisit = F.col("record_type") == "revisit"
@@ -87,8 +88,28 @@ def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {SAME_PAYLOAD}\r\nWARC-Refers-To: "), name(F.col("refers_to")))),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    lines = records.select(F.concat(head, F.lit(END), block).alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, size = [], 0
+            for x in batch.column(0):
+                members.append(member(x.as_py().encode("utf-8", "surrogatepass") + END.encode()))
+                size += len(members[-1])
+                if size > 16_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+                    members, size = [], 0
+            if members:
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+
+    lines = records.select(F.concat(head, F.lit(END), block).alias("value")).mapInArrow(run, "value binary")
+    # the text writer takes any bytes; the line end is the last byte of each member
+    lines.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member but for its last byte, which is 0: the top byte of its size, or after 16 MB that of an empty member."""
+    data = gzip.compress(record, mtime=0)
+    return (data if data[-1] == 0 else data + gzip.compress(b"", mtime=0))[:-1]
 
 
 def _sha1(data: bytes) -> str:
@@ -159,10 +180,11 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
 
 
 def _sound(data: bytes, at: int) -> bool:
-    """Whether a record that passes its checks begins at ``at``."""
+    """Whether at ``at`` begins a record that passes its checks, or a member that is whole or holds such a record."""
     try:
         if data.startswith(MEMBER, at):
-            data, at = _inflate(data, at)[0], 0
+            inner, _, broken = _inflate(data, at)
+            return not broken or any(gap is None for _, _, gap, _ in salvage(inner))
         parse_record(data, at)
         return True
     except ValueError:
@@ -170,7 +192,7 @@ def _sound(data: bytes, at: int) -> bool:
 
 
 def _next(data: bytes, at: int) -> int:
-    """The next place after ``at`` where a sound record begins, or the end."""
+    """The next place after ``at`` where a sound record or member begins, or the end."""
     while m := _START.search(data, at + 1):
         at = m.start()
         if _sound(data, at):

@@ -67,3 +67,39 @@ def test_salvage_gzip(spark, tmp_path):
     assert [r.page_id for r in found if r.gap is None] == [i for i in range(30) if i not in (4, 9)]
     gaps = warc.quarantined(warc.read(spark, str(path))).collect()
     assert [(r.start, r.end) for r in gaps] == [(sum(map(len, members[:i])), sum(map(len, members[: i + 1]))) for i in (4, 9)]
+
+
+def test_salvage_own_archive(spark, tmp_path):
+    """A flipped byte in the writer's own file costs one record."""
+    records(spark, tmp_path)
+    data = open(glob.glob(str(tmp_path / "w" / "part-*"))[0], "rb").read()
+    sound = list(warc.salvage(data))
+    assert [r[3]["page_id"] for r in sound] == list(range(30)) and all(r[2] is None for r in sound)
+    start, end = sound[4][:2]
+    for at in (*range(start, end, 7), end - 14):
+        broken = bytearray(data)
+        broken[at] ^= 0xFF
+        got = list(warc.salvage(bytes(broken)))
+        ids = [r[3]["page_id"] for r in got if r[2] is None]
+        assert [i for i in ids if i != 4] == [i for i in range(30) if i != 4]
+        if len(ids) == 29:
+            assert [r[:2] for r in got if r[2]] == [(start, end)]
+    assert len(ids) == 29
+
+
+def test_salvage_after_broken_member(spark, tmp_path):
+    """A whole member counts as a place to resume even if its first record fails its digest."""
+    data = records(spark, tmp_path)
+    spans = [r[:2] for r in warc.salvage(data)]
+    first = bytearray(data[: spans[9][1]])
+    first[spans[0][1] - 6] ^= 1
+    broken = gzip.compress(data[slice(*spans[20])])[:-12]
+    got = list(warc.salvage(broken + gzip.compress(bytes(first))))
+    assert [r[3]["page_id"] for r in got if r[2] is None] == list(range(1, 10))
+    assert [r[2] for r in got if r[2]] == ["bad gzip member", "block digest differs"]
+
+
+def test_large_member():
+    record = b"x" * (1 << 24)
+    data = warc.member(record) + b"\0"
+    assert gzip.decompress(data) == record and gzip.decompress(warc.member(b"y") + b"\0") == b"y"
