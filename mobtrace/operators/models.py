@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block in which neighbours are sought.
+BLOCK = 20_000
+
 
 def uniform(*keys: Column, seed: int) -> Column:
     """A number in [0, 1) that hangs on the keys and a seed only."""
@@ -22,29 +27,69 @@ def stacking_matrix(scores: DataFrame, ratings: DataFrame, models: Sequence[str]
     return both.select("venue_id", "pi_id", *models, (F.col("rating") >= 4).cast("double").alias("label"))
 
 
+def nearest(rows: DataFrame, features: Sequence[str], key: Sequence[str], n: int, k: int, block: int = BLOCK) -> DataFrame:
+    """key, features, near: the features of the k nearest other rows, the nearest first, over all ``n`` rows.
+
+    Every block of rows meets every shard of the rows, so a group holds two blocks at most.
+    """
+    blocks = max(1, -(-n // block))
+    names = [*key, *features]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rows = rows.select(*key, *[F.col(f).cast("double").alias(f) for f in features])
+    at = F.pmod(F.xxhash64(*key), F.lit(blocks))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = rows.withColumn("__q", at.cast("int")).withColumn("__s", each).withColumn("__asks", F.lit(True))
+    shards = rows.withColumn("__s", at.cast("int")).withColumn("__q", each).withColumn("__asks", F.lit(False))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        q, s = group[group["__asks"]], group[~group["__asks"]]
+        if not len(s):
+            return q[names].assign(near=pd.Series([[]] * len(q), q.index, object))
+        x, y, found = q[list(features)].to_numpy(float), s[list(features)].to_numpy(float), []
+        order = np.lexsort(y.T[::-1])  # equal distances go by features
+        s, y = s.iloc[order], y[order]
+        ids = pd.concat([q[list(key)], s[list(key)]]).groupby(list(key), sort=False, dropna=False).ngroup().to_numpy()
+        mine, theirs = ids[: len(q)], ids[len(q) :]
+        for i in range(0, len(x), 256):
+            d = sum((x[i : i + 256, j, None] - y[None, :, j]) ** 2 for j in range(len(features)))
+            d[mine[i : i + 256, None] == theirs[None]] = np.inf
+            last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            for row, most in zip(d, last, strict=True):
+                c = np.flatnonzero((row <= most) & (row < np.inf))
+                c = c[np.argsort(row[c], kind="stable")[:k]]
+                found.append([{"d": float(row[j]), "x": y[j].tolist()} for j in c])
+        return q[names].assign(near=pd.Series(found, q.index, object))
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), *(f"{f} double" for f in features), "near array<struct<d:double,x:array<double>>>"])
+    parts = own.unionByName(shards).groupBy("__q", "__s").applyInPandas(run, schema)
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    return parts.groupBy(*names).agg(F.transform(best, lambda c: c["x"]).alias("near"))
+
+
 def oversampled(rows: DataFrame, features: Sequence[str], key: Sequence[str], k: int = 5, seed: int = 3) -> DataFrame:
     """Adds synthetic rows of the rarer label until both are about as many.
 
-    Each lies between a row and one of its k nearest of the same label. Neighbours are
-    sought in the row's block of the minority (a hash of its key), of bounded size.
+    Each lies between a row and one of its k nearest of the same label, drawn anew for each
+    synthetic row. A label of one row only has no neighbours and stays alone.
     """
     n = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return rows
     rare, often = sorted(n, key=lambda v: (n[v], v))
-    times = max(0, round(n[often] / n[rare]) - 1)
-    blocks = max(1, n[rare] // 500)
-    own = rows.filter(F.col("label") == rare).withColumn("__block", F.pmod(F.xxhash64(*key), F.lit(blocks)))
-    a, b = own.alias("a"), own.alias("b")
-    apart = sum((F.pow(F.col(f"a.{f}") - F.col(f"b.{f}"), 2) for f in features), F.lit(0.0))
-    other = F.lit(False)
-    for c in key:
-        other = other | (F.col(f"a.{c}") != F.col(f"b.{c}"))
-    pairs = a.join(b, (F.col("a.__block") == F.col("b.__block")) & other).select(*[F.col(f"a.{c}").alias(c) for c in [*key, *features]], *[F.col(f"b.{f}").alias(f"__{f}") for f in features], apart.alias("__d"))
-    w = Window.partitionBy(*key).orderBy("__d", *[f"__{f}" for f in features])
-    near = pairs.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= min(k, times))
-    near = near.withColumn("__u", uniform(*[F.col(c) for c in key], F.col("__n"), seed=seed))
-    made = near.select(*key, *[(F.col(f) + F.col("__u") * (F.col(f"__{f}") - F.col(f))).alias(f) for f in features], F.lit(rare).alias("label"))
+    times, rest = divmod(n[often] - n[rare], n[rare])
+    own = rows.filter(F.col("label") == rare)
+    share = F.lit(times)
+    if rest:  # one row more for some, those of the smallest keyed numbers
+        error = 0.0 if n[rare] < 100_000 else 1e-4
+        chance = uniform(*[F.col(c) for c in key], F.lit("more"), seed=seed)
+        if (at := (rest - 0.5) / n[rare] - error) > 0:
+            most = own.select(chance.alias("u")).approxQuantile("u", [at], error)[0]
+            share = share + (chance <= most).cast("int")
+    near = nearest(own, features, key, n[rare], k).withColumn("__times", share).filter((F.col("__times") > 0) & (F.size("near") > 0))
+    near = near.withColumn("__n", F.explode(F.sequence(F.lit(1), "__times")))
+    drawn = lambda what: uniform(*[F.col(c) for c in key], F.col("__n"), F.lit(what), seed=seed)
+    near = near.withColumn("__u", drawn("u")).withColumn("__to", F.col("near")[F.floor(drawn("to") * F.size("near")).cast("int")])
+    made = near.select(*key, *[(F.col(f) + F.col("__u") * (F.col("__to")[i] - F.col(f))).alias(f) for i, f in enumerate(features)], F.lit(rare).alias("label"))
     return rows.select(*key, *features, "label").unionByName(made)
 
 

@@ -149,6 +149,22 @@ def test_model_jobs(spark, small):
     assert t and all(0 <= r.share <= 1 for r in t)
 
 
+def test_oversampled_fully(spark):
+    """At 20:1 both labels end as many, and neighbours are the same in one block and in many."""
+    given = [(i, float(i * 37 % 101), float(i * 53 % 89), 0.0) for i in range(400)] + [(1000 + i, float(i * i % 23), float(i * 7 % 11), 1.0) for i in range(19)]
+    df = spark.createDataFrame(given, "id long, a double, b double, label double")
+    out = models.oversampled(df, ["a", "b"], ["id"])
+    assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {0.0: 400, 1.0: 400}
+    rare = {i: (a, b) for i, a, b, label in given if label}
+    brute = {}
+    for i, p in rare.items():
+        others = sorted(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2, q) for j, q in rare.items() if j != i)
+        brute[i] = [list(q) for _, q in others[:5]]
+    for block in (100, 3):
+        got = models.nearest(df.filter("label = 1"), ["a", "b"], ["id"], len(rare), 5, block).collect()
+        assert {r.id: r.near for r in got} == brute
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__ as e
 
