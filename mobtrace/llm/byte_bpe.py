@@ -189,31 +189,59 @@ def decoded_bytes(ids: Column, path: str | None = None, pattern: str | None = No
 
 def decoded_text(ids: Column, path: str | None = None, pattern: str | None = None) -> Column:
     """Text of ``ids``; bytes that aren't a whole character become U+FFFD."""
-    return F.decode(decoded_bytes(ids, path, pattern), "UTF-8")
+    path, pattern = _given(path, pattern)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _, table = load(path, pattern)
+        for batch in batches:
+            yield pd.Series([None if x is None else decode(x, table).decode("utf-8", "replace") for x in batch], dtype="object")
+
+    return run(ids)
+
+
+def token_offsets(sizes: np.ndarray, data: bytes) -> np.ndarray:
+    """(start, end) in code points of tokens of ``sizes`` bytes each, laid over the bytes that they make.
+
+    A token that holds a part of a character covers the whole of it, as the library has it.
+    """
+    begins = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    before = np.concatenate([[0], np.cumsum(begins)])
+    ends = np.cumsum(sizes)
+    return np.stack([before[ends - sizes + 1] - 1, before[ends]], axis=1)
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per row: number of tokens, SHA-256 of the ids as little-endian uint32, SHA-256 of the decoded bytes.
 
-    Encodes and decodes in one pass, so ids never leave the worker.
+    Besides ``offsets_sha256``, of the tokens' starts and ends in code points as little-endian
+    uint32, and ``n_split``, how many tokens begin within a character. Encodes and decodes in
+    one pass, so ids never leave the worker. Only the key and the text are read, so other
+    columns, whatever their names, play no part.
     """
     path, pattern = _given(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path, pattern)
+        sizes = np.array([len(t) for t in encoder.table], np.int64)
         for batch in batches:
-            n, ids_sha, back_sha = [], [], []
+            n, ids_sha, back_sha, offsets_sha, split = [], [], [], [], []
             for ids in encoder.batches([x or "" for x in batch.column(1).to_pylist()]):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
-                back_sha.append(hashlib.sha256(decode(np.frombuffer(ids, "<u4").tolist(), encoder.table)).hexdigest())
+                numbers = np.frombuffer(ids, "<u4")
+                back = decode(numbers.tolist(), encoder.table)
+                back_sha.append(hashlib.sha256(back).hexdigest())
+                offsets = token_offsets(sizes[numbers], back) if len(numbers) else np.zeros((0, 2), np.int64)
+                offsets_sha.append(hashlib.sha256(offsets.astype("<u4").tobytes()).hexdigest())
+                split.append(int((offsets[1:, 0] < offsets[:-1, 1]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string()), pa.array(offsets_sha, pa.string()), pa.array(split, pa.int64())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"],
             )
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long")
 
 
 def _given(path: str | None, pattern: str | None) -> tuple[str, str]:

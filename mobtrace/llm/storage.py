@@ -1,4 +1,9 @@
-"""Where jobs keep tables that cut their lineage."""
+"""Where jobs keep tables that cut their lineage.
+
+All of an application's tables lie in one folder under ``spark.checkpoint.dir``, named by
+the application. They aren't removed while results may still be read from them; who runs
+the application removes the folder when it has ended (``storage.used(spark)`` names it).
+"""
 
 from __future__ import annotations
 
@@ -23,8 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def used(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_folder(spark)}/mobtrace-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{used(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it a name that ``df`` has no column of, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

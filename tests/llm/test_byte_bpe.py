@@ -37,6 +37,18 @@ def test_whole_table(spark, medium, reference):
     check(spark.read.parquet(f"{medium}/documents.parquet"), reference)
 
 
+def test_offsets_of_the_query(spark, medium):
+    """The digest of the offsets is that of the library's own."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(ODD, 1)], "doc_id long, text string"))
+    want = {}
+    for r in byte_bpe.encode(docs).collect():
+        pairs = np.array([(o.start, o.end) for o in r.offsets], "<u4").reshape(-1, 2)
+        want.setdefault(r.doc_id, set()).add((hashlib.sha256(pairs.tobytes()).hexdigest(), int((pairs[1:, 0] < pairs[:-1, 1]).sum())))
+    rows = byte_bpe.digests(docs.withColumn("offsets", byte_bpe.F.lit("clash"))).collect()
+    assert all((r.offsets_sha256, r.n_split) in want[r.doc_id] for r in rows)
+    assert any(r.n_split for r in rows)
+
+
 def test_edge_cases(spark, reference):
     df = spark.createDataFrame([(i if i != 3 else None, t, "x") for i, t in enumerate(ODD)], "doc_id long, text string, ids string")
     check(df, reference)
