@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobtrace.llm import langid, odd_sketch, packing, pii
-from mobtrace.llm.storage import kept
+from mobtrace.llm.storage import free_name, kept
 
-#: Below this score a language counts as unknown. With four languages an even guess scores 0.25.
-LEAST_SCORE = 0.3
+#: How far the best language must be from an even guess (0) towards certainty (1), however many languages there are.
+LEAST = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose language can't be told."""
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
-    return langid.recognised(docs, model, LEAST_SCORE)
+    return langid.recognised(docs, model, LEAST)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the texts; ``n_chars`` follows where a text has changed."""
-    masked = pii.redact(docs.withColumn("__masked", F.col("text")), "__masked")
-    changed = ~F.col("__masked").eqNullSafe(F.col("text"))
-    masked = masked.withColumn("n_chars", F.when(changed, F.length("__masked").cast("long")).otherwise(F.col("n_chars")))
-    return masked.withColumn("text", F.col("__masked")).select(*docs.columns)
+    new = free_name(docs, "masked")
+    masked = pii.redact(docs.withColumn(new, F.col("text")), new)
+    changed = ~F.col(new).eqNullSafe(F.col("text"))
+    masked = masked.withColumn("n_chars", F.when(changed, F.length(new).cast("long")).otherwise(F.col("n_chars")))
+    return masked.withColumn("text", F.col(new)).select(*docs.columns)
 
 
 def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
