@@ -1,10 +1,15 @@
 """Cross-entropy difference of documents under a target and a background model.
 
 Both are bigram models of the same form over one vocabulary: every word of the corpus, or
-with ``size`` the commonest ones, all others being one unknown word. Probabilities mix
-bigram and unigram shares: ``MIX * n(v w) / n(v) + (1 - MIX) * (n(w) + 1) / (N + V)``. A
-document's score is the mean over its words of what the target model loses less what the
-background loses (in nats); the lower, the more the text resembles the target.
+with ``size`` the commonest ones, all others being one unknown word. The target model
+counts the target rows, the background model the whole corpus. They are matched in all
+else: background counts are scaled to the number of words of the target, so that smoothing
+weighs the same in both, and neither model has seen the document that it scores (its own
+counts are taken off). With counts n, scaled by r, a word's probability after another is
+``(r n(v w) + WEIGHT * u(w)) / (r n(v) + WEIGHT)``, where ``u(w) = (r n(w) + 1) / (N + V)``,
+N is the target's words and V the vocabulary. A document's score is the mean over its words
+of what the target model loses less what the background loses (in nats); the lower, the
+more the text resembles the target.
 
 Counts cover every row and stay in Spark. Texts become chunks of word numbers, kept as a
 table. A chunk sends its counts of words and bigrams, packed, to buckets of their keys; a
@@ -14,7 +19,7 @@ grow with the input, and no table of counts comes to the driver or to every task
 
 Words are runs of characters other than white space, ASCII letters in lower case. Edge
 cases: null or blank text has no words and null losses; without target rows all
-differences are null; rows without ``doc_id`` are background and repeated rows count
+losses are null; rows without ``doc_id`` are background and repeated rows count
 each; ties in frequency are broken by the word's key; other columns are ignored; an empty
 table gives no rows.
 """
@@ -31,8 +36,8 @@ from pyspark.sql import functions as F
 from mobtrace.llm.storage import kept
 from mobtrace.llm.words import LOWER, U, mix, word_keys
 
-#: Words of a limited vocabulary, the unknown word included.
-VOCABULARY, MIX = 2048, 0.5
+#: Words of a limited vocabulary, the unknown word included; words that the unigram share of a bigram's probability counts for.
+VOCABULARY, WEIGHT = 2048, 5.0
 _WORDS_AT_ONCE = 1_000_000
 #: Words of a chunk (and its documents), words of the corpus for each bucket.
 _CHUNK, _CHUNK_DOCS, _BUCKET = 2_000_000, 100_000, 4_000_000
@@ -201,7 +206,8 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     sums = kept(summed(counted(marked, max(1, -(-total // _BUCKET)))), "sums")
     if size is None:
         size = 1 + (sums.groupBy("bucket").agg(F.max("distinct").alias("n")).agg(F.sum("n")).first()[0] or 0)
-    return scored(encoded, sums, total, _target_words(encoded, own), size, dict(docs.dtypes)[key])
+    marked = encoded.join(own, "chunk", "left")
+    return scored(marked, sums, total, _target_words(encoded, own), size, dict(docs.dtypes)[key])
 
 
 def _target_words(encoded: DataFrame, own: DataFrame) -> int:
@@ -215,26 +221,38 @@ def _target_words(encoded: DataFrame, own: DataFrame) -> int:
     return encoded.select("chunk", "lens").join(own, "chunk").select("lens", "targets").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def scored(encoded: DataFrame, sums: DataFrame, total: int, total_target: int, size: int, kind: str) -> DataFrame:
+def within(of_word: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """For each word, how often its item occurs in its own document."""
+    _, at, count = np.unique(of_word * n + place, return_inverse=True, return_counts=True)
+    return count[at]
+
+
+def scored(marked: DataFrame, sums: DataFrame, total: int, total_target: int, size: int, kind: str) -> DataFrame:
     """Each document's losses from its chunk and what the buckets sent to it."""
 
     def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
         ids = chunk["ids"].combine_chunks().flatten()
         lens, words, places = (unpacked(chunk[c][0].as_py(), k) for c, k in (("lens", np.uint32), ("words", U), ("places", np.uint32)))
         columns, none = [], lens == 0
-        at = items(lens, words, places)[1] if len(places) else []
-        own = own.sort_by("bucket")
-        of_word = np.repeat(np.arange(len(lens)), lens)
-        for c, n in (("t", total_target), ("n", total)):
-            if not n or not len(places):
-                columns.append(pa.nulls(len(lens), pa.float64()))
-                continue
-            sent = np.concatenate([unpacked(x.as_py(), np.uint64) for x in own[c]]).astype(np.float64)
-            pair, first, second = (sent[x] for x in at)
-            loss = -np.log(MIX * pair / np.maximum(first, 1) + (1 - MIX) * (second + 1) / (n + size))
-            columns.append(pa.array(np.bincount(of_word, loss, len(lens)) / np.maximum(lens, 1), pa.float64(), mask=none))
+        if total_target and len(places):
+            keys, at = items(lens, words, places)
+            own = own.sort_by("bucket")
+            of_word = np.repeat(np.arange(len(lens)), lens)
+            target = np.zeros(len(lens), bool)
+            target[chunk["targets"][0].as_py() or []] = True
+            n_target = total_target - np.where(target, lens, 0).astype(np.int64)
+            scale = n_target / np.maximum(total - lens.astype(np.int64), 1)
+            mine = [within(of_word, x, len(keys)) for x in at]
+            for c, less, r in (("t", target[of_word], np.ones(len(of_word))), ("n", True, scale[of_word])):
+                sent = np.concatenate([unpacked(x.as_py(), np.uint64) for x in own[c]]).astype(np.int64)
+                pair, first, second = ((sent[x] - np.where(less, m, 0)) * r for x, m in zip(at, mine, strict=True))
+                single = (second + 1) / (n_target[of_word] + size)
+                loss = -np.log((pair + WEIGHT * single) / (first + WEIGHT))
+                columns.append(pa.array(np.bincount(of_word, loss, len(lens)) / np.maximum(lens, 1), pa.float64(), mask=none))
+        else:
+            columns = [pa.nulls(len(lens), pa.float64())] * 2
         return pa.table([ids, pa.array(lens.astype(np.int64)), *columns], ["doc_id", "n_words", "ce_target", "ce_background"])
 
-    both = encoded.drop("n_words").groupBy("chunk").cogroup(sums.drop("distinct").groupBy("chunk"))
+    both = marked.drop("n_words").groupBy("chunk").cogroup(sums.drop("distinct").groupBy("chunk"))
     found = both.applyInArrow(run, f"doc_id {kind}, n_words long, ce_target double, ce_background double")
     return found.withColumn("ce_difference", F.col("ce_target") - F.col("ce_background"))

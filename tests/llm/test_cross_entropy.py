@@ -15,24 +15,31 @@ def brute(rows, targets, size):
     words = Counter(w for _, t in rows for w in split(t))
     key = lambda w: int(ce.word_keys(w.encode().translate(LOWER)).view("int64")[0])
     known = {w for w, _ in sorted(words.items(), key=lambda x: (-x[1], key(x[0])))[: size - 1]}
-    models = []
-    for keep in (lambda i: i in targets, lambda i: True):
+    def counts(texts):
         pairs = Counter()
-        for i, t in rows:
-            if keep(i):
-                w = [None] + [x if x in known else None for x in split(t)]
-                pairs.update(zip(w, w[1:]))
+        for t in texts:
+            w = [None] + [x if x in known else None for x in split(t)]
+            pairs.update(zip(w, w[1:]))
         first, second = Counter(), Counter()
         for (a, b), n in pairs.items():
             first[a] += n
             second[b] += n
-        total = sum(pairs.values())
-        models.append(lambda a, b, p=pairs, f=first, s=second, t=total: -math.log(ce.MIX * p[a, b] / max(1, f[a]) + (1 - ce.MIX) * (s[b] + 1) / (t + size)))
+        return pairs, first, second, sum(pairs.values())
+
+    every, own = counts(t for _, t in rows), counts(t for i, t in rows if i in targets)
     out = {}
     for i, t in rows:
+        mine = counts([t])
         w = [None] + [x if x in known else None for x in split(t)]
-        n = len(w) - 1
-        out[i] = (n, *(sum(m(a, b) for a, b in zip(w, w[1:])) / n if n else None for m in models))
+        n_target = own[3] - (mine[3] if i in targets else 0)
+        losses = []
+        for (p, f, s, total), less, r in ((own, i in targets, 1), (every, True, n_target / max(1, every[3] - mine[3]))):
+            loss = 0
+            for a, b in zip(w, w[1:]):
+                pair, first, second = (r * (x[k] - (m[k] if less else 0)) for x, m, k in ((p, mine[0], (a, b)), (f, mine[1], a), (s, mine[2], b)))
+                loss -= math.log((pair + ce.WEIGHT * (second + 1) / (n_target + size)) / (first + ce.WEIGHT))
+            losses.append(loss / mine[3] if mine[3] else None)
+        out[i] = (mine[3], *losses)
     return out
 
 
@@ -83,6 +90,14 @@ def test_every_word(spark, medium):
     same(QUERIES["op7_lm_cross_entropy"](spark, medium).collect(), brute(rows, targets, len(words) + 1))
 
 
+def test_matched(spark, medium):
+    """A document is scored by models that haven't seen it: a text that occurs once gains nothing from being counted."""
+    docs = spark.createDataFrame([(i, f"x{i} y{i} z{i} a b c") for i in range(40)] + [(100, "q r s t u v"), (101, "q r s t u v")], "doc_id long, text string")
+    got = {r.doc_id: r for r in ce.score(docs, docs.filter("doc_id < 20"), size=None).collect()}
+    assert got[100].ce_background < got[100].ce_target and got[100].ce_background == got[101].ce_background
+    assert got[1].ce_background > got[100].ce_background and got[1].ce_target < got[30].ce_target + 1e-9
+
+
 def test_chunks(spark, monkeypatch):
     given = [(i % 90, " ".join(f"w{i * j % 97}" for j in range(i % 40))) for i in range(200)] + [(None, "w1 w2")]
     df = spark.createDataFrame(given, "doc_id long, text string").coalesce(2)
