@@ -1,14 +1,20 @@
 """Personal data by fixed forms, and by patterns bootstrapped from them.
 
 The base forms (e-mail address, IP address, payment card, phone number) are found in
-every text and are the seeds. The words to the left of a seed are a lexical pattern;
-other tokens that look like identifiers and stand in the same context are its unseen
-instances. Spark scores the graph of patterns and instances in rounds: a pattern is
-worth the summed scores of the distinct instances of a kind that it extracts, as a share
-of these and of the instances that can't be of that kind; an instance is worth as much as
-its accepted patterns make likely, and instances that were accepted support further
-patterns. A pattern is accepted from ``SUPPORT`` points and a share of ``PRECISION``;
-instances must also look like the pattern's kind. Base spans always stay.
+every text and are the seeds. What stands to the left of a seed is a lexical pattern: the
+last two words within ``REACH`` characters, or the last one if it is glued to the seed, with
+the marks behind them. Other tokens that look like identifiers and stand in the same
+context are its unseen instances. Spark scores the graph of patterns and instances in
+rounds: a pattern is worth the summed scores of the distinct instances of a kind that it
+extracts, as a share of these and of the instances that can't be of that kind; an instance
+is worth as much as its accepted patterns make likely, and instances that were accepted
+support further patterns. A pattern is accepted from ``SUPPORT`` points and a share of
+``PRECISION``, and stays; rounds end when none is added. Instances must also look like the
+pattern's kind. Base spans always stay.
+
+Candidates are the tokens with digits or @, of any length, between white space, quotes,
+brackets, slashes and the like. Numbers go on over single spaces as far as they look like
+a kind; no kind that has spaces is longer than ``WIDEST`` characters.
 
 Edge cases: a null text is empty and has no spans; very long tokens and digit runs are
 read in linear time; rows without ``doc_id`` and repeated rows are rows of their own, but
@@ -27,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mobtrace.llm.storage import kept
+from mobtrace.llm.storage import free_name, kept
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, PRECISION, ROUNDS = 5, 0.8, 4
+SUPPORT, PRECISION = 5, 0.8
+#: Characters before an instance in which its pattern lies, and of a number with spaces at most.
+REACH, WIDEST = 200, 44
 #: Accepted patterns that a redaction hands to its tasks as a dictionary; beyond it joins.
 PATTERNS_SENT = 50_000
 
@@ -40,7 +48,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
-_SPACE = re.compile(r"\s")
+_BETWEEN = frozenset("\"'<>[]{}|,;=&?#!*`/\\")
+_STOP = re.compile(r"""[\s"'<>\[\]{}|,;=&?#!*`/\\]""")
+_WORD = re.compile(r"\w+")
 _NUMBER = re.compile(r"[+(]*[0-9][0-9().-]*")
 _FITS = {
     "email": re.compile(r"[^@\s]+@[^@\s]+"),
@@ -92,46 +102,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def context(text: str, start: int) -> str:
-    """The lexical pattern before ``start``: what is glued to it, and the words before, two in all, in lower case."""
-    parts = text[max(0, start - 200) : start].lower().split()
+    """The lexical pattern before ``start``, in lower case; ^ stands for the text's beginning."""
     glued = start > 0 and not text[start - 1].isspace()
-    return " ".join(p[-64:] for p in parts[-2:]) + ("" if glued else " ") if parts else "^"
+    near = text[max(0, start - REACH) : start].lower()
+    words = list(_WORD.finditer(near))[-1 if glued else -2 :]
+    pattern = " ".join((near[words[0].start() :] if words else "^" + near).split())
+    return pattern if glued or not words else pattern + " "
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, list[str]]]:
     """Tokens with digits or @ that touch no base span, and the kinds that each could be."""
     place = at = 0
     while m := _MARK.search(text, place):
-        start, stop = m.start(), _SPACE.search(text, m.end())
-        while start > place and not text[start - 1].isspace():
+        start, stop = m.start(), _STOP.search(text, m.end())
+        while start > place and not text[start - 1].isspace() and text[start - 1] not in _BETWEEN:
             start -= 1
-        end = stop.start() if stop else len(text)
-        if end - start <= 200:
-            for sign in ":=#":
-                cut = text.rfind(sign, start, m.start())
-                if cut >= 0:
-                    start = cut + 1
-                    break
-            part = start  # numbers go on over single spaces
-            while end < len(text) and text[end] == " " and _NUMBER.fullmatch(text, part, end):
-                stop = _SPACE.search(text, end + 1)
-                further = stop.start() if stop else len(text)
-                if further - start > 40 or not _NUMBER.match(text, end + 1, further):
-                    break
-                part, end = end + 1, further
-            last = end
-            while last > start and text[last - 1] in "\"'>)]}.,;:!?":
+        start = max(start, text.rfind(":", start, m.start()) + 1)
+        ends = [stop.start() if stop else len(text)]
+        part = start  # numbers go on over single spaces
+        while ends[-1] < len(text) and text[ends[-1]] == " " and _NUMBER.fullmatch(text, part, ends[-1]):
+            part = ends[-1] + 1
+            stop = _STOP.search(text, part)
+            further = stop.start() if stop else len(text)
+            if further - start > WIDEST or not _NUMBER.match(text, part, further):
+                break
+            ends.append(further)
+        for end in reversed(ends):
+            first, last = start, end
+            while last > first and text[last - 1] in ")].,;:!?":
                 last -= 1
-            while start < last and text[start] in "\"'(<[{" and not (text[start] == "(" and ")" in text[start:last]):
-                start += 1
-            while at < len(base) and base[at][1] <= start:
-                at += 1
-            free, near = last > start, at
-            while free and near < len(base) and base[near][0] < last:
-                free = base[near][1] <= start
-                near += 1
-            if free:
-                yield start, last, [k for k in KINDS if _FITS[k].fullmatch(text, start, last)]
+            while first < last and text[first] in "([{" and not (text[first] == "(" and ")" in text[first:last]):
+                first += 1
+            fits = [k for k in (KINDS if end == ends[0] else KINDS[2:]) if _FITS[k].fullmatch(text, first, last)]
+            if fits:
+                break
+        while at < len(base) and base[at][1] <= first:
+            at += 1
+        free, near = last > first, at
+        while free and near < len(base) and base[near][0] < last:
+            free = base[near][1] <= first
+            near += 1
+        if free:
+            yield first, last, fits
         place = max(end, m.end())
 
 
@@ -168,29 +180,31 @@ def read_texts(docs: DataFrame, key: str, text: str, keep_text: bool = False) ->
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def patterns(read: DataFrame, support: float = SUPPORT, precision: float = PRECISION, rounds: int = ROUNDS) -> DataFrame:
-    """Accepted (context, kind, worth), scored in rounds over the graph of contexts and values."""
+def patterns(read: DataFrame, support: float = SUPPORT, precision: float = PRECISION) -> DataFrame:
+    """Accepted (context, kind, worth), scored over the graph of contexts and values until no context is added."""
     seen = read.select(F.explode("seen").alias("x")).select("x.context", "x.value", "x.seed", "x.fits")
     edges = seen.groupBy("context", "value").agg(F.max("seed").alias("seed"), F.max("fits").alias("fits"))
-    often = edges.groupBy("context").agg(F.count("*").alias("size")).filter(F.col("size") >= support)
+    edges = kept(edges, "pii-pairs")
+    # sums are written before they meet rows of the same key, so that joins on hot contexts can be split
+    often = kept(edges.groupBy("context").agg(F.count("*").alias("size")).filter(F.col("size") >= support), "pii-often")
     edges = kept(edges.join(often, "context"), "pii-edges")
     seeds = edges.filter("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     fitting = edges.select("context", F.explode("fits").alias("kind")).groupBy("context", "kind").agg(F.count("*").alias("fit"))
-    scores, known = seeds, -1
-    for _ in range(rounds):
+    scores, good = kept(seeds, "pii-scores"), None
+    while True:
         worth = edges.select("context", "size", "value").join(scores, "value").groupBy("context", "size", "kind").agg(F.sum("score").alias("points"))
         against = F.col("size") - F.col("fit")
         worth = worth.join(fitting, ["context", "kind"]).withColumn("worth", F.round(F.col("points") / (F.col("points") + against), 9))
-        good = worth.filter((F.col("points") >= support) & (F.col("worth") >= precision))
-        good = kept(good.select("context", "kind", "worth"), "pii-patterns")
-        now = good.count()
-        if now == known or now == 0:
-            break
-        known = now
+        more = worth.filter((F.col("points") >= support) & (F.col("worth") >= precision)).select("context", "kind", "worth")
+        if good is not None:
+            more = more.join(good.select("context", "kind"), ["context", "kind"], "left_anti")
+        more = kept(more, "pii-patterns")
+        if more.isEmpty():
+            return more if good is None else good
+        good = more if good is None else kept(good.unionByName(more), "pii-patterns")
         new = edges.filter("seed is null").join(good, "context").filter(F.array_contains("fits", F.col("kind")))
         new = new.groupBy("value", "kind").agg((1 - F.product(1 - F.col("worth"))).alias("score"))
-        scores = seeds.unionByName(new.join(seeds.select("value"), "value", "left_anti"))
-    return good
+        scores = kept(seeds.unionByName(new.join(seeds.select("value"), "value", "left_anti")), "pii-scores")
 
 
 def _texts(spans: Column) -> Column:
@@ -266,7 +280,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Accepted patterns go to the tasks as a dictionary only if they are PATTERNS_SENT at
     most; more are joined to the contexts, which moves the texts of rows that have some.
     """
-    read = kept(read_texts(docs.withColumn("__key", F.lit(0)), "__key", text), "pii-read")
+    none = free_name(docs, "key")
+    read = kept(read_texts(docs.withColumn(none, F.lit(0)), none, text), "pii-read")
     good = patterns(read)
     some = good.limit(PATTERNS_SENT + 1).collect()
     if len(some) <= PATTERNS_SENT:
@@ -274,12 +289,13 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
         mask = F.pandas_udf(_mask_with(sent), "string")
         return docs.withColumn(text, mask(F.col(text))).select(*docs.columns)
-    rows = kept(docs.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
-    again = read_texts(rows, "__row", text).withColumnRenamed("doc_id", "row")
-    spans = with_found(again, good).filter("size(spans) > 0").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    row, found = free_name(docs, "row"), free_name(docs, "spans")
+    rows = kept(docs.withColumn(row, F.monotonically_increasing_id()), "pii-rows")
+    again = read_texts(rows, row, text).withColumnRenamed("doc_id", "row")
+    spans = with_found(again, good).filter("size(spans) > 0").select(F.col("row").alias(row), F.col("spans").alias(found))
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return texts.combine(lists, lambda t, s: masked(t, [(x["start"], x["end"], x["kind"]) for x in s]) if t is not None and s is not None else t)
 
-    return rows.join(spans, "__row", "left").withColumn(text, cover(F.col(text), F.col("__spans"))).select(*docs.columns)
+    return rows.join(spans, row, "left").withColumn(text, cover(F.col(text), F.col(found))).select(*docs.columns)

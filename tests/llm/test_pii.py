@@ -49,6 +49,63 @@ def test_linear_time():
         list(pii.candidates(text, base))
 
 
+def test_candidates():
+    def found(text):
+        return [(text[a:b], fits, pii.context(text, a)) for a, b, fits in pii.candidates(text, pii.base_spans(text))]
+
+    long = '{"pad":"' + "x" * 1000 + '","phone":"(555) 010-9999","n":12}'
+    assert found(long) == [("(555) 010-9999", ["phone"], 'phone":"'), ("12", [], 'n":')]
+    assert found("a list: 0201234567 0301234567 0401234567")[0] == ("0201234567", ["phone"], "a list: ")
+    assert [x[0] for x in found("a list: 0201234567 0301234567 0401234567")] == ["0201234567", "0301234567", "0401234567"]
+    assert found("http://h.org/u/5550109999/x7")[0][:2] == ("5550109999", ["phone"])
+    assert [x[2] for x in found("1 b")] == ["^"] and found("(1")[0][2] == "^("
+
+
+def graph_brute(read, support, precision):
+    """The rounds of scores over plain dictionaries."""
+    edges = {}
+    for r in read:
+        for x in r.seen:
+            e = edges.setdefault((x.context, x.value), [None, []])
+            e[0] = max(filter(None, [e[0], x.seed]), default=None)
+            e[1] = max(e[1], list(x.fits))
+    size = {}
+    for c, _ in edges:
+        size[c] = size.get(c, 0) + 1
+    edges = {k: v for k, v in edges.items() if size[k[0]] >= support}
+    seeds = {(v, s): 1.0 for (_, v), (s, _) in edges.items() if s}
+    seeded, scores, good = {v for v, _ in seeds}, seeds, {}
+    while True:
+        points, fit = {}, {}
+        for (c, v), (_, fits) in edges.items():
+            for k in pii.KINDS:
+                points[c, k] = points.get((c, k), 0) + scores.get((v, k), 0)
+                fit[c, k] = fit.get((c, k), 0) + (k in fits)
+        worth = {x: p / (p + size[x[0]] - fit[x]) for x, p in points.items() if p >= support and fit[x]}
+        more = {x: w for x, w in worth.items() if w >= precision and x not in good}
+        if not more:
+            return good
+        good |= more
+        left = {}
+        for (c, v), (s, fits) in edges.items():
+            for k in pii.KINDS:
+                if not s and v not in seeded and (c, k) in good and k in fits:
+                    left[v, k] = left.get((v, k), 1) * (1 - good[c, k])
+        scores = seeds | {x: 1 - p for x, p in left.items()}
+
+
+def test_graph(spark, medium):
+    """Scores and accepted patterns are those of a plain computation; a chain of patterns is followed to its end."""
+    value = lambda h, i: f"+1 555 0100 {i}" if h == 0 else str(5550100000 + h * 1000 + i)
+    text = [(i, f"kind {c}{c} : {value(h + more, i)}") for h, c in enumerate("abcdefgh") for more in (0, 1) for i in range(100, 110)]
+    docs = spark.createDataFrame(text, "doc_id long, text string").unionByName(spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text"))
+    read = pii.kept(pii.read_texts(docs, "doc_id", "text"), "t")
+    got = {(r.context, r.kind): r.worth for r in pii.patterns(read).collect()}
+    want = graph_brute(read.collect(), pii.SUPPORT, pii.PRECISION)
+    assert got.keys() == want.keys() and len(got) >= 8
+    assert all(abs(got[x] - want[x]) < 1e-6 for x in got)
+
+
 def test_whole_table(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
