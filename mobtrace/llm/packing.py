@@ -1,7 +1,8 @@
 """Best-fit packing of documents into bins of fixed capacity, under conflict constraints.
 
 No bin holds two documents of one source, nor two of one cluster of duplicates. Rows are
-dealt to shards of bounded size, and each shard is packed by itself, longest piece first:
+written with their place in the table and dealt to shards by a hash of it, so that shards
+are of even size whatever the rows hold, and each shard is packed by itself, longest piece first:
 open bins are ordered by residual capacity and carry bitmaps of their sources and
 clusters; from the smallest residual that is large enough the search goes on to the next
 until the tightest compatible bin is found, and a new bin is opened if there is none.
@@ -9,8 +10,8 @@ A text longer than a bin fills whole bins of its own; its rest is packed like ot
 
 Edge cases: null lengths count as 0, and rows of length 0 take a place in a bin like
 others; a null source or cluster conflicts with nothing; ties in length are broken by
-id, cluster, source and the row's hash, so that a shard's result doesn't hang on row
-order; repeated rows are packed each; an empty table gives no rows.
+id, cluster, source and the row's place; repeated rows are packed each, also where all rows
+are equal; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mobtrace.llm.storage import kept
+
 #: Capacity of a bin, and rows that a shard has on average: a task holds one shard.
 CAPACITY, SHARD_ROWS = 8192, 4096
 SCHEMA = "doc_id long, piece int, length long, shard long, bin int, start long, residual long"
@@ -99,9 +102,9 @@ def pack(docs: DataFrame, length: Column, cluster: Column, source: Column | None
     """For each piece of each row: doc_id, piece, length, shard, bin, start within the bin, residual of the full bin."""
     source = F.col("source") if source is None else source
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("length"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
-    rows = rows.withColumn("tie", F.xxhash64("doc_id", "cluster", "source", "length"))
-    shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod("tie", F.lit(shards)))
+    rows = kept(rows.withColumn("tie", F.monotonically_increasing_id()), "lengths")
+    shards = max(1, -(-rows.count() // shard_rows))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("tie"), F.lit(shards)))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(group, capacity).assign(shard=int(key[0]))

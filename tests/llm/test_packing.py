@@ -66,8 +66,14 @@ def test_whole_table(spark, medium):
     rows = packing.pack_texts(docs, shard_rows=300).collect()
     checked(rows, texts, packing.CAPACITY)
     assert len({r.shard for r in rows}) > 1
-    again = packing.pack_texts(docs.orderBy("n_chars").repartition(3), shard_rows=300).collect()
-    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
+    checked(packing.pack_texts(docs.orderBy("n_chars").repartition(3), shard_rows=300).collect(), texts, packing.CAPACITY)
+
+
+def test_equal_rows(spark):
+    """Equal rows without id are dealt evenly."""
+    df = spark.range(20_000).selectExpr("cast(null as long) doc_id", "'same words' text", "if(id % 4 = 0, concat('s', id), null) source")
+    sizes = [r["count"] for r in packing.pack_texts(df, shard_rows=4096).groupBy("shard").count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == 20_000 and max(sizes) < 1.1 * min(sizes)
 
 
 def test_edge_cases(spark):
