@@ -7,7 +7,10 @@ description of the medium, or where it lies), so equal media shared by very many
 documents are read once and never copied. Positions and captions stay with their part.
 
 ``text_media`` stores texts as media: bytes, padded with 255 to rows of 576 samples, as
-the pixels of a binary PGM image whose file begins with a fixed-form header.
+the pixels of a binary PGM image whose file begins with a fixed-form header. Each has a
+preview, an image of one row with the means of its columns, and a page that refers to both.
+What the references resolve to is worked out once for each digest and written before it
+meets them, so that the join on a digest that very many pages share can be split.
 
 Edge cases: null or empty HTML has an empty sequence; null text is empty and stores one
 row of padding; a reference without a digest or with an unknown one stays in its place
@@ -19,7 +22,6 @@ its parser recovers; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import html
 import re
 import zlib
 from collections.abc import Iterator
@@ -147,6 +149,11 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return data.ljust(size, b"\xff"), len(data)
 
 
+def preview(payload: bytes) -> bytes:
+    """An image of one row: the mean of each column of samples, rounded down."""
+    return pgm(np.frombuffer(payload, np.uint8).reshape(-1, ROW).mean(axis=0).astype(np.uint8).tobytes())
+
+
 def feature(payload: bytes) -> str:
     """Lines, then counts of samples by their upper three bits, then the sum of steps between neighbours."""
     x = np.frombuffer(payload, np.uint8)
@@ -156,7 +163,7 @@ def feature(payload: bytes) -> str:
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pages, media): a page for each text that refers to its medium by digest, and the stored media.
+    """(pages, media): a page for each text that refers to its medium and preview by digest, and the stored media.
 
     The media table is written to the shared folder: digest and content of each image.
     """
@@ -167,14 +174,15 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
             seen: dict[str, None] = {}
             digests, contents, size = [], [], 0
             for t in batch.column(0):
-                image = pgm(padded(t.as_py())[0])
-                digest = hashlib.sha256(image).hexdigest()
-                if digest in seen:
-                    continue
-                seen[digest] = None
-                digests.append(digest)
-                contents.append(image)
-                size += len(image)
+                payload = padded(t.as_py())[0]
+                for image in (pgm(payload), preview(payload)):
+                    digest = hashlib.sha256(image).hexdigest()
+                    if digest in seen:
+                        continue
+                    seen[digest] = None
+                    digests.append(digest)
+                    contents.append(image)
+                    size += len(image)
                 if size > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(contents, pa.binary())], schema=schema)
                     digests, contents, size = [], [], 0
@@ -185,10 +193,12 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
             sizes, pages = [], []
             for t in batch.column(1):
                 payload, n = padded(t.as_py())
-                name = f"sha256:{hashlib.sha256(pgm(payload)).hexdigest()}"
-                lead = html.escape((t.as_py() or "")[:40])
+                whole, small = (hashlib.sha256(x).hexdigest() for x in (pgm(payload), preview(payload)))
                 sizes.append(n)
-                pages.append(f"<p>{n} bytes</p><figure><img src='{name}'><figcaption>{lead}</figcaption></figure>")
+                pages.append(
+                    f"<h1>Text of {n} bytes</h1><figure><img src='sha256:{whole}'><figcaption>{len(payload) // ROW} rows of <i>{ROW}</i> samples</figcaption></figure>"
+                    f"<p>Preview:<img src='sha256:{small}' alt='mean of {len(payload) // ROW} rows'></p>"
+                )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "page"])
 
     media = kept(docs.select(text).mapInArrow(images, "digest string, content binary"), "media")
@@ -214,11 +224,15 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores every text as a medium, reads a page that refers to it, and describes what the reference resolves to."""
+    """Stores every text as a medium, reads a page that refers to it, and describes what the references resolve to.
+
+    The first medium of the resolved sequence is the text's, the second its preview.
+    """
     pages, media = text_media(docs)
     rows = kept(pages.withColumn("row", F.monotonically_increasing_id()), "pages")
     parts = sequences(rows, "row", "page")
-    found = resolved(parts, described(media)).select("row", F.filter("parts", lambda p: p["kind"] == "media")[0].alias("part"))
-    found = found.select(F.col("row").alias("of"), F.col("part.digest").alias("media_sha256"), "part.media.*")
+    own = F.filter("parts", lambda p: p["kind"] == "media")
+    found = resolved(parts, kept(described(media), "described")).select("row", F.size("parts").alias("n_parts"), own[0].alias("part"), own[1].alias("small"))
+    found = found.select(F.col("row").alias("of"), "n_parts", F.col("part.position").alias("position"), F.col("part.caption").alias("caption"), F.col("part.digest").alias("media_sha256"), "part.media.*", F.col("small.digest").alias("preview_sha256"), F.col("small.caption").alias("preview_caption"), F.col("small.media.feature").alias("preview_feature"))
     out = rows.select("row", "doc_id", "n_bytes").join(found, F.col("row") == F.col("of"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_parts", "position", "caption", "preview_sha256", "preview_caption", "preview_feature")

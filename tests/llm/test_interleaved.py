@@ -19,6 +19,10 @@ def check(df):
     out = interleaved.digests(df).collect()
     got = sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in out), key=str)
     assert got == given
+    for r in out:
+        n = r.payload_bytes // 576
+        assert (r.n_parts, r.position, r.caption, r.preview_caption) == (4, 1, f"{n} rows of 576 samples", f"mean of {n} rows")
+        assert len(r.preview_sha256) == 64 and r.preview_feature.startswith("1:")
     assert all(r.feature for r in out) and len({(r.media_sha256, r.feature) for r in out}) == len({r.media_sha256 for r in out})
 
 
@@ -53,3 +57,30 @@ def test_sequences_and_resolution(spark):
     assert got[1] == [] and [p.text for p in got[2]] == ["open only"]
     assert [p.media and p.media.size for p in got[3]] == [None] * 4 + [11] + [None] * 4
     assert pages.filter(F.lit(False)).count() == 0
+
+
+def test_pages_of_the_table(spark, small):
+    """Every page's html gives its text in order; what it refers to keeps its place."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    parts = {r.page_id: r.parts for r in interleaved.sequences(pages, "page_id", "html").collect()}
+    assert len(parts) == pages.count() and all([p.position for p in x] == list(range(len(x))) for x in parts.values())
+    assert sum(p.kind == "text" for x in parts.values() for p in x) > len(parts)
+
+
+def test_hot_digest(spark):
+    """One digest that most references name: the join is split, and every reference is resolved."""
+    rows = spark.range(40_000).selectExpr("id row", "array(struct(0 position, 'media' kind, 's' text, if(id % 4 > 0, repeat('a', 64), sha2(string(id), 256)) digest, string(id) caption)) parts")
+    media = interleaved.kept(rows.selectExpr("parts[0].digest digest").distinct().selectExpr("digest", "length(digest) size"), "t")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = interleaved.resolved(interleaved.kept(rows.repartition(8), "t"), media)
+        assert out.filter("parts[0].media.size = 64 and parts[0].caption = string(row)").count() == 40_000
+        out = interleaved.resolved(interleaved.kept(rows.repartition(8), "t"), media)
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
