@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobtrace.llm.graph import components
-from mobtrace.llm.storage import kept
+from mobtrace.llm.storage import free_name, kept
 from mobtrace.llm.words import U, constants, joined, mix, shingles
 
 
@@ -230,7 +230,8 @@ def grouped(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
     nodes = kept(nodes.select(F.monotonically_increasing_id().alias("id"), "set", "least_doc", "x.*"), "nodes")
 
     buckets = nodes.select("id", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    # sums by band are written before they meet rows of the same band, so that joins on hot bands can be split
+    shared = kept(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "shared")
     rows = kept(buckets.join(shared, "band"), "members")
     wanted = nodes.join(rows.select("id").distinct(), "id").select("id", F.col("doc_id").alias("rep_id"), F.col("md5").alias("rep_md5"))
     source = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("md5"), F.col(text).alias("text"))
@@ -241,12 +242,13 @@ def grouped(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
         # each band and turn orders the members in its own way, so that others lead
         mask = F.xxhash64("band", F.lit(turn)).bitwiseAND(F.lit(2**62 - 1))
         lead = rows.groupBy("band").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("least"))
-        lead = lead.select("band", F.col("least").bitwiseXOR(mask).alias("lead"))
+        lead = kept(lead.select("band", F.col("least").bitwiseXOR(mask).alias("lead")), "leaders")
         pairs = rows.select("band", "id").join(lead, "band").filter("id <> lead")
         pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         linking.add(linking.sketched(pairs))
         rows = kept(linking.labelled(rows.select("band", "id"), "id", "label"), "rows")
         apart = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
+        apart = kept(apart, "apart")
         rows = kept(rows.join(apart, "band", "left_semi"), "rows")
         if rows.isEmpty():
             break
@@ -260,7 +262,8 @@ def grouped(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
         linking.add(sides[0].join(sides[1], meet).select("a", "b", bits.alias("bits")).distinct())
 
     of = linking.labelled(nodes.select("set", "least_doc", "id"), "id", "label")
-    least = of.groupBy("label").agg(F.min("least_doc").alias("component_id"))
+    of = kept(of, "of")
+    least = kept(of.groupBy("label").agg(F.min("least_doc").alias("component_id")), "least")
     of = of.join(least, "label").select("set", "component_id", "label")
     linked = signed.filter("set is not null").join(of, "set").select("doc_id", "md5", "n_shingles", "component_id", "label")
     alone = signed.filter("set is null").select("doc_id", "md5", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
@@ -278,7 +281,8 @@ def deduplicated(docs: DataFrame, plan: Plan = USUAL, key: str = "doc_id", text:
     md5, name = F.md5(F.col(text)), lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), m)
     rows = grouped(docs, plan, key, text).withColumn("name", name(F.col("doc_id"), F.lower(F.hex("md5"))))
     first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("x"))
-    stay = first.select(F.col("x.name").alias("__name")).distinct()
-    worded = docs.withColumn("__key", name(F.col(key), md5)).join(stay, F.col("__key") == F.col("__name"))
+    own, of = free_name(docs, "name"), free_name(docs, "stays")
+    stay = kept(first.select(F.col("x.name").alias(of)).distinct(), "stay")
+    worded = docs.withColumn(own, name(F.col(key), md5)).join(stay, F.col(own) == F.col(of))
     blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return worded.dropDuplicates(["__key"]).select(*docs.columns).unionByName(docs.filter(blank))
+    return worded.dropDuplicates([own]).select(*docs.columns).unionByName(docs.filter(blank))
