@@ -1,8 +1,10 @@
 """WARC archives: a writer of response and revisit records, and a reader that salvages.
 
 The writer's archives are WARC files with a gzip member for each record, so that damage
-takes the record it meets only; Spark writes them to the shared folder. The reader takes whole archive files, plain or of gzip members that hold one or more records.
-It trusts a record only if its version line, headers, length, end mark and digests hold;
+takes the record it meets only; Spark writes them to the shared folder, in files that are
+bounded by bytes (a larger record has a file of its own). The reader takes whole archive
+files, plain or of gzip members that hold one or more records; a task holds one file, and
+what one of its members inflates to. It trusts a record only if its version line, headers, length, end mark and digests hold;
 after a failed check it searches for the next gzip member or version line, recovers the
 records from there on, and logs the bytes between as a quarantined gap. Of a broken
 member it keeps the records before the damage.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobtrace.llm.storage import fresh_path
+from mobtrace.llm.storage import fresh_path, kept
 
 VERSION = b"WARC/1.1"
 END = "\r\n\r\n"
@@ -61,16 +63,20 @@ def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html",
     uri = F.col(url).cast("string") if url in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), uri.alias("url"), text.alias("text"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("text", "UTF-8"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    groups = rows.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("first"))
-    first = groups.select(F.col("digest").alias("of"), F.col("n_bytes").alias("of_bytes"), "first")
-    rows = rows.join(first, (F.col("digest") == F.col("of")) & (F.col("n_bytes") == F.col("of_bytes"))).drop("of", "of_bytes")
+    # only payloads that occur again are looked up, in a table written before: where it is small it is sent, else the join can be split
+    again = rows.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    first = kept(again.select(F.col("digest").alias("of"), F.col("n_bytes").alias("of_bytes"), "first"), "repeated")
+    rows = rows.join(first, (F.col("digest") == F.col("of")) & (F.col("n_bytes") == F.col("of_bytes")), "left").drop("of", "of_bytes")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     kind = F.when(revisit, "revisit").otherwise("response")
     return rows.withColumn("record_type", kind).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
 
-def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
-    """One WARC record per row, a gzip member each; a revisit has headers only and names the response it repeats."""
+def write(records: DataFrame, path: str, piece: int = 8_000_000, pieces_per_file: int = 4) -> None:
+    """One WARC record per row, a gzip member each; a revisit has headers only and names the response it repeats.
+
+    Members are written in pieces of about ``piece`` bytes, and a file has ``pieces_per_file``.
+    """
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     clean = F.coalesce(F.regexp_replace("url", r"[\r\n]", " "), F.lit(""))
     revisit = F.col("record_type") == "revisit"
@@ -90,25 +96,25 @@ def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, size = [], 0
         for batch in batches:
-            members, size = [], 0
             for x in batch.column(0):
-                members.append(member(x.as_py().encode("utf-8", "surrogatepass") + END.encode()))
+                members.append(gzip.compress(x.as_py().encode("utf-8", "surrogatepass") + END.encode(), 6, mtime=0))
                 size += len(members[-1])
-                if size > 16_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+                if size > piece:
+                    yield pa.RecordBatch.from_arrays([pa.array([joined(members)], pa.binary())], names=["value"])
                     members, size = [], 0
-            if members:
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([joined(members)], pa.binary())], names=["value"])
 
     lines = records.select(F.concat(head, F.lit(END), block).alias("value")).mapInArrow(run, "value binary")
-    # the text writer takes any bytes; the line end is the last byte of each member
-    lines.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    # the text writer takes any bytes; the line end is the last byte of each piece
+    lines.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", pieces_per_file).text(path)
 
 
-def member(record: bytes) -> bytes:
-    """A gzip member but for its last byte, which is 0: the top byte of its size, or after 16 MB that of an empty member."""
-    data = gzip.compress(record, mtime=0)
+def joined(members: list[bytes]) -> bytes:
+    """Gzip members but for the last byte, which is 0: the top byte of the last one's size, or after 16 MB that of an empty member."""
+    data = b"".join(members)
     return (data if data[-1] == 0 else data + gzip.compress(b"", mtime=0))[:-1]
 
 
@@ -263,10 +269,13 @@ def pages(found: DataFrame) -> DataFrame:
     A revisit has no payload of its own: its size is that of the response it refers to.
     """
     sound = found.filter("gap is null").select("page_id", "payload_bytes", F.coalesce("payload_sha1", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    sound = kept(sound, "records")  # archives are read once; sizes are written before they meet revisits, as one response may have very many
     own = sound.filter("record_type = 'response'")
-    sizes = own.groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("size"))
-    sizes = sizes.select(F.col("page_id").alias("of"), F.col("payload_digest").alias("same"), "size")
-    again = sound.filter("record_type = 'revisit'").join(sizes, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("same")), "left")
+    again = sound.filter("record_type = 'revisit'")
+    asked = again.select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    sizes = own.join(asked, ["page_id", "payload_digest"], "left_semi").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("size"))
+    sizes = kept(sizes.select(F.col("page_id").alias("of"), F.col("payload_digest").alias("same"), "size"), "sizes")
+    again = again.join(sizes, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("same")), "left")
     return own.unionByName(again.select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 

@@ -101,5 +101,15 @@ def test_salvage_after_broken_member(spark, tmp_path):
 
 def test_large_member():
     record = b"x" * (1 << 24)
-    data = warc.member(record) + b"\0"
-    assert gzip.decompress(data) == record and gzip.decompress(warc.member(b"y") + b"\0") == b"y"
+    data = warc.joined([gzip.compress(b"a"), gzip.compress(record)]) + b"\0"
+    assert gzip.decompress(data) == b"a" + record and gzip.decompress(warc.joined([gzip.compress(b"y")]) + b"\0") == b"y"
+
+
+def test_files_by_bytes(spark, tmp_path):
+    """Files are cut by bytes, and each is a whole archive."""
+    df = spark.range(400).selectExpr("id page_id", "repeat(sha2(string(id), 512), 40) html").coalesce(1)
+    warc.write(warc.plan_records(df).coalesce(1), str(tmp_path / "w"), piece=20_000, pieces_per_file=2)
+    files = glob.glob(str(tmp_path / "w" / "part-*"))
+    sizes = [len(open(f, "rb").read()) for f in files]
+    assert len(files) > 3 and max(sizes) < 60_000
+    assert sorted(r.page_id for r in warc.read(spark, str(tmp_path / "w")).filter("gap is null").collect()) == list(range(400))
