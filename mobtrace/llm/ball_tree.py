@@ -1,22 +1,28 @@
 """Exact top-k by inner product: ball trees per shard, searched by branch and bound.
 
-Vectors are dealt to shards of bounded size and queries to blocks of bounded size; each
-(shard, block) pair is one group. A group's task builds the shard's ball tree and
-searches it for the block's queries, visiting nodes in the order of the upper bound
-``q.centre + |q| * radius`` until no node can reach the query's current kth score. That
-score is shared: a first pass searches one shard for every query, and all
-other groups start from what it found there.
+Vectors are dealt to cells of space: halving a bounded sample of them again and again gives
+a small tree of planes, along which every row finds its cell; a cell of many rows has
+several shards. Each shard's ball tree is built once and kept as a row of a table. A query's
+upper bound for a ball is ``q.centre + |q| * radius``. In a first round every query meets the
+cell of its greatest bound, which gives it a kth score; in further rounds it meets, greatest
+bounds first, those cells whose bound reaches the kth score found so far, twice as many each
+round, and within a shard's tree nodes are visited in the order of their bounds and left out
+in the same way. Cells that a query can't use are never joined to it, and a shard is copied
+only for further blocks of many queries. What comes to the driver is bounded: the sample,
+and a ball for each of ``CELLS`` cells of vectors of one length.
 
 Components x become floor(256 * x). Edge cases: vectors that are null or hold null or
 non-finite components take no part, on either side; candidates of another length than
 the query are left out for it; a query is not its own candidate, nor is any row with its
 id; rows without id are candidates that lose ties, and never queries; repeated rows are
-candidates each; fewer than k candidates give fewer ranks.
+candidates each; query rows of one id share one ranking, over all their vectors; scores are
+exact while products and sums stay below 2**53; fewer than k candidates give fewer ranks.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +39,8 @@ NO_ID = 2**63 - 1
 #: Rows of a shard and queries of a block: what one task holds.
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
+#: Rows of the sample that space is cut by, and cells at most; beyond these, cells have more shards.
+SAMPLE, CELLS = 10_000, 512
 
 
 class BallTree:
@@ -106,16 +114,104 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: bad(x.cast("double")))
 
 
+class Planes:
+    """A binary tree of planes, by halving a sample along its spread; gives each vector its cell."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.planes: list[tuple[np.ndarray, float, int, int]] = []  # direction, offset, left, right; a cell c is -1 - c
+        self.cells = 0
+        self.root = self._cut(sample, cells)
+
+    def _cut(self, own: np.ndarray, cells: int) -> int:
+        away = ((own - own.mean(axis=0)) ** 2).sum(axis=1) if len(own) else np.zeros(1)
+        if cells < 2 or len(own) < 2 or away.max() == 0:
+            self.cells += 1
+            return -self.cells
+        first = own[away.argmax()]
+        second = own[((own - first) ** 2).sum(axis=1).argmax()]
+        along = own @ (second - first)
+        middle = float(np.median(along))
+        left = along < middle
+        if not left.any():
+            left = along <= middle
+        at = len(self.planes)
+        self.planes.append((second - first, middle, 0, 0))
+        a = self._cut(own[left], cells // 2)
+        b = self._cut(own[~left], cells - cells // 2)
+        self.planes[at] = (second - first, middle, a, b)
+        return at
+
+    def cell(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vectors), np.int64)
+        waiting = [(self.root, np.arange(len(vectors)))]
+        while waiting:
+            node, rows = waiting.pop()
+            if node < 0:
+                out[rows] = -1 - node
+            elif len(rows):
+                direction, middle, a, b = self.planes[node]
+                left = vectors[rows] @ direction < middle
+                waiting += [(a, rows[left]), (b, rows[~left])]
+        return out
+
+
+def placed(rows: DataFrame, sample_rows: int, shard_rows: int, n: int) -> DataFrame:
+    """``rows`` with ``cell``: the cell of space, by the vectors' length and the planes of a sample."""
+    sample = rows.filter(F.pmod(F.xxhash64("place"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample_rows / max(1, n))).select("vector").limit(2 * sample_rows).toPandas()
+    by_length: dict[int, Planes] = {}
+    for length, own in sample.groupby(sample.vector.map(len)):
+        by_length[int(length)] = Planes(np.stack(own.vector.to_numpy()), min(CELLS, -(-n // shard_rows)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            length = batch.vector.map(len).to_numpy()
+            cell = np.zeros(len(batch), np.int64)
+            for size in np.unique(length):
+                at = np.flatnonzero(length == size)
+                if int(size) in by_length:
+                    cell[at] = by_length[int(size)].cell(np.stack(batch.vector.iloc[at].to_numpy()))
+            yield batch.assign(cell=cell * 100_000 + np.minimum(length, 99_999))
+
+    return rows.mapInPandas(run, "vec_id long, vector array<double>, asks boolean, place long, cell long")
+
+
+TREE = "cell long, shard long, length int, centre array<double>, radius double, ids binary, kind string, vectors binary, tree binary"
+
+
+def trees(rows: DataFrame) -> DataFrame:
+    """One row for each shard and length of vectors: its ball, its vectors and its tree."""
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for length, some in own.groupby(own.vector.map(len)):
+            vectors = np.stack(some.vector.to_numpy())
+            tree = BallTree(vectors)
+            kind = "<i2" if np.abs(vectors).max() < 2**15 else "<f8"
+            out.append((*key, int(length), tree.centre[0].tolist(), float(tree.radius[0]), some.vec_id.to_numpy("int64").tobytes(), kind, vectors.astype(kind).tobytes(), pickle.dumps(tree)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TREE.split(", ")])
+
+    return rows.groupBy("cell", "shard").applyInPandas(run, TREE)
+
+
+def cell_balls(base: DataFrame) -> DataFrame:
+    """A ball around the balls of each cell's shards."""
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        centres = np.stack(own.centre.to_numpy())
+        centre = centres.mean(axis=0)
+        radius = float((np.sqrt(((centres - centre) ** 2).sum(axis=1)) + own.radius.to_numpy()).max())
+        return pd.DataFrame([(*key, centre.tolist(), radius)], columns=["cell", "length", "centre", "radius"])
+
+    return base.select("cell", "length", "centre", "radius").groupBy("cell", "length").applyInPandas(run, "cell long, length int, centre array<double>, radius double")
+
+
 def _group(k: int):
-    def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, shards: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
-        for length, asked in queries.groupby(queries["query"].map(len)):
-            own = rows[rows.vector.map(len) == length]
-            if not len(own):
-                continue
-            vectors, q = np.stack(own.vector.to_numpy()), np.stack(asked["query"].to_numpy())
-            ids = own.vec_id.to_numpy("int64")
-            tree = BallTree(vectors)
+        for row in shards.itertuples() if len(asked) else ():
+            vectors = np.frombuffer(row.vectors, row.kind).astype(float).reshape(-1, row.length)
+            ids, tree = np.frombuffer(row.ids, np.int64), pickle.loads(row.tree)  # noqa: S301 - written by this module
+            q = np.stack(asked["query"].to_numpy())
             bounds = tree.bounds(q)
             for i, (query_id, least) in enumerate(zip(asked.query_id.to_numpy("int64"), asked.least.fillna(-np.inf).to_numpy("float64"), strict=True)):
                 found += [(query_id, vec_id, score) for score, vec_id in search(tree, vectors, ids, q[i], query_id, bounds[i], k, least)]
@@ -129,31 +225,63 @@ def _best(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _reach(balls: pd.DataFrame):
+    """For each query the cells of its length with their upper bounds, best first; ``balls`` is a row for each cell."""
+    by_length = {int(n): (own.cell.to_numpy(), np.stack(own.centre.to_numpy()), own.radius.to_numpy()) for n, own in balls.groupby("length")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                some = batch.iloc[at : at + 256]
+                rows = []
+                for q in some["query"]:
+                    cells, centre, radius = by_length.get(len(q), (np.zeros(0, int), np.zeros((0, len(q))), np.zeros(0)))
+                    top = centre @ q + np.sqrt((q**2).sum()) * radius
+                    top = top + 1e-6 * np.abs(top) + 1e-3
+                    order = np.argsort(-top, kind="stable")
+                    rows.append([{"cell": int(cells[i]), "bound": float(top[i])} for i in order])
+                yield some.assign(reach=rows)
+
+    return run
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of every query row."""
+    spark = vectors.sparkSession
     rows = vectors.filter(usable(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), whole(F.col(vector)).alias("vector"), is_query.alias("asks"))
-    # a row's shard hangs on its place, so equal ids or equal vectors don't gather in one
     rows = kept(rows.withColumn("place", F.monotonically_increasing_id()), "vectors")
-    n = rows.agg(F.count("*").alias("n"), F.count_if(F.expr("asks and vec_id is not null")).alias("q")).first()
-    shards, blocks = max(1, -(-n.n // shard_rows)), max(1, -(-n.q // block_queries))
-    dealt = lambda count: F.pmod(F.xxhash64("place"), F.lit(count))
-    base = rows.select(F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "vector", dealt(shards).alias("shard"))
-    asked = rows.filter("asks and vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), dealt(blocks).alias("block")).dropDuplicates(["query_id", "query"])
-    run = _group(k)
-    schema = "query_id long, vec_id long, score long"
-
-    home = F.pmod("block", F.lit(shards)) == F.col("shard")
-
-    def searched(queries: DataFrame, at_home: bool) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        left = base.withColumn("block", every).filter(home if at_home else ~home)
-        return left.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, schema)
-
-    first = asked.withColumn("shard", F.pmod("block", F.lit(shards))).withColumn("least", F.lit(None).cast("double"))
-    first = kept(searched(first, True), "first")
-    # the kth score so far holds only where k rows were found
-    kth = first.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
-    rest = asked.join(kth, "query_id", "left")
-    rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).filter(~home)
-    found = first.unionByName(searched(rest, False)) if shards > 1 else first
+    n = rows.count()
+    cells = kept(placed(rows, sample, shard_rows, n), "cells")
+    # a cell of more rows than a shard has is dealt further by the rows' places
+    sizes = kept(cells.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).alias("shards")), "cell-sizes")
+    dealt = cells.join(sizes, "cell").withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards")))
+    base = kept(trees(dealt.select("cell", "shard", F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "vector")), "trees")
+    balls = cell_balls(base).toPandas()
+    most = int(balls.groupby("length").size().max()) if len(balls) else 0
+    asked = cells.filter("asks and vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).dropDuplicates(["query_id", "query"])
+    schema = "query_id long, query array<double>, reach array<struct<cell:long,bound:double>>"
+    asked = kept(asked.mapInPandas(_reach(balls), schema).withColumn("place", F.monotonically_increasing_id()), "asked")
+    found, result, at, step = None, "query_id long, vec_id long, score long", 0, 1
+    while at < most:
+        rows = asked.select("query_id", "query", "place", F.slice("reach", at + 1, step).alias("reach"))
+        if found is None:
+            rows = rows.withColumn("least", F.lit(None).cast("double"))
+        else:  # the kth score so far holds only where k rows were found
+            kth = found.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
+            rows = rows.join(kth, "query_id", "left")
+        rows = rows.select("query_id", "query", "place", "least", F.explode("reach").alias("r")).filter("least is null or r.bound >= least")
+        rows = rows.select("query_id", "query", "place", "least", F.col("r.cell").alias("cell")).join(sizes, "cell")
+        rows = kept(rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards"), "meets")
+        if rows.isEmpty():  # bounds fall from round to round
+            break
+        counts = kept(rows.groupBy("cell", "shard").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks")), "blocks")
+        left = rows.join(counts, ["cell", "shard"]).withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")).drop("blocks", "place")
+        right = base.join(counts, ["cell", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        by = ["cell", "shard", "block"]
+        new = right.groupBy(*by).cogroup(left.groupBy(*by)).applyInPandas(_group(k), result)
+        best = _best(new if found is None else found.unionByName(new), k).select("query_id", "vec_id", "score")
+        found = kept(best, "found")
+        at, step = at + step, step * 2 if at else 3
+    if found is None:
+        found = spark.createDataFrame([], result)
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
