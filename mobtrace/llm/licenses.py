@@ -1,11 +1,13 @@
 """License scan: phrases and an exact set-similarity join with license notices.
 
-Every line of a text is a block, a set of words. A block matches a template that has at
-least 80 % of its words in the block. The join is exact: tokens are ordered by how many
-blocks hold them, rarest first; a block that matches holds one of the template's first
-``size - need + 1`` tokens (prefix filter), has ``need`` words (length filter), and the
-places of a shared token in both orders leave room for ``need`` shared ones (positional
-filter). What passes is verified on the whole sets. DataFrame expressions only.
+A block of a text is a window of words: for a template of n words the windows begin at every
+n-th word and are 2n words long, over line ends, so a notice of up to n + 1 words lies whole
+in one of them. A block matches a template that has at least 80 % of its distinct words in
+the block. The join is exact: tokens are ordered by how many texts hold them, rarest first;
+a block that matches holds one of the template's first ``size - need + 1`` tokens (prefix
+filter), has ``need`` words (length filter), and the places of a shared token in both orders
+leave room for ``need`` shared ones (positional filter). What passes is verified on the
+whole sets. DataFrame expressions only.
 
 Edge cases: a null text is empty; a text without words has 0 words, no label and score 0;
 rows without ``doc_id``, repeated rows and texts of any length are rows like others, kept
@@ -25,15 +27,33 @@ from mobtrace.llm.storage import kept
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Usual notices by label. Their words alone bound what is broadcast.
+#: Usual notices by label, public texts. Their words alone bound what is broadcast.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "Released under the MIT License"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
     ("apache", "Licensed under the Apache License, Version 2.0"),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
 ]
@@ -46,6 +66,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Template:
     label: str
+    words: int
     tokens: tuple[str, ...]
 
     @property
@@ -54,7 +75,8 @@ class Template:
 
 
 def template_sets(templates: list[tuple[str, str]]) -> list[Template]:
-    return [Template(label, tuple(dict.fromkeys(re.findall(WORD, text.lower())))) for label, text in templates]
+    split = [(label, re.findall(WORD, text.lower())) for label, text in templates]
+    return [Template(label, len(words), tuple(dict.fromkeys(words))) for label, words in split]
 
 
 def lowered(text: Column) -> Column:
@@ -97,39 +119,49 @@ def strings(values) -> Column:
 
 
 def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The templates' tokens by the number of blocks that hold them, over all rows, rarest first."""
-    blocks = docs.select(F.explode(F.split("lower", "\n")).alias("line"))
-    held = blocks.select(F.explode(F.array_intersect(F.split("line", BETWEEN), strings(vocabulary))).alias("token"))
+    """The templates' tokens by the number of texts that hold them, over all rows, rarest first."""
+    held = docs.select(F.explode(F.array_intersect(F.split("lower", BETWEEN), strings(vocabulary))).alias("token"))
     counts = {r.token: r.n for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each template token at most
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
+def windows(all_words: Column, of: int, template: Template, prefix: list[str]) -> Column:
+    """The windows for a template that hold a token of its prefix, as struct(template, words)."""
+    n = template.words
+    first = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_words) / n).cast("int") - 1, F.lit(0)))
+    cut = F.transform(first, lambda j: F.slice(all_words, j * n + 1, F.lit(2 * n)))
+    near = F.filter(cut, lambda w: F.arrays_overlap(w, strings(prefix)))
+    found = F.transform(near, lambda w: F.struct(F.lit(of).alias("template"), F.array_distinct(w).alias("words")))
+    return F.when(F.arrays_overlap(all_words, strings(prefix)), found).otherwise(F.array().cast(BLOCKS))
+
+
+BLOCKS = "array<struct<template:int,words:array<string>>>"
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     sets = template_sets(templates)
     rows = docs.select(F.col(key).alias("doc_id"), lowered(F.col(text)).alias("lower"))
     order = token_order(rows, sorted({t for s in sets for t in s.tokens}))
     rank = {t: i for i, t in enumerate(order)}
-    index, first = [], set()
-    for s in sets:
+    index, first = [], []
+    for i, s in enumerate(sets):
         tokens = sorted(s.tokens, key=rank.get)
-        for at, token in enumerate(tokens[: len(tokens) - s.need + 1]):
-            index.append((token, at, len(tokens), s.need, s.label, tokens))
-            first.add(token)
-    # words are runs of these characters, so a line without this text has no prefix token
-    some = "|".join(sorted(first))
-    near = F.filter(F.split("lower", "\n"), lambda x: x.rlike(some))
-    blocks = F.when(F.col("lower").rlike(some), F.transform(near, lambda x: F.array_distinct(words(x))))
+        first.append(tokens[: len(tokens) - s.need + 1])
+        index += [(i, token, at, len(tokens), s.need, s.label, tokens) for at, token in enumerate(first[i])]
+    # words are runs of these characters, so a text without this text has no prefix token
+    some = "|".join(sorted({t for own in first for t in own}))
+    blocks = bound_once(words(F.col("lower")), lambda w: F.flatten(F.array(*[windows(w, i, s, first[i]) for i, s in enumerate(sets)])))
     scanned = rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_count("lower", F.lit(WORD)).cast("long").alias("n_words"),
-        places(F.col("lower")).alias("places"), F.coalesce(blocks, F.array().cast("array<array<string>>")).alias("blocks"),
+        places(F.col("lower")).alias("places"), F.when(F.col("lower").rlike(some), blocks).otherwise(F.array().cast(BLOCKS)).alias("blocks"),
     )
     scanned = kept(scanned, "license-scan")
 
-    prefixes = F.broadcast(spark.createDataFrame(index, "token string, at int, size int, need int, label string, tokens array<string>"))
-    block = scanned.select("row", F.explode("blocks").alias("words"))
+    prefixes = F.broadcast(spark.createDataFrame(index, "template int, token string, at int, size int, need int, label string, tokens array<string>"))
+    block = scanned.select("row", F.inline("blocks"))
     block = block.withColumn("ordered", F.array_intersect(strings(order), "words"))
-    shared = block.select("row", "words", F.size("ordered").alias("n"), F.posexplode("ordered").alias("place", "token")).join(prefixes, "token")
+    shared = block.select("row", "template", "words", F.size("ordered").alias("n"), F.posexplode("ordered").alias("place", "token")).join(prefixes, ["template", "token"])
     room = F.least("place", "at") + F.least(F.col("n") - F.col("place"), F.col("size") - F.col("at"))
     shared = shared.filter((F.size("words") >= F.col("need")) & (room >= F.col("need")))
     shared = shared.withColumn("both", F.size(F.array_intersect("words", "tokens"))).filter("both >= need")
@@ -148,9 +180,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
 
 
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
-    """The same rows in DuckDB SQL, comparing every block with every template."""
+    """The same rows in DuckDB SQL, comparing every window of every template with it."""
     quoted = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
-    rows = ", ".join(f"('{s.label}', {quoted(s.tokens)}, {s.need})" for s in template_sets(templates))
+    rows = ", ".join(f"('{s.label}', {s.words}, {quoted(s.tokens)}, {s.need})" for s in template_sets(templates))
     hits = []
     for phrase, label in PHRASES.items():
         cond = " AND ".join(f"w[i + {j}] = '{part}'" for j, part in enumerate(phrase.split(), 1))
@@ -159,13 +191,13 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
     every = f"flatten([{', '.join(at)}])"
     base = f"list_sort(list_filter([{', '.join(f'CASE WHEN len({a}) > 0 THEN {chr(39)}{a[:-3]}{chr(39)} END' for a in at)}], lambda x: x IS NOT NULL))"
     return f"""
-WITH t(label, tokens, need) AS (VALUES {rows}),
+WITH t(label, n, tokens, need) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 w AS (SELECT rid, doc_id, low, regexp_extract_all(low, '{WORD}') AS w FROM d),
 p AS (SELECT rid, doc_id, len(w)::BIGINT AS n_words, {', '.join(hits)} FROM w),
 q AS (SELECT rid, doc_id, n_words, {every} AS hit, {base} AS base FROM p),
-b AS (SELECT rid, list_distinct(regexp_extract_all(line, '{WORD}')) AS ws FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT rid, label, len(list_intersect(ws, tokens)) AS n_shared, len(tokens) AS size, need FROM b, t),
+b AS (SELECT rid, label, tokens, need, w[i * n + 1 : i * n + 2 * n] AS ws FROM (SELECT rid, w, label, n, tokens, need, unnest(range(greatest(1, (len(w) + n - 1) // n))) AS i FROM w, t)),
+m AS (SELECT rid, label, len(list_intersect(list_distinct(ws), tokens)) AS n_shared, len(tokens) AS size, need FROM b),
 f AS (SELECT rid, list(DISTINCT label) AS found, max(n_shared::DOUBLE / size::DOUBLE) AS best FROM m WHERE n_shared >= need GROUP BY rid)
 SELECT doc_id, n_words, len(hit)::BIGINT AS n_base, list_min(hit)::BIGINT AS first_word, list_max(hit)::BIGINT AS last_word,
   array_to_string(base, ',') AS base_labels,

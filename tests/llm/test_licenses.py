@@ -23,3 +23,17 @@ def test_edge_cases(spark):
     ]
     assert got == sorted(want, key=str)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    """Notices over several lines, within other text and with changes, and very many equal blocks."""
+    notice = {label: text for label, text in licenses.TEMPLATES}  # the longest of each label comes last
+    prose = "some words of prose that have no license at all and go on for quite a while " * 20
+    wrap = lambda t: "\n# ".join(t[i : i + 60] for i in range(0, len(t), 60))
+    lines = lambda t: " ".join("\n * " + w if i % 9 == 0 else w for i, w in enumerate(t.split()))
+    changed = " ".join(w for i, w in enumerate(notice["bsd"].split()) if i % 12)
+    given = [(1, prose + lines(notice["apache"]) + prose), (2, lines(changed)), (3, lines(notice["isc"]).upper()), (4, prose + wrap("x") + prose), (5, "Released under\nthe MIT\nLicense")]
+    given += [(10 + i, lines(notice["unlicense"])) for i in range(300)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(1, 6)] == ["apache", "bsd", "isc", "", "mit"]
+    assert {got[10 + i].labels for i in range(300)} == {"unlicense"} and 0.8 <= got[2].score < 1
