@@ -23,6 +23,8 @@ VIEWS = {
     "fx_venue": """select p_partkey as venue_id, p_name as name, concat('b', replace(p_brand,'Brand#','')) as leaf_category, concat('n', p_partkey % 25) as extra_category, p_size*10 as nb_checkins, cast(51.5 as double) + (p_partkey % 20)*cast(0.01 as double) as lat, cast(-0.1 as double) + (cast(floor(p_partkey/20) as bigint) % 20)*cast(0.01 as double) as lon from part""",
     "fx_visit": """select o_orderkey as visit_id, o_custkey % 50 as user_id, o_orderkey % 97 as place_id, a as arrival, a + 600 + cast(floor(o_totalprice) as bigint) % 14400 as departure, cast(floor(a/86400) as bigint) as day_no, case o_orderstatus when 'F' then false when 'P' then true end as deleted, case when o_orderpriority = '1-URGENT' then true end as visited, 3600*(o_custkey % 3) as utc_offset
     from (select *, UNIX(o_orderdate) + (o_orderkey % 24)*3600 as a from orders) x""",
+    "fx_place": """select user_id, place_id, concat(case place_id % 3 when 0 then 'small steel' when 1 then 'blue anvil' else 'red gear' end, ' ', place_id) as name, case when place_id % 3 > 0 then place_id end as venue_id, cast(51.5 as double) + (place_id % 20)*cast(0.01 as double) as lat, cast(-0.1 as double) + (cast(floor(place_id/20) as bigint) % 20)*cast(0.01 as double) as lon, nb_visits
+    from (select o_custkey % 50 as user_id, o_orderkey % 97 as place_id, cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as nb_visits from orders group by o_custkey % 50, o_orderkey % 97) p""",
     "fx_checkin": """select l_suppkey as user_id, l_partkey as venue_id, UNIX(l_shipdate) as ts from lineitem""",
     "fx_tip": """select doc_id as tip_id, doc_id % 40 as venue_id, doc_id % 30 as author_id, lang, text from documents""",
     "fx_rating": """select user_id as session_id, event_id % 50 as place_id, K % 10 as pi_id, max(1 + least(4, ((event_id % 50)*7 + (K % 10)*3) % 5 + user_id % 2)) as rating from events group by user_id, event_id % 50, K % 10""",

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ARTICLES = ("a", "an", "of", "the", "is", "in", "and", "at", "to", "for", "on", "with")
+#: Words that stay as they are within a title.
+ARTICLES = ("a", "an", "of", "the", "is", "and", "at", "in", "on", "yes")
 
 
 def title_case(text: Column, small: Sequence[str] = ARTICLES, keep: str | None = "YES") -> Column:
-    """Every word with a capital but for small words after the first; ``keep`` stays as it is."""
-    lowered = F.split(F.lower(text), " ")
-    words = F.transform(lowered, lambda w, i: F.when((i > 0) & w.isin(*small), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))))
+    """Every word with a capital and then lower case, but for small words after the first; ``keep`` stays as it is."""
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+    words = F.transform(F.split(text, " "), lambda w, i: F.when((i > 0) & w.isin(*small), w).otherwise(capital(w)))
     out = F.array_join(words, " ")
     return out if keep is None else F.when(text == keep, text).otherwise(out)
 

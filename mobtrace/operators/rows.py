@@ -28,3 +28,17 @@ def flag(df: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` with a flag that tells whether ``other`` has the row's key."""
     keys = other.select(F.col(key).alias("__key")).distinct()
     return df.join(keys, F.col(key) == F.col("__key"), "left").withColumn(name, F.col("__key").isNotNull()).drop("__key")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with its place in an order, from 1; rows are sorted in ranges, and no task holds them all.
+
+    The order must be total.
+    """
+    from mobtrace.sources.scratch import cut
+
+    rows = cut(df.orderBy(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__rows"))  # a row for each range
+    before = counts.select("__range", (F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return rows.withColumn(name, within.cast("long")).join(before, "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")

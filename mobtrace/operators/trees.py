@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobtrace.sources.scratch import cut
 
-def paths(edges: DataFrame, root: str = "", depth: int = 12) -> DataFrame:
-    """category_id, and the ids and names from the root down to it. Level by level, ``depth`` levels at most."""
+
+def paths(edges: DataFrame, root: str = "") -> DataFrame:
+    """category_id, and the ids and names from the root down to it, level by level to the last one.
+
+    Edges that don't hang on the root, cycles among them, have no path.
+    """
     own = edges.select("category_id", "parent_id", "name")
     level = own.filter(F.col("parent_id") == root).select("category_id", F.array("category_id").alias("ids"), F.array("name").alias("names"))
-    out = level
+    out = level = cut(level, "level")
     child = own.select(F.col("category_id").alias("child"), "parent_id", F.col("name").alias("child_name"))
-    for _ in range(depth - 1):
-        level = level.join(child, F.col("category_id") == F.col("parent_id")).select(F.col("child").alias("category_id"), F.array_append("ids", F.col("child")).alias("ids"), F.array_append("names", F.col("child_name")).alias("names"))
+    while True:
+        level = level.join(child, F.col("category_id") == F.col("parent_id")).filter(~F.array_contains("ids", F.col("child")))
+        level = level.select(F.col("child").alias("category_id"), F.array_append("ids", F.col("child")).alias("ids"), F.array_append("names", F.col("child_name")).alias("names"))
+        level = cut(level, "level")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from mobtrace.fixtures import oracle, table, view
 from mobtrace.operators import rows as r
+from mobtrace.functions import scalars as x
 from mobtrace.plans.registry import query
+from mobtrace.plans.scalars import FROM_CENTRE, TRIGRAMS, from_centre
 
 
 @query("F1_points_of_day", oracle("SELECT user_id, ts_local, ts_utc, lat, lon, nb_steps FROM fx_trace WHERE day_no = 1 ORDER BY user_id, ts_local"))
@@ -48,6 +50,28 @@ def messages(spark, d):
     return view(spark, d, "fx_chat").select("user_id", "ts", "sender", "message")
 
 
+@query("F5_moves_of_days", oracle("SELECT user_id, day_no, from_place, to_place, left_at, arrived_at FROM (SELECT user_id, day_no, lag(place_id) OVER w AS from_place, place_id AS to_place, lag(departure) OVER w AS left_at, arrival AS arrived_at FROM fx_visit WINDOW w AS (PARTITION BY user_id, day_no ORDER BY arrival, visit_id)) WHERE left_at IS NOT NULL AND user_id BETWEEN 3 AND 9 ORDER BY user_id, arrived_at"))
+def moves_of_days(spark, d):
+    from mobtrace.operators.stays import moves
+
+    return moves(view(spark, d, "fx_visit").filter(F.col("user_id").between(3, 9))).orderBy("user_id", "arrived_at")
+
+
+@query("F5_reviews_and_interests", oracle("SELECT session_id AS user_id, place_id, pi_id, rating, CASE WHEN rating >= 4 THEN 'kept' ELSE 'open' END AS state FROM fx_rating WHERE session_id % 10 = 3 ORDER BY user_id, place_id, pi_id"))
+def reviews_and_interests(spark, d):
+    """Interests of some users by place, with their reviews."""
+    r_ = view(spark, d, "fx_rating").filter(F.col("session_id") % 10 == 3)
+    return r_.select(F.col("session_id").alias("user_id"), "place_id", "pi_id", "rating", F.when(F.col("rating") >= 4, "kept").otherwise("open").alias("state")).orderBy("user_id", "place_id", "pi_id")
+
+
+@query("F5_by_ids", oracle("SELECT v.visit_id, v.user_id, p.place_id, p.name FROM fx_visit v JOIN fx_place p ON v.user_id = p.user_id AND v.place_id = p.place_id WHERE v.visit_id IN (SELECT event_id FROM events WHERE event_type = 'click')"))
+def by_ids(spark, d):
+    """Visits and their places for a table of asked ids."""
+    asked = table(spark, d, "events").filter("event_type = 'click'").select(F.col("event_id").alias("visit_id"))
+    v = view(spark, d, "fx_visit").select("visit_id", "user_id", "place_id").join(asked, "visit_id", "left_semi")
+    return v.join(view(spark, d, "fx_place").select("user_id", "place_id", "name"), ["user_id", "place_id"]).select("visit_id", "user_id", "place_id", "name")
+
+
 @query("F6_name_lookup", oracle("SELECT v.venue_id, v.name FROM fx_venue v WHERE lower(v.name) IN (SELECT lower(name) FROM fx_venue WHERE nb_checkins = 500)"))
 def name_lookup(spark, d):
     v = view(spark, d, "fx_venue")
@@ -79,9 +103,12 @@ def tags_of_categories(spark, d):
     return view(spark, d, "fx_tag").filter(F.col("pi_id").isin(*range(6))).join(words, "word_id", "left_semi").select("word_id", "pi_id")
 
 
-@query("F11_usable_places", oracle("SELECT venue_id, lat, lon FROM fx_venue WHERE NOT (lat = 0 AND lon = 0) AND abs(lat) < 90 AND lon <> 0"))
+@query("F11_usable_places", oracle("SELECT v.venue_id, lat, lon, list_sort(list(s.pi_id) FILTER (WHERE s.pi_id IS NOT NULL)) AS interests FROM fx_venue v LEFT JOIN (SELECT DISTINCT venue_id, pi_id FROM fx_score WHERE NOT coalesce(score < 5, false)) s ON v.venue_id = s.venue_id WHERE NOT (lat = 0 AND lon = 0) AND abs(lat) < 90 AND lon <> 0 GROUP BY v.venue_id, lat, lon"))
 def usable_places(spark, d):
-    return view(spark, d, "fx_venue").filter("not (lat = 0 and lon = 0) and abs(lat) < 90 and lon <> 0").select("venue_id", "lat", "lon")
+    """Places off the null island and the poles, with those of their interests that aren't discarded."""
+    v = view(spark, d, "fx_venue").filter("not (lat = 0 and lon = 0) and abs(lat) < 90 and lon <> 0").select("venue_id", "lat", "lon")
+    kept = view(spark, d, "fx_score").filter("not coalesce(score < 5, false)").groupBy("venue_id").agg(F.array_sort(F.collect_set("pi_id")).alias("interests"))
+    return v.join(kept, "venue_id", "left").select("venue_id", "lat", "lon", "interests")
 
 
 @query("F13_icon_fallback", oracle("SELECT c.category_id, c.name, CASE WHEN c.parent_id <> '' THEN c.parent_id ELSE c.category_id END AS icon FROM fx_category c ORDER BY icon, c.name"))
@@ -95,16 +122,29 @@ def listing(spark, d):
     return view(spark, d, "fx_visit").groupBy("user_id").agg(F.count_distinct("place_id").alias("places"), F.min("arrival").alias("joined"))
 
 
-@query("T1_popular_near", oracle("SELECT leaf_category, venue_id, nb_checkins FROM (SELECT *, row_number() OVER (PARTITION BY leaf_category ORDER BY nb_checkins DESC, abs(lat - 51.5), venue_id) AS n FROM fx_venue) WHERE n <= 5"))
+@query("F14_whole_tables", oracle("SELECT 'place' AS kind, user_id || ':' || place_id AS id, name FROM fx_place UNION ALL SELECT 'category', category_id, name FROM fx_category UNION ALL SELECT 'venue', venue_id || '', name FROM fx_venue UNION ALL SELECT DISTINCT 'interest', pi_id || '', 'pi ' || pi_id FROM fx_score"))
+def whole_tables(spark, d):
+    """Listings of places, categories, venues and the catalogue of interests."""
+    id_ = lambda *c: F.concat_ws(":", *c)
+    places = view(spark, d, "fx_place").select(F.lit("place").alias("kind"), id_("user_id", "place_id").alias("id"), "name")
+    categories = view(spark, d, "fx_category").select(F.lit("category").alias("kind"), F.col("category_id").alias("id"), "name")
+    venues = view(spark, d, "fx_venue").select(F.lit("venue").alias("kind"), id_("venue_id").alias("id"), "name")
+    interests = view(spark, d, "fx_score").select("pi_id").distinct().select(F.lit("interest").alias("kind"), id_("pi_id").alias("id"), F.concat(F.lit("pi "), "pi_id").alias("name"))
+    return places.unionByName(categories).unionByName(venues).unionByName(interests)
+
+
+@query("T1_popular_near", oracle(f"SELECT leaf_category, venue_id, nb_checkins FROM (SELECT *, row_number() OVER (PARTITION BY leaf_category ORDER BY nb_checkins DESC, round({FROM_CENTRE}, 3), venue_id) AS n FROM fx_venue) WHERE n <= 5"))
 def popular_near(spark, d):
     v = view(spark, d, "fx_venue")
-    return r.top(v, ["leaf_category"], [F.desc("nb_checkins"), F.abs(F.col("lat") - 51.5), F.col("venue_id")], 5).select("leaf_category", "venue_id", "nb_checkins")
+    return r.top(v, ["leaf_category"], [F.desc("nb_checkins"), F.round(from_centre(), 3), F.col("venue_id")], 5).select("leaf_category", "venue_id", "nb_checkins")
 
 
-@query("T2_by_similarity", oracle("SELECT venue_id, len(name) AS size FROM fx_venue ORDER BY abs(len(name) - 20), abs(lon), nb_checkins DESC, venue_id LIMIT 15"))
-def by_similarity(spark, d):
-    v = view(spark, d, "fx_venue")
-    return v.orderBy(F.abs(F.length("name") - 20), F.abs("lon"), F.desc("nb_checkins"), "venue_id").limit(15).select("venue_id", F.length("name").cast("long").alias("size"))
+@query("T2_by_similarity", oracle(f"WITH s AS (SELECT venue_id, nb_checkins, round({FROM_CENTRE}, 3) AS distance, {TRIGRAMS.format('name')} AS a, {TRIGRAMS.format(chr(39) + 'small bolts' + chr(39))} AS b FROM fx_venue), t AS (SELECT *, round(len(list_intersect(a, b))::DOUBLE / len(b), 6) AS similarity FROM s) SELECT venue_id, similarity, distance FROM t ORDER BY similarity DESC, distance, nb_checkins DESC, venue_id LIMIT 15"))
+def by_similarity(spark, d, asked: str = "small bolts", n: int = 15):
+    """The venues whose names hold most of what is asked, nearest first, then by popularity."""
+    similarity = F.round(x.containment(x.trigrams(F.lit(asked)), x.trigrams(F.col("name"))), 6)
+    v = view(spark, d, "fx_venue").select("venue_id", "nb_checkins", similarity.alias("similarity"), F.round(from_centre(), 3).alias("distance"))
+    return v.orderBy(F.desc("similarity"), "distance", F.desc("nb_checkins"), "venue_id").limit(n).select("venue_id", "similarity", "distance")
 
 
 @query("T3_top_scores", oracle("SELECT venue_id, pi_id, model_type, feature_type, score FROM (SELECT *, row_number() OVER (PARTITION BY venue_id, model_type, feature_type ORDER BY score DESC, pi_id) AS n FROM fx_score) WHERE n <= 3"))
@@ -137,10 +177,10 @@ def union(spark, d):
     return leaf.unionByName(extra)
 
 
-@query("U2_united_ids", oracle("SELECT pi_id, list_sort(list(DISTINCT place_id)) AS places FROM fx_rating GROUP BY pi_id"))
+@query("U2_united_ids", oracle("SELECT session_id AS user_id, pi_id, list_sort(list(DISTINCT place_id)) AS places FROM fx_rating GROUP BY session_id, pi_id"))
 def united_ids(spark, d):
-    by = view(spark, d, "fx_rating").groupBy("pi_id", "session_id").agg(F.collect_set("place_id").alias("p"))
-    return by.groupBy("pi_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("places"))
+    """The places of each interest of a user, as one array; a user has a bounded number of places."""
+    return view(spark, d, "fx_rating").groupBy(F.col("session_id").alias("user_id"), "pi_id").agg(F.array_sort(F.collect_set("place_id")).alias("places"))
 
 
 @query("U3_differences", oracle("SELECT venue_id, list_filter([leaf_category, extra_category], lambda c: c <> 'n3') AS categories FROM fx_venue WHERE venue_id NOT IN (SELECT venue_id FROM fx_score)"))

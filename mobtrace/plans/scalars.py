@@ -11,9 +11,10 @@ from mobtrace.plans.registry import query
 
 
 @query("X1_title_case", """
-SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('a','an','of','the','is','in','and','at','to','for','on','with') THEN w ELSE upper(w[1]) || w[2:] END), ' ') AS title FROM part""")
+SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'YES' ELSE array_to_string(list_transform(string_split(p_name || ' of THE ' || p_type || ' yes on', ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('a','an','of','the','is','and','at','in','on','yes') THEN w ELSE upper(w[1]) || lower(w[2:]) END), ' ') END AS title FROM part""")
 def title_case(spark, d):
-    return table(spark, d, "part").select("p_partkey", x.title_case(F.col("p_type")).alias("title"))
+    text = F.when(F.col("p_partkey") % 50 == 0, "YES").otherwise(F.concat("p_name", F.lit(" of THE "), "p_type", F.lit(" yes on")))
+    return table(spark, d, "part").select("p_partkey", x.title_case(text).alias("title"))
 
 
 @query("X2_numbers", """
@@ -33,9 +34,9 @@ def decode_cells(spark, d):
 
 @query("X4_tokens", """
 SELECT doc_id, len(t) AS n_tokens, t[1] AS first_token, list_sort(list_distinct(t))[1] AS least_token
-FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+'), lambda w: w <> '') AS t FROM documents WHERE lang = 'en')""")
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+'), lambda w: w <> '') AS t FROM documents)""")
 def tokens(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", x.tokens(F.col("text")).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", x.tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.get("t", F.lit(0)).alias("first_token"), F.array_min("t").alias("least_token"))
 
 
@@ -110,23 +111,34 @@ def cell_corners(spark, d):
     return quarter.select(F.round(s, 6).alias("south"), F.round(w, 6).alias("west"), F.round(s + 0.025, 6).alias("north"), F.round(w + 0.025, 6).alias("east"), "n")
 
 
-@query("X16_place_score", oracle("""
+#: Metres from a point, here and in SQL; planar, in Web Mercator.
+FROM_CENTRE = "sqrt(pow(6378137.0 * radians(lon) - 6378137.0 * radians(-0.1), 2) + pow(6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) - 6378137.0 * ln(tan(pi() / 4 + radians(51.5) / 2)), 2))"
+
+
+def from_centre():
+    at = lambda lat, lon: (geo.mercator_x(lon), geo.mercator_y(lat))
+    return geo.planar_distance(*at(F.lit(51.5), F.lit(-0.1)), *at(F.col("lat"), F.col("lon")))
+
+
+@query("X16_place_score", oracle(f"""
 SELECT venue_id, round(0.1 * nb_checkins / max(nb_checkins) OVER (PARTITION BY leaf_category) + 1.5 / sqrt(CASE WHEN m = 0 THEN 1 ELSE m END), 6) AS score
-FROM (SELECT *, floor(1000 * abs(lat - 51.5)) AS m FROM fx_venue)"""))
+FROM (SELECT *, round({FROM_CENTRE}, 3) AS m FROM fx_venue) ORDER BY score DESC, venue_id"""))
 def place_score(spark, d):
-    v = view(spark, d, "fx_venue").withColumn("m", F.floor(1000 * F.abs(F.col("lat") - 51.5)))
+    v = view(spark, d, "fx_venue").withColumn("m", F.round(from_centre(), 3))
     top = v.groupBy("leaf_category").agg(F.max("nb_checkins").alias("top"))
-    return v.join(top, "leaf_category").select("venue_id", F.round(0.1 * F.col("nb_checkins") / F.col("top") + 1.5 / F.sqrt(F.when(F.col("m") == 0, 1).otherwise(F.col("m"))), 6).alias("score"))
+    score = 0.1 * F.col("nb_checkins") / F.col("top") + 1.5 / F.sqrt(F.when(F.col("m") == 0, 1).otherwise(F.col("m")))
+    return v.join(top, "leaf_category").select("venue_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "venue_id")
 
 
-@query("X17_search_score", oracle("""
-WITH s AS (SELECT venue_id, 50 * pow(0.5, floor(1e5 * abs(lat - 51.5)) / 100) + 15 * ln(1 + 2 * CASE WHEN nb_checkins = 0 THEN 1 ELSE nb_checkins END) AS raw FROM fx_venue)
+@query("X17_search_score", oracle(f"""
+WITH s AS (SELECT venue_id, (1 + 50 * pow(0.5, pow(m / 100, 2)) + 15 * log10(1 + 2 * CASE WHEN nb_checkins = 0 THEN 1 ELSE nb_checkins END)) / 2 AS raw FROM (SELECT *, round({FROM_CENTRE}, 3) AS m FROM fx_venue) WHERE starts_with(name, 'blue') AND m <= 5000)
 SELECT venue_id, round(raw / (SELECT max(raw) FROM s), 6) AS score FROM s"""))
-def search_score(spark, d):
-    """Decay of a half at 100 m, and log popularity; normalised by the greatest."""
+def search_score(spark, d, typed: str = "blue", reach: float = 5000.0):
+    """Names with a prefix, in reach: a Gaussian decay of a half at 100 m and log popularity, averaged with the text's score of 1; normalised by the greatest."""
+    v = view(spark, d, "fx_venue").withColumn("m", F.round(from_centre(), 3)).filter(F.startswith("name", F.lit(typed)) & (F.col("m") <= reach))
     n = F.when(F.col("nb_checkins") == 0, 1).otherwise(F.col("nb_checkins"))
-    raw = 50 * F.pow(F.lit(0.5), F.floor(1e5 * F.abs(F.col("lat") - 51.5)) / 100) + 15 * F.log(1 + 2 * n)
-    s = view(spark, d, "fx_venue").select("venue_id", raw.alias("raw"))
+    raw = (1 + 50 * F.pow(F.lit(0.5), F.pow(F.col("m") / 100, 2)) + 15 * F.log10(1 + 2 * n)) / 2
+    s = v.select("venue_id", raw.alias("raw"))
     return s.crossJoin(F.broadcast(s.agg(F.max("raw").alias("top")))).select("venue_id", F.round(F.col("raw") / F.col("top"), 6).alias("score"))  # one row is sent
 
 
