@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mobtrace.fixtures import oracle, view
+from mobtrace.fixtures import oracle, table, view
 from mobtrace.functions import scalars as x
 from mobtrace.operators import rows as r
 from mobtrace.operators import spatial
@@ -75,10 +75,11 @@ def tips_with_authors(spark, d):
     return t.join(t.groupBy("author_id").agg(F.count("*").alias("author_tips")), "author_id").select("tip_id", "author_id", "author_tips").orderBy(F.desc("tip_id"))
 
 
-@query("J10_scores_with_names", oracle("SELECT s.venue_id, s.pi_id, 'pi ' || s.pi_id AS name, s.score FROM fx_score s JOIN (SELECT DISTINCT pi_id FROM fx_tag) t ON s.pi_id = t.pi_id WHERE s.model_type = 'sg'"))
+@query("J10_scores_with_names", oracle("SELECT s.venue_id, s.pi_id, s.model_type, s.feature_type, 'pi ' || s.pi_id AS name, s.score FROM fx_score s JOIN (SELECT DISTINCT pi_id FROM fx_tag) t ON s.pi_id = t.pi_id ORDER BY s.venue_id, s.score DESC, s.pi_id"))
 def scores_with_names(spark, d):
     names = view(spark, d, "fx_tag").select(F.col("pi_id").cast("long").alias("pi_id")).distinct().withColumn("name", F.concat(F.lit("pi "), "pi_id"))
-    return view(spark, d, "fx_score").filter("model_type = 'sg'").join(names, "pi_id").select("venue_id", "pi_id", "name", "score")
+    s = view(spark, d, "fx_score").join(names, "pi_id").select("venue_id", "pi_id", "model_type", "feature_type", "name", "score")
+    return s.orderBy("venue_id", F.desc("score"), "pi_id")
 
 
 @query("J11_reviews", oracle("SELECT v.visit_id, r.pi_id, r.rating FROM fx_visit v JOIN fx_rating r ON v.user_id = r.session_id AND v.place_id = r.place_id WHERE v.deleted IS NOT TRUE"))
@@ -109,24 +110,65 @@ def nearest(spark, d):
     return j.groupBy("user_id", "ts").agg(F.count("*").alias("n"), F.min(F.struct("distance", "venue_id")).alias("x"), F.sum("nb_checkins").alias("checkins")).select("user_id", "ts", "n", F.col("x.venue_id").alias("nearest"), F.round("x.distance", 3).alias("distance"), "checkins")
 
 
-@query("J13_near_and_named", oracle(f"{NEAR}, k AS (SELECT *, {TRIGRAMS.format('name')} AS a FROM j), g AS (SELECT {TRIGRAMS.format(chr(39) + 'blue small almond' + chr(39))} AS b), z AS (SELECT *, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM k, g) SELECT user_id, ts, arg_min(venue_id, (-similarity, distance, venue_id)) AS venue_id, max(similarity) AS similarity FROM z WHERE similarity >= 0.1 GROUP BY user_id, ts", "fx_trace", "fx_venue"))
-def near_and_named(spark, d):
-    """Of the venues near a probe the one whose name is most similar to what is asked for; names are compared once each."""
-    v = spatial.projected(view(spark, d, "fx_venue"))
-    asked = x.trigrams(F.lit("blue small almond"))
-    v = v.withColumn("similarity", F.round(x.similarity(x.trigrams(F.col("name")), asked), 6)).filter("similarity >= 0.1").select("venue_id", "similarity", "mx", "my")
-    j = spatial.within(probes(spark, d), v, 250.0)
-    best = j.groupBy("user_id", "ts").agg(F.min(F.struct(-F.col("similarity"), "distance", "venue_id")).alias("x"))
-    return best.select("user_id", "ts", "x.venue_id", (-F.col("x.col1")).alias("similarity"))
+#: Places of users, venues and places of the knowledge base in reach of each probe; a user's places only for the user.
+CANDIDATES = f"""s AS ({PROBES}), p AS (SELECT s.*, {MERCATOR.format('s', 'p')} FROM s),
+c AS (SELECT 'place' AS kind, user_id AS owner, place_id AS id, v.name, nb_visits AS checkins, {MERCATOR.format('v', 'm')} FROM fx_place v
+  UNION ALL SELECT 'venue', NULL, venue_id, v.name, nb_checkins, {MERCATOR.format('v', 'm')} FROM fx_venue v
+  UNION ALL SELECT 'kb', NULL, venue_id, 'Venue ' || venue_id, 0, {MERCATOR.format('v', 'm')} FROM fx_venue v WHERE nb_checkins > 20 AND NOT (lat = 0 AND lon = 0)),
+j AS (SELECT p.user_id, ts, kind, id, name, checkins, sqrt(pow(mx - px, 2) + pow(my - py, 2)) AS distance FROM p JOIN c ON abs(mx - px) <= 250 AND abs(my - py) <= 250 AND (owner IS NULL OR owner = p.user_id) WHERE sqrt(pow(mx - px, 2) + pow(my - py, 2)) <= 250)"""
 
 
-@query("J14_autocomplete", oracle("WITH a AS (SELECT user_id, left(min(name), 4) AS typed FROM fx_visit JOIN fx_venue ON place_id = venue_id GROUP BY user_id), h AS (SELECT a.user_id, venue_id, v.name, row_number() OVER (PARTITION BY a.user_id ORDER BY nb_checkins DESC, venue_id) AS n FROM a JOIN fx_venue v ON starts_with(lower(v.name), lower(a.typed))) SELECT user_id, venue_id, name FROM h WHERE n <= 5"))
-def autocomplete(spark, d):
-    """Venues that begin with what each user typed, joined on the first letters."""
+def candidates(spark, d, metres: float = 250.0):
     v = view(spark, d, "fx_venue")
-    typed = view(spark, d, "fx_visit").join(v.withColumnRenamed("venue_id", "place_id"), "place_id").groupBy("user_id").agg(F.substring(F.min("name"), 1, 4).alias("typed"))
-    hits = v.withColumn("head", F.lower(F.substring("name", 1, 4))).join(typed, F.col("head") == F.lower("typed"))
-    return r.top(hits, ["user_id"], [F.desc("nb_checkins"), F.col("venue_id")], 5).select("user_id", "venue_id", "name")
+    own = view(spark, d, "fx_place").select(F.lit("place").alias("kind"), F.col("user_id").alias("owner"), F.col("place_id").alias("id"), "name", F.col("nb_visits").alias("checkins"), "lat", "lon")
+    none = F.lit(None).cast("long").alias("owner")
+    venues = v.select(F.lit("venue").alias("kind"), none, F.col("venue_id").alias("id"), "name", F.col("nb_checkins").cast("long").alias("checkins"), "lat", "lon")
+    kb = v.filter("nb_checkins > 20 and not (lat = 0 and lon = 0)").select(F.lit("kb").alias("kind"), none, F.col("venue_id").alias("id"), F.concat(F.lit("Venue "), "venue_id").alias("name"), F.lit(0).cast("long").alias("checkins"), "lat", "lon")
+    points = spatial.projected(own.unionByName(venues).unionByName(kb)).drop("lat", "lon")
+    return spatial.within(probes(spark, d), points, metres).filter("owner is null or owner = user_id").select("user_id", "ts", "kind", "id", "name", "checkins", "distance")
+
+
+@query("J12_near_places", oracle(f"WITH {CANDIDATES} SELECT user_id, ts, CASE WHEN kind = 'place' AND checkins > 0 THEN 'visited' ELSE kind END AS kind, count(*) AS n, arg_min(id, (distance, id)) AS nearest, round(min(distance), 3) AS distance, sum(checkins)::BIGINT AS checkins FROM j GROUP BY 1, 2, 3", "fx_trace", "fx_venue", "fx_place"))
+def near_places(spark, d):
+    """The four kinds of candidates of a probe: own places, those with visits that count, venues, places of the knowledge base."""
+    kind = F.when((F.col("kind") == "place") & (F.col("checkins") > 0), "visited").otherwise(F.col("kind"))
+    j = candidates(spark, d).groupBy("user_id", "ts", kind.alias("kind")).agg(F.count("*").alias("n"), F.min(F.struct("distance", "id")).alias("x"), F.sum("checkins").alias("checkins"))
+    return j.select("user_id", "ts", "kind", "n", F.col("x.id").alias("nearest"), F.round("x.distance", 3).alias("distance"), "checkins")
+
+
+#: What each probe asks for.
+ASKED = "CASE (user_id + ts // 14400) % 5 WHEN 0 THEN 'blue bolt' WHEN 1 THEN 'small ring' WHEN 2 THEN 'red widget' WHEN 3 THEN 'venue 7' ELSE 'blue anvil 7' END"
+
+
+def asked():
+    at = F.pmod(F.col("user_id") + F.floor(F.col("ts") / 14400), F.lit(5)).cast("int")
+    return F.element_at(F.array(*[F.lit(x_) for x_ in ("blue bolt", "small ring", "red widget", "venue 7", "blue anvil 7")]), at + 1)
+
+
+@query("J13_near_and_named", oracle(f"WITH {CANDIDATES}, a AS (SELECT *, {ASKED} AS asked FROM j), k AS (SELECT *, {TRIGRAMS.format('name')} AS a, {TRIGRAMS.format('asked')} AS b FROM a), z AS (SELECT *, round(len(list_intersect(a, b))::DOUBLE / len(b), 6) AS similarity FROM k) SELECT user_id, ts, kind, arg_min(id, (-similarity, distance, id)) AS id, max(similarity) AS similarity FROM z WHERE similarity >= 0.3 GROUP BY user_id, ts, kind", "fx_trace", "fx_venue", "fx_place"))
+def near_and_named(spark, d, least: float = 0.3):
+    """Of the candidates near a probe the one of each kind whose name best holds what the probe asks for; of equal ones the nearest."""
+    similarity = F.round(x.containment(x.trigrams(asked()), x.trigrams(F.col("name"))), 6)
+    j = candidates(spark, d).withColumn("similarity", similarity).filter(F.col("similarity") >= least)
+    best = j.groupBy("user_id", "ts", "kind").agg(F.min(F.struct(-F.col("similarity"), "distance", "id")).alias("x"))
+    return best.select("user_id", "ts", "kind", "x.id", (-F.col("x.col1")).alias("similarity"))
+
+
+TYPED = f"SELECT *, {TRIGRAMS.format('name')} AS a, {TRIGRAMS.format('typed')} AS b FROM (SELECT *, left({ASKED}, 6) AS typed FROM j WHERE kind <> 'kb')"
+
+
+@query("J14_autocomplete", oracle(f"WITH {CANDIDATES}, k AS ({TYPED}), z AS (SELECT *, round(len(list_intersect(a, b))::DOUBLE / len(b), 6) AS similarity FROM k), h AS (SELECT *, CASE kind WHEN 'place' THEN row_number() OVER (PARTITION BY user_id, ts, kind ORDER BY distance, id) ELSE row_number() OVER (PARTITION BY user_id, ts, kind ORDER BY similarity DESC, distance, checkins DESC, id) END AS n FROM z WHERE (starts_with(name, typed) OR similarity >= 0.6) AND (kind <> 'place' OR checkins > 0)), t AS (SELECT * FROM h WHERE n <= CASE kind WHEN 'place' THEN 5 ELSE 10 END) SELECT user_id, ts, kind, id, name, similarity, round(distance, 3) AS distance FROM t WHERE kind = 'place' OR NOT EXISTS (SELECT 1 FROM t o JOIN fx_place p ON p.user_id = o.user_id AND p.place_id = o.id WHERE o.kind = 'place' AND o.user_id = t.user_id AND o.ts = t.ts AND p.venue_id = t.id)", "fx_trace", "fx_venue", "fx_place"))
+def autocomplete(spark, d):
+    """A user's visited places near a probe that begin like or resemble what is typed, nearest first; then venues, most similar first, but for those among the places."""
+    typed = F.substring(asked(), 1, 6)
+    j = candidates(spark, d).filter("kind <> 'kb'").withColumn("similarity", F.round(x.containment(x.trigrams(typed), x.trigrams(F.col("name"))), 6))
+    j = j.filter((F.startswith("name", typed) | (F.col("similarity") >= 0.6)) & ((F.col("kind") != "place") | (F.col("checkins") > 0)))
+    places = r.top(j.filter("kind = 'place'"), ["user_id", "ts"], [F.col("distance"), F.col("id")], 5)
+    venues = r.top(j.filter("kind = 'venue'"), ["user_id", "ts"], [F.desc("similarity"), F.col("distance"), F.desc("checkins"), F.col("id")], 10)
+    link = view(spark, d, "fx_place").select("user_id", F.col("place_id").alias("id"), "venue_id").filter("venue_id is not null")
+    seen = places.join(link, ["user_id", "id"]).select("user_id", "ts", F.col("venue_id").alias("id"))
+    found = places.unionByName(venues.join(seen, ["user_id", "ts", "id"], "left_anti"), allowMissingColumns=True)
+    return found.select("user_id", "ts", "kind", "id", "name", "similarity", F.round("distance", 3).alias("distance"))
 
 
 BOXES = "SELECT extra_category AS polygon_id, min(lon) - 0.0051 AS x1, max(lon) + 0.0049 AS x2, min(lat) - 0.0051 AS y1, min(lat) + 0.0249 AS y2 FROM fx_venue GROUP BY extra_category"
@@ -156,9 +198,12 @@ def buffers_in_polygons(spark, d):
     return spatial.overlapping(p, boxes(spark, d), 0.004).select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "polygon_id", F.round("ratio", 6).alias("ratio"))
 
 
-@query("J17_nearest_polygon")
+EDGES = "WITH b AS (SELECT polygon_id, 6378137.0 * radians(x1) AS x1, 6378137.0 * radians(x2) AS x2, 6378137.0 * ln(tan(pi() / 4 + radians(y1) / 2)) AS y1, 6378137.0 * ln(tan(pi() / 4 + radians(y2) / 2)) AS y2 FROM ({0})), p AS (SELECT lat, lon, 6378137.0 * radians(lon) AS px, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS py FROM (SELECT DISTINCT lat, lon FROM fx_venue)), n AS (SELECT lat, lon, polygon_id, sqrt(pow(greatest(x1 - px, 0, px - x2), 2) + pow(greatest(y1 - py, 0, py - y2), 2)) AS distance, sqrt(pow((x1 + x2) / 2 - px, 2) + pow((y1 + y2) / 2 - py, 2)) AS centre FROM p, b)"
+
+
+@query("J17_nearest_polygon", oracle(EDGES.format(BOXES) + " SELECT lat, lon, arg_min(polygon_id, (round(centre, 3), polygon_id)) AS polygon_id, arg_min(round(distance, 3), (round(centre, 3), polygon_id)) AS distance, 'Street ' || arg_min(polygon_id, (round(centre, 3), polygon_id)) AS street, arg_min(substr(polygon_id, 2), (round(centre, 3), polygon_id)) AS number FROM n WHERE distance <= 800 GROUP BY lat, lon", "fx_venue"))
 def nearest_polygon(spark, d, metres: float = 800.0):
-    """The nearest edge within some metres, ordered by distance, with street and number from its tags."""
+    """Of the polygons within some metres that of the nearest centre, with street and number from its tags."""
     from mobtrace.functions import geo
 
     p = view(spark, d, "fx_venue").select("lat", "lon").distinct()
@@ -168,65 +213,129 @@ def nearest_polygon(spark, d, metres: float = 800.0):
     tags = F.concat(F.lit('"addr:street"=>"Street '), "polygon_id", F.lit('", "addr:housenumber"=>"'), F.substring("polygon_id", F.lit(2), F.lit(3)), F.lit('"'))
     near = spatial.overlapping(p, b.withColumn("tags", tags), metres, 0.0)
     edges = F.transform(F.sequence(F.lit(0), F.size("ring") - 2), lambda i: geo.segment_distance(F.col("px"), F.col("py"), F.get("ring", i)["x"], F.get("ring", i)["y"], F.get("ring", i + 1)["x"], F.get("ring", i + 1)["y"]))
-    near = near.withColumn("distance", F.array_min(edges)).filter(F.col("distance") <= metres)
-    best = near.groupBy("lat", "lon").agg(F.min(F.struct("distance", "polygon_id", "tags")).alias("x")).withColumn("t", x.parse_tags(F.col("x.tags")))
+    near = near.withColumn("distance", F.when(geo.inside(F.col("py"), F.col("px"), F.col("ring")), 0.0).otherwise(F.array_min(edges))).filter(F.col("distance") <= metres)
+    corners = F.slice("ring", F.lit(1), F.size("ring") - 1)
+    mean = lambda c: F.aggregate(corners, F.lit(0.0), lambda a, q: a + q[c]) / F.size(corners)
+    near = near.withColumn("centre", F.round(geo.planar_distance(F.col("px"), F.col("py"), mean("x"), mean("y")), 3))
+    best = near.groupBy("lat", "lon").agg(F.min(F.struct("centre", "polygon_id", "distance", "tags")).alias("x")).withColumn("t", x.parse_tags(F.col("x.tags")))
     return best.select("lat", "lon", "x.polygon_id", F.round("x.distance", 3).alias("distance"), F.element_at("t", "addr:street").alias("street"), F.element_at("t", "addr:housenumber").alias("number"))
 
 
-@query("J18_venues_linked_to_polygons")
+LINKED = f"""WITH b AS ({BOXES}), n AS (SELECT extra_category AS polygon_id, min(name) AS own, max(name) AS house FROM fx_venue GROUP BY extra_category),
+h AS (SELECT v.venue_id, v.name, b.polygon_id, n.own, n.house, greatest(0, least(lon + 0.004, x2) - greatest(lon - 0.004, x1)) * greatest(0, least(lat + 0.004, y2) - greatest(lat - 0.004, y1)) / (0.008 * 0.008) AS ratio FROM fx_venue v, b JOIN n ON b.polygon_id = n.polygon_id),
+t AS (SELECT venue_id, polygon_id, {TRIGRAMS.format('name')} AS a, {TRIGRAMS.format('own')} AS o, {TRIGRAMS.format('house')} AS u FROM h WHERE ratio > 0.01),
+s AS (SELECT venue_id, polygon_id, round(len(list_intersect(a, o))::DOUBLE / len(list_distinct(list_concat(a, o))), 6) AS s1, round(len(list_intersect(a, u))::DOUBLE / len(list_distinct(list_concat(a, u))), 6) AS s2 FROM t),
+f AS (SELECT venue_id, arg_min(polygon_id, (-s1, polygon_id)) FILTER (WHERE s1 >= 0.45) AS p1, max(s1) FILTER (WHERE s1 >= 0.45) AS m1, arg_min(polygon_id, (-greatest(s1, s2), polygon_id)) FILTER (WHERE greatest(s1, s2) >= 0.45) AS p2, max(greatest(s1, s2)) FILTER (WHERE greatest(s1, s2) >= 0.45) AS m2 FROM s GROUP BY venue_id)
+SELECT v.venue_id, coalesce(p1, p2) AS polygon_id, coalesce(m1, m2) AS similarity, CASE WHEN p1 IS NOT NULL THEN 'name' WHEN p2 IS NOT NULL THEN 'house name' ELSE 'failed' END AS state FROM fx_venue v LEFT JOIN f ON v.venue_id = f.venue_id"""
+
+
+@query("J18_venues_linked_to_polygons", oracle(LINKED, "fx_venue"))
 def venues_linked_to_polygons(spark, d, least: float = 0.45):
-    """A polygon in reach whose name fits the venue's category, else the one that its leaf names; below the threshold none."""
-    c = view(spark, d, "fx_category").select("category_id", F.col("name").alias("category"))
-    v = view(spark, d, "fx_venue").join(c, F.col("leaf_category") == F.col("category_id")).select("venue_id", "name", "category", F.col("lon").alias("px"), F.col("lat").alias("py"), "extra_category")
-    p = boxes(spark, d).join(c.withColumnRenamed("category", "polygon_name"), F.col("polygon_id") == F.col("category_id")).drop("category_id")
-    near = spatial.overlapping(v, p, 0.004)
-    asked = F.when(F.col("extra_category") == F.col("polygon_id"), F.col("polygon_name")).otherwise(F.col("category"))
-    near = near.withColumn("similarity", x.containment(x.trigrams(F.col("polygon_name")), x.trigrams(asked)))
-    best = near.groupBy("venue_id").agg(F.min(F.struct(-F.col("similarity"), "polygon_id")).alias("x"))
-    best = best.select("venue_id", "x.polygon_id", (-F.col("x.col1")).alias("similarity")).filter(F.col("similarity") >= least)
-    out = v.select("venue_id").join(best, "venue_id", "left")
-    return out.select("venue_id", "polygon_id", F.when(F.col("polygon_id").isNotNull(), "updated").otherwise("failed").alias("state"))
-
-
-@query("J19_covered", oracle("WITH a AS (SELECT lat - 0.012 AS s, lat + 0.012 AS n, lon - 0.012 AS w, lon + 0.012 AS e FROM (SELECT DISTINCT lat, lon FROM fx_venue WHERE nb_checkins > 400)) SELECT venue_id, EXISTS (SELECT 1 FROM a WHERE lat - 0.004 >= s AND lat + 0.004 <= n AND lon - 0.004 >= w AND lon + 0.004 <= e) AS covered FROM fx_venue"))
+    """The polygon in reach whose name is most similar to a venue's, else the one by name or house name; below the threshold none. Both passes read the pairs once."""
+    v = view(spark, d, "fx_venue")
+    names = v.groupBy(F.col("extra_category").alias("polygon_id")).agg(F.min("name").alias("own"), F.max("name").alias("house"))
+    near = spatial.overlapping(v.select("venue_id", "name", F.col("lon").alias("px"), F.col("lat").alias("py")), boxes(spark, d).join(names, "polygon_id"), 0.004)
+    like = lambda c: F.round(x.similarity(x.trigrams(F.col("name")), x.trigrams(F.col(c))), 6)
+    near = near.select("venue_id", "polygon_id", like("own").alias("s1"), like("house").alias("s2")).withColumn("s2", F.greatest("s1", "s2"))
+    best = lambda s: F.min(F.when(F.col(s) >= least, F.struct((-F.col(s)).alias("s"), "polygon_id")))
+    found = near.groupBy("venue_id").agg(best("s1").alias("a"), best("s2").alias("b"))
+    out = v.select("venue_id").join(found, "venue_id", "left")
+    state = F.when(F.col("a").isNotNull(), "name").when(F.col("b").isNotNull(), "house name").otherwise("failed")
+    return out.select("venue_id", F.coalesce("a.polygon_id", "b.polygon_id").alias("polygon_id"), (-F.coalesce("a.s", "b.s")).alias("similarity"), state.alias("state"))
+
+
+AREAS = "a AS (SELECT lat - 0.012 AS s, lat + 0.012 AS n, lon - 0.012 AS w, lon + 0.012 AS e FROM (SELECT DISTINCT lat, lon FROM fx_venue WHERE nb_checkins > 400))"
+
+
+@query("J19_covered", oracle(f"WITH {AREAS} SELECT venue_id, EXISTS (SELECT 1 FROM a WHERE lat - 0.004 >= s AND lat + 0.004 <= n AND lon - 0.004 >= w AND lon + 0.004 <= e) AS covered FROM fx_venue"))
 def covered(spark, d):
     """Whether the buffer of a venue lies in an area that was searched; areas go to the cells that they touch."""
     v = view(spark, d, "fx_venue")
-    areas = v.filter("nb_checkins > 400").select("lat", "lon").distinct()
-    areas = areas.select((F.col("lat") - 0.012).alias("s"), (F.col("lat") + 0.012).alias("n"), (F.col("lon") - 0.012).alias("w"), (F.col("lon") + 0.012).alias("e"))
-    cell = 0.02
+    points = v.select("lat", "lon").distinct()
+    known = within_areas(points, areas(v), 0.004).withColumn("covered", F.lit(True))
+    return v.join(known, ["lat", "lon"], "left").select("venue_id", F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
+def areas(v):
+    a = v.filter("nb_checkins > 400").select("lat", "lon").distinct()
+    return a.select((F.col("lat") - 0.012).alias("s"), (F.col("lat") + 0.012).alias("n"), (F.col("lon") - 0.012).alias("w"), (F.col("lon") + 0.012).alias("e"))
+
+
+def within_areas(points, areas, half: float, cell: float = 0.02):
+    """The points (lat, lon) whose square of half a side lies in an area, each once."""
     cover = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
     areas = areas.withColumn("cy", cover("s", "n")).withColumn("cx", cover("w", "e"))
-    points = v.select("lat", "lon").distinct().withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / cell))
-    inside = (F.col("lat") - 0.004 >= F.col("s")) & (F.col("lat") + 0.004 <= F.col("n")) & (F.col("lon") - 0.004 >= F.col("w")) & (F.col("lon") + 0.004 <= F.col("e"))
-    known = points.join(areas, ["cx", "cy"]).filter(inside).select("lat", "lon").distinct().withColumn("covered", F.lit(True))
-    return v.join(known, ["lat", "lon"], "left").select("venue_id", F.coalesce("covered", F.lit(False)).alias("covered"))
+    points = points.withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / cell))
+    inside = (F.col("lat") - half >= F.col("s")) & (F.col("lat") + half <= F.col("n")) & (F.col("lon") - half >= F.col("w")) & (F.col("lon") + half <= F.col("e"))
+    return points.join(areas, ["cx", "cy"]).filter(inside).select("lat", "lon").distinct()
+
+
+SAMPLED = "('0x' || substr(md5(venue_id || ':' || i || ':{}'), 1, 8))::BIGINT::DOUBLE / 4294967296"
 
 
-@query("J20_merged_candidates", oracle("WITH own AS (SELECT DISTINCT user_id, place_id FROM fx_visit), pop AS (SELECT venue_id FROM fx_venue ORDER BY nb_checkins DESC, venue_id LIMIT 20) SELECT user_id, place_id AS venue_id, 'own' AS source FROM own UNION ALL SELECT u.user_id, pop.venue_id, 'venue' FROM (SELECT DISTINCT user_id FROM fx_visit) u, pop WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.user_id = u.user_id AND own.place_id = pop.venue_id)"))
+@query("J19_covered_by_samples", oracle(f"WITH {AREAS}, u AS (SELECT venue_id, i, lat, lon, CASE WHEN i = 0 THEN 0 ELSE {SAMPLED.format(1)} END AS ra, {SAMPLED.format(2)} AS rb FROM fx_venue, range(11) n(i)), q AS (SELECT venue_id, round(lat + degrees(400 * sqrt(ra) * sin(2 * pi() * rb) / 6378137.0), 8) AS lat, round(lon + degrees(400 * sqrt(ra) * cos(2 * pi() * rb) / (6378137.0 * cos(radians(lat)))), 8) AS lon FROM u) SELECT venue_id, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM a WHERE lat >= s AND lat <= n AND lon >= w AND lon <= e)) AS n_inside FROM q GROUP BY venue_id", "fx_venue"))
+def covered_by_samples(spark, d, radius: float = 400.0, samples: int = 10):
+    """How many of a venue's centre and ten points drawn around it lie in searched areas; all of them: it is covered."""
+    from mobtrace.operators.models import uniform
+
+    v = view(spark, d, "fx_venue")
+    q = v.select("venue_id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("i"))
+    a, b = (uniform(F.col("venue_id"), F.col("i"), seed=s) for s in (1, 2))
+    far, turn = radius * F.sqrt(F.when(F.col("i") == 0, 0.0).otherwise(a)), 2 * F.pi() * b
+    lat = F.col("lat") + F.degrees(far * F.sin(turn) / 6378137.0)
+    lon = F.col("lon") + F.degrees(far * F.cos(turn) / (6378137.0 * F.cos(F.radians("lat"))))
+    q = q.select("venue_id", F.round(lat, 8).alias("lat"), F.round(lon, 8).alias("lon"))
+    known = within_areas(q.select("lat", "lon").distinct(), areas(v), 0.0).withColumn("in", F.lit(1))
+    return q.join(known, ["lat", "lon"], "left").groupBy("venue_id").agg(F.count("in").alias("n_inside"))
+
+
+@query("J20_merged_candidates", oracle(f"WITH {CANDIDATES}, own AS (SELECT j.*, p.venue_id FROM j JOIN fx_place p ON p.user_id = j.user_id AND p.place_id = j.id WHERE kind = 'place') SELECT user_id, ts, 'user' AS origin, id, round(distance, 3) AS distance FROM own UNION ALL SELECT user_id, ts, 'venue', id, round(distance, 3) FROM j WHERE kind = 'venue' AND NOT EXISTS (SELECT 1 FROM own WHERE own.user_id = j.user_id AND own.ts = j.ts AND own.venue_id = j.id)", "fx_trace", "fx_venue", "fx_place"))
 def merged_candidates(spark, d):
-    """A user's places first, then popular venues that aren't among them."""
-    own = view(spark, d, "fx_visit").select("user_id", F.col("place_id").alias("venue_id")).distinct()
-    popular = view(spark, d, "fx_venue").orderBy(F.desc("nb_checkins"), "venue_id").limit(20).select("venue_id")
-    rest = own.select("user_id").distinct().crossJoin(F.broadcast(popular)).join(own, ["user_id", "venue_id"], "left_anti")  # 20 rows are sent
-    return own.withColumn("source", F.lit("own")).unionByName(rest.withColumn("source", F.lit("venue")))
+    """A user's places near a probe first, then the venues that aren't among them."""
+    j = candidates(spark, d)
+    link = view(spark, d, "fx_place").select("user_id", F.col("place_id").alias("id"), "venue_id")
+    own = j.filter("kind = 'place'").join(link, ["user_id", "id"])
+    seen = own.select("user_id", "ts", F.col("venue_id").alias("id")).filter("id is not null")
+    rest = j.filter("kind = 'venue'").join(seen, ["user_id", "ts", "id"], "left_anti")
+    both = own.select("user_id", "ts", F.lit("user").alias("origin"), "id", "distance").unionByName(rest.select("user_id", "ts", F.lit("venue").alias("origin"), "id", "distance"))
+    return both.withColumn("distance", F.round("distance", 3))
 
 
-@query("J21_closest_place", oracle(f"{NEAR} SELECT user_id, ts, coalesce(arg_min(venue_id, (distance, venue_id)) FILTER (WHERE distance <= 50), arg_min(venue_id, (distance, venue_id))) AS venue_id, CASE WHEN min(distance) <= 50 THEN 'own' ELSE 'venue' END AS source FROM j GROUP BY user_id, ts", "fx_trace", "fx_venue"))
+@query("J21_closest_place", oracle(f"WITH {CANDIDATES}, f AS (SELECT user_id, ts, arg_min(id, (distance, id)) FILTER (WHERE kind = 'place' AND checkins > 0 AND distance <= 100) AS own, arg_min(id, (distance, id)) FILTER (WHERE kind = 'venue') AS venue FROM j GROUP BY user_id, ts) SELECT user_id, ts, coalesce(own, venue) AS id, CASE WHEN own IS NOT NULL THEN 'user' ELSE 'venue' END AS origin FROM f WHERE own IS NOT NULL OR venue IS NOT NULL", "fx_trace", "fx_venue", "fx_place"))
 def closest_place(spark, d):
-    j = near_venues(spark, d).groupBy("user_id", "ts").agg(F.min(F.struct("distance", "venue_id")).alias("x"))
-    return j.select("user_id", "ts", "x.venue_id", F.when(F.col("x.distance") <= 50, "own").otherwise("venue").alias("source"))
+    """The nearest visited place of the user within 100 m, else the nearest venue within 250 m; both in one pass over the candidates."""
+    at = F.struct("distance", "id")
+    own = (F.col("kind") == "place") & (F.col("checkins") > 0) & (F.col("distance") <= 100)
+    j = candidates(spark, d).groupBy("user_id", "ts").agg(F.min(F.when(own, at)).alias("own"), F.min(F.when(F.col("kind") == "venue", at)).alias("venue"))
+    j = j.select("user_id", "ts", F.coalesce("own.id", "venue.id").alias("id"), F.when(F.col("own").isNotNull(), "user").otherwise("venue").alias("origin"))
+    return j.filter("id is not null")
+
+
+OVERLAP = " + ".join(f"greatest(0, least(s.a + s.n + 3600, p.a + p.n + {k}) - greatest(s.a - 3600, p.a + {k}))" for k in (-86400, 0, 86400))
+
 
+@query("J22_time_of_day_overlap", oracle(f"WITH v AS (SELECT visit_id, user_id, place_id, arrival, arrival % 86400 AS a, least(departure - arrival, 86400) AS n FROM fx_visit), c AS (SELECT * FROM (SELECT o.user_id, o.place_id, p.place_id AS near, row_number() OVER (PARTITION BY o.user_id, o.place_id ORDER BY round(2 * 6378137.0 * asin(sqrt(pow(sin(radians(p.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - o.lon) / 2), 2))), 3), p.place_id) AS k FROM fx_place o JOIN fx_place p ON o.user_id = p.user_id WHERE abs(p.lat - o.lat) < 0.015 AND abs(p.lon - o.lon) < 0.015) WHERE k <= 5) SELECT s.visit_id, p.place_id, sum({OVERLAP})::BIGINT AS overlap FROM v s JOIN c ON c.user_id = s.user_id AND c.place_id = s.place_id JOIN v p ON p.user_id = s.user_id AND p.place_id = c.near AND p.arrival < s.arrival GROUP BY s.visit_id, p.place_id HAVING sum({OVERLAP}) > 0", "fx_visit", "fx_place"))
+def time_of_day_overlap(spark, d, most: int = 5, reach: float = 0.015, pad: int = 3600):
+    """Seconds of day, padded by an hour, that a visit shares with the user's earlier visits at the five nearest places.
 
-@query("J22_time_of_day_overlap", oracle("WITH v AS (SELECT visit_id, user_id, place_id, arrival, arrival % 86400 AS a, arrival % 86400 + departure - arrival AS b FROM fx_visit) SELECT s.visit_id, p.place_id, sum(greatest(0, least(s.b + 3600, p.b) - greatest(s.a - 3600, p.a)))::BIGINT AS overlap FROM v s JOIN v p ON s.user_id = p.user_id AND p.arrival < s.arrival WHERE s.a - 3600 < p.b AND p.a < s.b + 3600 GROUP BY s.visit_id, p.place_id"))
-def time_of_day_overlap(spark, d):
-    """Seconds of day, padded by an hour, that a visit shares with the user's earlier visits, by place."""
-    v = view(spark, d, "fx_visit").withColumn("a", F.pmod("arrival", F.lit(86400))).withColumn("b", F.col("a") + F.col("departure") - F.col("arrival"))
-    s = v.select("visit_id", "user_id", F.col("arrival").alias("at"), (F.col("a") - 3600).alias("sa"), (F.col("b") + 3600).alias("sb"))
-    p = v.select(F.col("user_id").alias("of"), "place_id", "arrival", "a", "b")
-    meet = (F.col("user_id") == F.col("of")) & (F.col("arrival") < F.col("at")) & (F.col("sa") < F.col("b")) & (F.col("a") < F.col("sb"))
-    shared = F.greatest(F.lit(0), F.least("sb", "b") - F.greatest("sa", "a"))
-    return s.join(p, meet).groupBy("visit_id", "place_id").agg(F.sum(shared).alias("overlap"))
+    Visits meet those of the candidate places only, on user and place; midnight counts.
+    """
+    from mobtrace.functions import geo
+
+    p = view(spark, d, "fx_place").select("user_id", "place_id", "lat", "lon")
+    cell = lambda c: F.floor(F.col(c) / reach)
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    own = p.withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).select("user_id", "place_id", "lat", "lon", (cell("lat") + F.col("dy")).alias("cy"), (cell("lon") + F.col("dx")).alias("cx"))
+    other = p.select("user_id", F.col("place_id").alias("near"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell("lat").alias("cy"), cell("lon").alias("cx"))
+    c = own.join(other, ["user_id", "cy", "cx"]).filter((F.abs(F.col("lat2") - F.col("lat")) < reach) & (F.abs(F.col("lon2") - F.col("lon")) < reach))
+    c = c.withColumn("away", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3))
+    c = r.top(c, ["user_id", "place_id"], [F.col("away"), F.col("near")], most).select("user_id", "place_id", "near")
+    v = view(spark, d, "fx_visit").select("visit_id", "user_id", "place_id", "arrival", F.pmod("arrival", F.lit(86400)).alias("a"), F.least(F.col("departure") - F.col("arrival"), F.lit(86400)).alias("n"))
+    s = v.select("visit_id", "user_id", "place_id", F.col("arrival").alias("at"), (F.col("a") - pad).alias("sa"), (F.col("a") + F.col("n") + pad).alias("sb")).join(c, ["user_id", "place_id"])
+    before = v.select("user_id", F.col("place_id").alias("near"), "arrival", "a", "n")
+    both = s.join(before, ["user_id", "near"]).filter("arrival < at")
+    shared = sum((F.greatest(F.lit(0), F.least("sb", F.col("a") + F.col("n") + k) - F.greatest("sa", F.col("a") + k)) for k in (-86400, 0, 86400)), F.lit(0))
+    return both.groupBy("visit_id", F.col("near").alias("place_id")).agg(F.sum(shared).alias("overlap")).filter("overlap > 0")
 
 
 @query("J23_redirected", oracle("WITH m AS (SELECT venue_id, venue_id // 2 AS redirect FROM fx_venue WHERE nb_checkins <= 50) SELECT coalesce(redirect, c.venue_id) AS venue_id, count(*) AS n FROM fx_checkin c LEFT JOIN m ON c.venue_id = m.venue_id GROUP BY 1"))
@@ -253,7 +362,19 @@ def linked_entities(spark, d):
     return v.join(links, "category_id").groupBy("venue_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
 
 
-@query("J26_nearest_in_time", oracle("SELECT v.user_id, arg_min(utc_offset, (abs(arrival - 900000000), visit_id)) AS offset_then, arg_max(place_id, (arrival, visit_id)) AS latest_place FROM fx_visit v GROUP BY v.user_id"))
+INSTANTS = "SELECT event_id, user_id % 50 AS user_id, 788918400 + (event_id * 7919 % 2400) * 86400 + event_id % 86400 AS t FROM events"
+
+
+@query("J26_nearest_in_time", oracle(f"WITH q AS ({INSTANTS}), v AS (SELECT user_id, arrival, min(visit_id) AS visit_id FROM fx_visit GROUP BY user_id, arrival), w AS (SELECT v.*, f.utc_offset, f.place_id FROM v JOIN fx_visit f ON v.visit_id = f.visit_id) SELECT event_id, arg_min(utc_offset, (abs(arrival - q.t), arrival)) AS offset_then, arg_max(place_id, arrival) FILTER (WHERE arrival <= q.t) AS latest_place FROM q JOIN w ON q.user_id = w.user_id GROUP BY event_id", "fx_visit"))
 def nearest_in_time(spark, d):
-    v = view(spark, d, "fx_visit")
-    return v.groupBy("user_id").agg(F.min_by("utc_offset", F.struct(F.abs(F.col("arrival") - 900000000), "visit_id")).alias("offset_then"), F.max_by("place_id", F.struct("arrival", "visit_id")).alias("latest_place"))
+    """For each asked instant the offset of the user's nearest visit and the place of the latest one; visits and instants are sorted together, so no pairs are made."""
+    from pyspark.sql import Window
+
+    at = F.lit(788918400) + F.pmod(F.col("event_id") * 7919, F.lit(2400)) * 86400 + F.pmod("event_id", F.lit(86400))
+    q = table(spark, d, "events").select(F.pmod("user_id", F.lit(50)).alias("user_id"), at.alias("t"), F.lit(1).alias("asks"), "event_id", F.lit(None).cast("struct<arrival:bigint,utc_offset:bigint,place_id:bigint>").alias("v"))
+    v = view(spark, d, "fx_visit").groupBy("user_id", "arrival").agg(F.min_by(F.struct("utc_offset", "place_id"), "visit_id").alias("x"))
+    v = v.select("user_id", F.col("arrival").alias("t"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("event_id"), F.struct("arrival", F.col("x.utc_offset").cast("long").alias("utc_offset"), "x.place_id").alias("v"))
+    order = Window.partitionBy("user_id").orderBy("t", "asks")
+    both = q.unionByName(v).withColumns({"before": F.last("v", True).over(order), "after": F.first("v", True).over(order.rowsBetween(0, Window.unboundedFollowing))}).filter("asks = 1")
+    nearer = F.col("before").isNotNull() & (F.col("after").isNull() | (F.col("t") - F.col("before.arrival") <= F.col("after.arrival") - F.col("t")))
+    return both.filter("before is not null or after is not null").select("event_id", F.when(nearer, F.col("before.utc_offset")).otherwise(F.col("after.utc_offset")).alias("offset_then"), F.col("before.place_id").alias("latest_place"))

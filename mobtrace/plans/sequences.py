@@ -31,14 +31,21 @@ def stays(spark, d):
 HAVERSINE = "2 * 6372795.0 * asin(sqrt(least(1.0, pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2))))"
 
 
-@query("W2_steps_and_speed", oracle(f"WITH p AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(ts_local) OVER w AS ts2 FROM fx_trace WINDOW w AS (PARTITION BY user_id, day_no ORDER BY ts_local)) SELECT user_id, day_no, round(avg({HAVERSINE}), 3) AS step, round(avg({HAVERSINE} / (ts2 - ts_local)), 6) AS speed FROM p WHERE lat2 IS NOT NULL GROUP BY user_id, day_no"))
+@query("W2_steps_and_speed", oracle(f"WITH p AS (SELECT *, (ts_local - day_start) // 14400 AS part, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(ts_local) OVER w AS ts2 FROM fx_trace WINDOW w AS (PARTITION BY user_id, day_no, (ts_local - day_start) // 14400 ORDER BY ts_local)), c AS (SELECT user_id, day_no, part, round(avg({HAVERSINE}), 3) AS step, round(avg({HAVERSINE} / (ts2 - ts_local)), 6) AS speed FROM p WHERE lat2 IS NOT NULL GROUP BY user_id, day_no, part), q AS (SELECT a.user_id, a.day_no, a.part, a.ts_local, max({HAVERSINE.replace('radians(lat)', 'radians(a.lat)').replace('- lat)', '- a.lat)').replace('- lon)', '- a.lon)').replace('lat2', 'b.lat').replace('lon2', 'b.lon')}) AS far, round(sum({HAVERSINE.replace('radians(lat)', 'radians(a.lat)').replace('- lat)', '- a.lat)').replace('- lon)', '- a.lon)').replace('lat2', 'b.lat').replace('lon2', 'b.lon')}), 3) AS total FROM p a JOIN p b ON a.user_id = b.user_id AND a.day_no = b.day_no AND a.part = b.part GROUP BY 1, 2, 3, 4), m AS (SELECT user_id, day_no, part, round(max(far), 3) AS diameter, arg_min(ts_local, (total, ts_local)) AS medoid FROM q GROUP BY 1, 2, 3) SELECT m.user_id, m.day_no, m.part, diameter, medoid, step, speed FROM m LEFT JOIN c ON m.user_id = c.user_id AND m.day_no = c.day_no AND m.part = c.part", "fx_trace"))
 def steps_and_speed(spark, d):
+    """Diameter, medoid, mean step and mean speed of each four hours of a user's trace; pairs are made within these only."""
     from mobtrace.functions import geo
 
-    w = Window.partitionBy("user_id", "day_no").orderBy("ts_local")
-    p = view(spark, d, "fx_trace").withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w), "ts2": F.lead("ts_local").over(w)}).filter("lat2 is not null")
-    m = geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), geo.STAY_RADIUS)
-    return p.groupBy("user_id", "day_no").agg(F.round(F.avg(m), 3).alias("step"), F.round(F.avg(m / (F.col("ts2") - F.col("ts_local"))), 6).alias("speed"))
+    key = ["user_id", "day_no", "part"]
+    t = view(spark, d, "fx_trace").withColumn("part", F.floor((F.col("ts_local") - F.col("day_start")) / 14400))
+    w = Window.partitionBy(*key).orderBy("ts_local")
+    away = lambda lat2, lon2: geo.haversine(F.col("lat"), F.col("lon"), F.col(lat2), F.col(lon2), geo.STAY_RADIUS)
+    p = t.withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w), "ts2": F.lead("ts_local").over(w)}).filter("lat2 is not null")
+    c = p.groupBy(*key).agg(F.round(F.avg(away("lat2", "lon2")), 3).alias("step"), F.round(F.avg(away("lat2", "lon2") / (F.col("ts2") - F.col("ts_local"))), 6).alias("speed"))
+    q = t.select(*key, "ts_local", "lat", "lon").join(t.select(*key, F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), key)
+    q = q.groupBy(*key, "ts_local").agg(F.max(away("lat2", "lon2")).alias("far"), F.round(F.sum(away("lat2", "lon2")), 3).alias("total"))
+    m = q.groupBy(*key).agg(F.round(F.max("far"), 3).alias("diameter"), F.min_by("ts_local", F.struct("total", "ts_local")).alias("medoid"))
+    return m.join(c, key, "left").select(*key, "diameter", "medoid", "step", "speed")
 
 
 @query("W3_carried_in", oracle("WITH l AS (SELECT user_id, day_no, arg_max({'lat': lat, 'lon': lon}, ts_local) AS p FROM fx_trace GROUP BY user_id, day_no), d AS (SELECT DISTINCT user_id, day_no, day_start FROM fx_trace) SELECT user_id, day_no, ts_local, ts_utc, lat, lon FROM fx_trace UNION ALL SELECT d.user_id, d.day_no, d.day_start, d.day_start - 3600, l.p.lat, l.p.lon FROM d JOIN l ON l.user_id = d.user_id AND l.day_no + 1 = d.day_no"))
@@ -69,41 +76,51 @@ def last_visit_extended(spark, d):
     return v.select("visit_id", "user_id", "arrival", F.when(F.col("n") == 1, F.greatest("departure", (F.col("day_no") + 1) * 86400 - 1)).otherwise(F.col("departure")).alias("departure"))
 
 
-LATEST = "(SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY day_no DESC) AS nth, arrival - arrival % 86400 AS d FROM fx_visit)"
-HOME_S = "greatest(0, least(departure, d + 7 * 3600 + 3599) - greatest(arrival, d)) + greatest(0, least(departure, d + 23 * 3600 + 3599) - greatest(arrival, d + 20 * 3600))"
-WORK_S = "greatest(0, least(departure, d + 18 * 3600 + 3599) - greatest(arrival, d + 9 * 3600))"
+#: Visits of a trace by part of the day: the place recurs at night and at work, else it changes. Local times; the offset is null for one user in seven.
+PARTS = "SELECT user_id, day_no, day_start, (ts_local - day_start) // 14400 AS part, user_id * 10 + CASE (ts_local - day_start) // 14400 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 3 + day_no % 3 END AS place_id, min(ts_utc) AS arrival, max(ts_utc) AS departure, CASE WHEN user_id % 7 <> 5 THEN -3600 END AS utc_offset FROM fx_trace GROUP BY 1, 2, 3, 4, 5"
+TODAY, DAYS, HOURS = 9, 3, 3
+IN_HOURS = "greatest(0, least(e, day_start + {1} * 3600 + 3599) - greatest(s, day_start + {0} * 3600))"
+HOME_AND_WORK = f"""v AS ({PARTS}), l AS (SELECT *, row_number() OVER (PARTITION BY user_id, day_no ORDER BY arrival DESC) = 1 AS last FROM v WHERE day_no BETWEEN {TODAY - DAYS} AND {TODAY - 1}),
+ok AS (SELECT user_id FROM l GROUP BY user_id HAVING count(DISTINCT day_no) = {DAYS} AND count(*) FILTER (WHERE last AND utc_offset IS NULL) = 0),
+t AS (SELECT l.*, greatest(day_start, arrival - utc_offset) AS s, CASE WHEN last THEN day_start + 86399 ELSE departure - utc_offset END AS e, (day_no % 7) < 5 AS weekday FROM l WHERE user_id IN (SELECT user_id FROM ok)),
+p AS (SELECT user_id, place_id, sum({IN_HOURS.format(0, 7)} + {IN_HOURS.format(20, 23)})::BIGINT AS home_s, sum(CASE WHEN weekday THEN {IN_HOURS.format(9, 18)} ELSE 0 END)::BIGINT AS work_s FROM t GROUP BY user_id, place_id),
+d AS (SELECT user_id, count(DISTINCT day_no) FILTER (WHERE weekday) * {HOURS} * 3600 AS least FROM t GROUP BY user_id),
+hw AS (SELECT p.user_id, arg_max(place_id, (home_s, place_id)) FILTER (WHERE home_s > {DAYS * HOURS * 3600}) AS home, list_sort(list(place_id) FILTER (WHERE work_s > least)) AS work FROM p JOIN d ON p.user_id = d.user_id GROUP BY p.user_id)"""
 
 
-@query("W8_home_and_work", oracle(f"WITH p AS (SELECT user_id, place_id, sum({HOME_S})::BIGINT AS home_s, sum(CASE WHEN (day_no + 3) % 7 < 5 THEN {WORK_S} ELSE 0 END)::BIGINT AS work_s FROM {LATEST} WHERE nth <= 3 GROUP BY user_id, place_id), h AS (SELECT user_id, arg_max(place_id, (home_s, place_id)) AS home FROM p WHERE home_s > 3600 GROUP BY user_id), k AS (SELECT user_id, list_sort(list(place_id)) AS work FROM p WHERE work_s > 3600 GROUP BY user_id) SELECT coalesce(h.user_id, k.user_id) AS user_id, home, work FROM h FULL JOIN k ON h.user_id = k.user_id"))
-def home_and_work(spark, d, days: int = 3, least: int = 3600):
-    """Places of a user's latest days: home by the most time at night, work by enough time on weekday hours."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("day_no"))
-    v = view(spark, d, "fx_visit").withColumn("nth", F.dense_rank().over(w)).filter(F.col("nth") <= days)
-    a, b = F.col("arrival"), F.col("departure")
-    work = F.when(~x.is_weekend(a), x.seconds_in_hours(a, b, [(9, 18)])).otherwise(F.lit(0))
-    p = v.groupBy("user_id", "place_id").agg(F.sum(x.seconds_in_hours(a, b, [(0, 7), (20, 23)])).alias("home_s"), F.sum(work).alias("work_s"))
-    at_home = F.when(F.col("home_s") > least, F.struct("home_s", "place_id"))
-    out = p.groupBy("user_id").agg(F.max(at_home).alias("h"), F.array_sort(F.collect_list(F.when(F.col("work_s") > least, F.col("place_id")))).alias("work"))
-    return out.select("user_id", F.col("h.place_id").alias("home"), F.when(F.size("work") > 0, F.col("work")).alias("work")).filter("home is not null or work is not null")
+def parts_of_days(spark, d):
+    part = F.floor((F.col("ts_local") - F.col("day_start")) / 14400)
+    place = F.col("user_id") * 10 + F.when(part < 2, 1).when(part < 4, 2).otherwise(3 + F.col("day_no") % 3)
+    t = view(spark, d, "fx_trace").groupBy("user_id", "day_no", "day_start", part.alias("part"), place.alias("place_id"))
+    return t.agg(F.min("ts_utc").alias("arrival"), F.max("ts_utc").alias("departure")).withColumn("utc_offset", F.when(F.col("user_id") % 7 != 5, F.lit(-3600)))
 
 
-@query("W9_place_types", oracle("WITH t AS (SELECT place_id, sum(departure - arrival) AS s, max(CASE WHEN visited THEN 1 ELSE 0 END) AS typed FROM fx_visit GROUP BY place_id) SELECT place_id, (CASE WHEN typed = 1 THEN 2 WHEN s > 200000 THEN 1 WHEN s > 100000 THEN 3 ELSE 0 END)::BIGINT AS place_type FROM t"))
+@query("W8_home_and_work", oracle(f"WITH {HOME_AND_WORK} SELECT * FROM hw", "fx_trace"))
+def home_and_work(spark, d):
+    return s.home_and_work(parts_of_days(spark, d), TODAY, DAYS, HOURS)
+
+
+@query("W9_place_types", oracle(f"WITH {HOME_AND_WORK}, k AS (SELECT DISTINCT user_id, place_id, CASE WHEN place_id % 4 = 3 THEN 2 ELSE 0 END AS typed FROM v) SELECT k.user_id, k.place_id, (CASE WHEN typed <> 0 THEN typed WHEN k.place_id = hw.home THEN 1 WHEN list_contains(hw.work, k.place_id) THEN 3 ELSE 0 END)::BIGINT AS place_type FROM k LEFT JOIN hw ON k.user_id = hw.user_id", "fx_trace"))
 def place_types(spark, d):
-    """Only places without a type get a probable one."""
-    t = view(spark, d, "fx_visit").groupBy("place_id").agg(F.sum(F.col("departure") - F.col("arrival")).alias("s"), F.bool_or(F.coalesce("visited", F.lit(False))).alias("typed"))
-    kind = F.when(F.col("typed"), 2).when(F.col("s") > 200000, 1).when(F.col("s") > 100000, 3).otherwise(0)
-    return t.select("place_id", kind.cast("long").alias("place_type"))
+    """Only places without a type get a probable one: home 1, work 3."""
+    v = parts_of_days(spark, d)
+    found = s.home_and_work(v, TODAY, DAYS, HOURS)
+    k = v.select("user_id", "place_id").distinct().withColumn("typed", F.when(F.col("place_id") % 4 == 3, 2).otherwise(0))
+    kind = F.when(F.col("typed") != 0, F.col("typed")).when(F.col("place_id") == F.col("home"), 1).when(F.array_contains("work", F.col("place_id")), 3).otherwise(0)
+    return k.join(found, "user_id", "left").select("user_id", "place_id", kind.cast("long").alias("place_type"))
 
 
-@query("W10_challenges", oracle("WITH f AS (SELECT user_id, day_no, place_id, min(arrival) AS arrival FROM fx_visit GROUP BY user_id, day_no, place_id), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, day_no ORDER BY arrival, place_id) AS place_number FROM f), p AS (SELECT DISTINCT place_id, pi_id FROM fx_rating), c AS (SELECT n.*, pi_id, row_number() OVER (PARTITION BY user_id, day_no, n.place_id ORDER BY md5(user_id || ':' || n.place_id || ':' || pi_id || ':7')) AS k FROM n JOIN p ON n.place_id = p.place_id) SELECT user_id, day_no, place_id, place_number, pi_id FROM c WHERE k <= 2"))
+@query("W10_challenges", oracle("WITH f AS (SELECT user_id, day_no, place_id, arg_min(visit_id, (arrival, visit_id)) AS visit_id FROM fx_visit GROUP BY user_id, day_no, place_id), p AS (SELECT DISTINCT venue_id AS place_id, pi_id FROM fx_score), u AS (SELECT f.*, p.pi_id, row_number() OVER (PARTITION BY f.user_id, f.day_no, f.place_id ORDER BY md5(f.user_id || ':' || f.day_no || ':' || f.place_id || ':' || p.pi_id || ':7')) AS k FROM f JOIN p ON f.place_id = p.place_id WHERE NOT EXISTS (SELECT 1 FROM fx_rating r WHERE r.session_id = f.user_id AND r.place_id = f.place_id AND r.pi_id = p.pi_id)) SELECT f.user_id, f.day_no, f.place_id, f.visit_id, u.pi_id, coalesce(u.k, 1) AS place_number FROM f LEFT JOIN (SELECT * FROM u WHERE k <= 2) u ON f.user_id = u.user_id AND f.day_no = u.day_no AND f.place_id = u.place_id", "fx_visit", "fx_score", "fx_rating"))
 def challenges(spark, d, seed: int = 7):
-    """Up to two interests of each place of a day, drawn by a hash of the keys and a seed."""
-    first = view(spark, d, "fx_visit").groupBy("user_id", "day_no", "place_id").agg(F.min("arrival").alias("arrival"))
-    w = Window.partitionBy("user_id", "day_no").orderBy("arrival", "place_id")
-    n = first.withColumn("place_number", F.row_number().over(w).cast("long"))
-    c = n.join(view(spark, d, "fx_rating").select("place_id", "pi_id").distinct(), "place_id")
-    draw = F.md5(F.concat_ws(":", "user_id", "place_id", "pi_id", F.lit(seed)))
-    return r.top(c, ["user_id", "day_no", "place_id"], [draw], 2).select("user_id", "day_no", "place_id", "place_number", "pi_id")
+    """For the first visit of each place of a day up to two of its interests that the user hasn't rated, drawn by a hash of the keys; one without interest where none is left."""
+    key = ["user_id", "day_no", "place_id"]
+    first = view(spark, d, "fx_visit").groupBy(*key).agg(F.min_by("visit_id", F.struct("arrival", "visit_id")).alias("visit_id"))
+    every = view(spark, d, "fx_score").select(F.col("venue_id").alias("place_id"), "pi_id").distinct()
+    rated = view(spark, d, "fx_rating").select(F.col("session_id").alias("user_id"), "place_id", "pi_id")
+    left = first.select(*key).join(every, "place_id").join(rated, ["user_id", "place_id", "pi_id"], "left_anti")
+    w = Window.partitionBy(*key).orderBy(F.md5(F.concat_ws(":", *key, "pi_id", F.lit(seed))))
+    drawn = left.withColumn("k", F.row_number().over(w).cast("long")).filter("k <= 2")
+    return first.join(drawn, key, "left").select(*key, "visit_id", "pi_id", F.coalesce("k", F.lit(1).cast("long")).alias("place_number"))
 
 
 @query("W13_contexts", oracle("WITH q AS (SELECT user_id, venue_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, venue_id) AS n FROM fx_checkin), u AS (SELECT user_id FROM fx_checkin GROUP BY user_id HAVING count(*) >= 5) SELECT a.venue_id AS target, b.venue_id AS context, count(*) AS n FROM q a JOIN q b ON a.user_id = b.user_id AND b.n - a.n IN (-2, -1, 1, 2) WHERE a.user_id IN (SELECT user_id FROM u) GROUP BY ALL"))
