@@ -27,13 +27,13 @@ def logs(spark, d):
     stamp = F.when(F.col("deleted").isNull(), "no time").otherwise(F.date_format(F.timestamp_seconds("arrival"), "yyyy-MM-dd HH:mm:ss"))
     args = F.when(F.col("visited"), F.concat(F.lit('{"place": '), "place_id", F.lit(', "x": "a,b"}'))).otherwise("{broken")
     folder = scratch(spark, "logs")
-    v.select(F.lit("u7").alias("User"), stamp.alias("Timestamp"), F.concat(F.lit("s"), "place_id").alias("Session"), F.lit("t").alias("Type"), args.alias("Args")).coalesce(1).write.option("header", True).option("quote", "|").option("quoteAll", True).csv(folder)
+    v.select(F.lit("u7").alias("User"), stamp.alias("Timestamp"), F.concat(F.lit("s"), "place_id").alias("Session"), F.lit("t").alias("Type"), args.alias("Args")).write.option("header", True).option("quote", "|").option("quoteAll", True).csv(folder)
     fs_ = spark._jvm.org.apache.hadoop.fs
     at = fs_.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in fs.listStatus(at):
-        if f.getPath().getName().startswith("part-"):
-            fs.rename(f.getPath(), fs_.Path(f"{folder}/u7_2024-01-01_x_log.csv"))
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    for i, name in enumerate(n for n in sorted(names) if n.startswith("part-")):  # files get names of their own, whatever their number
+        fs.rename(fs_.Path(f"{folder}/{name}"), fs_.Path(f"{folder}/u7_2024-01-01_{i}_log.csv"))
     out = files.read_logs(spark, folder)
     return out.select("user_id", "day", "ts", "session", F.try_variant_get("args", "$.place", "long").alias("place"))
 
@@ -80,11 +80,14 @@ def polygons(spark, d):
     return p.select("polygon_id", F.size("ring").cast("long").alias("n_points"), F.round("x1", 6).alias("west"), F.round("y2", 6).alias("north"))
 
 
-@query("F12_polygons_kept", oracle("WITH b AS (SELECT extra_category, (max(lon) - min(lon) + 0.01) AS w FROM fx_venue GROUP BY extra_category) SELECT extra_category AS polygon_id FROM b WHERE w * 0.03 * 1e6 < 6100"))
+@query("F12_polygons_kept", oracle("WITH b AS (SELECT extra_category, (max(lon) - min(lon) + 0.01) AS w, min(nb_checkins) AS m, count(*) AS n FROM fx_venue GROUP BY extra_category) SELECT extra_category AS polygon_id FROM b WHERE w * 0.03 * 1e6 < 6100 AND (m <= 20 OR n % 2 = 0) AND n % 5 <> 0"))
 def polygons_kept(spark, d):
-    """Polygons below an area, by the shoelace formula."""
+    """Polygons with a name or a house name, without an administrative level, below an area by the shoelace formula."""
     area = F.aggregate(F.sequence(F.lit(0), F.size("ring") - 2), F.lit(0.0), lambda s, i: s + F.get("ring", i)["x"] * F.get("ring", i + 1)["y"] - F.get("ring", i + 1)["x"] * F.get("ring", i)["y"])
-    return boxes(spark, d).withColumn("area", F.abs(area) / 2).filter(F.col("area") * 1e6 < 6100).select("polygon_id")
+    v = view(spark, d, "fx_venue").groupBy(F.col("extra_category").alias("polygon_id")).agg(F.min("nb_checkins").alias("m"), F.count("*").alias("n"))
+    tagged = v.select("polygon_id", F.when(F.col("m") <= 20, "name").alias("name"), F.when(F.col("n") % 2 == 0, "house").alias("house"), F.when(F.col("n") % 5 == 0, 8).alias("level"))
+    p = boxes(spark, d).join(tagged, "polygon_id").filter("(name is not null or house is not null) and level is null")
+    return p.withColumn("area", F.abs(area) / 2).filter(F.col("area") * 1e6 < 6100).select("polygon_id")
 
 
 def venue_json(spark, d):
@@ -130,11 +133,10 @@ def tips(spark, d):
 
 @query("X8_similar_names")
 def similar_names(spark, d):
-    """Distinct part types that share their first word and resemble each other but for a root word."""
-    t = table(spark, d, "part").select(F.col("p_name").alias("p_type")).distinct().withColumn("head", F.substring_index("p_type", " ", 1))
-    pairs = t.join(t.withColumnRenamed("p_type", "other"), "head").filter("p_type < other")
-    same = F.udf(lambda a, b: interests.similar_names(a, b, frozenset(["tin", "steel"])), "boolean")
-    return pairs.select("p_type", "other", same("p_type", "other").alias("similar"))
+    """Pairs of names of one size that resemble each other, or differ by one root word on either side."""
+    name = F.concat_ws(" ", "p_name", F.lit("of"), F.lower("p_type"))
+    t = table(spark, d, "part").select("p_size", name.alias("name")).distinct()
+    return interests.similar_pairs(t, ["p_size"], "name", ["ring", "bolt", "gear"])
 
 
 @query("X23_tags", oracle("SELECT venue_id, 'Road ' || extra_category || ' ' || nb_checkins AS address FROM fx_venue"))

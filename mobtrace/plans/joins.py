@@ -353,13 +353,25 @@ def ratings_with_scores(spark, d):
     return mean.join(s, ["venue_id", "pi_id"]).select(F.col("venue_id").alias("place_id"), "pi_id", "model_type", "feature_type", "n", "rating", "score")
 
 
-@query("J25_linked_entities", oracle("WITH l AS (SELECT venue_id, leaf_category AS category_id FROM fx_venue UNION SELECT v.venue_id, c.parent_id FROM fx_venue v JOIN fx_category c ON v.leaf_category = c.category_id) SELECT venue_id, list_sort(list(DISTINCT name)) AS entities FROM l JOIN fx_category c ON l.category_id = c.category_id GROUP BY venue_id"))
-def linked_entities(spark, d):
-    """Names of what a venue and its parent link to."""
-    c = view(spark, d, "fx_category")
-    links = c.select("category_id", "name").unionByName(c.join(c.select(F.col("category_id").alias("of"), F.col("name").alias("up")), F.col("parent_id") == F.col("of")).select("category_id", F.col("up").alias("name")))
-    v = view(spark, d, "fx_venue").select("venue_id", F.col("leaf_category").alias("category_id"))
-    return v.join(links, "category_id").groupBy("venue_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
+@query("J25_linked_entities")
+def linked_entities(spark, d, metres: float = 200.0, least: float = 0.6):
+    """Interests of a venue and its parent: what their categories give, and the type of the place of the knowledge base that lies near and is named alike; similar names are one, with all their sources."""
+    from mobtrace.operators import interests
+
+    c = view(spark, d, "fx_category").select("category_id", F.col("name").alias("category"))
+    v = spatial.projected(view(spark, d, "fx_venue")).select("venue_id", "name", "leaf_category", "extra_category", "mx", "my", F.floor(F.col("venue_id") / 2).alias("parent_id"))
+    parent = v.select(F.col("venue_id").alias("parent_id"), *[F.col(x_).alias(f"up_{x_}") for x_ in ("name", "leaf_category", "mx", "my")])
+    own = v.select("venue_id", F.lit("own").alias("of"), "name", "leaf_category", F.col("mx").alias("px"), F.col("my").alias("py"))
+    up = v.join(parent, "parent_id").select("venue_id", F.lit("parent").alias("of"), F.col("up_name").alias("name"), F.col("up_leaf_category").alias("leaf_category"), F.col("up_mx").alias("px"), F.col("up_my").alias("py"))
+    both = own.unionByName(up)
+    kb = v.filter("venue_id % 2 = 0").join(c, F.col("extra_category") == F.col("category_id")).select(F.col("venue_id").alias("kb_id"), F.concat("name", F.lit(" hall")).alias("kb_name"), F.lower("category").alias("type"), "mx", "my")
+    near = spatial.within(both.select("venue_id", "of", "name", "px", "py"), kb, metres)
+    near = near.withColumn("s", F.round(x.containment(x.trigrams(F.col("name")), x.trigrams(F.col("kb_name"))), 6)).filter(F.col("s") >= least)
+    linked = near.groupBy("venue_id", "of").agg(F.min(F.struct(-F.col("s"), "distance", "kb_id", "type")).alias("x"))
+    found = linked.select("venue_id", F.concat("of", F.lit(" kb")).alias("source"), F.col("x.type").alias("name"))
+    named = both.join(c, F.col("leaf_category") == F.col("category_id")).select("venue_id", F.concat("of", F.lit(" category")).alias("source"), F.lower("category").alias("name"))
+    every = found.unionByName(named).groupBy("venue_id", "name").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return interests.merged_sources(every, ["venue_id"], "name", "sources")
 
 
 INSTANTS = "SELECT event_id, user_id % 50 AS user_id, 788918400 + (event_id * 7919 % 2400) * 86400 + event_id % 86400 AS t FROM events"

@@ -162,19 +162,20 @@ def venue_chains(raw: DataFrame) -> DataFrame:
     return v.select(F.col("c.id").alias("chain_id"), F.col("c.name").alias("name"), F.concat("c.logo.prefix", "c.logo.name").alias("logo_url")).dropDuplicates(["chain_id"])
 
 
-def flatten_categories(raw: DataFrame, depth: int = 4) -> DataFrame:
-    """Edges of a nested category tree (column value), a level at a time."""
-    kind = "struct<id:string,name:string>"
-    for _ in range(depth - 1):
-        kind = f"struct<id:string,name:string,categories:array<{kind}>>"
-    level = raw.select(F.explode(F.from_json("value", f"array<{kind}>")).alias("c"), F.lit("").alias("parent_id"))
-    out = None
-    for i in range(depth):
-        rows = level.filter("c.id is not null").select(F.col("c.id").alias("category_id"), "parent_id", F.col("c.name").alias("name"))
+def flatten_categories(raw: DataFrame) -> DataFrame:
+    """Edges of a nested category tree (column value), level by level to the last one; what is nested stays text until its turn."""
+    from mobtrace.sources.scratch import cut
+
+    kind = "array<struct<id:string,name:string,categories:string>>"
+    level, out = raw.select("value", F.lit("").alias("parent_id")), None
+    while True:
+        level = level.select("parent_id", F.explode(F.from_json("value", kind)).alias("c")).filter("c.id is not null")
+        level = cut(level.select(F.col("c.id").alias("category_id"), "parent_id", F.col("c.name").alias("name"), F.col("c.categories").alias("value")), "tree")
+        if out is not None and level.isEmpty():
+            return out
+        rows = level.drop("value")
         out = rows if out is None else out.unionByName(rows)
-        if i < depth - 1:
-            level = level.select(F.col("c.id").alias("parent_id"), F.explode("c.categories").alias("c"))
-    return out
+        level = level.filter("value is not null").select("value", F.col("category_id").alias("parent_id"))
 
 
 TIP = "struct<id:string,text:string,createdAt:bigint,agreeCount:bigint,lang:string,likes:struct<count:bigint>,user:struct<id:string,firstName:string>,entities:array<struct<text:string,type:string>>>"
