@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Rule = Mapping[str, str]
+#: Ids of places that edits add begin here, by the edit's id or by the venue's.
+NEW_PLACE, NEW_VENUE = 1_000_000_000, 2_000_000_000
 
 
 def latest(edits: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -60,3 +62,38 @@ def without_orphans(places: DataFrame, visits: DataFrame, removed: DataFrame) ->
     left = visits.join(gone, "visit_id", "left").groupBy("place_id").agg(F.count("*").alias("n"), F.count("__gone").alias("g"))
     orphan = left.filter((F.col("n") == F.col("g")) & (F.col("n") == 1)).select("place_id")
     return places.join(orphan, "place_id", "left_anti")
+
+
+def offsets_at(asked: DataFrame, visits: DataFrame) -> DataFrame:
+    """``asked`` (id, user_id, t) with ``offset``: that of the user's visit whose arrival is nearest in time.
+
+    Instants and arrivals are sorted together for each user, so no pairs are made. Of two as near the earlier counts.
+    """
+    v = visits.groupBy("user_id", "arrival").agg(F.min_by("utc_offset", "visit_id").alias("offset"))
+    v = v.select("user_id", F.col("arrival").alias("t"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("id"), F.struct("arrival", F.col("offset").cast("long").alias("offset")).alias("v"))
+    q = asked.select("user_id", "t", F.lit(1).alias("asks"), F.col("id").cast("long").alias("id"), F.lit(None).cast("struct<arrival:bigint,offset:bigint>").alias("v"))
+    order = Window.partitionBy("user_id").orderBy("t", "asks")
+    both = q.unionByName(v).withColumns({"before": F.last("v", True).over(order), "after": F.first("v", True).over(order.rowsBetween(0, Window.unboundedFollowing))}).filter("asks = 1")
+    nearer = F.col("before").isNotNull() & (F.col("after").isNull() | (F.col("t") - F.col("before.arrival") <= F.col("after.arrival") - F.col("t")))
+    return asked.join(both.select("id", F.when(nearer, F.col("before.offset")).otherwise(F.col("after.offset")).alias("offset")), "id")
+
+
+def routed_places(edits: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edits with place_id and branch, places): where each edit (id, user_id, new_place, new_venue, name, old_place) leads.
+
+    A new venue leads to the user's place of that venue, which is added where there is none;
+    a new place to that place; otherwise the name makes a place of its own, or, where the old
+    place isn't a venue's, renames it. The last name given to a place holds.
+    """
+    known = places.select("user_id", F.col("venue_id").alias("new_venue"), F.col("place_id").alias("of_venue")).filter("new_venue is not null")
+    old = places.select("user_id", F.col("place_id").alias("old_place"), F.col("venue_id").alias("old_venue"), F.col("name").alias("old_name"))
+    e = edits.join(known, ["user_id", "new_venue"], "left").join(old, ["user_id", "old_place"], "left")
+    same = F.col("old_name") == F.col("name")
+    custom = F.col("old_place").isNull() | F.col("old_venue").isNotNull()
+    branch = F.when(same, "same").when(F.col("new_venue").isNotNull(), "venue").when(F.col("new_place").isNotNull(), "place").when(custom, "custom").otherwise("renamed")
+    to = F.when(branch.isin("same", "renamed"), F.col("old_place")).when(branch == "venue", F.coalesce("of_venue", F.lit(NEW_VENUE) + F.col("new_venue"))).when(branch == "place", F.col("new_place")).otherwise(F.lit(NEW_PLACE) + F.col("id"))
+    e = e.withColumns({"branch": branch, "place_id": to})
+    added = e.filter("branch = 'custom' or (branch = 'venue' and of_venue is null)").select("user_id", "place_id", F.when(F.col("branch") == "venue", F.concat(F.lit("venue "), "new_venue")).otherwise(F.col("name")).alias("name"), F.when(F.col("branch") == "venue", F.col("new_venue")).alias("venue_id")).dropDuplicates(["user_id", "place_id"])
+    names = e.filter("branch = 'renamed'").groupBy("user_id", "place_id").agg(F.max_by("name", "id").alias("__name"))
+    after = places.select("user_id", "place_id", "name", "venue_id").unionByName(added).join(names, ["user_id", "place_id"], "left").withColumn("name", F.coalesce("__name", "name")).drop("__name")
+    return e, after

@@ -80,12 +80,12 @@ def polygons(spark, d):
     return p.select("polygon_id", F.size("ring").cast("long").alias("n_points"), F.round("x1", 6).alias("west"), F.round("y2", 6).alias("north"))
 
 
-@query("F12_polygons_kept", oracle("WITH b AS (SELECT extra_category, (max(lon) - min(lon) + 0.01) AS w, min(nb_checkins) AS m, count(*) AS n FROM fx_venue GROUP BY extra_category) SELECT extra_category AS polygon_id FROM b WHERE w * 0.03 * 1e6 < 6100 AND (m <= 20 OR n % 2 = 0) AND n % 5 <> 0"))
+@query("F12_polygons_kept", oracle("WITH b AS (SELECT extra_category, (max(lon) - min(lon) + 0.01) AS w, min(venue_id) AS m FROM fx_venue GROUP BY extra_category) SELECT extra_category AS polygon_id FROM b WHERE w * 0.03 * 1e6 < 6100 AND (m % 3 = 0 OR m % 2 = 0) AND m % 5 <> 0"))
 def polygons_kept(spark, d):
     """Polygons with a name or a house name, without an administrative level, below an area by the shoelace formula."""
     area = F.aggregate(F.sequence(F.lit(0), F.size("ring") - 2), F.lit(0.0), lambda s, i: s + F.get("ring", i)["x"] * F.get("ring", i + 1)["y"] - F.get("ring", i + 1)["x"] * F.get("ring", i)["y"])
-    v = view(spark, d, "fx_venue").groupBy(F.col("extra_category").alias("polygon_id")).agg(F.min("nb_checkins").alias("m"), F.count("*").alias("n"))
-    tagged = v.select("polygon_id", F.when(F.col("m") <= 20, "name").alias("name"), F.when(F.col("n") % 2 == 0, "house").alias("house"), F.when(F.col("n") % 5 == 0, 8).alias("level"))
+    v = view(spark, d, "fx_venue").groupBy(F.col("extra_category").alias("polygon_id")).agg(F.min("venue_id").alias("m"))
+    tagged = v.select("polygon_id", F.when(F.col("m") % 3 == 0, "name").alias("name"), F.when(F.col("m") % 2 == 0, "house").alias("house"), F.when(F.col("m") % 5 == 0, 8).alias("level"))
     p = boxes(spark, d).join(tagged, "polygon_id").filter("(name is not null or house is not null) and level is null")
     return p.withColumn("area", F.abs(area) / 2).filter(F.col("area") * 1e6 < 6100).select("polygon_id")
 

@@ -10,6 +10,7 @@ from mobtrace.functions import scalars as x
 from mobtrace.operators import models as m
 from mobtrace.operators import rows as r
 from mobtrace.plans.registry import query
+from mobtrace.sources.scratch import cut
 
 MODELS = ("sg", "cbow", "cn")
 KEY = ("venue_id", "pi_id")
@@ -56,6 +57,14 @@ def cross_validation(spark, d, folds: int = 5):
     return m.confusion(out, ["fold"])
 
 
+@query("M15_hold_out")
+def hold_out(spark, d, share: int = 5):
+    """Confusion of a model on the fifth of the rows that it hasn't seen."""
+    rows = matrix(spark, d).withColumn("fold", fold(share))
+    model = m.train(m.oversampled(rows.filter("fold <> 0").drop("fold"), MODELS, KEY), MODELS)
+    return m.confusion(m.predicted(model, rows.filter("fold = 0"), MODELS))
+
+
 JUDGED = "WITH s AS (SELECT venue_id, pi_id, model_type AS model, max(score) AS score FROM fx_score GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model, venue_id ORDER BY score DESC, pi_id) AS rank FROM s), r AS (SELECT place_id, pi_id, avg(rating) AS rating FROM fx_rating GROUP BY place_id, pi_id), j AS (SELECT k.*, CASE WHEN r.rating >= 4 THEN 1 ELSE 0 END AS relevant FROM k LEFT JOIN r ON k.venue_id = r.place_id AND k.pi_id = r.pi_id)"
 
 
@@ -65,10 +74,22 @@ def judged(spark, d):
     return k.withColumn("relevant", F.when(F.col("rating") >= 4, 1).otherwise(0)).drop("rating")
 
 
-@query("M16_top_n_errors", oracle(f"{JUDGED} SELECT model, venue_id, count(*) FILTER (WHERE rank <= 3 AND relevant = 0) AS wrong, count(*) FILTER (WHERE rank <= 3 AND relevant = 1) AS hit, count(*) FILTER (WHERE rank > 3 AND relevant = 1) AS missed, round(count(*) FILTER (WHERE (rank <= 3) <> (relevant = 1))::DOUBLE / count(*), 6) AS error FROM j GROUP BY model, venue_id", "fx_score", "fx_rating"))
-def top_n_errors(spark, d, n: int = 3):
-    top, good = F.col("rank") <= n, F.col("relevant") == 1
-    return judged(spark, d).groupBy("model", "venue_id").agg(F.count_if(top & ~good).alias("wrong"), F.count_if(top & good).alias("hit"), F.count_if(~top & good).alias("missed"), F.round(F.count_if(top != good) / F.count("*"), 6).alias("error"))
+FULL = "WITH r AS (SELECT place_id, pi_id, CASE WHEN avg(rating) >= 4 THEN 1 ELSE 0 END AS y FROM fx_rating GROUP BY place_id, pi_id), s AS (SELECT model_type AS model, venue_id, pi_id, max(score) / 1000 AS score FROM fx_score GROUP BY ALL), f AS (SELECT b.model, b.venue_id, c.pi_id, coalesce(s.score, 0.0) AS score, coalesce(r.y, 0) AS y FROM (SELECT DISTINCT model, venue_id FROM s) b, (SELECT DISTINCT pi_id FROM s) c LEFT JOIN s ON s.model = b.model AND s.venue_id = b.venue_id AND s.pi_id = c.pi_id LEFT JOIN r ON r.place_id = b.venue_id AND r.pi_id = c.pi_id), g AS (SELECT *, CASE WHEN score >= 0.01 THEN 1 ELSE 0 END AS p, row_number() OVER (PARTITION BY model, venue_id ORDER BY score DESC, pi_id) AS rank FROM f)"
+
+
+@query("M16_top_n_errors", oracle(f"{FULL} SELECT model, venue_id, round(count(*) FILTER (WHERE rank <= 5 AND p <> y) / 5.0, 6)::DOUBLE AS top_error, round(count(*) FILTER (WHERE p <> y)::DOUBLE / count(*), 6) AS error, round(CASE WHEN count(*) FILTER (WHERE y = 1 OR score > 0) > 0 THEN count(*) FILTER (WHERE (y = 1 OR score > 0) AND p <> y)::DOUBLE / count(*) FILTER (WHERE y = 1 OR score > 0) ELSE 1.0 END, 6) AS error_of_some, round(CASE WHEN count(*) FILTER (WHERE y = 1 OR score > 0) > 0 THEN count(*) FILTER (WHERE y = p AND y = 1)::DOUBLE / count(*) FILTER (WHERE y = 1 OR score > 0) ELSE 0.0 END, 6) AS overlap, list_sort(list(pi_id) FILTER (WHERE rank <= 5)) AS top FROM g GROUP BY model, venue_id", "fx_score", "fx_rating"))
+def top_n_errors(spark, d, n: int = 5, least: float = 0.01):
+    """Errors of scores rounded at a threshold, over the whole catalogue (an interest without a score has 0): of the first n, of all, of those scored or relevant, and the overlap with what is relevant."""
+    s = scores(spark, d).withColumn("score", F.col("score") / 1000)
+    every = s.agg(F.collect_set("pi_id").alias("every"))  # the catalogue, as one row
+    full = s.select("model", "venue_id").distinct().crossJoin(F.broadcast(every)).select("model", "venue_id", F.explode("every").alias("pi_id"))
+    mean = view(spark, d, "fx_rating").groupBy(F.col("place_id").alias("venue_id"), "pi_id").agg((F.avg("rating") >= 4).alias("y"))
+    g = full.join(s, ["model", *KEY], "left").join(mean, list(KEY), "left").select("model", *KEY, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("y", F.lit(False)).alias("y"))
+    g = m.ranked(g).withColumns({"p": F.col("score") >= least, "some": F.col("y") | (F.col("score") > 0)})
+    wrong = F.col("p") != F.col("y")
+    by = g.groupBy("model", "venue_id").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"), F.count_if((F.col("rank") <= n) & wrong).alias("top_wrong"), F.count_if("some").alias("some"), F.count_if(F.col("some") & wrong).alias("some_wrong"), F.count_if(F.col("p") & F.col("y")).alias("hit"), F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.col("pi_id")))).alias("top"))
+    share = lambda a, b, default: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(default)), 6)
+    return by.select("model", "venue_id", F.round(F.col("top_wrong") / n, 6).alias("top_error"), F.round(F.col("wrong") / F.col("n"), 6).alias("error"), share("some_wrong", "some", 1.0).alias("error_of_some"), share("hit", "some", 0.0).alias("overlap"), "top")
 
 
 @query("M17_average_precision", oracle(f"{JUDGED}, h AS (SELECT *, sum(relevant) OVER (PARTITION BY model, venue_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM j) SELECT model, venue_id, round(avg(CASE WHEN relevant = 1 THEN hits::DOUBLE / rank END), 6) AS average_precision FROM h GROUP BY model, venue_id", "fx_score", "fx_rating"))
@@ -97,16 +118,34 @@ def balanced_metrics(spark, d, least: int = 3):
     return c.select("model", "tp", "fp", "fn", "tn", F.round((share("tp", "fn") + share("tn", "fp")) / 2, 6).alias("balanced"))
 
 
-@query("M20_frequency_baseline", oracle("WITH n AS (SELECT pi_id, count(*) AS n FROM fx_rating WHERE rating >= 4 GROUP BY pi_id), v AS (SELECT DISTINCT venue_id FROM fx_score), u AS (SELECT v.venue_id, n.pi_id, n.n, ('0x' || substr(md5(v.venue_id || ':' || n.pi_id || ':5'), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u FROM v, n), k AS (SELECT venue_id, pi_id, row_number() OVER (PARTITION BY venue_id ORDER BY -ln(greatest(u, 1e-12)) / n, pi_id) AS draw FROM u) SELECT venue_id, pi_id, draw FROM k WHERE draw <= 3"))
-def frequency_baseline(spark, d, draws: int = 3, seed: int = 5):
-    """Interests drawn for each venue without return, weighted by frequency: the least exponential keys win."""
-    n = view(spark, d, "fx_rating").filter("rating >= 4").groupBy("pi_id").agg(F.count("*").alias("n"))
-    v = view(spark, d, "fx_score").select("venue_id").distinct()
-    u = m.uniform(F.col("venue_id"), F.col("pi_id"), seed=seed)
-    key = -F.log(F.greatest(u, F.lit(1e-12))) / F.col("n")
-    w = Window.partitionBy("venue_id").orderBy(key, "pi_id")
-    k = v.crossJoin(n).withColumn("draw", F.row_number().over(w).cast("long"))  # one row for each interest of the catalogue
-    return k.filter(F.col("draw") <= draws).select("venue_id", "pi_id", "draw")
+BASELINE = """WITH c AS (SELECT DISTINCT pi_id FROM fx_score), k AS (SELECT pi_id, count(*) AS n FROM (SELECT DISTINCT place_id, pi_id FROM fx_rating) GROUP BY pi_id),
+w AS (SELECT c.pi_id, coalesce(k.n, 1) AS n FROM c LEFT JOIN k ON c.pi_id = k.pi_id), z AS (SELECT pi_id, sum(n) OVER (ORDER BY pi_id) AS upto, sum(n) OVER () AS total FROM w),
+v AS (SELECT DISTINCT venue_id FROM fx_score), u AS (SELECT venue_id, i, ('0x' || substr(md5(venue_id || ':' || i || ':5'), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u FROM v, range(1, 11) n(i)),
+d AS (SELECT DISTINCT venue_id, (SELECT min(pi_id) FROM z WHERE upto > u.u * total) AS pi_id FROM u),
+r AS (SELECT place_id, pi_id, CASE WHEN avg(rating) >= 4 THEN 1 ELSE 0 END AS y FROM fx_rating GROUP BY place_id, pi_id),
+f AS (SELECT v.venue_id, c.pi_id, coalesce(r.y, 0) AS y, CASE WHEN d.pi_id IS NULL THEN 0 ELSE 1 END AS p FROM v, c LEFT JOIN r ON r.place_id = v.venue_id AND r.pi_id = c.pi_id LEFT JOIN d ON d.venue_id = v.venue_id AND d.pi_id = c.pi_id),
+t AS (SELECT venue_id, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp, count(*) FILTER (WHERE y = 1 AND p = 0) AS fn, count(*) FILTER (WHERE y = 0 AND p = 0) AS tn FROM f GROUP BY venue_id HAVING sum(y) >= 3)"""
+
+
+@query("M20_frequency_baseline", oracle(f"{BASELINE}, b AS (SELECT *, tp::DOUBLE / (tp + fn) AS recall, CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) END AS other FROM t) SELECT venue_id, tp, fp, fn, tn, round(recall, 6) AS recall, round((recall + other) / 2, 6) AS accuracy, round(CASE WHEN recall + 1 - other > 0 THEN recall / (recall + 1 - other) END, 6) AS precision, round(CASE WHEN recall + 1 - other + 1 > 0 THEN 2 * recall / (recall + 1 - other + 1) END, 6) AS f1 FROM b", "fx_score", "fx_rating"))
+def frequency_baseline(spark, d, draws: int = 10, seed: int = 5, least: int = 3):
+    """Interests drawn ten times for each venue, by their frequency (1 for unseen ones), and how well that does where enough is relevant; both classes weigh the same."""
+    s = view(spark, d, "fx_score")
+    k = view(spark, d, "fx_rating").select("place_id", "pi_id").distinct().groupBy("pi_id").agg(F.count("*").alias("n"))
+    w = s.select("pi_id").distinct().join(k, "pi_id", "left").select("pi_id", F.coalesce("n", F.lit(1)).alias("n"))
+    # the catalogue with its weights is one row, and each draw is looked up in it
+    one = w.agg(F.array_sort(F.collect_list(F.struct("pi_id", "n"))).alias("w"), F.sum("n").alias("total"))
+    upto = F.transform("w", lambda x_, i: F.struct(x_["pi_id"].alias("pi_id"), F.aggregate(F.slice("w", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("upto")))
+    one = one.select(upto.alias("w"), "total")
+    v = s.select("venue_id").distinct().crossJoin(F.broadcast(one))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.filter("w", lambda x_: x_["upto"] > m.uniform(F.col("venue_id"), i, seed=seed) * F.col("total"))[0]["pi_id"])
+    f = v.withColumn("drawn", drawn).select("venue_id", F.explode("w").alias("x"), "drawn").select("venue_id", "x.pi_id", F.array_contains("drawn", F.col("x.pi_id")).cast("int").alias("prediction"))
+    mean = view(spark, d, "fx_rating").groupBy(F.col("place_id").alias("venue_id"), "pi_id").agg((F.avg("rating") >= 4).cast("int").alias("label"))
+    t = m.confusion(f.join(mean, list(KEY), "left").fillna(0, ["label"]), ["venue_id"]).filter(F.col("tp") + F.col("fn") >= least).select("venue_id", "tp", "fp", "fn", "tn")
+    recall, other = F.col("tp") / (F.col("tp") + F.col("fn")), F.try_divide(F.col("tn").cast("double"), F.col("tn") + F.col("fp"))
+    t = t.withColumns({"r": recall, "o": other})
+    wrong = 1 - F.col("o")
+    return t.select("venue_id", "tp", "fp", "fn", "tn", F.round("r", 6).alias("recall"), F.round((F.col("r") + F.col("o")) / 2, 6).alias("accuracy"), F.round(F.try_divide(F.col("r"), F.col("r") + wrong), 6).alias("precision"), F.round(F.try_divide(2 * F.col("r"), F.col("r") + wrong + 1), 6).alias("f1"))
 
 
 @query("M21_predictions")
@@ -127,47 +166,89 @@ def english(spark, d):
     return view(spark, d, "fx_tip").filter("lang = 'en'").select("tip_id", "venue_id", words.alias("words")).filter(F.size("words") > 0)
 
 
-@query("M9_topics")
-def topics(spark, d):
-    """The mean topic mix of each venue's tips under one shared model, best topics first."""
+def by_topic(spark, d, topics: int = 20, least: int = 20):
+    """One model of the English tips; each category's and tip's mix of topics, for categories with ``least`` tips."""
     from pyspark.ml.functions import vector_to_array
 
     e = english(spark, d)
-    _, _, mixes = m.topics(e.select("tip_id", "words"))
+    c = view(spark, d, "fx_category").select(F.col("category_id").alias("extra_category"), F.col("parent_id").alias("category_id"))
+    v = view(spark, d, "fx_venue").join(c, "extra_category").select("venue_id", "category_id")
+    e = cut(e.join(v, "venue_id"), "tips")
+    model, words, mixes = m.topics(e.select("tip_id", "words"), topics)
     mix = mixes.select("tip_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share"))
-    by = e.select("tip_id", "venue_id").join(mix, "tip_id").groupBy("venue_id", "topic").agg(F.avg("share").alias("share"))
-    return r.top(by, ["venue_id"], [F.desc("share"), F.col("topic")], 3).select("venue_id", F.col("topic").cast("long").alias("topic"), F.round("share", 4).alias("share"))
+    enough = e.groupBy("category_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("category_id")
+    mix = cut(e.join(enough, "category_id", "left_semi").select("tip_id", "category_id").join(mix, "tip_id"), "mixes")
+    return model, words, mix
+
+
+@query("M9_topics")
+def topics(spark, d):
+    """The mean mix of topics of each category that has enough tips, under one shared model, best topics first."""
+    _, _, mix = by_topic(spark, d)
+    by = mix.groupBy("category_id", "topic").agg(F.avg("share").alias("share"))
+    w = Window.partitionBy("category_id").orderBy(F.desc("share"), "topic")
+    return by.select("category_id", F.col("topic").cast("long").alias("topic"), F.round("share", 4).alias("share"), F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query("T5_topic_words")
+def topic_words(spark, d, n: int = 10, docs: int = 5):
+    """The first words of each topic, and the tips that have most of it."""
+    model, words, mix = by_topic(spark, d)
+    return described_topics(spark, model, words, mix, n, docs)
+
+
+def described_topics(spark, model, words, mix, n: int, docs: int):
+    names = spark.createDataFrame(list(enumerate(words)), "term int, word string")  # at most as many terms as the model has
+    own = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "x")).select("topic", "at", F.col("x.termIndices").alias("term"), F.col("x.termWeights").alias("weight"))
+    own = own.join(names, "term").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x_: x_["word"]).alias("words"))
+    best = r.top(mix, ["topic"], [F.desc("share"), F.col("tip_id")], docs).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "tip_id"))), lambda x_: x_["tip_id"]).alias("tips"))
+    return own.join(best, "topic", "left").select(F.col("topic").cast("long").alias("topic"), "words", "tips")
 
 
 @query("M10_factor_topics")
-def factor_topics(spark, d, most: int = 2000):
-    """Non-negative factors of venues by the commonest words of their tips; the first words of each topic."""
-    words = english(spark, d).select("venue_id", F.explode("words").alias("word"))
-    known = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    known = known.withColumn("term", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("int")).select("word", "term")
-    weights = words.join(known, "word").groupBy(F.col("venue_id").cast("int").alias("doc"), "term").agg(F.log1p(F.count("*")).cast("float").alias("weight"))
+def factor_topics(spark, d, terms: int = 1000):
+    """Non-negative factors of tips by terms, weighted by tf-idf; the model has a fixed number of terms, the commonest; the first words of each topic."""
+    words = english(spark, d).select("tip_id", F.explode("words").alias("word"))
+    tf = words.groupBy("tip_id", "word").agg(F.count("*").alias("tf"))
+    known = tf.groupBy("word").agg(F.count("*").alias("df")).filter("df >= 2").orderBy(F.desc("df"), "word").limit(terms)
+    known = r.numbered(known, [F.desc("df"), F.col("word")], "term").withColumn("term", (F.col("term") - 1).cast("int"))
+    total = words.agg(F.count_distinct("tip_id").alias("n"))
+    weights = tf.join(known, "word").crossJoin(F.broadcast(total)).select(F.col("tip_id").cast("int").alias("doc"), "term", (F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1))).cast("float").alias("weight")).filter("weight > 0")  # one row is sent
     model = m.factor_topics(weights)
-    terms = model.itemFactors.select(F.col("id").alias("term"), F.posexplode("features").alias("topic", "weight")).join(known, "term")
-    return r.top(terms, ["topic"], [F.desc("weight"), F.col("word")], 10).select(F.col("topic").cast("long").alias("topic"), "word", F.round("weight", 4).alias("weight"))
+    found = model.itemFactors.select(F.col("id").alias("term"), F.posexplode("features").alias("topic", "weight")).join(known, "term")
+    return r.top(found, ["topic"], [F.desc("weight"), F.col("word")], 10).select(F.col("topic").cast("long").alias("topic"), "word", F.round("weight", 4).alias("weight"))
 
 
 @query("M22_place_embeddings")
-def place_embeddings(spark, d, size: int = 16):
-    """Vectors of venues from the sequences of users' check-ins."""
+def place_embeddings(spark, d, size: int = 300, first: int = 5, near: int = 3):
+    """Vectors of interests from the sequences of users' check-ins, each place standing for its first interests; with each interest's nearest ones."""
     from pyspark.ml.feature import Word2Vec
-
-    seq = view(spark, d, "fx_checkin").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "venue_id"))).alias("s")).filter(F.size("s") >= 5)
-    seq = seq.select(F.transform("s", lambda e: e["venue_id"].cast("string")).alias("words"))
-    model = Word2Vec(vectorSize=size, windowSize=2, minCount=2, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(seq)
     from pyspark.ml.functions import vector_to_array
 
-    return model.getVectors().select(F.col("word").cast("long").alias("venue_id"), F.size(vector_to_array("vector")).cast("long").alias("size"))
+    from mobtrace.operators import interests
+
+    s = view(spark, d, "fx_score").groupBy("venue_id", "pi_id").agg(F.max("score").alias("score"))
+    own = r.top(s, ["venue_id"], [F.desc("score"), F.col("pi_id")], first).groupBy("venue_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pi_id"))), lambda x_: x_["pi_id"].cast("string")).alias("pis"))
+    c = view(spark, d, "fx_checkin").withColumn("venue_id", F.col("venue_id") % 50)
+    seq = c.join(own, "venue_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "venue_id", "pis"))).alias("s")).filter(F.size("s") >= 5)
+    seq = seq.select(F.flatten(F.transform("s", lambda e: e["pis"])).alias("words"))
+    model = Word2Vec(vectorSize=size, windowSize=2, minCount=2, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(seq)
+    v = cut(model.getVectors().select(F.col("word").cast("long").alias("pi_id"), vector_to_array("vector").alias("vector")), "vectors")
+    best = interests.best_matches(v.withColumnRenamed("pi_id", "of"), "vector", v, "pi_id", "vector", near + 1).filter("pi_id <> of")
+    best = best.groupBy("of").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pi_id"))), 1, near), lambda x_: x_["pi_id"]).alias("nearest"))
+    return v.join(best, F.col("pi_id") == F.col("of"), "left").select("pi_id", "vector", "nearest")
 
 
-@query("C7_topics_of_category", oracle("SELECT leaf_category, list_sort(list(DISTINCT lang)) AS langs, count(*) AS tips FROM fx_tip t JOIN fx_venue v ON t.venue_id = v.venue_id GROUP BY leaf_category"))
-def topics_of_category(spark, d):
-    v = view(spark, d, "fx_venue").select("venue_id", "leaf_category")
-    return view(spark, d, "fx_tip").join(v, "venue_id").groupBy("leaf_category").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.count("*").alias("tips"))
+@query("C7_topics_of_category")
+def topics_of_category(spark, d, n: int = 10, docs: int = 5):
+    """The topics of each category in the order of their rank, with their first words and the category's tips that have most of them."""
+    model, words, mix = by_topic(spark, d)
+    by = mix.groupBy("category_id", "topic").agg(F.avg("share").alias("share"))
+    rank = F.row_number().over(Window.partitionBy("category_id").orderBy(F.desc("share"), "topic")).cast("long")
+    best = r.top(mix, ["category_id", "topic"], [F.desc("share"), F.col("tip_id")], docs).groupBy("category_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "tip_id"))), lambda x_: x_["tip_id"]).alias("tips"))
+    own = described_topics(spark, model, words, mix, n, 1).select("topic", "words")
+    out = by.withColumn("rank", rank).join(best, ["category_id", "topic"]).join(own, "topic")
+    return out.select("category_id", "rank", F.col("topic").cast("long").alias("topic"), "words", "tips").orderBy("category_id", "rank")
 
 
 @query("X19_random_points", oracle("WITH u AS (SELECT venue_id, lat, lon, ('0x' || substr(md5(venue_id || ':1'), 1, 8))::BIGINT::DOUBLE / 4294967296 AS a, ('0x' || substr(md5(venue_id || ':2'), 1, 8))::BIGINT::DOUBLE / 4294967296 AS b FROM fx_venue) SELECT venue_id, round(lat + degrees(100 * sqrt(a) * sin(2 * pi() * b) / 6378137.0), 8) AS lat, round(lon + degrees(100 * sqrt(a) * cos(2 * pi() * b) / (6378137.0 * cos(radians(lat)))), 8) AS lon FROM u"))
@@ -180,6 +261,11 @@ def random_points(spark, d, radius: float = 100.0):
     return view(spark, d, "fx_venue").select("venue_id", F.round(lat, 8).alias("lat"), F.round(lon, 8).alias("lon"))
 
 
-@query("A19_instances_of_types", oracle("SELECT leaf_category, count(*) AS n, list_sort(list(DISTINCT extra_category)) AS subjects FROM fx_venue GROUP BY leaf_category"))
+@query("A19_instances_of_types", oracle("SELECT t.leaf_category, t.subject, t.venue_id AS instance, n.n FROM (SELECT DISTINCT leaf_category, extra_category AS subject, venue_id FROM fx_venue WHERE leaf_category NOT IN (SELECT parent_id FROM fx_category)) t JOIN (SELECT extra_category, count(*) AS n FROM fx_venue GROUP BY extra_category) n ON t.subject = n.extra_category", "fx_venue", "fx_category"))
 def instances_of_types(spark, d):
-    return view(spark, d, "fx_venue").groupBy("leaf_category").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("extra_category")).alias("subjects"))
+    """The sets of instances and subjects of each leaf type, a row for each member, with the subject's count."""
+    v = view(spark, d, "fx_venue")
+    inner = view(spark, d, "fx_category").select(F.col("parent_id").alias("leaf_category")).distinct()
+    n = v.groupBy(F.col("extra_category").alias("subject")).agg(F.count("*").alias("n"))
+    t = v.join(inner, "leaf_category", "left_anti").select("leaf_category", F.col("extra_category").alias("subject"), F.col("venue_id").alias("instance")).distinct()
+    return t.join(n, "subject").select("leaf_category", "subject", "instance", "n")

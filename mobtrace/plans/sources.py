@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mobtrace.fixtures import oracle, table, view
 from mobtrace.functions import geo
+from mobtrace.functions import scalars as x
 from mobtrace.plans.registry import query
 from mobtrace.sources import files
 from mobtrace.sources.scratch import scratch
@@ -46,11 +47,12 @@ def pois(spark, d):
     return files.read_pois(spark, path).select("venue_id", "lat", "lon", "category")
 
 
-@query("S6_place_interests", oracle("SELECT CAST(venue_id AS VARCHAR) AS place_id, count(*) AS n, arg_min('' || pi_id, (-score, '' || pi_id)) AS best FROM fx_score WHERE model_type = 'sg' AND feature_type = 'tips' GROUP BY venue_id"))
+@query("S6_place_interests", oracle("SELECT CAST(venue_id AS VARCHAR) AS place_id, list(pi_id || '' ORDER BY score DESC, pi_id || '') AS interests FROM (SELECT venue_id, pi_id, max(score) AS score FROM fx_score GROUP BY venue_id, pi_id) GROUP BY venue_id"))
 def place_interests(spark, d):
     path = scratch(spark, "place-pi")
-    view(spark, d, "fx_score").filter("model_type = 'sg' and feature_type = 'tips'").select("venue_id", F.lit("predict").alias("t"), "pi_id", F.concat(F.lit("pi, "), "pi_id").alias("n"), "score").write.csv(path)
-    return files.read_place_pi(spark, path).select("place_id", F.size("interests").cast("long").alias("n"), F.col("interests")[0]["pi_id"].alias("best"))
+    s = view(spark, d, "fx_score").groupBy("venue_id", "pi_id").agg(F.max("score").alias("score"))
+    s.select("venue_id", F.lit("predict").alias("t"), "pi_id", F.concat(F.lit("pi, "), "pi_id").alias("n"), "score").write.csv(path)
+    return files.read_place_pi(spark, path).select("place_id", F.transform("interests", lambda i: i["pi_id"]).alias("interests"))
 
 
 @query("S7_wide_lookup", "SELECT p_brand AS \"ID\", unnest(['INT', 'INT', 'ACT']) AS category, unnest(['a ' || p_brand, 'b ' || p_brand, 'c']) AS value FROM (SELECT DISTINCT p_brand FROM part)")
@@ -87,18 +89,52 @@ def cells(spark, d):
     return view(spark, d, "fx_venue").select("venue_id", files.parse_cells(url).alias("c")).select("venue_id", "c.*")
 
 
-@query("S20_features", oracle("SELECT place_id, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || place_id || ',' || count(*) || ']},\"properties\":{\"dur\":' || sum(departure - arrival) || ',\"nb_visits\":' || count(*) || '}}' AS feature FROM fx_visit GROUP BY place_id"))
+@query("S20_features", oracle("""WITH t AS (SELECT v.user_id, v.place_id, v.departure - v.arrival AS dur, p.lat, p.lon, p.name, v.day_no, v.visit_id FROM fx_visit v JOIN fx_place p ON v.user_id = p.user_id AND v.place_id = p.place_id),
+a AS (SELECT 'all' AS kind, NULL AS user_id, place_id AS id, any_value(lat) AS lat, any_value(lon) AS lon, '"dur":' || sum(dur) || ',"nb_visits":' || count(*) AS props FROM t GROUP BY place_id
+UNION ALL SELECT 'user', user_id, place_id, any_value(lat), any_value(lon), '"dur":' || sum(dur) || ',"nb_visits":' || count(*) FROM t GROUP BY user_id, place_id
+UNION ALL SELECT 'visit', user_id, visit_id, lat, lon, '"dur":' || dur || ',"label":"' || name || '"' FROM t
+UNION ALL SELECT 'point', user_id, ts_local, lat, lon, '"ts":' || ts_local || ',"label":"' || strftime(make_timestamp(ts_local * 1000000), '%H:%M') || '"' FROM fx_trace WHERE day_no = 1)
+SELECT kind, user_id, id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || printf('%.6f,%.6f', lon, lat) || ']},"properties":{' || props || '}}' AS feature FROM a""", "fx_visit", "fx_place", "fx_trace"))
 def features(spark, d):
-    t = view(spark, d, "fx_visit").groupBy("place_id").agg(F.sum(F.col("departure") - F.col("arrival")).alias("dur"), F.count("*").alias("nb_visits"))
-    return t.select("place_id", files.feature(F.struct("dur", "nb_visits"), F.col("place_id"), F.col("nb_visits")).alias("feature"))
-
-
-@query("S21_user_export", oracle("SELECT visit_id, user_id, place_id, arrival, departure FROM fx_visit"))
+    """Features of places over all users and of each user, of visits with their place's name, and of a day's points with their time."""
+    p = view(spark, d, "fx_place").select("user_id", "place_id", "lat", "lon", "name")
+    t = view(spark, d, "fx_visit").join(p, ["user_id", "place_id"]).withColumn("dur", F.col("departure") - F.col("arrival"))
+    at = [F.first("lat").alias("lat"), F.first("lon").alias("lon")]  # all of a place's rows have the same
+    totals = [F.sum("dur").alias("dur"), F.count("*").alias("nb_visits")]
+    made = lambda df, kind, user, id_, *props: df.select(F.lit(kind).alias("kind"), user.cast("long").alias("user_id"), F.col(id_).alias("id"), files.feature(F.struct(*props), F.col("lon").cast("decimal(9,6)"), F.col("lat").cast("decimal(9,6)")).alias("feature"))
+    every = made(t.groupBy("place_id").agg(*at, *totals), "all", F.lit(None), "place_id", "dur", "nb_visits")
+    users = made(t.groupBy("user_id", "place_id").agg(*at, *totals), "user", F.col("user_id"), "place_id", "dur", "nb_visits")
+    visits = made(t, "visit", F.col("user_id"), "visit_id", "dur", F.col("name").alias("label"))
+    points = made(view(spark, d, "fx_trace").filter("day_no = 1"), "point", F.col("user_id"), "ts_local", F.col("ts_local").alias("ts"), x.hour_minute(F.col("ts_local")).alias("label"))
+    return every.unionByName(users).unionByName(visits).unionByName(points)
+
+
+@query("S20_collections", oracle("SELECT user_id, len(collection) AS size, starts_with(collection, '{\"type\":\"FeatureCollection\",\"features\":[{\"type\":\"Feature\"') AS whole FROM (SELECT user_id, '{\"type\":\"FeatureCollection\",\"features\":[' || string_agg('{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || printf('%.6f,%.6f', lon, lat) || ']},\"properties\":{\"nb_visits\":' || nb_visits || '}}', ',') || ']}' AS collection FROM fx_place GROUP BY user_id)"))
+def collections(spark, d):
+    """A collection of features for each user, whose places are bounded in number."""
+    p = view(spark, d, "fx_place")
+    f = p.select("user_id", "place_id", files.feature(F.struct("nb_visits"), F.col("lon").cast("decimal(9,6)"), F.col("lat").cast("decimal(9,6)")).alias("feature"))
+    c = f.groupBy("user_id").agg(files.collection(F.col("place_id"), F.col("feature")).alias("collection"))
+    head = '{"type":"FeatureCollection","features":[{"type":"Feature"'
+    return c.select("user_id", F.length("collection").cast("long").alias("size"), F.startswith("collection", F.lit(head)).alias("whole"))
+
+
+@query("S21_user_export", oracle("SELECT 'visits' AS kind, user_id, count(*) AS n, min(arrival) AS first FROM fx_visit GROUP BY user_id UNION ALL SELECT 'places', user_id, count(*), min(place_id) FROM fx_place GROUP BY user_id UNION ALL SELECT 'moves', user_id, count(*), min(arrival) FROM (SELECT user_id, arrival, lag(departure) OVER (PARTITION BY user_id, day_no ORDER BY arrival, visit_id) AS l FROM fx_visit) WHERE l IS NOT NULL GROUP BY user_id UNION ALL SELECT 'interests', session_id, count(*), min(place_id) FROM fx_rating GROUP BY session_id UNION ALL SELECT 'traces', user_id, count(*), min(ts_local) FROM fx_trace GROUP BY user_id"))
 def user_export(spark, d):
-    """A folder of JSON for each user, read back as one table."""
+    """A folder of JSON for each user and kind of data, read back as one table."""
+    from mobtrace.operators import stays
+
+    v = view(spark, d, "fx_visit")
+    tables = {
+        "visits": (v, "arrival"), "places": (view(spark, d, "fx_place"), "place_id"), "moves": (stays.moves(v), "arrived_at"),
+        "interests": (view(spark, d, "fx_rating").withColumnRenamed("session_id", "user_id"), "place_id"), "traces": (view(spark, d, "fx_trace"), "ts_local"),
+    }
     path = scratch(spark, "export")
-    view(spark, d, "fx_visit").select("visit_id", "user_id", "place_id", "arrival", "departure").write.partitionBy("user_id").json(path)
-    return spark.read.schema("visit_id long, user_id long, place_id long, arrival long, departure long").json(path)
+    for kind, (df, first) in tables.items():
+        rows = df.select(F.lit(kind).alias("kind"), "user_id", F.col(first).cast("long").alias("first"), F.to_json(F.struct(*[c for c in df.columns if c != "user_id"])).alias("row"))
+        rows.write.mode("append").partitionBy("user_id", "kind").json(path)
+    back = spark.read.schema("row string, first long, user_id long, kind string").json(path)
+    return back.filter("row is not null").groupBy("kind", "user_id").agg(F.count("*").alias("n"), F.min("first").alias("first"))
 
 
 @query("S22_predictions_written", oracle("SELECT venue_id, pi_id, 'pi, \"' || pi_id || '\"' AS name, round(max(score), 6) AS score FROM fx_score GROUP BY venue_id, pi_id"))

@@ -141,6 +141,12 @@ def feature(properties: Column, lon: Column, lat: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), properties.alias("properties")))
 
 
+def collection(order: Column, features: Column) -> Column:
+    """Aggregate: a GeoJSON collection of a group's features."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), features.alias("f")))), lambda s: s["f"])
+    return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}"))
+
+
 VENUE = "struct<id:string,name:string,location:struct<address:string,city:string,lat:double,lng:double>,categories:array<struct<id:string,name:string>>,stats:struct<checkinsCount:bigint,tipCount:bigint>,page:struct<id:string>,redirect:string,chains:array<struct<id:string,name:string,logo:struct<prefix:string,name:string>>>>"
 
 

@@ -122,15 +122,193 @@ def test_erasure_leaves_no_row(spark):
     assert sorted(r.place_id for r in changes.without_orphans(places, visits, gone).collect()) == [11, 12]
 
 
-def test_similar_names(spark):
+def alike(a, b, roots):
+    """The rule of similar names over plain sets."""
+    if interests.ratio(a, b) >= 0.75:
+        return True
+    x, y = ({w.strip("!.,") for w in n.lower().split()} for n in (a, b))
+    left, right = x - y - set(interests.PREPOSITIONS), y - x - set(interests.PREPOSITIONS)
+    return len(left) == len(right) == 1 and left | right <= set(roots)
+
+
+NAMES = ["coffee house", "coffee houses", "tea", "teas", "opera", "operas", "school of music", "music school", "art museum", "art gallery", "museum", "gallery", "abc", "abd", "ab", "b", "Blue plate", "large plate", "old anvil", "cold anvil", "tin ring", "steel ring", "ring of tin", "steel", "tin", "zoo 3", "zoo", "xabcdefgh", "abcdefghx"]
+
+
+def test_similar_pairs(spark):
+    """Proposals lose no similar pair."""
+    rng = random.Random(3)
+    names = NAMES + ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))).strip() or "q" for _ in range(80)]
+    roots = ["museum", "gallery", "tin", "steel"]
+    df = spark.createDataFrame([(g, n) for g in (1, 2) for n in names[g - 1 :]], "g int, name string")
+    for own in ([], roots):
+        got = sorted((r.g, r.a, r.b) for r in interests.similar_pairs(df, ["g"], "name", own).collect())
+        want = sorted({(g, a, b) for g in (1, 2) for a in names[g - 1 :] for b in names[g - 1 :] if a < b and alike(a, b, own)})
+        assert got == want
+
+
+def test_without_similar_and_merged(spark):
+    roots = ["museum", "gallery", "tin", "steel", "ring", "anvil", "zoo", "plate"]
+    df = spark.createDataFrame([("k", n, i % 4) for i, n in enumerate(NAMES)], "k string, name string, n long")
+    got = {r.name for r in interests.without_similar(df, ["k"], "name", "n", roots).collect()}
+    rooted = sorted(((-i % 4, n) for i, n in enumerate(NAMES) if set(n.lower().split()) & set(roots) and not any(c.isdigit() for c in n)), key=lambda x: x[1])
+    order = sorted((n for n in NAMES if set(n.lower().split()) & set(roots) and not any(c.isdigit() for c in n)), key=lambda n: (-(NAMES.index(n) % 4), n))
+    assert got == {n for i, n in enumerate(order) if not any(alike(*sorted((n, m)), roots) for m in order[:i])} and rooted
     assert interests.first_of_similar(["coffee house", "coffee houses", "tea", "teas", "opera"]) == [0, 0, 2, 2, 4]
-    assert interests.similar_names("school of music", "music school") and not interests.similar_names("opera", "park")
-    assert interests.similar_names("art museum", "art", frozenset(["museum"]))
     df = spark.createDataFrame([("k", "opera", ["a"]), ("k", "operas", ["b"]), ("k", "park", ["c"])], "k string, name string, sources array<string>")
     got = sorted(map(tuple, interests.merged_sources(df, ["k"], "name", "sources").collect()))
     assert got == [("k", "opera", ["a", "b"]), ("k", "park", ["c"])]
 
 
+def test_interest_queries(spark, small):
+    """C2 to C4, X7, X8 and J25 against plain versions over the whole small tables."""
+    import difflib
+
+    from mobtrace.plans import documents, joins
+    from mobtrace.plans import interests as jobs
+
+    part = spark.read.parquet(f"{small}/part.parquet").collect()
+    kept = {}
+    for r in part:
+        name = f"{r.p_name} {r.p_partkey % 3}" if r.p_partkey % 9 == 0 else r.p_name
+        kept.setdefault(r.p_brand, {}).setdefault(name, 0)
+        kept[r.p_brand][name] += 1
+    want = set()
+    for brand, names in kept.items():
+        order = sorted((n for n in names if set(n.split()) & set(jobs.ROOTS) and not any(c.isdigit() for c in n)), key=lambda n: (-names[n], n))
+        want |= {(brand, n) for i, n in enumerate(order) if not any(alike(*sorted((n, m)), jobs.ROOTS) for m in order[:i])}
+    assert {(r.p_brand, r.p_name) for r in jobs.without_similar_names(spark, small).collect()} == want
+    merged = {}
+    for r in sorted(part, key=lambda r: r.p_name):
+        own = merged.setdefault((r.p_brand, r.p_size), {})
+        first = next((n for n in own if n == r.p_name), None) or next((n for n in own if interests.ratio(r.p_name, n) >= 0.75), r.p_name)
+        own.setdefault(first, set()).add(r.p_type)
+    got = {(r.p_brand, r.p_size, r.p_name): set(r.sources) for r in jobs.merged_sources(spark, small).collect()}
+    assert got == {(*k, n): s for k, own in merged.items() for n, s in own.items()}
+    types = jobs.interests_of_types(spark, small).collect()
+    assert types and not any(r.pi == "YES" for r in types) and {r.kind for r in types} == {"ACT", "SOC", "INT"}
+    lead = {}
+    for r in part:
+        lead[r.p_brand] = min(lead.get(r.p_brand, r.p_name), r.p_name)
+    ratios = {r.p_partkey: r.ratio for r in jobs.name_ratios(spark, small).collect()}
+    assert all(ratios[r.p_partkey] == pytest.approx(difflib.SequenceMatcher(None, r.p_name, lead[r.p_brand]).ratio(), abs=1e-6) for r in part)
+    sizes = {}
+    for r in part:
+        sizes.setdefault(r.p_size, set()).add(f"{r.p_name} of {r.p_type.lower()}")
+    pairs = {(r.p_size, r.a, r.b) for r in documents.similar_names(spark, small).collect()}
+    assert pairs == {(z, a, b) for z, names in sizes.items() for a in names for b in names if a < b and alike(a, b, ["ring", "bolt", "gear"])}
+    linked = joins.linked_entities(spark, small).collect()
+    assert any({"own category", "own kb"} & set(r.sources) == {"own kb"} for r in linked)
+    venues = {r.venue_id: r for r in view(spark, small, "fx_venue").collect()}
+    categories = {r.category_id: r.name.lower() for r in view(spark, small, "fx_category").collect()}
+    by = {}
+    for r in linked:
+        by.setdefault(r.venue_id, []).append(r)
+    for i, v in venues.items():
+        near = {s for r in by[i] for s in r.sources}
+        assert "own category" in near and ("parent category" in near) == (i // 2 in venues)
+        assert any("own category" in r.sources and interests.ratio(r.name, categories[v.leaf_category]) >= 0.75 for r in by[i])
+        if i % 2 == 0:
+            assert "own kb" in near
+
+
+def test_fold_of_places():
+    """Places of a user's stays, with every past visit compared in plain loops."""
+    rng = random.Random(5)
+    rows = sorted((t := rng.randrange(0, 20 * 86400), t + rng.randrange(60, 30 * 3600), 51.5 + rng.randrange(8) * 0.001, -0.1 + rng.randrange(8) * 0.001, rng.choice([None, 1, 2, 3]), rng.uniform(0, 300)) for _ in range(300))
+
+    def shared(a, b, c, d):
+        start, end = a % 86400 - 3600, a % 86400 + min(b - a, 86400) + 3600
+        return sum(max(0, min(end, c % 86400 + s + min(d - c, 86400)) - max(start, c % 86400 + s)) for s in (-86400, 0, 86400))
+
+    places, want = {}, []
+    for a, b, lat, lon, venue, away in rows:
+        near = sorted((float(stays.distances(np.array(p[0]), np.array(p[1]), lat, lon)), n) for n, p in places.items())
+        best = None
+        for _, n in [x for x in near if x[0] <= 250][:5]:
+            value = sum(shared(a, b, c, d) for c, d in places[n][2])
+            if best is None or value > best[1]:
+                best = (n, value)
+        name = best[0] if best else f"v{venue}" if venue is not None and away <= 200 else f"p{a}"
+        places.setdefault(name, (lat, lon, []))[2].append((a, b))
+        want.append((name, best[1] if best else 0))
+    assert stays.assign_user(rows) == want and len(places) < 250
+
+
+def test_home_and_work(spark):
+    day = lambda n: 1_704_067_200 + n * 86400
+    rows = [(1, n, day(n), 7, day(n), day(n) + 8 * 3600, 0) for n in (0, 1, 2)] + [(1, n, day(n), 8, day(n) + 9 * 3600, day(n) + 10 * 3600, 0) for n in (0, 1, 2)]
+    rows += [(2, n, day(n), 7, day(n), day(n) + 8 * 3600, 0) for n in (0, 2)] + [(3, n, day(n), 7, day(n), day(n) + 8 * 3600, None) for n in (0, 1, 2)]
+    v = spark.createDataFrame(rows, "user_id long, day_no long, day_start long, place_id long, arrival long, departure long, utc_offset long")
+    # the last visit goes on to the end of the day: place 8 has all working hours, and the evening
+    assert [tuple(r) for r in stays.home_and_work(v, 3).collect()] == [(1, 7, [8])]
+
+
+def test_variants(spark, small):
+    """Thirty variants; a mean vector's best match has the greatest cosine of all."""
+    from mobtrace.plans import interests as jobs
+
+    rows = jobs.variants(spark, small).collect()
+    assert len({(r.model_type, r.feature_type, r.phrase, r.avg) for r in rows}) == 30
+    best = {}
+    for r in rows:
+        best.setdefault((r.model_type, r.feature_type, r.phrase, r.avg, r.venue_id), []).append((r["rank"], r.score, r.pi_id))
+    assert all([x[0] for x in sorted(own)] == list(range(len(own))) and sorted(own) == sorted(own, key=lambda x: (-x[1], x[2])) for own in best.values())
+    e = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    means = {r.pi_id: np.array(r.of_pi) for r in jobs.tag_means(spark, small).collect()}
+    words = {}
+    for r in jobs.name_words(spark, small).filter("source = 'name' and not phrase and venue_id < 9").withColumn("vec", F.expr(f"pmod(xxhash64(word, 1), {len(e)})")).collect():
+        words.setdefault(r.venue_id, []).append(e[r.vec])
+    for venue, vectors in words.items():
+        mean = np.mean(vectors, axis=0)
+        cos = sorted((-round(float(mean @ m / np.linalg.norm(mean) / np.linalg.norm(m)), 6), p) for p, m in means.items())
+        got = sorted(best["cbow", "name", False, True, venue])
+        assert [(x[2], pytest.approx(x[1], abs=2e-6)) for x in got][:1] == [(cos[0][1], -cos[0][0])]
+
+
+def test_topic_queries(spark, small):
+    from mobtrace.plans import models as jobs
+
+    mix = jobs.topics(spark, small).collect()
+    by = {}
+    for r in mix:
+        by.setdefault(r.category_id, []).append((r["rank"], -r.share))
+    assert all(sorted(own) == sorted(own, key=lambda x: (x[1], x[0])) and abs(sum(s for _, s in own) + 1) < 0.01 for own in by.values())
+    t = jobs.topic_words(spark, small).collect()
+    assert t and all(len(r.words) == 10 == len(set(r.words)) for r in t)
+    listed = jobs.topics_of_category(spark, small).collect()
+    assert {r.category_id for r in listed} == set(by) and all(r.words and r.tips for r in listed)
+    f = jobs.factor_topics(spark, small).collect()
+    assert f and all(r.weight >= 0 for r in f)
+    v = jobs.place_embeddings(spark, small).collect()
+    vectors = {r.pi_id: np.array(r.vector) for r in v}
+    for r in v:
+        cos = sorted((-float(vectors[r.pi_id] @ x / np.linalg.norm(vectors[r.pi_id]) / np.linalg.norm(x)), p) for p, x in vectors.items() if p != r.pi_id)
+        assert len(r.vector) == 300 and -cos[0][0] - 1e-5 <= float(vectors[r.pi_id] @ vectors[r.nearest[0]] / np.linalg.norm(vectors[r.pi_id]) / np.linalg.norm(vectors[r.nearest[0]]))
+
+
+def test_held_out_models(spark, small):
+    from mobtrace.plans import models as jobs
+
+    c = jobs.hold_out(spark, small).first()
+    rows = jobs.matrix(spark, small).filter((F.col("venue_id") * 31 + F.col("pi_id") * 7) % 5 == 0).count()
+    assert c.tp + c.fp + c.fn + c.tn == rows
+    weights = {r.feature: r.weight for r in jobs.coefficients(spark, small).collect()}
+    assert set(weights) == {*jobs.MODELS, "intercept"} and all(np.isfinite(w) for w in weights.values())
+
+
+def test_nested_trees(spark):
+    """Trees of any depth, nested or as edges; a cycle that hangs on nothing has no path."""
+    from mobtrace.operators.trees import paths
+
+    text = "[]"
+    for i in reversed(range(20)):
+        text = f'[{{"id":"c{i}","name":"n{i}","categories":{text}}}]'
+    flat = files.flatten_categories(spark.createDataFrame([(text,), ("[]",), (None,)], "value string"))
+    assert sorted((r.category_id, r.parent_id) for r in flat.collect()) == sorted((f"c{i}", f"c{i - 1}" if i else "") for i in range(20))
+    edges = flat.unionByName(spark.createDataFrame([("x", "y", "a"), ("y", "x", "b")], "category_id string, parent_id string, name string"))
+    assert sorted(len(r.ids) for r in paths(edges).collect()) == list(range(1, 21))
+
+
 def test_model_jobs(spark, small):
     from mobtrace.plans import models as jobs
 
