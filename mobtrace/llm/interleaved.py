@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from mobtrace.llm.storage import kept
 
 ROW = 576
-PART = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
+PART = "struct<position:int,kind:string,text:string,digest:binary,caption:string>"
 _DIGEST = re.compile(r"sha256:([0-9a-f]{64})")
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 _HIDDEN = {"script", "style", "template", "noscript"}
@@ -65,7 +65,7 @@ class _Reader(HTMLParser):
             if given.get("src"):
                 self.text_ends()
                 m = _DIGEST.search(given["src"])
-                self.parts.append({"kind": "media", "text": given["src"], "digest": m and m[1], "caption": given.get("alt") or given.get("title")})
+                self.parts.append({"kind": "media", "text": given["src"], "digest": m and bytes.fromhex(m[1]), "caption": given.get("alt") or given.get("title")})
                 if self.figure is not None:
                     self.figure.append(len(self.parts) - 1)
         elif tag == "figure":
@@ -105,16 +105,19 @@ def parse(page: str | None) -> list[dict]:
     return [{"position": i} | part for i, part in enumerate(reader.parts)]
 
 
-def sequences(pages: DataFrame, key: str, page: str) -> DataFrame:
-    """The key and ``parts``, the ordered sequence of each row."""
-    part = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+def sequences(pages: DataFrame, key: str, page: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The key, the columns to carry and ``parts``, the ordered sequence of each row."""
+    part = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.binary()), ("caption", pa.string())]))
+    names = [key, *carry, "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [parse(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, part)], names=["key", "parts"])
+            parts = [parse(batch.column(0)[i].as_py()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(parts, part)], names=names)
 
-    return pages.select(key, page).mapInArrow(run, f"key {dict(pages.dtypes)[key]}, parts array<{PART}>").withColumnRenamed("key", key)
+    kinds = dict(pages.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, *carry)), f"parts array<{PART}>"])
+    return pages.select(page, key, *carry).mapInArrow(run, schema)
 
 
 def resolved(rows: DataFrame, media: DataFrame) -> DataFrame:
@@ -167,16 +170,16 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
 
     The media table is written to the shared folder: digest and content of each image.
     """
-    schema = pa.schema([("digest", pa.string()), ("content", pa.binary())])
+    schema = pa.schema([("digest", pa.binary()), ("content", pa.binary())])
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, None] = {}
+            seen: dict[bytes, None] = {}
             digests, contents, size = [], [], 0
             for t in batch.column(0):
                 payload = padded(t.as_py())[0]
                 for image in (pgm(payload), preview(payload)):
-                    digest = hashlib.sha256(image).hexdigest()
+                    digest = hashlib.sha256(image).digest()
                     if digest in seen:
                         continue
                     seen[digest] = None
@@ -184,9 +187,9 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
                     contents.append(image)
                     size += len(image)
                 if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(contents, pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(contents, pa.binary())], schema=schema)
                     digests, contents, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(contents, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(contents, pa.binary())], schema=schema)
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,14 +204,14 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
                 )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "page"])
 
-    media = kept(docs.select(text).mapInArrow(images, "digest string, content binary"), "media")
+    media = kept(docs.select(text).mapInArrow(images, "digest binary, content binary"), "media")
     pages = docs.select(key, text).mapInArrow(refer, f"doc_id {dict(docs.dtypes)[key]}, n_bytes long, page string")
     return pages, media
 
 
 def described(media: DataFrame) -> DataFrame:
     """Reads every stored image back: its digest, size and features. A row for each digest."""
-    fields = [("digest", pa.string()), ("media_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]
+    fields = [("digest", pa.binary()), ("media_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("feature", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,10 +219,10 @@ def described(media: DataFrame) -> DataFrame:
             for x in batch.column(1):
                 image = x.as_py()
                 payload = samples(image)
-                rows.append((hashlib.sha256(image).hexdigest(), len(image), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature(payload)))
+                rows.append((hashlib.sha256(image).digest(), len(image), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]), feature(payload)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], schema=pa.schema(fields))
 
-    found = media.select("digest", "content").mapInArrow(run, "digest string, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    found = media.select("digest", "content").mapInArrow(run, "digest binary, media_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, feature string")
     return found.groupBy("digest").agg(*[F.max(c).alias(c) for c, _ in fields[1:]])
 
 
@@ -230,9 +233,13 @@ def digests(docs: DataFrame) -> DataFrame:
     """
     pages, media = text_media(docs)
     rows = kept(pages.withColumn("row", F.monotonically_increasing_id()), "pages")
-    parts = sequences(rows, "row", "page")
+    parts = sequences(rows, "row", "page", ("doc_id", "n_bytes"))
+    # a reference's text is its digest again, and needn't move
+    parts = parts.withColumn("parts", F.transform("parts", lambda p: p.withField("text", F.when(p["kind"] == "text", p["text"]))))
     own = F.filter("parts", lambda p: p["kind"] == "media")
-    found = resolved(parts, kept(described(media), "described")).select("row", F.size("parts").alias("n_parts"), own[0].alias("part"), own[1].alias("small"))
-    found = found.select(F.col("row").alias("of"), "n_parts", F.col("part.position").alias("position"), F.col("part.caption").alias("caption"), F.col("part.digest").alias("media_sha256"), "part.media.*", F.col("small.digest").alias("preview_sha256"), F.col("small.caption").alias("preview_caption"), F.col("small.media.feature").alias("preview_feature"))
-    out = rows.select("row", "doc_id", "n_bytes").join(found, F.col("row") == F.col("of"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_parts", "position", "caption", "preview_sha256", "preview_caption", "preview_feature")
+    found = resolved(parts, kept(described(media), "described")).select("doc_id", "n_bytes", F.size("parts").alias("n_parts"), own[0].alias("part"), own[1].alias("small"))
+    text = lambda digest: F.lower(F.hex(digest))
+    return found.select(
+        "doc_id", "n_bytes", "part.media.payload_bytes", text("part.media.payload_sha256").alias("payload_sha256"), "part.media.tail_crc32", "part.media.media_bytes", text("part.digest").alias("media_sha256"), "part.media.feature",
+        "n_parts", "part.position", "part.caption", text("small.digest").alias("preview_sha256"), F.col("small.caption").alias("preview_caption"), F.col("small.media.feature").alias("preview_feature"),
+    )

@@ -45,10 +45,10 @@ PAGE = """<title>T</title><script>var x = "<p>no</p>";</script><p>One &amp; two<
 def test_sequences_and_resolution(spark):
     a, b = "a" * 64, "b" * 64
     pages = spark.createDataFrame([(0, 7, PAGE.format(a=a, b=b)), (1, 7, None), (2, None, "<p>open <b>only"), (3, 8, PAGE.format(a=b, b=a))], "row long, page_id long, html string")
-    media = spark.createDataFrame([(a, 11, "x")], "digest string, size int, place string")
+    media = spark.createDataFrame([(bytes.fromhex(a), 11, "x")], "digest binary, size int, place string")
     parts = interleaved.sequences(pages, "row", "html")
     got = {r.row: r.parts for r in interleaved.resolved(parts, media).collect()}
-    first = [(p.position, p.kind, p.text if p.kind == "text" else None, p.digest, p.caption, p.media and p.media.size) for p in got[0]]
+    first = [(p.position, p.kind, p.text if p.kind == "text" else None, p.digest and p.digest.hex(), p.caption, p.media and p.media.size) for p in got[0]]
     assert first == [
         (0, "text", "T", None, None, None), (1, "text", "One & two", None, None, None), (2, "text", "three", None, None, None),
         (3, "media", None, a, "Both of them", 11), (4, "media", None, b, "Both of them", None), (5, "text", "mid", None, None, None),
@@ -69,7 +69,7 @@ def test_pages_of_the_table(spark, small):
 
 def test_hot_digest(spark):
     """One digest that most references name: the join is split, and every reference is resolved."""
-    rows = spark.range(40_000).selectExpr("id row", "array(struct(0 position, 'media' kind, 's' text, if(id % 4 > 0, repeat('a', 64), sha2(string(id), 256)) digest, string(id) caption)) parts")
+    rows = spark.range(40_000).selectExpr("id row", "array(struct(0 position, 'media' kind, 's' text, unhex(if(id % 4 > 0, repeat('a', 64), sha2(string(id), 256))) digest, string(id) caption)) parts")
     media = interleaved.kept(rows.selectExpr("parts[0].digest digest").distinct().selectExpr("digest", "length(digest) size"), "t")
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8"}
     before = {k: spark.conf.get(k, None) for k in settings}
@@ -77,7 +77,7 @@ def test_hot_digest(spark):
         for k, v in settings.items():
             spark.conf.set(k, v)
         out = interleaved.resolved(interleaved.kept(rows.repartition(8), "t"), media)
-        assert out.filter("parts[0].media.size = 64 and parts[0].caption = string(row)").count() == 40_000
+        assert out.filter("parts[0].media.size = 32 and parts[0].caption = string(row)").count() == 40_000
         out = interleaved.resolved(interleaved.kept(rows.repartition(8), "t"), media)
         out.collect()
         assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
