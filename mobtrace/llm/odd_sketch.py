@@ -9,8 +9,10 @@ of shingles that only one document has. Candidates that pass both are confirmed
 on the full sets.
 
 No bucket is expanded into pairs: some member leads it and is compared with the others,
-confirmed links merge nodes into components, and after some rounds with other leaders
-only members that are still in different components meet, sketch against sketch.
+confirmed links merge nodes into components. A leader leaves its bucket once it was
+compared. Members that are still in different components after some rounds are compared
+where they share one of their rarest shingles: an exact prefix filter, in which texts
+that have a common part and fall just short of the threshold don't meet.
 
 Edge cases: a null, empty or blank text has an empty set and stays alone; fewer words
 than a shingle has make one shingle of the whole sequence; rows without ``doc_id``
@@ -171,6 +173,56 @@ def confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     return pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def prefixes(members: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """(id, label, n, prefix) of members (id, label): the set size and the rarest shingles.
+
+    ``prefix`` holds (pos, x.n, x.key) of those shingles that other members have too. Sets are
+    ordered by rarity among the members and then by key. Two sets at the threshold share a key
+    in the first ``n - ceil(num * n / den) + 1`` places (Chaudhuri, Ganti and Kaushik 2006).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = shingles(text.as_py(), plan.words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int64)), pa.array(keys)], names=["id", "key"])
+
+    sets = texts.join(members, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, key long")
+    sets = kept(sets, "sets")
+    often = kept(sets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    ranked = sets.join(often, "key", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key"))).alias("keys"))
+    n = F.size("keys")
+    first = F.slice("keys", F.lit(1), n - F.ceil(plan.num * n / F.lit(plan.den) - 1e-9).cast("int") + 1)
+    placed = F.transform(first, lambda x, i: F.struct(i.alias("pos"), x.alias("x")))
+    ranked = ranked.select("id", n.alias("n"), F.filter(placed, lambda p: p["x"]["n"] > 1).alias("prefix"))
+    return kept(members.join(ranked, "id"), "prefixes")
+
+
+def sharing_rare(rare: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) in different components that may reach the threshold, with the bits in which their sketches differ.
+
+    The smaller set of a pair shares a key in its first ``n - ceil(2 * num * n / (den + num)) + 1``
+    places already (Xiao and others 2008), so a key is a meeting place only where it is that rare.
+    A key at places i and j leaves at most ``1 + min(n_a - i, n_b - j)`` common ones from there on.
+    """
+    both = F.lit(plan.den + plan.num)
+    sides = []
+    for x in "ab":
+        own = nodes.select("id", *[F.col(c).alias(f"{t}_{x}") for c, t in (("n_shingles", "n"), ("sketch", "sketch"), ("folded", "folded"))])
+        side = rare
+        if x == "a":
+            few = F.col("n") - F.ceil(2 * plan.num * F.col("n") / both - 1e-9) + 1
+            side = side.withColumn("prefix", F.filter("prefix", lambda p: p["pos"] < few))
+        side = side.filter(F.size("prefix") > 0).join(own, "id").select("*", F.explode("prefix").alias("p"))
+        sides.append(side.select(F.col("p.x.key").alias(f"key_{x}"), F.col("p.pos").alias(f"pos_{x}"), F.col("id").alias(x), F.col("label").alias(f"of_{x}"), f"n_{x}", f"sketch_{x}", f"folded_{x}"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    enough = both * left >= plan.num * (F.col("n_a") + F.col("n_b"))
+    meet = (F.col("key_a") == F.col("key_b")) & smaller & (F.col("of_a") != F.col("of_b")) & enough & near(plan)
+    bits = differing(F.col("sketch_a"), F.col("sketch_b"), plan.bits)
+    return sides[0].join(sides[1], meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), bits.alias("bits")).distinct()
+
+
 class Linking:
     """Pairs that were compared so far, and the components that their links make."""
 
@@ -246,20 +298,17 @@ def grouped(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
         pairs = rows.select("band", "id").join(lead, "band").filter("id <> lead")
         pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         linking.add(linking.sketched(pairs))
-        rows = kept(linking.labelled(rows.select("band", "id"), "id", "label"), "rows")
+        # a leader was compared with all of its bucket
+        rows = rows.select("band", "id").join(lead, "band").filter("id <> lead").select("band", "id")
+        rows = kept(linking.labelled(rows, "id", "label"), "rows")
         apart = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
         apart = kept(apart, "apart")
         rows = kept(rows.join(apart, "band", "left_semi"), "rows")
         if rows.isEmpty():
             break
     else:
-        sides = []
-        for x in "ab":
-            own = nodes.select("id", *[F.col(c).alias(f"{n}_{x}") for c, n in (("n_shingles", "n"), ("sketch", "sketch"), ("folded", "folded"))])
-            sides.append(rows.join(own, "id").withColumnsRenamed({"band": f"band_{x}", "id": x, "label": f"of_{x}"}))
-        meet = (F.col("band_a") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & near(plan)
-        bits = differing(F.col("sketch_a"), F.col("sketch_b"), plan.bits)
-        linking.add(sides[0].join(sides[1], meet).select("a", "b", bits.alias("bits")).distinct())
+        members = kept(linking.labelled(rows.select("id").distinct(), "id", "label"), "members")
+        linking.add(sharing_rare(prefixes(members, texts, plan), nodes, plan))
 
     of = linking.labelled(nodes.select("set", "least_doc", "id"), "id", "label")
     of = kept(of, "of")

@@ -52,7 +52,7 @@ def rows(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
 
 
-@pytest.mark.parametrize("plan", [Plan(), odd_sketch.USUAL])
+@pytest.mark.parametrize("plan", [Plan(), odd_sketch.USUAL, Plan(leaders=0), Plan(leaders=1)])
 def test_whole_table(spark, medium, plan):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     given = docs.select("doc_id", "text").collect()
@@ -78,6 +78,35 @@ def test_chain_of_near_copies(spark):
     assert {r[2] for r in got} == {0}
 
 
+def family(n, core=100, own=12, name="d"):
+    """Texts with a common part, each pair just below the threshold."""
+    shared = " ".join(f"c{j}" for j in range(core))
+    return [(i, shared + "".join(f" {name}{i}x{j}" for j in range(own))) for i in range(n)]
+
+
+@pytest.mark.parametrize("leaders", [0, 1, 3])
+def test_families_below_the_threshold(spark, leaders):
+    """Two families of texts that resemble each other, some of which have a near copy; sizes vary."""
+    plan = Plan(leaders=leaders)
+    texts = [t for _, t in family(40)] + [t + " " + t.split()[-1] for _, t in family(40, 90, 14, "e")]
+    texts += [t + " more" for t in texts[::7]] + [t.rsplit(" ", 3)[0] for t in texts[::11]] + texts[::13]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(range(len(texts)), texts, plan)
+    assert rows(odd_sketch.near_duplicates(docs, plan)) == want
+    assert sum(kept for *_, kept in want) > 70 and not all(kept for *_, kept in want)
+
+
+def test_family_does_not_meet(spark):
+    """No two members of such a family share a key where the smaller one looks for partners: no work by pairs."""
+    plan = Plan()
+    texts = spark.createDataFrame(family(300), "id long, text string")
+    rare = odd_sketch.prefixes(texts.selectExpr("id", "id AS label"), texts, plan).collect()
+    assert len(rare) == 300
+    for r in rare:
+        few = r.n - -(-2 * plan.num * r.n // (plan.den + plan.num)) + 1
+        assert r.n == 110 and all(p.pos >= few for p in r.prefix)
+
+
 def test_estimate():
     plan, rng = Plan(), np.random.default_rng(3)
     for share in (0.95, 0.85, 0.7):
