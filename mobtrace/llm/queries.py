@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobtrace.llm import ball_tree, byte_bpe, cross_entropy, interleaved, langid, licenses, odd_sketch, packing, pii, token_counts, warc
+from mobtrace.llm import alignment, ball_tree, byte_bpe, cross_entropy, interleaved, langid, licenses, odd_sketch, packing, pii, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,8 @@ ORACLES["op10_license_scan"] = licenses.oracle_sql()
 @query
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))[0]
