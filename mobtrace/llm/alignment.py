@@ -8,7 +8,7 @@ pair of its A id counts more.
 
 The work on some texts at a time is done in Arrow tables: the lists of ids are flattened,
 parent indices tell each token's text, cumulative sums of token lengths less their value
-at the text's start give end offsets, a hash join on (text, end) finds the common ends,
+at the text's start give end offsets, a hash join on the ends of all texts finds the common ones,
 and grouped counts give each text's links by pair. A task collects texts into *chunks*
 of bounded size: the chunk's distinct pairs with their partial counts, and for each text
 the places of its pairs among these. Spark sums the partial counts by pair, the highest
@@ -49,9 +49,9 @@ CHARS_AT_ONCE, LINKS_AT_ONCE, WIDE_GROUP = 3_000_000, 4_000_000, 4096
 #: Pairs of texts in a chunk, and its texts.
 CHUNK, CHUNK_DOCS = 8_000_000, 200_000
 #: Stretches that a worker remembers, characters of the longest such stretch.
-STRETCHES_KEPT, LONGEST_KEPT = 400_000, 64
-#: A pair is one number: the id of A above this many bits, the id of B in them.
-BITS = 20
+STRETCHES_KEPT, LONGEST_KEPT = 600_000, 64
+#: A pair is one number: the id of A above this many bits, the id of B in them. A text's number in a slice stands above TEXT bits.
+BITS, TEXT = 18, 36
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -142,13 +142,15 @@ def token_ends(ids: pa.ListArray, sizes: pa.Array) -> pa.Table:
     return pa.table([text, pc.subtract(total, pc.take(pc.take(before, pc.cast(ids.offsets, pa.int64())), text)), flat], ["text", "end", "id"])
 
 
-def common_ends(a: pa.Table, b: pa.Table) -> pa.Table:
-    """(text, end) where a token of A and a token of B end, in order."""
-    return a.select(["text", "end"]).join(b.select(["text", "end"]), ["text", "end"], join_type="inner", use_threads=False).sort_by([("text", "ascending"), ("end", "ascending")])
+def end_keys(tokens: pa.Table) -> pa.Array:
+    """One number for each token's text and end, in the tokens' order."""
+    return pc.add(pc.shift_left(tokens["text"], TEXT), pc.cast(tokens["end"], pa.int64())).combine_chunks()
 
 
-def _ordered(text: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (text.astype(np.int64) << 32) | end
+def common_ends(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Keys of the ends of tokens of both, in order."""
+    both = pa.table([a], ["key"]).join(pa.table([b], ["key"]), "key", join_type="inner", use_threads=False)
+    return np.sort(both["key"].to_numpy())
 
 
 def _put_together(group: np.ndarray, ids: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,47 +178,64 @@ def pair_counts(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids
         end = max(at + 1, int(np.searchsorted(sums, sums[at] + LINKS_AT_ONCE, "right")) - 1)
         of = np.repeat(np.arange(at, end), partners[at:end])
         to = first[of] + np.arange(len(of)) - (sums[of] - sums[at])
-        links = pa.table([text[group_a[of]], (ids_a[of].astype(np.int64) << BITS) | ids_b[to], times_a[of] * times_b[to]], ["text", "pair", "n"])
-        parts.append(_counted(links))
+        keys = (text[group_a[of]] << TEXT) | (ids_a[of].astype(np.int64) << BITS) | ids_b[to]
+        parts.append(_counted(pa.table([keys, times_a[of] * times_b[to]], ["key", "n"])))
         at = end
     if not parts:
         return pa.table([pa.array([], pa.int64())] * 3, ["text", "pair", "n"])
-    return (parts[0] if len(parts) == 1 else _counted(pa.concat_tables(parts))).sort_by([("text", "ascending"), ("pair", "ascending")])
+    links = (parts[0] if len(parts) == 1 else _counted(pa.concat_tables(parts))).sort_by("key")
+    keys = links["key"].to_numpy()
+    return pa.table([keys >> TEXT, keys & ((1 << TEXT) - 1), links["n"]], ["text", "pair", "n"])
 
 
 def _counted(links: pa.Table) -> pa.Table:
-    return links.group_by(["text", "pair"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["text", "pair", "n"])
+    return links.group_by("key", use_threads=False).aggregate([("n", "sum")]).rename_columns(["key", "n"])
 
 
-def group_digests(group_a: np.ndarray, ids_a: pa.Array, group_b: np.ndarray, ids_b: pa.Array, text: np.ndarray, texts: int) -> list[str]:
-    """SHA-256 of each text's groups written as ids of A by commas, a bar, ids of B, groups by semicolons."""
+@lru_cache(maxsize=2)
+def written(n_a: int, n_b: int) -> pa.Array:
+    """Every id in decimal with what may follow it: of A a comma or a bar, of B a comma, a semicolon or nothing."""
+    return pa.array([b"%d%s" % (i, after) for n, ends in ((n_a, (b",", b"|")), (n_b, (b",", b";", b""))) for after in ends for i in range(n)], pa.large_binary())
 
-    def written(group: np.ndarray, ids: pa.Array) -> pa.Array:
-        offsets = np.searchsorted(group, np.arange(len(text) + 1))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.cast(ids, pa.string())), ",")
 
-    groups = pc.binary_join_element_wise(written(group_a, ids_a), written(group_b, ids_b), "|")
-    per_text = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(texts + 1)), pa.int32()), groups)
-    return [hashlib.sha256(x.as_buffer()).hexdigest() if x.as_buffer().size else "" for x in pc.binary_join(per_text, ";").cast(pa.binary())]
+def group_digests(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np.ndarray, text: np.ndarray, texts: int, sizes: tuple[int, int]) -> list[str]:
+    """SHA-256 of each text's groups written as ids of A by commas, a bar, ids of B, groups by semicolons."""
+    na, nb = np.bincount(group_a, minlength=len(text)), np.bincount(group_b, minlength=len(text))
+    ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
+    which = np.empty(len(ids_a) + len(ids_b), np.int64)
+    after = np.zeros(len(ids_a), np.int64)
+    after[ends_a - 1] = 1
+    which[np.arange(len(ids_a)) + (ends_b - nb)[group_a]] = ids_a + after * sizes[0]
+    after = np.zeros(len(ids_b), np.int64)
+    after[ends_b - 1] = 1
+    last = np.searchsorted(text, np.arange(texts), "right") - 1  # a text's last group, where it has one
+    some = np.bincount(text, minlength=texts) > 0
+    after[ends_b[last[some]] - 1] = 2
+    which[np.arange(len(ids_b)) + ends_a[group_b]] = ids_b + after * sizes[1] + 2 * sizes[0]
+    said = pc.take(written(*sizes), pa.array(which))
+    bytes_of = memoryview(said.buffers()[2] or b"")
+    cuts = np.frombuffer(said.buffers()[1], np.int64)[: len(which) + 1] if len(which) else np.zeros(1, np.int64)
+    tokens = np.concatenate([[0], np.cumsum(_summed(text, na + nb, texts))])
+    return [hashlib.sha256(bytes_of[cuts[lo] : cuts[hi]]).hexdigest() if hi > lo else "" for lo, hi in zip(tokens, tokens[1:], strict=False)]
 
 
 def aligned(ids_a: list[bytes], ids_b: list[bytes], sizes_a: pa.Array, sizes_b: pa.Array) -> tuple[dict[str, object], pa.Table]:
     """Numbers of each text, and its links by pair."""
     lists_a, lists_b = as_lists(ids_a), as_lists(ids_b)
     a, b = token_ends(lists_a, sizes_a), token_ends(lists_b, sizes_b)
-    ends = common_ends(a, b)
-    text = ends["text"].to_numpy()
-    keys = _ordered(text, ends["end"].to_numpy())
-    group_a, group_b = (np.searchsorted(keys, _ordered(x["text"].to_numpy(), x["end"].to_numpy())) for x in (a, b))
-    flat_a, flat_b = a["id"].combine_chunks(), b["id"].combine_chunks()
+    keys_a, keys_b = end_keys(a), end_keys(b)
+    ends = common_ends(keys_a, keys_b)
+    text = ends >> TEXT
+    group_a, group_b = (np.searchsorted(ends, x.to_numpy()) for x in (keys_a, keys_b))
+    of_a, of_b = a["id"].to_numpy(), b["id"].to_numpy()
     links = np.bincount(group_a, minlength=len(text)) * np.bincount(group_b, minlength=len(text))
     n = len(ids_a)
     each = {
         "n_a": pc.list_value_length(lists_a), "n_b": pc.list_value_length(lists_b),
         "n_groups": pa.array(np.bincount(text, minlength=n)), "n_links": pa.array(_summed(text, links, n)),
-        "groups_sha256": pa.array(group_digests(group_a, flat_a, group_b, flat_b, text, n), pa.string()),
+        "groups_sha256": pa.array(group_digests(group_a, of_a, group_b, of_b, text, n, (len(sizes_a), len(sizes_b))), pa.string()),
     }
-    return each, pair_counts(group_a, flat_a.to_numpy(), group_b, flat_b.to_numpy(), text)
+    return each, pair_counts(group_a, of_a, group_b, of_b, text)
 
 
 def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:

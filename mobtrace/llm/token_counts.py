@@ -30,6 +30,7 @@ themselves; other columns, whatever their names, play no part; an empty table gi
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from mobtrace.llm.storage import kept
 
 #: Characters of a piece and of the stretch that it shares with the next one; how much wider both get where neighbours don't align.
-PIECE, OVERLAP, WIDER = 32_768, 512, 4
+PIECE, OVERLAP, WIDER = 65_536, 512, 4
 #: Tokens beyond which a text counts as too long.
 LIMIT = 2048
 #: Distinct words whose counts a worker remembers, characters of the longest such word, words encoded at once.
@@ -59,11 +60,17 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=2)
 def load(path: str):
-    """The library's tokenizer, without truncation and padding. Built once per Python worker."""
-    from tokenizers import Tokenizer
+    """The library's tokenizer, without truncation, padding and a memo of its own. Built once per Python worker."""
+    from tokenizers import Tokenizer, models
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)["model"]
+    if given["type"] == "BPE":
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in given.pop("merges")]
+        settings = {k: v for k, v in given.items() if k != "type" and v is not None}
+        tokenizer.model = models.BPE(**settings, merges=merges, cache_capacity=0)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer

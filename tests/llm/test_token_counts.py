@@ -8,7 +8,10 @@ SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x
 
 
 def library(texts):
-    return [len(x) for x in t.load(t.default_vocabulary()).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    """As the file says, without any change to what the library reads from it."""
+    from tokenizers import Tokenizer
+
+    return [len(x) for x in Tokenizer.from_file(t.default_vocabulary()).encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def hard():
