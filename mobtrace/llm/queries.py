@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobtrace.llm import alignment, ball_tree, byte_bpe, cross_entropy, interleaved, langid, licenses, odd_sketch, packing, pii, token_counts, warc
+from mobtrace.llm import alignment, ball_tree, byte_bpe, cross_entropy, interleaved, langid, licenses, odd_sketch, packing, pii, token_counts, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,8 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))[0]
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
