@@ -55,7 +55,7 @@ def carried_in(spark, d):
 
 @query("W4_assigned_places")
 def assigned_places(spark, d):
-    venues = view(spark, d, "fx_venue").groupBy("lat", "lon").agg(F.min("venue_id").alias("venue_id"))
+    venues = view(spark, d, "fx_venue").select("venue_id", "lat", "lon", "nb_checkins")
     return s.assign_places(s.extract_stays(s.carried_in(view(spark, d, "fx_trace"))), venues)
 
 

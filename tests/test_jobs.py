@@ -211,27 +211,104 @@ def test_interest_queries(spark, small):
             assert "own kb" in near
 
 
-def test_fold_of_places():
-    """Places of a user's stays, with every past visit compared in plain loops."""
-    rng = random.Random(5)
-    rows = sorted((t := rng.randrange(0, 20 * 86400), t + rng.randrange(60, 30 * 3600), 51.5 + rng.randrange(8) * 0.001, -0.1 + rng.randrange(8) * 0.001, rng.choice([None, 1, 2, 3]), rng.uniform(0, 300)) for _ in range(300))
+def plain_places(rows):
+    """Places of a user's stays (day, arrival, departure, lat, lon, venue) with lists of visits and plain loops."""
+    places, visits, out, pending = {}, [], [], None
+    for day, a, b, lat, lon, venue in rows:
+        if pending and pending["day"] != day:
+            visits.append(pending)
+            pending = None
+        start, end = a % 86400, min(a % 86400 + b - a, 86399)
+        near = sorted((float(stays.distances(np.array(p[0]), np.array(p[1]), lat, lon)), n) for n, p in places.items() if any(v["place"] == n for v in visits))
+        chosen, most = None, 0
+        for _, n in [x for x in near if x[0] <= 250][:5]:
+            total = 0
+            for v in visits:
+                if v["place"] == n:
+                    begin, stop = v["a"] % 86400, min(v["a"] % 86400 + v["d"] - v["a"], 86399)
+                    if stop + 3600 >= start and begin - 3600 <= end:
+                        total += min(end, stop + 3600) - max(start, begin - 3600)
+            if total > most:
+                chosen, most = n, total
+        if chosen is None:
+            chosen = f"v{venue[0]}" if venue else f"p{a}"
+            places.setdefault(chosen, venue[1:] if venue else (lat, lon))
+        if pending and pending["place"] == chosen:
+            pending["d"] = b
+        else:
+            if pending:
+                visits.append(pending)
+            pending = {"place": chosen, "a": a, "d": b, "day": day}
+        out.append((chosen, most, pending["a"]))
+    return out
 
-    def shared(a, b, c, d):
-        start, end = a % 86400 - 3600, a % 86400 + min(b - a, 86400) + 3600
-        return sum(max(0, min(end, c % 86400 + s + min(d - c, 86400)) - max(start, c % 86400 + s)) for s in (-86400, 0, 86400))
 
-    places, want = {}, []
-    for a, b, lat, lon, venue, away in rows:
-        near = sorted((float(stays.distances(np.array(p[0]), np.array(p[1]), lat, lon)), n) for n, p in places.items())
-        best = None
-        for _, n in [x for x in near if x[0] <= 250][:5]:
-            value = sum(shared(a, b, c, d) for c, d in places[n][2])
-            if best is None or value > best[1]:
-                best = (n, value)
-        name = best[0] if best else f"v{venue}" if venue is not None and away <= 200 else f"p{a}"
-        places.setdefault(name, (lat, lon, []))[2].append((a, b))
-        want.append((name, best[1] if best else 0))
-    assert stays.assign_user(rows) == want and len(places) < 250
+@pytest.mark.parametrize("many", [3, 4096])
+def test_fold_of_places(monkeypatch, many):
+    """With places of few visits and of many."""
+    monkeypatch.setattr(stays, "MANY", many)
+    rng = random.Random(5)
+    rows = []
+    for day in range(60):
+        times = sorted(rng.sample(range(86400), 12))
+        for a, b in zip(times[::2], times[1::2], strict=True):
+            at = 51.5 + rng.randrange(8) * 0.001, -0.1 + rng.randrange(8) * 0.001
+            rows.append((day, day * 86400 + a, day * 86400 + b, *at, rng.choice([None, (1, 51.501, -0.099), (2, 51.504, -0.095)])))
+    fold = stays.Fold()
+    got = [fold.assign(*r) for r in rows]
+    assert got == plain_places(rows)
+    names = [g[0] for g in got]
+    assert {n[0] for n in names} == {"v", "p"} and len(set(names)) < len(rows) / 2 and len({g[2] for g in got}) < len(rows)
+
+
+def test_a_known_place_must_share_time(spark):
+    """Twelve hours later the stay's place is the likeliest venue, not the known place nearby; and the likeliest isn't the nearest."""
+    stay = spark.createDataFrame([(1, 0, 3600, 7200, 51.5, -0.1), (1, 0, 50400, 54000, 51.5, -0.1), (1, 1, 86400 + 50400, 86400 + 54000, 51.5, -0.1)], "user_id long, day_no long, arrival long, departure long, lat double, lon double")
+    stay = stay.withColumns({c: F.lit(0).cast(k) for c, k in (("nb_steps", "long"), ("speed", "double"), ("step", "double"), ("n_points", "long"))})
+    names = [c.split()[0] for c in stays.STAY.split(", ")]
+    far = lambda m: 51.5 + m / 178_000  # noqa: E731  metres of the projection at this latitude
+    # 0.1 * 1 + 1.5 / sqrt(110) > 1.5 / sqrt(100): the likeliest is farther
+    venues = spark.createDataFrame([(7, far(100), -0.1, 0), (8, far(110), -0.1, 500), (9, far(400), -0.1, 900)], "venue_id long, lat double, lon double, nb_checkins long")
+    first = stays.assign_places(stay.select(*names), venues.filter("venue_id = 9")).orderBy("arrival").collect()
+    assert [r.place_id for r in first] == ["p3600", "p50400", "p50400"] and [r.overlap for r in first] == [0, 0, 3600]
+    found = stays.assign_places(stay.select(*names), venues).orderBy("arrival").collect()
+    # the first visit isn't known yet when the second stay asks, and goes on in it
+    assert [(r.place_id, r.visit_arrival) for r in found] == [("v8", 3600), ("v8", 3600), ("v8", 136800)]
+
+
+def test_assigned_places_of_the_table(spark, small):
+    """Against the plain version, with venues from all pairs."""
+    got = sequences.assigned_places(spark, small).collect()
+    venues = view(spark, small, "fx_venue").collect()
+    x, y = np.array([v.lon for v in venues]), np.array([v.lat for v in venues])
+    metres = lambda la, lo: (6378137 * np.radians(lo), 6378137 * np.log(np.tan(np.pi / 4 + np.radians(la) / 2)))
+    vx, vy = metres(y, x)
+    by = {}
+    for r in got:
+        px, py = metres(r.lat, r.lon)
+        away = np.hypot(vx - px, vy - py)
+        some = [(v, d) for v, d in zip(venues, away, strict=True) if d <= 200]
+        most = max((v.nb_checkins for v, _ in some), default=0)
+        best = max(some, key=lambda s: (round((0.1 * s[0].nb_checkins / most if most else 0) + 1.5 / np.sqrt(s[1] or 1), 9), -s[0].venue_id), default=None)
+        by.setdefault(r.user_id, []).append(((r.day_no, r.arrival, r.departure, r.lat, r.lon, best and (best[0].venue_id, best[0].lat, best[0].lon)), (r.place_id, r.overlap, r.visit_arrival)))
+    assert len(by) > 5
+    for rows in by.values():
+        rows.sort(key=lambda r: r[0][1:3])
+        assert plain_places([a for a, _ in rows]) == [b for _, b in rows]
+
+
+def test_a_long_history_is_bounded():
+    """Sixty thousand stays of one user over a few thousand places: what is held are these."""
+    import tracemalloc
+
+    fold, n = stays.Fold(), 60_000
+    tracemalloc.start()
+    for i in range(n):
+        day, part = divmod(i, 20)
+        fold.assign(day, day * 86400 + part * 4000, day * 86400 + part * 4000 + 900, 51.5 + (i * 7 % 40) * 0.01, -0.1, None)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60e6 and sum(p.n for p in fold.known.places.values()) >= n - 1
 
 
 def test_home_and_work(spark):
