@@ -100,6 +100,12 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, of)))
 
 
+def trigram_numbers(grams: Column) -> Column:
+    """Trigrams of letters, digits and blanks as whole numbers, one each, so that arrays of them are compared without strings."""
+    code = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("int")
+    return F.transform(grams, lambda g: code(g, 1) * 65536 + code(g, 2) * 256 + code(g, 3))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Shared trigrams as a share of all; 0 where neither text has any."""
     both = F.size(F.array_intersect(a, b))

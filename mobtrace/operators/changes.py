@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mobtrace.operators import rows
+
 Rule = Mapping[str, str]
 #: Ids of places that edits add begin here, by the edit's id or by the venue's.
 NEW_PLACE, NEW_VENUE = 1_000_000_000, 2_000_000_000
@@ -69,13 +71,9 @@ def offsets_at(asked: DataFrame, visits: DataFrame) -> DataFrame:
 
     Instants and arrivals are sorted together for each user, so no pairs are made. Of two as near the earlier counts.
     """
-    v = visits.groupBy("user_id", "arrival").agg(F.min_by("utc_offset", "visit_id").alias("offset"))
-    v = v.select("user_id", F.col("arrival").alias("t"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("id"), F.struct("arrival", F.col("offset").cast("long").alias("offset")).alias("v"))
-    q = asked.select("user_id", "t", F.lit(1).alias("asks"), F.col("id").cast("long").alias("id"), F.lit(None).cast("struct<arrival:bigint,offset:bigint>").alias("v"))
-    order = Window.partitionBy("user_id").orderBy("t", "asks")
-    both = q.unionByName(v).withColumns({"before": F.last("v", True).over(order), "after": F.first("v", True).over(order.rowsBetween(0, Window.unboundedFollowing))}).filter("asks = 1")
-    nearer = F.col("before").isNotNull() & (F.col("after").isNull() | (F.col("t") - F.col("before.arrival") <= F.col("after.arrival") - F.col("t")))
-    return asked.join(both.select("id", F.when(nearer, F.col("before.offset")).otherwise(F.col("after.offset")).alias("offset")), "id")
+    v = visits.groupBy("user_id", F.col("arrival").alias("t")).agg(F.min_by("utc_offset", "visit_id").cast("long").alias("offset"))
+    near = rows.around(asked, v, "user_id", "t").filter("before is not null or after is not null")
+    return near.select(*asked.columns, F.when(rows.earlier_is_nearer(F.col("t")), F.col("before.offset")).otherwise(F.col("after.offset")).alias("offset"))
 
 
 def routed_places(edits: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from mobtrace.operators import rows as r
 from mobtrace.plans.registry import query
 from mobtrace.plans.scalars import TRIGRAMS
 from mobtrace.sources import files
-from mobtrace.sources.scratch import cut
+from mobtrace.sources.scratch import cut, spread
 
 
 @query("C1_interests_of_categories", oracle("WITH l AS (SELECT p_brand, unnest(['INT', 'ACT', 'SOC']) AS kind, unnest([p_brand, p_brand || ' a', p_brand || ' s']) AS pi FROM (SELECT DISTINCT p_brand FROM part)) SELECT v.venue_id, kind, pi FROM fx_venue v JOIN fx_category c ON v.leaf_category = c.category_id JOIN l ON c.name = l.p_brand"))
@@ -106,16 +106,21 @@ def joined_sql(words: str, phrases: str, name: str) -> str:
     return f"{name}a AS (SELECT w.*, ph.a IS NOT NULL AS hit FROM (SELECT *, lead(word) {w} AS nxt FROM {words}) w LEFT JOIN {phrases} ph ON w.word = ph.a AND w.nxt = ph.b), {name}c AS (SELECT *, sum(fresh) {w} AS run FROM (SELECT *, CASE WHEN hit AND NOT coalesce(lag(hit) {w}, false) THEN 1 ELSE 0 END AS fresh FROM {name}a)), {name}d AS (SELECT *, hit AND row_number() OVER (PARTITION BY id, run ORDER BY pos) % 2 = 1 AS joins FROM {name}c), {name}e AS (SELECT *, coalesce(lag(joins) {w}, false) AS taken FROM {name}d), {name} AS (SELECT id, row_number() {w} AS pos, CASE WHEN joins THEN word || '_' || nxt ELSE word END AS word FROM {name}e WHERE NOT taken)"
 
 
-def placed(tips):
-    """The words of tips as (id, pos, word)."""
-    return tips.select(F.col("tip_id").alias("id"), F.posexplode(x.tokens(F.col("text"))).alias("pos", "word"))
+def worded(tips):
+    """Tips as arrays of words (id, words)."""
+    return spread(tips.filter("text is not null").select(F.col("tip_id").alias("id"), "text")).select("id", x.tokens(F.col("text")).alias("words"))
 
 
 def phrased(spark, d):
-    """Words of all tips with learned phrases joined twice, so of up to four words; written, as they are read again."""
-    first = placed(view(spark, d, "fx_tip"))
-    second = cut(op.joined_phrases(first, op.learned_phrases(first)), "phrased")
-    return op.joined_phrases(second, op.learned_phrases(second))
+    """Words of all tips with learned phrases joined twice, so of up to four words; each step is written, as it is read again."""
+    first = cut(worded(view(spark, d, "fx_tip")), "words")
+    second = cut(op.joined_phrases(first, cut(op.learned_phrases(first), "phrases")), "phrased")
+    return cut(op.joined_phrases(second, cut(op.learned_phrases(second), "phrases")), "phrased")
+
+
+def placed(texts):
+    """The words of texts, a row each."""
+    return texts.select("id", F.explode("words").alias("word"))
 
 
 PHRASED = f"{PLACED}, {learned_sql('p0', 'f1')}, {joined_sql('p0', 'f1', 'p1')}, {learned_sql('p1', 'f2')}, {joined_sql('p1', 'f2', 'p2')}"
@@ -124,16 +129,16 @@ PHRASED = f"{PLACED}, {learned_sql('p0', 'f1')}, {joined_sql('p0', 'f1', 'p1')},
 @query("M1_tip_words", oracle(f"WITH {PHRASED}, t AS (SELECT venue_id, word AS w FROM p2 JOIN fx_tip ON id = tip_id WHERE lang = 'en'), c AS (SELECT venue_id, w, count(*) AS tf FROM t WHERE contains(w, '_') OR w NOT IN {STOPPED} GROUP BY venue_id, w), n AS (SELECT w, count(*) AS df FROM c GROUP BY w), k AS (SELECT count(DISTINCT venue_id) AS n FROM c), s AS (SELECT c.venue_id, c.w AS word, round(tf * ln((k.n + 1.0) / (df + 1)), 6) AS score FROM c JOIN n ON c.w = n.w, k) SELECT venue_id, word, score FROM (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY score DESC, word) AS r FROM s) WHERE r <= 10", "fx_tip"))
 def tip_words(spark, d):
     """The ten words of a venue's English tips with the greatest tf-idf; phrases are joined before, and are never stop words."""
-    return top_words(phrased(spark, d), spark, d)
+    return top_words(placed(phrased(spark, d)), spark, d)
 
 
 def top_words(words, spark, d):
     tips = view(spark, d, "fx_tip").filter("lang = 'en'").select(F.col("tip_id").alias("id"), "venue_id")
     t = words.filter(F.contains("word", F.lit("_")) | ~F.col("word").isin(*STOP)).join(tips, "id")
-    c = t.groupBy("venue_id", "word").agg(F.count("*").alias("tf"))
+    c = cut(t.groupBy("venue_id", "word").agg(F.count("*").alias("tf")), "words-of-venues")
     n = c.groupBy("word").agg(F.count("*").alias("df"))
-    total = c.agg(F.count_distinct("venue_id").alias("n"))
-    s = c.join(n, "word").crossJoin(F.broadcast(total)).withColumn("score", F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1)), 6))  # one row is sent
+    total = c.select("venue_id").distinct().count()
+    s = c.join(n, "word").withColumn("score", F.round(F.col("tf") * F.log((F.lit(total) + 1.0) / (F.col("df") + 1)), 6))
     return r.top(s, ["venue_id"], [F.desc("score"), F.col("word")], 10).select("venue_id", "word", "score")
 
 
@@ -160,7 +165,7 @@ def name_features(spark, d):
 @query("M3_phrases", oracle(f"WITH {PHRASED} SELECT word, count(*) AS n, count(DISTINCT id) AS tips FROM p2 WHERE contains(word, '_') GROUP BY word", "fx_tip"))
 def phrases(spark, d):
     """Phrases of two to four words as they are joined in the tips."""
-    return phrased(spark, d).filter(F.contains("word", F.lit("_"))).groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("id").alias("tips"))
+    return placed(phrased(spark, d)).filter(F.contains("word", F.lit("_"))).groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("id").alias("tips"))
 
 
 @query("M4_tag_vectors", oracle("SELECT t.pi_id::BIGINT AS pi_id, t.word_id, list_transform(e.embedding, lambda x: round(x::DOUBLE, 6)) AS vector FROM fx_tag t JOIN embeddings e ON t.word_id = e.vec_id WHERE t.pi_id < 6"))
@@ -218,8 +223,8 @@ def word_vectors(spark, d):
 @query("M8_variants")
 def variants(spark, d, singles: int = 4, most: int = 10):
     """The thirty variants in one plan: three vector sets; words of tips with and without phrases; names and categories with and without phrases, word by word and as a mean."""
-    tips = top_words(placed(view(spark, d, "fx_tip")), spark, d).select("venue_id", "word", F.lit(False).alias("phrase"))
-    tips = tips.unionByName(top_words(phrased(spark, d), spark, d).select("venue_id", "word", F.lit(True).alias("phrase")))
+    tips = top_words(placed(worded(view(spark, d, "fx_tip"))), spark, d).select("venue_id", "word", F.lit(False).alias("phrase"))
+    tips = tips.unionByName(top_words(placed(phrased(spark, d)), spark, d).select("venue_id", "word", F.lit(True).alias("phrase")))
     f = tips.withColumn("source", F.lit("tips")).unionByName(name_words(spark, d))
     e, of = word_vectors(spark, d)
     f = f.withColumn("at", F.explode(F.array(*[F.struct(F.lit(m).alias("model_type"), of(F.col("word"), i).alias("vec_id")) for i, m in enumerate(VECTOR_SETS)])))

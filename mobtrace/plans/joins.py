@@ -118,14 +118,22 @@ c AS (SELECT 'place' AS kind, user_id AS owner, place_id AS id, v.name, nb_visit
 j AS (SELECT p.user_id, ts, kind, id, name, checkins, sqrt(pow(mx - px, 2) + pow(my - py, 2)) AS distance FROM p JOIN c ON abs(mx - px) <= 250 AND abs(my - py) <= 250 AND (owner IS NULL OR owner = p.user_id) WHERE sqrt(pow(mx - px, 2) + pow(my - py, 2)) <= 250)"""
 
 
-def candidates(spark, d, metres: float = 250.0):
+def candidates(spark, d, metres: float = 250.0, probed=None, named=()):
+    """Candidates of the probes (or ``probed``, which may have more columns). A user's places meet that user's probes only, by user and cell; all others meet by cell.
+
+    ``named`` are expressions over the points that are worked out once for each point.
+    """
+    p = probes(spark, d) if probed is None else probed
     v = view(spark, d, "fx_venue")
-    own = view(spark, d, "fx_place").select(F.lit("place").alias("kind"), F.col("user_id").alias("owner"), F.col("place_id").alias("id"), "name", F.col("nb_visits").alias("checkins"), "lat", "lon")
-    none = F.lit(None).cast("long").alias("owner")
-    venues = v.select(F.lit("venue").alias("kind"), none, F.col("venue_id").alias("id"), "name", F.col("nb_checkins").cast("long").alias("checkins"), "lat", "lon")
-    kb = v.filter("nb_checkins > 20 and not (lat = 0 and lon = 0)").select(F.lit("kb").alias("kind"), none, F.col("venue_id").alias("id"), F.concat(F.lit("Venue "), "venue_id").alias("name"), F.lit(0).cast("long").alias("checkins"), "lat", "lon")
-    points = spatial.projected(own.unionByName(venues).unionByName(kb)).drop("lat", "lon")
-    return spatial.within(probes(spark, d), points, metres).filter("owner is null or owner = user_id").select("user_id", "ts", "kind", "id", "name", "checkins", "distance")
+    venues = v.select(F.lit("venue").alias("kind"), F.col("venue_id").alias("id"), "name", F.col("nb_checkins").cast("long").alias("checkins"), "lat", "lon")
+    kb = v.filter("nb_checkins > 20 and not (lat = 0 and lon = 0)").select(F.lit("kb").alias("kind"), F.col("venue_id").alias("id"), F.concat(F.lit("Venue "), "venue_id").alias("name"), F.lit(0).cast("long").alias("checkins"), "lat", "lon")
+    own = view(spark, d, "fx_place").select("user_id", F.lit("place").alias("kind"), F.col("place_id").alias("id"), "name", F.col("nb_visits").alias("checkins"), "lat", "lon")
+    points = lambda df: spatial.projected(df).select("*", *named).drop("lat", "lon")
+    shared = spatial.within(p, points(venues.unionByName(kb)), metres)
+    private = spatial.within(p, points(own), metres, ["user_id"])
+    columns = [c for c in p.columns if c not in ("px", "py")] + ["kind", "id", "name", "checkins", "distance"]
+    more = [c for c in private.columns if c not in (*columns, "px", "py", "mx", "my")]
+    return shared.select(*columns, *more).unionByName(private.select(*columns, *more))
 
 
 @query("J12_near_places", oracle(f"WITH {CANDIDATES} SELECT user_id, ts, CASE WHEN kind = 'place' AND checkins > 0 THEN 'visited' ELSE kind END AS kind, count(*) AS n, arg_min(id, (distance, id)) AS nearest, round(min(distance), 3) AS distance, sum(checkins)::BIGINT AS checkins FROM j GROUP BY 1, 2, 3", "fx_trace", "fx_venue", "fx_place"))
@@ -145,11 +153,17 @@ def asked():
     return F.element_at(F.array(*[F.lit(x_) for x_ in ("blue bolt", "small ring", "red widget", "venue 7", "blue anvil 7")]), at + 1)
 
 
+def similar(spark, d, wanted):
+    """Candidates with the share of what is asked for (an expression over the probes, ``wanted``) that their names hold. Trigrams are made once for each probe and point, as numbers."""
+    p = probes(spark, d).withColumn("wanted", wanted).withColumn("of_wanted", x.trigram_numbers(x.trigrams(F.col("wanted"))))
+    j = candidates(spark, d, probed=p, named=[x.trigram_numbers(x.trigrams(F.col("name"))).alias("of_name")])
+    return j.withColumn("similarity", F.round(x.containment(F.col("of_wanted"), F.col("of_name")), 6)).drop("of_wanted", "of_name")
+
+
 @query("J13_near_and_named", oracle(f"WITH {CANDIDATES}, a AS (SELECT *, {ASKED} AS asked FROM j), k AS (SELECT *, {TRIGRAMS.format('name')} AS a, {TRIGRAMS.format('asked')} AS b FROM a), z AS (SELECT *, round(len(list_intersect(a, b))::DOUBLE / len(b), 6) AS similarity FROM k) SELECT user_id, ts, kind, arg_min(id, (-similarity, distance, id)) AS id, max(similarity) AS similarity FROM z WHERE similarity >= 0.3 GROUP BY user_id, ts, kind", "fx_trace", "fx_venue", "fx_place"))
 def near_and_named(spark, d, least: float = 0.3):
     """Of the candidates near a probe the one of each kind whose name best holds what the probe asks for; of equal ones the nearest."""
-    similarity = F.round(x.containment(x.trigrams(asked()), x.trigrams(F.col("name"))), 6)
-    j = candidates(spark, d).withColumn("similarity", similarity).filter(F.col("similarity") >= least)
+    j = similar(spark, d, asked()).filter(F.col("similarity") >= least)
     best = j.groupBy("user_id", "ts", "kind").agg(F.min(F.struct(-F.col("similarity"), "distance", "id")).alias("x"))
     return best.select("user_id", "ts", "kind", "x.id", (-F.col("x.col1")).alias("similarity"))
 
@@ -160,9 +174,8 @@ TYPED = f"SELECT *, {TRIGRAMS.format('name')} AS a, {TRIGRAMS.format('typed')} A
 @query("J14_autocomplete", oracle(f"WITH {CANDIDATES}, k AS ({TYPED}), z AS (SELECT *, round(len(list_intersect(a, b))::DOUBLE / len(b), 6) AS similarity FROM k), h AS (SELECT *, CASE kind WHEN 'place' THEN row_number() OVER (PARTITION BY user_id, ts, kind ORDER BY distance, id) ELSE row_number() OVER (PARTITION BY user_id, ts, kind ORDER BY similarity DESC, distance, checkins DESC, id) END AS n FROM z WHERE (starts_with(name, typed) OR similarity >= 0.6) AND (kind <> 'place' OR checkins > 0)), t AS (SELECT * FROM h WHERE n <= CASE kind WHEN 'place' THEN 5 ELSE 10 END) SELECT user_id, ts, kind, id, name, similarity, round(distance, 3) AS distance FROM t WHERE kind = 'place' OR NOT EXISTS (SELECT 1 FROM t o JOIN fx_place p ON p.user_id = o.user_id AND p.place_id = o.id WHERE o.kind = 'place' AND o.user_id = t.user_id AND o.ts = t.ts AND p.venue_id = t.id)", "fx_trace", "fx_venue", "fx_place"))
 def autocomplete(spark, d):
     """A user's visited places near a probe that begin like or resemble what is typed, nearest first; then venues, most similar first, but for those among the places."""
-    typed = F.substring(asked(), 1, 6)
-    j = candidates(spark, d).filter("kind <> 'kb'").withColumn("similarity", F.round(x.containment(x.trigrams(typed), x.trigrams(F.col("name"))), 6))
-    j = j.filter((F.startswith("name", typed) | (F.col("similarity") >= 0.6)) & ((F.col("kind") != "place") | (F.col("checkins") > 0)))
+    j = similar(spark, d, F.substring(asked(), 1, 6)).filter("kind <> 'kb'")
+    j = j.filter((F.startswith("name", F.col("wanted")) | (F.col("similarity") >= 0.6)) & ((F.col("kind") != "place") | (F.col("checkins") > 0)))
     places = r.top(j.filter("kind = 'place'"), ["user_id", "ts"], [F.col("distance"), F.col("id")], 5)
     venues = r.top(j.filter("kind = 'venue'"), ["user_id", "ts"], [F.desc("similarity"), F.col("distance"), F.desc("checkins"), F.col("id")], 10)
     link = view(spark, d, "fx_place").select("user_id", F.col("place_id").alias("id"), "venue_id").filter("venue_id is not null")
@@ -379,14 +392,9 @@ INSTANTS = "SELECT event_id, user_id % 50 AS user_id, 788918400 + (event_id * 79
 
 @query("J26_nearest_in_time", oracle(f"WITH q AS ({INSTANTS}), v AS (SELECT user_id, arrival, min(visit_id) AS visit_id FROM fx_visit GROUP BY user_id, arrival), w AS (SELECT v.*, f.utc_offset, f.place_id FROM v JOIN fx_visit f ON v.visit_id = f.visit_id) SELECT event_id, arg_min(utc_offset, (abs(arrival - q.t), arrival)) AS offset_then, arg_max(place_id, arrival) FILTER (WHERE arrival <= q.t) AS latest_place FROM q JOIN w ON q.user_id = w.user_id GROUP BY event_id", "fx_visit"))
 def nearest_in_time(spark, d):
-    """For each asked instant the offset of the user's nearest visit and the place of the latest one; visits and instants are sorted together, so no pairs are made."""
-    from pyspark.sql import Window
-
+    """For each asked instant the offset of the user's nearest visit and the place of the latest one; no pairs are made."""
     at = F.lit(788918400) + F.pmod(F.col("event_id") * 7919, F.lit(2400)) * 86400 + F.pmod("event_id", F.lit(86400))
-    q = table(spark, d, "events").select(F.pmod("user_id", F.lit(50)).alias("user_id"), at.alias("t"), F.lit(1).alias("asks"), "event_id", F.lit(None).cast("struct<arrival:bigint,utc_offset:bigint,place_id:bigint>").alias("v"))
-    v = view(spark, d, "fx_visit").groupBy("user_id", "arrival").agg(F.min_by(F.struct("utc_offset", "place_id"), "visit_id").alias("x"))
-    v = v.select("user_id", F.col("arrival").alias("t"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("event_id"), F.struct("arrival", F.col("x.utc_offset").cast("long").alias("utc_offset"), "x.place_id").alias("v"))
-    order = Window.partitionBy("user_id").orderBy("t", "asks")
-    both = q.unionByName(v).withColumns({"before": F.last("v", True).over(order), "after": F.first("v", True).over(order.rowsBetween(0, Window.unboundedFollowing))}).filter("asks = 1")
-    nearer = F.col("before").isNotNull() & (F.col("after").isNull() | (F.col("t") - F.col("before.arrival") <= F.col("after.arrival") - F.col("t")))
-    return both.filter("before is not null or after is not null").select("event_id", F.when(nearer, F.col("before.utc_offset")).otherwise(F.col("after.utc_offset")).alias("offset_then"), F.col("before.place_id").alias("latest_place"))
+    q = table(spark, d, "events").select("event_id", F.pmod("user_id", F.lit(50)).alias("user_id"), at.alias("t"))
+    v = view(spark, d, "fx_visit").groupBy("user_id", F.col("arrival").alias("t")).agg(F.min_by(F.struct(F.col("utc_offset").cast("long").alias("utc_offset"), "place_id"), "visit_id").alias("x")).select("user_id", "t", "x.*")
+    near = r.around(q, v, "user_id", "t").filter("before is not null or after is not null")
+    return near.select("event_id", F.when(r.earlier_is_nearer(F.col("t")), F.col("before.utc_offset")).otherwise(F.col("after.utc_offset")).alias("offset_then"), F.col("before.place_id").alias("latest_place"))

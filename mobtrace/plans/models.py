@@ -79,17 +79,30 @@ FULL = "WITH r AS (SELECT place_id, pi_id, CASE WHEN avg(rating) >= 4 THEN 1 ELS
 
 @query("M16_top_n_errors", oracle(f"{FULL} SELECT model, venue_id, round(count(*) FILTER (WHERE rank <= 5 AND p <> y) / 5.0, 6)::DOUBLE AS top_error, round(count(*) FILTER (WHERE p <> y)::DOUBLE / count(*), 6) AS error, round(CASE WHEN count(*) FILTER (WHERE y = 1 OR score > 0) > 0 THEN count(*) FILTER (WHERE (y = 1 OR score > 0) AND p <> y)::DOUBLE / count(*) FILTER (WHERE y = 1 OR score > 0) ELSE 1.0 END, 6) AS error_of_some, round(CASE WHEN count(*) FILTER (WHERE y = 1 OR score > 0) > 0 THEN count(*) FILTER (WHERE y = p AND y = 1)::DOUBLE / count(*) FILTER (WHERE y = 1 OR score > 0) ELSE 0.0 END, 6) AS overlap, list_sort(list(pi_id) FILTER (WHERE rank <= 5)) AS top FROM g GROUP BY model, venue_id", "fx_score", "fx_rating"))
 def top_n_errors(spark, d, n: int = 5, least: float = 0.01):
-    """Errors of scores rounded at a threshold, over the whole catalogue (an interest without a score has 0): of the first n, of all, of those scored or relevant, and the overlap with what is relevant."""
-    s = scores(spark, d).withColumn("score", F.col("score") / 1000)
-    every = s.agg(F.collect_set("pi_id").alias("every"))  # the catalogue, as one row
-    full = s.select("model", "venue_id").distinct().crossJoin(F.broadcast(every)).select("model", "venue_id", F.explode("every").alias("pi_id"))
+    """Errors of scores rounded at a threshold, over the whole catalogue (an interest without a score has 0): of the first n, of all, of those scored or relevant, and the overlap with what is relevant.
+
+    Absent interests are right by their absence, so only their number counts and no row stands
+    for them. Where fewer than n have a score above 0, the first n are filled up with the
+    catalogue's first interests that have none, looked up by their number.
+    """
+    s = cut(scores(spark, d).withColumn("score", F.col("score") / 1000), "scores")
+    catalogue = cut(r.numbered(s.select("pi_id").distinct(), [F.col("pi_id")], "no"), "catalogue")
+    size = catalogue.count()
     mean = view(spark, d, "fx_rating").groupBy(F.col("place_id").alias("venue_id"), "pi_id").agg((F.avg("rating") >= 4).alias("y"))
-    g = full.join(s, ["model", *KEY], "left").join(mean, list(KEY), "left").select("model", *KEY, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("y", F.lit(False)).alias("y"))
-    g = m.ranked(g).withColumns({"p": F.col("score") >= least, "some": F.col("y") | (F.col("score") > 0)})
+    mean = mean.filter("y").join(catalogue.select("pi_id"), "pi_id", "left_semi")
+    key = ["model", "venue_id"]
+    wanted = s.select(*key).distinct().join(mean, "venue_id").select(*key, "pi_id", F.lit(0.0).alias("score"), F.lit(1).alias("y"))
+    g = s.select(*key, "pi_id", "score", F.lit(0).alias("y")).unionByName(wanted).groupBy(*key, "pi_id").agg(F.max_by("score", F.abs("score")).alias("score"), (F.max("y") == 1).alias("y"))
+    g = cut(g.withColumns({"p": F.col("score") >= least, "some": F.col("y") | (F.col("score") > 0)}), "present")
     wrong = F.col("p") != F.col("y")
-    by = g.groupBy("model", "venue_id").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"), F.count_if((F.col("rank") <= n) & wrong).alias("top_wrong"), F.count_if("some").alias("some"), F.count_if(F.col("some") & wrong).alias("some_wrong"), F.count_if(F.col("p") & F.col("y")).alias("hit"), F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.col("pi_id")))).alias("top"))
+    by = g.groupBy(*key).agg(F.count_if(wrong).alias("wrong"), F.count_if("some").alias("some"), F.count_if(F.col("some") & wrong).alias("some_wrong"), F.count_if(F.col("p") & F.col("y")).alias("hit"), F.count_if(F.col("score") > 0).alias("above"), F.count_if(F.col("score") != 0).alias("scored"))
+    # of the catalogue's first (n + scored) interests at least n have no score
+    fill = by.filter(F.col("above") < n).select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("scored") + n)).alias("no")).join(catalogue, "no")
+    fill = fill.join(g.select(*key, "pi_id"), [*key, "pi_id"], "left_anti").select(*key, "pi_id", F.lit(0.0).alias("score"), F.lit(False).alias("wrong"))
+    first = r.top(g.select(*key, "pi_id", "score", wrong.alias("wrong")).unionByName(fill), key, [F.desc("score"), F.col("pi_id")], n)
+    first = first.groupBy(*key).agg(F.count_if("wrong").alias("top_wrong"), F.array_sort(F.collect_list("pi_id")).alias("top"))
     share = lambda a, b, default: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(default)), 6)
-    return by.select("model", "venue_id", F.round(F.col("top_wrong") / n, 6).alias("top_error"), F.round(F.col("wrong") / F.col("n"), 6).alias("error"), share("some_wrong", "some", 1.0).alias("error_of_some"), share("hit", "some", 0.0).alias("overlap"), "top")
+    return by.join(first, key).select(*key, F.round(F.col("top_wrong") / n, 6).alias("top_error"), F.round(F.col("wrong") / size, 6).alias("error"), share("some_wrong", "some", 1.0).alias("error_of_some"), share("hit", "some", 0.0).alias("overlap"), "top")
 
 
 @query("M17_average_precision", oracle(f"{JUDGED}, h AS (SELECT *, sum(relevant) OVER (PARTITION BY model, venue_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM j) SELECT model, venue_id, round(avg(CASE WHEN relevant = 1 THEN hits::DOUBLE / rank END), 6) AS average_precision FROM h GROUP BY model, venue_id", "fx_score", "fx_rating"))
@@ -129,19 +142,27 @@ t AS (SELECT venue_id, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) F
 
 @query("M20_frequency_baseline", oracle(f"{BASELINE}, b AS (SELECT *, tp::DOUBLE / (tp + fn) AS recall, CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) END AS other FROM t) SELECT venue_id, tp, fp, fn, tn, round(recall, 6) AS recall, round((recall + other) / 2, 6) AS accuracy, round(CASE WHEN recall + 1 - other > 0 THEN recall / (recall + 1 - other) END, 6) AS precision, round(CASE WHEN recall + 1 - other + 1 > 0 THEN 2 * recall / (recall + 1 - other + 1) END, 6) AS f1 FROM b", "fx_score", "fx_rating"))
 def frequency_baseline(spark, d, draws: int = 10, seed: int = 5, least: int = 3):
-    """Interests drawn ten times for each venue, by their frequency (1 for unseen ones), and how well that does where enough is relevant; both classes weigh the same."""
-    s = view(spark, d, "fx_score")
+    """Interests drawn ten times for each venue, by their frequency (1 for unseen ones), and how well that does where enough is relevant; both classes weigh the same.
+
+    The catalogue's weights are laid end to end and cut into as many equal stretches as it has interests; a
+    draw looks only at those that reach into its stretch. Interests neither drawn nor
+    relevant are counted, not written out.
+    """
+    s = cut(view(spark, d, "fx_score").select("venue_id", "pi_id").distinct(), "scored")
     k = view(spark, d, "fx_rating").select("place_id", "pi_id").distinct().groupBy("pi_id").agg(F.count("*").alias("n"))
-    w = s.select("pi_id").distinct().join(k, "pi_id", "left").select("pi_id", F.coalesce("n", F.lit(1)).alias("n"))
-    # the catalogue with its weights is one row, and each draw is looked up in it
-    one = w.agg(F.array_sort(F.collect_list(F.struct("pi_id", "n"))).alias("w"), F.sum("n").alias("total"))
-    upto = F.transform("w", lambda x_, i: F.struct(x_["pi_id"].alias("pi_id"), F.aggregate(F.slice("w", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("upto")))
-    one = one.select(upto.alias("w"), "total")
-    v = s.select("venue_id").distinct().crossJoin(F.broadcast(one))
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.filter("w", lambda x_: x_["upto"] > m.uniform(F.col("venue_id"), i, seed=seed) * F.col("total"))[0]["pi_id"])
-    f = v.withColumn("drawn", drawn).select("venue_id", F.explode("w").alias("x"), "drawn").select("venue_id", "x.pi_id", F.array_contains("drawn", F.col("x.pi_id")).cast("int").alias("prediction"))
-    mean = view(spark, d, "fx_rating").groupBy(F.col("place_id").alias("venue_id"), "pi_id").agg((F.avg("rating") >= 4).cast("int").alias("label"))
-    t = m.confusion(f.join(mean, list(KEY), "left").fillna(0, ["label"]), ["venue_id"]).filter(F.col("tp") + F.col("fn") >= least).select("venue_id", "tp", "fp", "fn", "tn")
+    w = s.select("pi_id").distinct().join(k, "pi_id", "left").select("pi_id", F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+    w = cut(r.running_sum(w, [F.col("pi_id")], "n", "upto"), "weights")
+    total, size = w.agg(F.coalesce(F.max("upto"), F.lit(1)), F.count("*")).first()
+    stretch = lambda at: F.floor(at * size / total)
+    laid = w.select("pi_id", "n", "upto", F.explode(F.sequence(stretch(F.col("upto") - F.col("n")), stretch(F.col("upto")))).alias("stretch"))
+    draw = s.select("venue_id").distinct().select("venue_id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
+    draw = draw.withColumn("at", m.uniform(F.col("venue_id"), F.col("i"), seed=seed) * total).withColumn("stretch", stretch(F.col("at"))).select("venue_id", "at", "stretch")
+    drawn = draw.join(laid, "stretch").filter("at >= upto - n and at < upto").select("venue_id", "pi_id", F.lit(1).alias("p"), F.lit(0).alias("y"))
+    mean = view(spark, d, "fx_rating").groupBy(F.col("place_id").alias("venue_id"), "pi_id").agg(F.avg("rating").alias("rating")).filter("rating >= 4")
+    good = mean.join(w.select("pi_id"), "pi_id", "left_semi").join(s.select("venue_id").distinct(), "venue_id", "left_semi").select("venue_id", "pi_id", F.lit(0).alias("p"), F.lit(1).alias("y"))
+    f = drawn.unionByName(good).groupBy("venue_id", "pi_id").agg(F.max("p").alias("p"), F.max("y").alias("y"))
+    t = f.groupBy("venue_id").agg(F.count_if(F.expr("p = 1 and y = 1")).alias("tp"), F.count_if(F.expr("p = 1 and y = 0")).alias("fp"), F.count_if(F.expr("p = 0 and y = 1")).alias("fn"))
+    t = t.filter(F.col("tp") + F.col("fn") >= least).select("venue_id", "tp", "fp", "fn", (size - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
     recall, other = F.col("tp") / (F.col("tp") + F.col("fn")), F.try_divide(F.col("tn").cast("double"), F.col("tn") + F.col("fp"))
     t = t.withColumns({"r": recall, "o": other})
     wrong = 1 - F.col("o")
