@@ -15,8 +15,16 @@ meets them, so that the join on a digest that very many pages share can be split
 Edge cases: null or empty HTML has an empty sequence; null text is empty and stores one
 row of padding; a reference without a digest or with an unknown one stays in its place
 with null media; equal media are stored once in a batch of rows and count as one;
-repeated rows and rows without an id are documents of their own; broken HTML gives what
-its parser recovers; other columns are ignored; an empty table gives no rows.
+repeated rows and rows without an id are documents of their own; other columns are
+ignored; an empty table gives no rows.
+
+Of HTML: a figure's captions, before or behind its media, are put to all its media when the
+figure ends; a figure without media keeps their text as text; figures and captions that
+aren't closed end with what holds them or the page. A picture, video, audio or object is one
+medium: its own reference, else the first that is offered within (a picture's image before
+its sources). References are ``src``, ``data``, ``data-src`` or the first of ``srcset``;
+posters aren't read. What stands in script, style, template or noscript is neither text nor
+media: the last repeats for plain readers what others load. Text is never dropped elsewhere.
 """
 
 from __future__ import annotations
@@ -37,19 +45,47 @@ from mobtrace.llm.storage import kept
 ROW = 576
 PART = "struct<position:int,kind:string,text:string,digest:binary,caption:string>"
 _DIGEST = re.compile(r"sha256:([0-9a-f]{64})")
-_MEDIA = {"img", "video", "audio", "source", "embed"}
+_MEDIA = {"img", "embed"}
+_HOLDERS = {"picture", "video", "audio", "object"}
 _HIDDEN = {"script", "style", "template", "noscript"}
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "figcaption", "table", "blockquote", "header", "footer", "nav", "body", "title"}
 
 
+def reference(given: dict[str, str | None]) -> str | None:
+    """Where a medium lies by its attributes: its source, what a page loads later, or the first of several sizes."""
+    for name in ("src", "data", "data-src"):
+        if given.get(name):
+            return given[name]
+    for name in ("srcset", "data-srcset"):
+        if (given.get(name) or "").strip(" ,"):
+            return given[name].strip(" ,").split()[0].rstrip(",")
+    return None
+
+
+class _Figure:
+    """What is open in a figure: places of its media, its captions with the place where each began."""
+
+    def __init__(self) -> None:
+        self.media: list[int] = []
+        self.captions: list[tuple[int, list[str]]] = []
+        self.in_caption = False
+
+
+class _Holder:
+    """An element that offers one medium in several ways: whether one was taken, else the first that was offered."""
+
+    def __init__(self, tag: str) -> None:
+        self.tag, self.taken, self.offered = tag, False, None
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.words: list[str] = []
         self.hidden = 0
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
+        self.figures: list[_Figure] = []
+        self.holders: list[_Holder] = []
 
     def text_ends(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -57,43 +93,108 @@ class _Reader(HTMLParser):
         if text:
             self.parts.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def medium(self, where: str, given: dict[str, str | None]) -> None:
+        self.text_ends()
+        m = _DIGEST.search(where)
+        self.parts.append({"kind": "media", "text": where, "digest": m and bytes.fromhex(m[1]), "caption": given.get("alt") or given.get("title")})
+        if self.figures:
+            self.figures[-1].media.append(len(self.parts) - 1)
+
+    def offered(self, tag: str, given: dict[str, str | None], opens: bool = False) -> None:
+        """A medium, or one way of several in which a holder offers one: what it names as it ``opens``, a picture's image, else the first."""
+        where, holder = reference(given), self.holders[-1] if self.holders else None
+        if holder is None or opens:
+            if where:
+                self.medium(where, given)
+                if holder:
+                    holder.taken = True
+        elif holder.tag == "picture" and tag == "source":
+            holder.offered = holder.offered or where
+        elif not holder.taken and (where or holder.offered):
+            self.medium(where or holder.offered, given)
+            holder.taken = True
+
+    def holder_ends(self) -> None:
+        holder = self.holders.pop()
+        if holder.offered and not holder.taken:
+            self.medium(holder.offered, {})
+
+    def figure_ends(self) -> None:
+        self.text_ends()
+        figure = self.figures.pop()
+        texts = [(at, text) for at, said in figure.captions if (text := " ".join("".join(said).split()))]
+        if figure.media:
+            for i in figure.media:
+                self.parts[i]["caption"] = " ".join(t for _, t in texts) or self.parts[i]["caption"]
+        else:  # text without a medium stays text, where it stood
+            for at, text in reversed(texts):
+                self.parts.insert(at, {"kind": "text", "text": text, "digest": None, "caption": None})
+        if self.figures and figure.media:
+            self.figures[-1].media += figure.media
+
+    def caption(self) -> list[str] | None:
+        return self.figures[-1].captions[-1][1] if self.figures and self.figures[-1].in_caption else None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _HIDDEN:
             self.hidden += 1
-        elif tag in _MEDIA:
-            given = dict(attrs)
-            if given.get("src"):
-                self.text_ends()
-                m = _DIGEST.search(given["src"])
-                self.parts.append({"kind": "media", "text": given["src"], "digest": m and bytes.fromhex(m[1]), "caption": given.get("alt") or given.get("title")})
-                if self.figure is not None:
-                    self.figure.append(len(self.parts) - 1)
+        elif self.hidden:
+            return
+        elif tag in _HOLDERS:
+            within = bool(self.holders)
+            if not within:
+                self.holders.append(_Holder(tag))
+                if tag != "picture":
+                    self.offered(tag, dict(attrs), True)
+            else:  # a holder within another is one more way to offer its medium
+                self.offered(tag, dict(attrs))
+                self.holders.append(self.holders[-1])
+        elif tag in _MEDIA or tag == "source":
+            self.offered(tag, dict(attrs))
         elif tag == "figure":
             self.text_ends()
-            self.figure = []
-        elif tag == "figcaption" and self.figure is not None:
+            self.figures.append(_Figure())
+        elif tag == "figcaption" and self.figures:
             self.text_ends()
-            self.caption = []
+            self.figures[-1].captions.append((len(self.parts), []))
+            self.figures[-1].in_caption = True
         elif tag in _BLOCKS:
+            self.break_words()
+
+    def break_words(self) -> None:
+        said = self.caption()
+        if said is None:
             self.text_ends()
+        else:
+            said.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for i in self.figure or []:
-                self.parts[i]["caption"] = text or self.parts[i]["caption"]
-            self.caption = None
+        elif self.hidden:
+            return
+        elif tag in _HOLDERS:
+            if any(h.tag == tag for h in self.holders):
+                self.holder_ends()
+        elif tag == "figcaption" and self.figures:
+            self.figures[-1].in_caption = False
         elif tag == "figure":
-            self.text_ends()
-            self.figure = self.caption = None
+            if self.figures:
+                self.figure_ends()
         elif tag in _BLOCKS:
-            self.text_ends()
+            self.break_words()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            (self.words if self.caption is None else self.caption).append(data)
+            said = self.caption()
+            (self.words if said is None else said).append(data)
+
+    def all_ends(self) -> None:
+        while self.holders:
+            self.holder_ends()
+        while self.figures:
+            self.figure_ends()
+        self.text_ends()
 
 
 def parse(page: str | None) -> list[dict]:
@@ -101,7 +202,7 @@ def parse(page: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(page or "")
     reader.close()
-    reader.text_ends()
+    reader.all_ends()
     return [{"position": i} | part for i, part in enumerate(reader.parts)]
 
 

@@ -7,7 +7,16 @@ files, plain or of gzip members that hold one or more records; a task holds one
 what one of its members inflates to. It trusts a record only if its version line, headers, length, end mark and digests hold;
 after a failed check it searches for the next gzip member or version line, recovers the
 records from there on, and logs the bytes between as a quarantined gap. Of a broken
-member it keeps the records before the damage.
+member it keeps the records before the damage, and goes on at the next member.
+
+A payload may quote records. One whose length and end mark hold but whose digest fails is a
+gap as a whole, and so is the rest of a broken member from the first record on whose end
+isn't sound, so what these quote is not taken for records. If in a plain file, or in a member that is whole, the length, the end
+mark or the headers are damaged, or a plain file is cut off within a block, nothing
+tells where the record ends: the search then goes into it, and a sound record that it quotes comes out
+although the archive has no such record. Its range lies behind a gap; who must rule such ones out
+leaves out what follows a gap within one file or member. A damaged length that happens to
+lead to another record's end mark hides what lies between.
 
 Edge cases: a null payload is empty; equal payloads, empty ones too, make one group whose
 largest page_id is the response; rows of that same id are all responses; rows without id
@@ -37,6 +46,7 @@ MEMBER = b"\x1f\x8b\x08"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n|" + re.escape(MEMBER))
+_MEMBER = re.compile(re.escape(MEMBER))
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
 RECORD = "record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload_sha1 string, target_uri string, payload binary"
@@ -127,8 +137,16 @@ def _id(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
+class Damaged(ValueError):
+    """A record that fails a check although its end is known: by its length and end mark, or, beyond the data, by its length alone."""
+
+    def __init__(self, why: str, end: int):
+        super().__init__(why)
+        self.end = end
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict, int]:
-    """The record whose version line is at ``at``, and where it ends. ValueError says which check failed."""
+    """The record whose version line is at ``at``, and where it ends. ValueError says which check failed, Damaged besides where the record ends."""
     m = _LINE.match(data, at)
     if not m:
         raise ValueError("no version line")
@@ -145,12 +163,14 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     if not re.fullmatch(r"[0-9]{1,18}", length):
         raise ValueError("bad length")
     start, end = stop + 4, stop + 4 + int(length)
+    if end + 4 > len(data):
+        raise Damaged("no end mark after the block", end + 4)
     if data[end : end + 4] != END.encode():
         raise ValueError("no end mark after the block")
     block = data[start:end]
     own = fields.get("warc-block-digest", "").removeprefix("sha1:")
     if own and own != _sha1(block):
-        raise ValueError("block digest differs")
+        raise Damaged("block digest differs", end + 4)
     kind, payload = fields.get("warc-type", ""), None
     if kind == "response":
         cut = block.find(b"\r\n\r\n")
@@ -158,7 +178,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     sha1 = None if payload is None else _sha1(payload)
     if sha1 and digest and digest != sha1:
-        raise ValueError("payload digest differs")
+        raise Damaged("payload digest differs", end + 4)
     found = {
         "record_type": kind, "page_id": _id(fields.get("warc-record-id")), "refers_to": _id(fields.get("warc-refers-to")),
         "payload_bytes": None if payload is None else len(payload), "payload_digest": digest or sha1, "payload_sha1": sha1,
@@ -190,33 +210,33 @@ def _sound(data: bytes, at: int) -> bool:
     try:
         if data.startswith(MEMBER, at):
             inner, _, broken = _inflate(data, at)
-            return not broken or any(gap is None for _, _, gap, _ in salvage(inner))
+            return not broken or any(gap is None for _, _, gap, _ in salvage(inner, True))
         parse_record(data, at)
         return True
     except ValueError:
         return False
 
 
-def _next(data: bytes, at: int) -> int:
+def _next(data: bytes, at: int, start: re.Pattern = _START) -> int:
     """The next place after ``at`` where a sound record or member begins, or the end."""
-    while m := _START.search(data, at + 1):
+    while m := start.search(data, at + 1):
         at = m.start()
         if _sound(data, at):
             return at
     return len(data)
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
+def salvage(data: bytes, cut_off: bool = False) -> Iterator[tuple[int, int, str | None, dict]]:
     """(start, end, None, record) of every sound record and (start, end, reason, {}) of every gap, in order.
 
-    What lies in a gzip member has the range of the member.
+    What lies in a gzip member has the range of the member. ``cut_off`` says that the data are known to end early.
     """
     at = 0
     while at < len(data):
         if data.startswith(MEMBER, at):
             inner, end, broken = _inflate(data, at)
-            end = _next(data, at) if broken else end
-            for start, stop, gap, record in salvage(inner):
+            end = _next(data, at, _MEMBER) if broken else end
+            for start, stop, gap, record in salvage(inner, broken is not None):
                 if gap is None or not broken or stop < len(inner):
                     yield at, end, gap, record
             if broken:
@@ -227,7 +247,9 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
             record, end = parse_record(data, at)
             yield at, end, None, record
         except ValueError as error:
-            end = _next(data, at)
+            end = getattr(error, "end", len(data) + 1)
+            if end > len(data):
+                end = len(data) if cut_off else _next(data, at)
             yield at, end, str(error), {}
         at = end
 

@@ -42,6 +42,32 @@ PAGE = """<title>T</title><script>var x = "<p>no</p>";</script><p>One &amp; two<
 <p>mid <img src="http://h/plain.jpg" alt="alone"> end</p><img><video src="sha256:{a}"></video>"""
 
 
+def short(page):
+    return [(p["kind"][0], p["text"], p["caption"]) for p in interleaved.parse(page)]
+
+
+def test_captions_before_behind_and_open():
+    assert short("<figure><figcaption>First <b>said</b></figcaption><img src=a alt=x></figure>z") == [("m", "a", "First said"), ("t", "z", None)]
+    assert short("<figure><img src=a><figcaption>one<br>two</figcaption><img src=b><figcaption>three</figcaption></figure>") == [("m", "a", "one two three"), ("m", "b", "one two three")]
+    assert short("p<figure><img src=a><figcaption>never closed</figure>q") == [("t", "p", None), ("m", "a", "never closed"), ("t", "q", None)]
+    assert short("<figure><figcaption>open to the end <img src=a>") == [("m", "a", "open to the end")]
+    assert short("p<figure><figcaption>no medium</figcaption>text</figure>q") == [("t", "p", None), ("t", "no medium", None), ("t", "text", None), ("t", "q", None)]
+    assert short("<figure><img src=a alt=own><figcaption> </figcaption></figure>") == [("m", "a", "own")]
+    assert short("<figcaption>outside</figcaption></figure><p>q") == [("t", "outside", None), ("t", "q", None)]
+    assert short("<figure><figure><img src=a><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>") == [("m", "a", "outer")]
+
+
+def test_references_of_all_kinds():
+    assert short("<img data-src=a><img srcset='b 1x, c 2x'><img src='' data-srcset='d.jpg, e 2x'><img alt=none>") == [("m", "a", None), ("m", "b", None), ("m", "d.jpg", None)]
+    assert short("<picture><source srcset='a 1x'><source srcset=b><img src=c alt=x></picture>") == [("m", "c", "x")]
+    assert short("<picture><source srcset='a 1x'><source srcset=b><img alt=x></picture>y") == [("m", "a", "x"), ("t", "y", None)]
+    assert short("<picture><source srcset=a></picture>y<picture><source srcset=b>") == [("m", "a", None), ("t", "y", None), ("m", "b", None)]
+    assert short("<video><source src=a><source src=b>old browsers</video><audio src=c><source src=d></audio>") == [("m", "a", None), ("t", "old browsers", None), ("m", "c", None)]
+    assert short("<object data=a><object data=b><img src=c></object></object><embed src=d></object>e") == [("m", "a", None), ("m", "d", None), ("t", "e", None)]
+    assert short("<object><img src=c></object><img src=d>") == [("m", "c", None), ("m", "d", None)]
+    assert short("<img data-src=a><noscript><img src=a>no</noscript>b<noscript><figure></noscript>c") == [("m", "a", None), ("t", "bc", None)]
+
+
 def test_sequences_and_resolution(spark):
     a, b = "a" * 64, "b" * 64
     pages = spark.createDataFrame([(0, 7, PAGE.format(a=a, b=b)), (1, 7, None), (2, None, "<p>open <b>only"), (3, 8, PAGE.format(a=b, b=a))], "row long, page_id long, html string")

@@ -99,6 +99,54 @@ def test_salvage_after_broken_member(spark, tmp_path):
     assert [r[2] for r in got if r[2]] == ["bad gzip member", "block digest differs"]
 
 
+def quoting(spark, tmp_path):
+    """Three records, the second with a sound record of page 99 in its payload; their bytes and ranges."""
+    other = spark.createDataFrame([(99, "<p>quoted")], "page_id long, html string")
+    warc.write(warc.plan_records(other), str(tmp_path / "q"))
+    quote = b"".join(gzip.open(f).read() for f in glob.glob(str(tmp_path / "q" / "part-*"))).decode()
+    df = spark.createDataFrame([(1, "one"), (2, f"before {quote} behind " + "x" * 50), (3, "three")], "page_id long, html string").coalesce(1)
+    warc.write(warc.plan_records(df).coalesce(1).sortWithinPartitions("page_id"), str(tmp_path / "w"))
+    data = b"".join(gzip.open(f).read() for f in sorted(glob.glob(str(tmp_path / "w" / "part-*"))))
+    spans = [r[:2] for r in warc.salvage(data)]
+    assert len(spans) == 3
+    return data, spans
+
+
+def test_quoted_records_stay_quotes(spark, tmp_path):
+    """A flipped byte behind, before or in the quote: plain, in members of a record each, in one member."""
+    data, spans = quoting(spark, tmp_path)
+    lo, hi = spans[1]
+    begin = data.index(b"before ", lo)
+    for at in (begin + 2, data.index(b"quoted", lo), hi - 20):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        broken = bytes(broken)
+        for made, gap in ((broken, (lo, hi)), (b"".join(gzip.compress(broken[a:b]) for a, b in spans), None), (gzip.compress(broken), None)):
+            got = list(warc.salvage(made))
+            assert [r[3]["page_id"] for r in got if r[2] is None] == [1, 3]
+            assert [r[2] for r in got if r[2]] == ["block digest differs"] and (gap is None or [r[:2] for r in got if r[2]] == [gap])
+
+
+def test_quoted_records_in_broken_members(spark, tmp_path):
+    """A member that is cut behind the quote, alone and with others: neither its rest nor its quote comes out."""
+    data, spans = quoting(spark, tmp_path)
+    members = [gzip.compress(data[a:b], 0) for a, b in spans]
+    cut = members[1][: members[1].index(b" behind ") + 4]
+    assert [r[3]["page_id"] for r in warc.salvage(members[0] + cut + members[2]) if r[2] is None] == [1, 3]
+    whole = gzip.compress(data, 0)
+    cut = whole[: whole.index(b" behind ") + 4]
+    got = list(warc.salvage(cut + members[2]))
+    assert [r[3]["page_id"] for r in got if r[2] is None] == [1, 3] and [r[2] for r in got if r[2]] == ["gzip member doesn't end"]
+
+
+def test_a_damaged_length_still_lets_later_records_come(spark, tmp_path):
+    """Where the end isn't known the search goes into the record, as the docstring says: the quote comes out behind the gap, and so does the next record."""
+    data, spans = quoting(spark, tmp_path)
+    where = data.index(b"Content-Length: ", spans[1][0]) + 16
+    broken = data[:where] + b"9" + data[where + 1 :]
+    assert [r[3]["page_id"] for r in warc.salvage(broken) if r[2] is None] == [1, 99, 3]
+
+
 def test_large_member():
     record = b"x" * (1 << 24)
     data = warc.joined([gzip.compress(b"a"), gzip.compress(record)]) + b"\0"
