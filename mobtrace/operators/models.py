@@ -104,6 +104,14 @@ def train(rows: DataFrame, features: Sequence[str]):
     return LogisticRegression(maxIter=20, regParam=0.01).fit(assembled(rows, features))
 
 
+def saved(model, path: str):
+    """The model as it is read again from ``path``, where it is kept for later runs; a model there is replaced."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    model.write().overwrite().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def predicted(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 

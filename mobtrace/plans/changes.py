@@ -151,6 +151,22 @@ def saved_reviews(spark, d):
     return view(spark, d, "fx_score").join(r, ["venue_id", "pi_id"], "left").select("venue_id", "pi_id", "model_type", "feature_type", "review")
 
 
+#: Interests of users over all their places, and the three answers that some users gave to them.
+AGGREGATED = "g AS (SELECT session_id AS user_id, pi_id, count(DISTINCT place_id) AS places FROM fx_rating GROUP BY session_id, pi_id), w AS (SELECT session_id AS user_id, pi_id, max(rating) AS personal, min(rating) AS explanation, CASE WHEN pi_id % 3 > 0 THEN max(rating + place_id % 2) END AS privacy FROM fx_rating WHERE session_id % 2 = 0 GROUP BY session_id, pi_id)"
+
+
+@query("E8_aggregated_reviews", oracle(f"WITH {AGGREGATED} SELECT g.user_id, g.pi_id, places, personal AS review_personal_information, explanation AS review_explanation, privacy AS review_privacy, w.user_id IS NOT NULL AS reviewed FROM g LEFT JOIN w ON g.user_id = w.user_id AND g.pi_id = w.pi_id", "fx_rating"))
+def aggregated_reviews(spark, d):
+    """Reviews of aggregated interests: the three answers fill what they say, and the interest counts as reviewed."""
+    r = view(spark, d, "fx_rating").withColumnRenamed("session_id", "user_id")
+    none = F.lit(None).cast("long")
+    answers = ["review_personal_information", "review_explanation", "review_privacy"]
+    old = r.groupBy("user_id", "pi_id").agg(F.count_distinct("place_id").alias("places")).select("*", *[none.alias(a) for a in answers], F.lit(False).alias("reviewed"))
+    given = r.filter("user_id % 2 = 0").groupBy("user_id", "pi_id").agg(F.max("rating").alias(answers[0]), F.min("rating").alias(answers[1]), F.max(F.when(F.col("pi_id") % 3 > 0, F.col("rating") + F.col("place_id") % 2)).alias(answers[2]))
+    new = given.select("user_id", "pi_id", none.alias("places"), *answers, F.lit(True).alias("reviewed"))
+    return c.upsert(old, new, ["user_id", "pi_id"], {a: "filled" for a in answers} | {"reviewed": "new"})
+
+
 @query("E9_refreshed_icons", oracle("SELECT v.visit_id, coalesce(c.name, 'default') AS icon FROM fx_visit v LEFT JOIN fx_venue p ON v.place_id = p.venue_id LEFT JOIN fx_category c ON p.leaf_category = c.category_id"))
 def refreshed_icons(spark, d):
     names = view(spark, d, "fx_category").select(F.col("category_id").alias("leaf_category"), F.col("name").alias("icon"))

@@ -49,9 +49,9 @@ def without_similar_names(spark, d):
 
 @query("C4_merged_sources")
 def merged_sources(spark, d):
-    """Part names of each brand and size, with the types that they come from."""
-    p = table(spark, d, "part").groupBy("p_brand", "p_size", "p_name").agg(F.array_sort(F.collect_set("p_type")).alias("sources"))
-    return op.merged_sources(p, ["p_brand", "p_size"], "p_name", "sources")
+    """Part names of each brand and size, with the types that they come from; of similar names that of the earliest part stays."""
+    p = table(spark, d, "part").groupBy("p_brand", "p_size", "p_name").agg(F.array_sort(F.collect_set("p_type")).alias("sources"), F.min("p_partkey").alias("first"))
+    return op.merged_sources(p, ["p_brand", "p_size"], "p_name", "sources", F.col("first"))
 
 
 @query("C5_aggregated_interests", oracle("SELECT r.session_id AS user_id, lower(n_name) AS name, list_sort(list(DISTINCT r.place_id)) AS places, max(rating) AS rating FROM fx_rating r JOIN nation ON pi_id = n_nationkey GROUP BY r.session_id, lower(n_name)"))

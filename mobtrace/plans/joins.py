@@ -384,7 +384,10 @@ def linked_entities(spark, d, metres: float = 200.0, least: float = 0.6):
     found = linked.select("venue_id", F.concat("of", F.lit(" kb")).alias("source"), F.col("x.type").alias("name"))
     named = both.join(c, F.col("leaf_category") == F.col("category_id")).select("venue_id", F.concat("of", F.lit(" category")).alias("source"), F.lower("category").alias("name"))
     every = found.unionByName(named).groupBy("venue_id", "name").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    return interests.merged_sources(every, ["venue_id"], "name", "sources")
+    # the order in which a place's sources are asked
+    asked_in = F.array(*[F.lit(s) for s in ("own kb", "own category", "parent category", "parent kb")])
+    first = F.array_min(F.transform("sources", lambda s: F.array_position(asked_in, s)))
+    return interests.merged_sources(every, ["venue_id"], "name", "sources", first)
 
 
 INSTANTS = "SELECT event_id, user_id % 50 AS user_id, 788918400 + (event_id * 7919 % 2400) * 86400 + event_id % 86400 AS t FROM events"

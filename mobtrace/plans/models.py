@@ -10,7 +10,7 @@ from mobtrace.functions import scalars as x
 from mobtrace.operators import models as m
 from mobtrace.operators import rows as r
 from mobtrace.plans.registry import query
-from mobtrace.sources.scratch import cut
+from mobtrace.sources.scratch import cut, scratch
 
 MODELS = ("sg", "cbow", "cn")
 KEY = ("venue_id", "pi_id")
@@ -36,7 +36,8 @@ def oversampled(spark, d):
 
 @query("M14_coefficients")
 def coefficients(spark, d):
-    model = m.train(matrix(spark, d), MODELS)
+    """The weights of the model that was trained, saved and read again."""
+    model = m.saved(m.train(matrix(spark, d), MODELS), scratch(spark, "meta-classifier"))
     rows = [(n, float(c)) for n, c in zip((*MODELS, "intercept"), [*model.coefficients, model.intercept], strict=True)]
     return spark.createDataFrame(rows, "feature string, weight double")
 
