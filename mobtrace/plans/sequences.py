@@ -33,7 +33,7 @@ HAVERSINE = "2 * 6372795.0 * asin(sqrt(least(1.0, pow(sin(radians(lat2 - lat) /
 
 @query("W2_steps_and_speed", oracle(f"WITH p AS (SELECT *, (ts_local - day_start) // 14400 AS part, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(ts_local) OVER w AS ts2 FROM fx_trace WINDOW w AS (PARTITION BY user_id, day_no, (ts_local - day_start) // 14400 ORDER BY ts_local)), c AS (SELECT user_id, day_no, part, round(avg({HAVERSINE}), 3) AS step, round(avg({HAVERSINE} / (ts2 - ts_local)), 6) AS speed FROM p WHERE lat2 IS NOT NULL GROUP BY user_id, day_no, part), q AS (SELECT a.user_id, a.day_no, a.part, a.ts_local, max({HAVERSINE.replace('radians(lat)', 'radians(a.lat)').replace('- lat)', '- a.lat)').replace('- lon)', '- a.lon)').replace('lat2', 'b.lat').replace('lon2', 'b.lon')}) AS far, round(sum({HAVERSINE.replace('radians(lat)', 'radians(a.lat)').replace('- lat)', '- a.lat)').replace('- lon)', '- a.lon)').replace('lat2', 'b.lat').replace('lon2', 'b.lon')}), 3) AS total FROM p a JOIN p b ON a.user_id = b.user_id AND a.day_no = b.day_no AND a.part = b.part GROUP BY 1, 2, 3, 4), m AS (SELECT user_id, day_no, part, round(max(far), 3) AS diameter, arg_min(ts_local, (total, ts_local)) AS medoid FROM q GROUP BY 1, 2, 3) SELECT m.user_id, m.day_no, m.part, diameter, medoid, step, speed FROM m LEFT JOIN c ON m.user_id = c.user_id AND m.day_no = c.day_no AND m.part = c.part", "fx_trace"))
 def steps_and_speed(spark, d):
-    """Diameter, medoid, mean step and mean speed of each four hours of a user's trace; pairs are made within these only."""
+    """Diameter, medoid, mean step and mean speed of each four hours of a user's trace; distances between their points are worked out in blocks, never as rows."""
     from mobtrace.functions import geo
 
     key = ["user_id", "day_no", "part"]
@@ -42,9 +42,7 @@ def steps_and_speed(spark, d):
     away = lambda lat2, lon2: geo.haversine(F.col("lat"), F.col("lon"), F.col(lat2), F.col(lon2), geo.STAY_RADIUS)
     p = t.withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w), "ts2": F.lead("ts_local").over(w)}).filter("lat2 is not null")
     c = p.groupBy(*key).agg(F.round(F.avg(away("lat2", "lon2")), 3).alias("step"), F.round(F.avg(away("lat2", "lon2") / (F.col("ts2") - F.col("ts_local"))), 6).alias("speed"))
-    q = t.select(*key, "ts_local", "lat", "lon").join(t.select(*key, F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), key)
-    q = q.groupBy(*key, "ts_local").agg(F.max(away("lat2", "lon2")).alias("far"), F.round(F.sum(away("lat2", "lon2")), 3).alias("total"))
-    m = q.groupBy(*key).agg(F.round(F.max("far"), 3).alias("diameter"), F.min_by("ts_local", F.struct("total", "ts_local")).alias("medoid"))
+    m = s.spans(t).withColumn("diameter", F.round("diameter", 3))
     return m.join(c, key, "left").select(*key, "diameter", "medoid", "step", "speed")
 
 

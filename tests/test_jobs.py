@@ -436,11 +436,30 @@ def test_oversampled_fully(spark):
         assert {r.id: r.near for r in got} == brute
 
 
-def test_entry_without_llm(spark):
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries())
-    assert len(e.queries()) > 150
+def test_middle_in_blocks():
+    draw = np.random.default_rng(3)
+    lat, lon = 51 + draw.random(50) / 100, draw.random(50) / 100
+    every = stays.distances(lat[:, None], lon[:, None], lat[None], lon[None])
+    for at_once in (1, 120, 10_000):
+        far, total = stays.middle_of(lat, lon, at_once)
+        assert far == every.max() and np.allclose(total, every.sum(axis=1), rtol=1e-12)
+
+
+def test_entry_without_llm(tmp_path):
+    """In a copy without the corpus folders and the pipeline the entry still has all other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "mobtrace"), tmp_path / "mobtrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    told = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and 'pipeline' not in q and not any(n.startswith('op') for n in q); print(len(q))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) > 150
 
 
 def test_adaptive_cells(spark, small):
