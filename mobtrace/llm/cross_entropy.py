@@ -187,10 +187,10 @@ def summed(counts: DataFrame) -> DataFrame:
     return counts.groupBy("bucket").applyInArrow(run, "bucket long, chunk long, n binary, t binary, distinct long")
 
 
-def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", size: int | None = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", size: int | None = None) -> DataFrame:
     """doc_id, n_words, target and background cross-entropy and their difference for every row.
 
-    ``target`` has the ids of the target rows. ``size`` limits the vocabulary, None keeps every word.
+    ``target`` has the ids of the target rows. ``size`` limits the vocabulary (to VOCABULARY words, say); None keeps every word.
     """
     ids = target.select(F.col(key).alias("__of")).filter("__of is not null").distinct()
     vocabulary = None

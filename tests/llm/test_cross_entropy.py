@@ -59,7 +59,7 @@ def test_whole_table(spark, medium):
     target = spark.read.parquet(f"{medium}/labels.parquet").filter("quality = 1")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     targets = {r.doc_id for r in target.collect()}
-    got = ce.score(docs, target).collect()
+    got = ce.score(docs, target, size=ce.VOCABULARY).collect()
     assert len(got) == len(rows)
     same(got, brute(rows, targets, ce.VOCABULARY))
     mean = lambda x: sum(x) / len(x)
