@@ -467,3 +467,31 @@ def test_adaptive_cells(spark, small):
     cells = sequences.adaptive_cells(spark, small).collect()
     assert sum(c.n for c in cells) == n and all(c.n < 50 or c.depth == 12 for c in cells)
     assert len({(c.depth, c.cx, c.cy) for c in cells}) == len(cells)
+
+
+@pytest.mark.parametrize("long", [256, 6])
+def test_proposals_are_complete(spark, long):
+    """No pair of such a ratio is missed, of names of any letters and lengths; few that have a lower one are proposed."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij é😀1") for _ in range(n)) for n in (1, 2, 3, 5, 8, 13, 21, 40, 70, 300)]
+    names = set(base)
+    for b in base:
+        for _ in range(12):
+            chars = list(b)
+            for _ in range(rng.randint(0, max(1, len(b) // 4))):
+                at = rng.randrange(len(chars) + 1)
+                chars[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "ab", "é"])
+            names.add("".join(chars) or "q")
+    df = spark.createDataFrame([("g", n) for n in names], "k string, a string")
+    got = [(r.a, r.b) for r in interests.proposed_pairs(df, ["k"], long).collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    want = {(a, b) for a in names for b in names if a < b and interests.ratio(a, b) >= interests.SAME}
+    assert want <= set(got) and len(got) <= 10 * len(want)
+
+
+def test_similar_pairs_of_odd_names(spark):
+    """Nulls and empty names resemble none; repeated rows count once; an empty table gives none."""
+    rows = [(1, None), (1, ""), (1, "opera"), (1, "operas"), (1, "opera"), (None, "opera"), (None, "operas")]
+    df = spark.createDataFrame(rows, "key int, name string")
+    assert [tuple(r) for r in interests.similar_pairs(df, ["key"], "name").collect()] == [(1, "opera", "operas")]
+    assert interests.similar_pairs(df.limit(0), ["key"], "name").collect() == []
