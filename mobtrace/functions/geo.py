@@ -67,3 +67,26 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     length = F.pow(bx - ax, 2) + F.pow(by - ay, 2)
     t = F.when(length == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length)))
     return planar_distance(px, py, ax + t * (bx - ax), ay + t * (by - ay))
+
+
+#: Halves of the bits of a number of up to 32 bits are moved apart in these steps: bits, and which of them stay.
+SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def interleaved(x: Column, y: Column) -> Column:
+    """The bits of two numbers below 2 ** 31 in turn, those of ``x`` first, so that a cell's code begins with that of each cell around it."""
+
+    def apart(v: Column) -> Column:
+        for bits, mask in SPREAD:
+            v = F.shiftleft(v, bits).bitwiseOR(v).bitwiseAND(F.lit(mask))
+        return v
+
+    return F.shiftleft(apart(x.cast("long")), 1).bitwiseOR(apart(y.cast("long")))
+
+
+def every_second_bit(code: Column) -> Column:
+    """The bits at even places of a code, moved together: ``y`` of ``interleaved``, and ``x`` of the code shifted right by one."""
+    v = code.bitwiseAND(F.lit(SPREAD[-1][1]))
+    for (bits, _), (_, mask) in zip(SPREAD[::-1], [*SPREAD[-2::-1], (32, 0x00000000FFFFFFFF)], strict=True):
+        v = F.shiftright(v, bits).bitwiseOR(v).bitwiseAND(F.lit(mask))
+    return v

@@ -9,8 +9,8 @@ from mobtrace.fixtures import oracle, view
 from mobtrace.functions import scalars as x
 from mobtrace.operators import rows as r
 from mobtrace.operators import stays as s
+from mobtrace.operators import trees
 from mobtrace.plans.registry import query
-from mobtrace.sources.scratch import cut
 
 
 @query("flagship")
@@ -132,23 +132,9 @@ def contexts(spark, d, reach: int = 2, least: int = 5):
 
 
 @query("W14_adaptive_cells")
-def adaptive_cells(spark, d, most: int = 50, deepest: int = 12):
-    """Cells are split in four while they hold ``most`` venues or more, down to a depth."""
-    v = view(spark, d, "fx_venue").select(((F.col("lon") + 180) / 360).alias("x"), ((F.col("lat") + 90) / 180).alias("y"))
-    level = v.withColumn("depth", F.lit(0)).withColumn("cx", F.lit(0).cast("long")).withColumn("cy", F.lit(0).cast("long"))
-    full, done = level, None
-    for depth in range(deepest + 1):
-        counts = cut(full.groupBy("depth", "cx", "cy").agg(F.count("*").alias("n")), "cells")
-        heavy = counts.filter(F.col("n") >= most).select("cx", "cy")
-        last = depth == deepest or heavy.isEmpty()
-        cells = counts if last else counts.filter(F.col("n") < most)
-        done = cells if done is None else done.unionByName(cells)
-        if last:
-            break
-        side = 2.0 ** (depth + 1)
-        full = full.join(heavy, ["cx", "cy"], "left_semi").select("x", "y", F.lit(depth + 1).alias("depth"), F.floor(F.col("x") * side).alias("cx"), F.floor(F.col("y") * side).alias("cy"))
-        full = cut(full, "cell-points")
-    return done.select(F.col("depth").cast("long").alias("depth"), "cx", "cy", "n")
+def adaptive_cells(spark, d, most: int = 50):
+    """Cells are split in four while they hold ``most`` venues or more."""
+    return trees.adaptive_cells(view(spark, d, "fx_venue"), (F.col("lon") + 180) / 360, (F.col("lat") + 90) / 180, most)
 
 
 @query("W15_fixed_grid", oracle("WITH b AS (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM fx_venue) SELECT i, j, round(s + i * (n - s) / 10, 8) AS south, round(w + j * (e - w) / 10, 8) AS west FROM b, range(10) a(i), range(10) c(j)"))

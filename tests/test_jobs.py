@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mobtrace.fixtures import view
 from mobtrace.functions import geo
-from mobtrace.operators import changes, interests, models, spatial, stays
+from mobtrace.operators import changes, interests, models, spatial, stays, trees
 from mobtrace.plans import sequences, streams
 from mobtrace.sources import files
 
@@ -462,11 +462,38 @@ def test_entry_without_llm(tmp_path):
     assert int(done.stdout.split()[-1]) > 150
 
 
-def test_adaptive_cells(spark, small):
-    n = view(spark, small, "fx_venue").count()
-    cells = sequences.adaptive_cells(spark, small).collect()
-    assert sum(c.n for c in cells) == n and all(c.n < 50 or c.depth == 12 for c in cells)
-    assert len({(c.depth, c.cx, c.cy) for c in cells}) == len(cells)
+def plain_cells(points, most, deepest, depth=0, cx=0, cy=0):
+    """Cells split in four from the whole square on, point by point."""
+    side = 2**depth
+    own = [p for p in points if min(int(p[0] * side), side - 1) == cx and min(int(p[1] * side), side - 1) == cy]
+    if not own:
+        return []
+    if len(own) < most or depth == deepest:
+        return [(depth, cx, cy, len(own))]
+    return [c for i in (0, 1) for j in (0, 1) for c in plain_cells(own, most, deepest, depth + 1, 2 * cx + i, 2 * cy + j)]
+
+
+@pytest.mark.parametrize("most, deepest, parts", [(1, 30, 4), (3, 30, 7), (4, 6, 2), (50, 30, 3), (10_000, 30, 4)])
+def test_adaptive_cells(spark, most, deepest, parts):
+    rng = random.Random(most)
+    points = [(rng.random(), rng.random()) for _ in range(300)] + [(0.3 + rng.random() / 1e5, 0.7) for _ in range(200)]
+    points += [(0.25, 0.5)] * 60 + [(0.0, 0.0), (1.0, 1.0), (1.0, 0.0)]
+    df = spark.createDataFrame([*points, (None, 0.5), (0.5, None), (1.5, 0.5)], "x double, y double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = [tuple(r) for r in trees.adaptive_cells(df, F.col("x"), F.col("y"), most, deepest).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert sorted(got) == sorted(plain_cells(points, most, deepest))
+    assert trees.adaptive_cells(df.limit(0), F.col("x"), F.col("y"), most).collect() == []
+
+
+def test_adaptive_cells_of_venues(spark, small):
+    points = [((r.lon + 180) / 360, (r.lat + 90) / 180) for r in view(spark, small, "fx_venue").collect()]
+    assert sorted(map(tuple, sequences.adaptive_cells(spark, small).collect())) == sorted(plain_cells(points, 50, 30))
 
 
 @pytest.mark.parametrize("long", [256, 6])
