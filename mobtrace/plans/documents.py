@@ -27,13 +27,9 @@ def logs(spark, d):
     stamp = F.when(F.col("deleted").isNull(), "no time").otherwise(F.date_format(F.timestamp_seconds("arrival"), "yyyy-MM-dd HH:mm:ss"))
     args = F.when(F.col("visited"), F.concat(F.lit('{"place": '), "place_id", F.lit(', "x": "a,b"}'))).otherwise("{broken")
     folder = scratch(spark, "logs")
-    v.select(F.lit("u7").alias("User"), stamp.alias("Timestamp"), F.concat(F.lit("s"), "place_id").alias("Session"), F.lit("t").alias("Type"), args.alias("Args")).write.option("header", True).option("quote", "|").option("quoteAll", True).csv(folder)
-    fs_ = spark._jvm.org.apache.hadoop.fs
-    at = fs_.Path(folder)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(at)]
-    for i, name in enumerate(n for n in sorted(names) if n.startswith("part-")):  # files get names of their own, whatever their number
-        fs.rename(fs_.Path(f"{folder}/{name}"), fs_.Path(f"{folder}/u7_2024-01-01_{i}_log.csv"))
+    number = F.pmod("place_id", F.lit(3)).cast("string")
+    rows = v.select(F.concat(F.lit("u7_2024-01-01_"), number, F.lit("_log.csv")).alias("name"), F.lit("u7").alias("User"), stamp.alias("Timestamp"), F.concat(F.lit("s"), "place_id").alias("Session"), F.lit("t").alias("Type"), args.alias("Args"))
+    rows.repartition("name").write.partitionBy("name").option("header", True).option("quote", "|").option("quoteAll", True).csv(folder)
     out = files.read_logs(spark, folder)
     return out.select("user_id", "day", "ts", "session", F.try_variant_get("args", "$.place", "long").alias("place"))
 

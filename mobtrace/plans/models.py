@@ -242,20 +242,15 @@ def factor_topics(spark, d, terms: int = 1000):
 
 
 @query("M22_place_embeddings")
-def place_embeddings(spark, d, size: int = 300, first: int = 5, near: int = 3):
+def place_embeddings(spark, d, size: int = 300, first: int = 5, near: int = 3, least: int = 5):
     """Vectors of interests from the sequences of users' check-ins, each place standing for its first interests; with each interest's nearest ones."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
     from mobtrace.operators import interests
 
     s = view(spark, d, "fx_score").groupBy("venue_id", "pi_id").agg(F.max("score").alias("score"))
-    own = r.top(s, ["venue_id"], [F.desc("score"), F.col("pi_id")], first).groupBy("venue_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pi_id"))), lambda x_: x_["pi_id"].cast("string")).alias("pis"))
+    own = r.top(s, ["venue_id"], [F.desc("score"), F.col("pi_id")], first).groupBy("venue_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pi_id"))), lambda x_: x_["pi_id"].cast("string")).alias("words"))
     c = view(spark, d, "fx_checkin").withColumn("venue_id", F.col("venue_id") % 50)
-    seq = c.join(own, "venue_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "venue_id", "pis"))).alias("s")).filter(F.size("s") >= 5)
-    seq = seq.select(F.flatten(F.transform("s", lambda e: e["pis"])).alias("words"))
-    model = Word2Vec(vectorSize=size, windowSize=2, minCount=2, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(seq)
-    v = cut(model.getVectors().select(F.col("word").cast("long").alias("pi_id"), vector_to_array("vector").alias("vector")), "vectors")
+    steps = c.join(own, "venue_id").withColumn("n", F.count("*").over(Window.partitionBy("user_id"))).filter(F.col("n") >= least)
+    v = cut(m.sequence_vectors(steps, "user_id", ["ts", "venue_id"], "words", size).select(F.col("word").cast("long").alias("pi_id"), "vector"), "vectors")
     best = interests.best_matches(v.withColumnRenamed("pi_id", "of"), "vector", v, "pi_id", "vector", near + 1).filter("pi_id <> of")
     best = best.groupBy("of").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pi_id"))), 1, near), lambda x_: x_["pi_id"]).alias("nearest"))
     return v.join(best, F.col("pi_id") == F.col("of"), "left").select("pi_id", "vector", "nearest")

@@ -36,11 +36,14 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Event logs quoted by bars; rows with bad times go, bad arguments become an empty object; user and day are in the file name."""
-    raw = spark.read.option("header", True).option("quote", "|").csv(path).select("*", F.col("_metadata.file_path").alias("file"))
+    """Event logs quoted by bars; rows with bad times go, bad arguments become an empty object.
+
+    User and day are in the name user_day_number_log.csv, of a file or of a folder of parts of one.
+    """
+    raw = spark.read.option("header", True).option("quote", "|").option("recursiveFileLookup", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"))
     raw = raw.toDF(*[c.lower() for c in raw.columns])
     at = F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss"))
-    name = r"([^/]*)_(\d{4}-\d{2}-\d{2})_[^/]*_log\.csv$"
+    name = r"([^/=]*)_(\d{4}-\d{2}-\d{2})_[^/]*_log\.csv(?:/[^/]*)?$"
     args = F.coalesce(F.try_parse_json("args"), F.parse_json(F.lit("{}")))
     return raw.withColumn("at", at).filter("at is not null").select(F.regexp_extract("file", name, 1).alias("user_id"), F.regexp_extract("file", name, 2).alias("day"), F.unix_timestamp("at").alias("ts"), "session", "type", args.alias("args"))
 

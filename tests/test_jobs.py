@@ -522,3 +522,31 @@ def test_similar_pairs_of_odd_names(spark):
     df = spark.createDataFrame(rows, "key int, name string")
     assert [tuple(r) for r in interests.similar_pairs(df, ["key"], "name").collect()] == [(1, "opera", "operas")]
     assert interests.similar_pairs(df.limit(0), ["key"], "name").collect() == []
+
+
+def test_neighbours_of_sequence_vectors(spark):
+    """Words of places that are visited one after the other are nearest to each other, whatever the length of a history."""
+    rng = random.Random(2)
+    rows = []
+    for user in range(60):
+        names = "abcde" if user % 2 else "vwxyz"
+        rows += [(user, k, [rng.choice(names), rng.choice(names)]) for k in range(60)]
+    rows += [(1, 99, []), (2, 99, None), (3, 99, ["once"])]
+    steps = spark.createDataFrame(rows, "user long, ts long, words array<string>")
+    for stretch in (200, 7):
+        found = models.sequence_vectors(steps, "user", ["ts"], "words", 12, rounds=8, stretch=stretch)
+        v = {r.word: np.array(r.vector) / np.linalg.norm(r.vector) for r in found.collect()}
+        assert set(v) == set("abcdevwxyz")
+        for word in v:
+            nearest = sorted((w for w in v if w != word), key=lambda w: -v[w] @ v[word])[:4]
+            assert set(nearest) | {word} in (set("abcde"), set("vwxyz"))
+
+
+def test_logs_of_files_and_folders(spark, tmp_path):
+    """User and day come from a file's name or from that of the folder of its parts."""
+    text = "|User|,|Timestamp|,|Session|,|Type|,|Args|\n|x|,|2024-03-01 10:00:00|,|s|,|t|,|{\"a\": 1}|\n|x|,|never|,|s|,|t|,|{}|\n"
+    (tmp_path / "u1_2024-03-01_4_log.csv").write_text(text)
+    (tmp_path / "name=u_2_2024-03-02_5_log.csv").mkdir()
+    (tmp_path / "name=u_2_2024-03-02_5_log.csv" / "part-0.csv").write_text(text)
+    got = sorted((r.user_id, r.day, r.session) for r in files.read_logs(spark, str(tmp_path)).collect())
+    assert got == [("u1", "2024-03-01", "s"), ("u_2", "2024-03-02", "s")]
