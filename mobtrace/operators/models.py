@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mobtrace.operators import rows as rows_
+from mobtrace.sources.scratch import cut
+
 #: Rows of a block in which neighbours are sought.
 BLOCK = 20_000
 
@@ -141,16 +144,70 @@ def average_precision(judged: DataFrame) -> DataFrame:
     return hits.groupBy("model", "venue_id").agg(F.round(F.avg(at), 6).alias("average_precision"))
 
 
-def topics(tips: DataFrame, k: int = 5, terms: int = 1000, iterations: int = 5, seed: int = 1):
-    """One online LDA over all tips (tip_id, words): terms of one and two words; the fitted model, its vocabulary and each tip's mix."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, NGram
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of log gamma for positive numbers: moved up by six, then the asymptotic series."""
+    y = x + 6
+    return np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) - sum(1 / (x + i) for i in range(6))
+
+
+def topic_mix(n: np.ndarray, terms: np.ndarray, alpha: float, most: int = 100, near: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """A text's variational mix of topics, and its counts ``n`` dealt to topics; ``terms`` (term by topic) are expected log weights."""
+    beta, gamma = np.exp(terms), np.ones(terms.shape[1])
+    for _ in range(most):
+        theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
+        part = n / (beta @ theta + 1e-100)
+        last, gamma = gamma, alpha + theta * (beta.T @ part)
+        if np.abs(gamma - last).mean() < near:
+            break
+    return gamma, theta * beta * part[:, None]
 
-    grams = NGram(n=2, inputCol="words", outputCol="pairs").transform(tips).select("tip_id", F.concat("words", "pairs").alias("terms"))
-    counts = CountVectorizer(inputCol="terms", outputCol="features", minDF=2, maxDF=0.95, vocabSize=terms).fit(grams)
-    vectors = counts.transform(grams)
-    model = LDA(k=k, optimizer="online", maxIter=iterations, learningOffset=50.0, seed=seed).fit(vectors)
-    return model, counts.vocabulary, model.transform(vectors)
+
+def topics(tips: DataFrame, k: int = 20, least: int = 100, terms: int = 1000, rounds: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A topic model for each category with ``least`` tips, of tips (tip_id, category_id, words): all are fitted in the same rounds.
+
+    Variational Bayes over whole categories: weights of topics are kept by category and term,
+    meet the counts of the tips, are worked out a tip at a time in tasks, and are summed by
+    category and term. Terms of a model are those of one and two words that at least two and
+    at most 95 of a hundred of its tips hold, the ``terms`` most frequent ones. Gives the
+    weights (category_id, term, weights: by topic, of all terms adding up to 1 where divided
+    by their sum) and the mixes (tip_id, category_id, mix: by topic, adding up to 1). A tip
+    without any of the terms has an even mix; a tip of several categories counts in each.
+    """
+    size = tips.groupBy("category_id").agg(F.count_distinct("tip_id").alias("size")).filter(F.col("size") >= least)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
+    grams = F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")))
+    rows = tips.select("category_id", "tip_id", F.explode(grams).alias("term")).groupBy("category_id", "tip_id", "term").agg(F.count("*").alias("n"))
+    rows = cut(rows.join(size.select("category_id"), "category_id", "left_semi"), "terms")
+    often = rows.groupBy("category_id", "term").agg(F.count("*").alias("df"), F.sum("n").alias("all")).join(size, "category_id").filter((F.col("df") >= 2) & (F.col("df") <= 0.95 * F.col("size")))
+    vocabulary = rows_.top(often, ["category_id"], [F.desc("all"), F.col("term")], terms).select("category_id", "term")
+    bag = cut(rows.join(vocabulary, ["category_id", "term"], "left_semi"), "bag")
+    start = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: 0.5 + F.pmod(F.xxhash64("term", i, F.lit(seed)), F.lit(1_000_000)) / 1_000_000)
+    weights = cut(vocabulary.select("category_id", "term", start.alias("weights")), "weights")
+    kinds = dict(bag.dtypes)
+    schema = f"category_id {kinds['category_id']}, tip_id {kinds['tip_id']}, mix array<double>, term array<string>, dealt array<array<double>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            mixes, dealt = [], []
+            for n, w, total in zip(batch["n"], batch["weights"], batch["total"], strict=True):
+                gamma, own = topic_mix(np.array(n, dtype=float), digamma(np.stack(w)) - digamma(np.array(total)), 1 / k)
+                mixes.append(gamma / gamma.sum())
+                dealt.append(own.tolist())
+            yield batch[["category_id", "tip_id"]].assign(mix=mixes, term=batch["term"], dealt=dealt)
+
+    def worked_out(weights: DataFrame) -> DataFrame:
+        """Each tip's mix and its counts dealt to topics. A tip's list has at most as many terms as a model."""
+        total = weights.groupBy("category_id").agg(F.array(*[F.sum(F.col("weights")[i]) for i in range(k)]).alias("total"))
+        met = bag.join(weights, ["category_id", "term"]).groupBy("category_id", "tip_id").agg(F.array_sort(F.collect_list(F.struct("term", "n", "weights"))).alias("x"))
+        return met.join(total, "category_id").select("category_id", "tip_id", "x.term", "x.n", "x.weights", "total").mapInPandas(run, schema)
+
+    for _ in range(rounds):
+        flat = worked_out(weights).select("category_id", F.explode(F.arrays_zip("term", "dealt")).alias("x"))
+        summed = F.array(*[F.sum(F.col("x.dealt")[i]) + 1 / k for i in range(k)])
+        weights = cut(flat.groupBy("category_id", F.col("x.term").alias("term")).agg(summed.alias("weights")), "weights")
+    mix = tips.select("tip_id", "category_id").distinct().join(size.select("category_id"), "category_id", "left_semi")
+    mix = mix.join(worked_out(weights).select("category_id", "tip_id", "mix"), ["category_id", "tip_id"], "left")
+    return weights, cut(mix.withColumn("mix", F.coalesce("mix", F.array_repeat(F.lit(1 / k), k))), "mixes")
 
 
 def factor_topics(weights: DataFrame, k: int = 5, seed: int = 1):

@@ -189,24 +189,18 @@ def english(spark, d):
 
 
 def by_topic(spark, d, topics: int = 20, least: int = 20):
-    """One model of the English tips; each category's and tip's mix of topics, for categories with ``least`` tips."""
-    from pyspark.ml.functions import vector_to_array
-
-    e = english(spark, d)
+    """A model of the English tips of each category that has ``least`` (the operator's default of 100 leaves none of the small tables): weights of terms, and each tip's shares."""
     c = view(spark, d, "fx_category").select(F.col("category_id").alias("extra_category"), F.col("parent_id").alias("category_id"))
     v = view(spark, d, "fx_venue").join(c, "extra_category").select("venue_id", "category_id")
-    e = cut(e.join(v, "venue_id"), "tips")
-    model, words, mixes = m.topics(e.select("tip_id", "words"), topics)
-    mix = mixes.select("tip_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share"))
-    enough = e.groupBy("category_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("category_id")
-    mix = cut(e.join(enough, "category_id", "left_semi").select("tip_id", "category_id").join(mix, "tip_id"), "mixes")
-    return model, words, mix
+    tips = cut(english(spark, d).join(v, "venue_id").select("tip_id", "category_id", "words"), "tips")
+    weights, mixes = m.topics(tips, topics, least)
+    return weights, mixes.select("category_id", "tip_id", F.posexplode("mix").alias("topic", "share"))
 
 
 @query("M9_topics")
 def topics(spark, d):
-    """The mean mix of topics of each category that has enough tips, under one shared model, best topics first."""
-    _, _, mix = by_topic(spark, d)
+    """The mean mix of the topics of each category that has enough tips, under its own model, best topics first."""
+    _, mix = by_topic(spark, d)
     by = mix.groupBy("category_id", "topic").agg(F.avg("share").alias("share"))
     w = Window.partitionBy("category_id").orderBy(F.desc("share"), "topic")
     return by.select("category_id", F.col("topic").cast("long").alias("topic"), F.round("share", 4).alias("share"), F.row_number().over(w).cast("long").alias("rank"))
@@ -214,17 +208,16 @@ def topics(spark, d):
 
 @query("T5_topic_words")
 def topic_words(spark, d, n: int = 10, docs: int = 5):
-    """The first words of each topic, and the tips that have most of it."""
-    model, words, mix = by_topic(spark, d)
-    return described_topics(spark, model, words, mix, n, docs)
+    """The first words of each category's topics, and the tips that have most of them."""
+    weights, mix = by_topic(spark, d)
+    return described_topics(weights, mix, n, docs)
 
 
-def described_topics(spark, model, words, mix, n: int, docs: int):
-    names = spark.createDataFrame(list(enumerate(words)), "term int, word string")  # at most as many terms as the model has
-    own = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "x")).select("topic", "at", F.col("x.termIndices").alias("term"), F.col("x.termWeights").alias("weight"))
-    own = own.join(names, "term").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x_: x_["word"]).alias("words"))
-    best = r.top(mix, ["topic"], [F.desc("share"), F.col("tip_id")], docs).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "tip_id"))), lambda x_: x_["tip_id"]).alias("tips"))
-    return own.join(best, "topic", "left").select(F.col("topic").cast("long").alias("topic"), "words", "tips")
+def described_topics(weights, mix, n: int, docs: int):
+    own = r.top(weights.select("category_id", "term", F.posexplode("weights").alias("topic", "weight")), ["category_id", "topic"], [F.desc("weight"), F.col("term")], n)
+    own = own.groupBy("category_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))), lambda x_: x_["term"]).alias("words"))
+    best = r.top(mix, ["category_id", "topic"], [F.desc("share"), F.col("tip_id")], docs).groupBy("category_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "tip_id"))), lambda x_: x_["tip_id"]).alias("tips"))
+    return own.join(best, ["category_id", "topic"]).select("category_id", F.col("topic").cast("long").alias("topic"), "words", "tips")
 
 
 @query("M10_factor_topics")
@@ -259,13 +252,11 @@ def place_embeddings(spark, d, size: int = 300, first: int = 5, near: int = 3, l
 @query("C7_topics_of_category")
 def topics_of_category(spark, d, n: int = 10, docs: int = 5):
     """The topics of each category in the order of their rank, with their first words and the category's tips that have most of them."""
-    model, words, mix = by_topic(spark, d)
+    weights, mix = by_topic(spark, d)
     by = mix.groupBy("category_id", "topic").agg(F.avg("share").alias("share"))
     rank = F.row_number().over(Window.partitionBy("category_id").orderBy(F.desc("share"), "topic")).cast("long")
-    best = r.top(mix, ["category_id", "topic"], [F.desc("share"), F.col("tip_id")], docs).groupBy("category_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "tip_id"))), lambda x_: x_["tip_id"]).alias("tips"))
-    own = described_topics(spark, model, words, mix, n, 1).select("topic", "words")
-    out = by.withColumn("rank", rank).join(best, ["category_id", "topic"]).join(own, "topic")
-    return out.select("category_id", "rank", F.col("topic").cast("long").alias("topic"), "words", "tips").orderBy("category_id", "rank")
+    out = by.select("category_id", F.col("topic").cast("long").alias("topic"), rank.alias("rank")).join(described_topics(weights, mix, n, docs), ["category_id", "topic"])
+    return out.select("category_id", "rank", "topic", "words", "tips").orderBy("category_id", "rank")
 
 
 @query("X19_random_points", oracle("WITH u AS (SELECT venue_id, lat, lon, ('0x' || substr(md5(venue_id || ':1'), 1, 8))::BIGINT::DOUBLE / 4294967296 AS a, ('0x' || substr(md5(venue_id || ':2'), 1, 8))::BIGINT::DOUBLE / 4294967296 AS b FROM fx_venue) SELECT venue_id, round(lat + degrees(100 * sqrt(a) * sin(2 * pi() * b) / 6378137.0), 8) AS lat, round(lon + degrees(100 * sqrt(a) * cos(2 * pi() * b) / (6378137.0 * cos(radians(lat)))), 8) AS lon FROM u"))

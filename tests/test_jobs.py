@@ -550,3 +550,34 @@ def test_logs_of_files_and_folders(spark, tmp_path):
     (tmp_path / "name=u_2_2024-03-02_5_log.csv" / "part-0.csv").write_text(text)
     got = sorted((r.user_id, r.day, r.session) for r in files.read_logs(spark, str(tmp_path)).collect())
     assert got == [("u1", "2024-03-01", "s"), ("u_2", "2024-03-02", "s")]
+
+
+def test_topics_by_category(spark):
+    """Models of two categories equal fits by themselves in plain loops; themes are told apart; tips without terms have an even mix."""
+    rng = random.Random(5)
+    themes = ["pizza pasta oven".split(), "opera stage choir".split()]
+    rows = [(i, f"c{i % 2}", [rng.choice(themes[i // 2 % 2]) for _ in range(8)]) for i in range(80)] + [(90, "c0", ["alone"]), (91, "few", ["pizza"])]
+    tips = spark.createDataFrame(rows, "tip_id long, category_id string, words array<string>")
+    weights, mixes = models.topics(tips, k=2, least=30, rounds=4)
+    weights = {(r.category_id, r.term): np.array(r.weights) for r in weights.collect()}
+    mix = {r.tip_id: np.array(r.mix) for r in mixes.collect()}
+    assert set(mix) == set(range(80)) | {90} and np.allclose(mix[90], 0.5)
+    start = {r.term: np.array(r.w) for r in spark.createDataFrame([(t,) for _, t in weights], "term string").distinct().select("term", F.array(*[0.5 + F.pmod(F.xxhash64("term", F.lit(i), F.lit(1)), F.lit(1_000_000)) / 1_000_000 for i in range(2)]).alias("w")).collect()}
+    for c in ("c0", "c1"):
+        bags = {i: [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))] for i, k, w in rows if k == c}
+        df = {t: sum(t in b for b in bags.values()) for b in bags.values() for t in b}
+        lam = {t: start[t] for t, n in df.items() if 2 <= n <= 0.95 * len(bags)}
+        assert {t for k, t in weights if k == c} == set(lam)
+        for _ in range(4):
+            total, new = sum(lam.values()), {t: np.full(2, 0.5) for t in lam}
+            for b in bags.values():
+                own = sorted(set(b) & set(lam))
+                if own:
+                    _, dealt = models.topic_mix(np.array([b.count(t) for t in own], dtype=float), np.stack([models.digamma(lam[t]) - models.digamma(total) for t in own]), 0.5)
+                    for t, x in zip(own, dealt, strict=True):
+                        new[t] = new[t] + x
+            lam = new
+        assert all(np.allclose(weights[c, t], x, rtol=1e-6) for t, x in lam.items())
+        best = {i: int(mix[i].argmax()) for i, k, w in rows if k == c and i < 80}
+        assert len({(i // 2 % 2, t) for i, t in best.items()}) == 2
+    assert np.allclose(models.digamma(np.array([1.0, 0.1, 20.0])), [-0.5772156649, -10.4237549404, 2.9705239922], atol=1e-7)
