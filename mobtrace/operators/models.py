@@ -150,8 +150,11 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) - sum(1 / (x + i) for i in range(6))
 
 
-def topic_mix(n: np.ndarray, terms: np.ndarray, alpha: float, most: int = 100, near: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """A text's variational mix of topics, and its counts ``n`` dealt to topics; ``terms`` (term by topic) are expected log weights."""
+def topic_mix(n: np.ndarray, terms: np.ndarray, alpha: float, most: int = 20, near: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """A text's variational mix of topics, and its counts ``n`` dealt to topics; ``terms`` (term by topic) are expected log weights.
+
+    Ends after ``most`` steps at the latest; each step betters the bound, so those of early rounds needn't converge.
+    """
     beta, gamma = np.exp(terms), np.ones(terms.shape[1])
     for _ in range(most):
         theta = np.exp(digamma(gamma) - digamma(gamma.sum()))

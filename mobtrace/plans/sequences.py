@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mobtrace.fixtures import oracle, view
-from mobtrace.functions import scalars as x
 from mobtrace.operators import rows as r
 from mobtrace.operators import stays as s
 from mobtrace.operators import trees
