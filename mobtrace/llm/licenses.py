@@ -1,13 +1,17 @@
-"""License scan: phrases and an exact set-similarity join with license notices.
+"""License scan: phrases and an exact set-similarity join with license notices and texts.
 
 A block of a text is a window of words: for a template of n words the windows begin at every
 n-th word and are 2n words long, over line ends, so a notice of up to n + 1 words lies whole
-in one of them. A block matches a template that has at least 80 % of its distinct words in
-the block. The join is exact: tokens are ordered by how many texts hold them, rarest first;
-a block that matches holds one of the template's first ``size - need + 1`` tokens (prefix
-filter), has ``need`` words (length filter), and the places of a shared token in both orders
-leave room for ``need`` shared ones (positional filter). What passes is verified on the
-whole sets. DataFrame expressions only.
+in one of them, and blocks are as long as their template asks for. A block matches a template
+that has at least 80 % of its distinct words in the block. The join is exact: tokens are
+ordered by how many texts hold them, rarest first; a block that matches holds one of the
+template's first ``size - need + 1`` tokens (prefix filter), has ``need`` words that templates
+know (length filter), and the places of a shared token in both orders leave room for ``need``
+shared ones (positional filter). What passes is verified on the whole sets.
+
+A text is taken apart once: a written table holds its words in their order, those that no
+template has as nulls, and numbers and places of the phrases. Counts of tokens and blocks come
+from that table. DataFrame expressions only.
 
 Edge cases: a null text is empty; a text without words has 0 words, no label and score 0;
 rows without ``doc_id``, repeated rows and texts of any length are rows like others, kept
@@ -27,7 +31,7 @@ from mobtrace.llm.storage import kept
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Usual notices by label, public texts. Their words alone bound what is broadcast.
+#: Usual notices and whole short licenses by label, public texts. Their words alone bound what is broadcast.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "Released under the MIT License"),
@@ -35,6 +39,10 @@ TEMPLATES = [
         "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     (
         "apache",
@@ -51,7 +59,23 @@ TEMPLATES = [
         "bsd",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -105,34 +129,42 @@ def starts(all_words: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(all_words)), here)
 
 
-def places(text: Column) -> Column:
-    """One array of starts for each phrase; texts without a phrase's last word are not taken apart."""
-    last = F.lit(False)
-    for phrase in PHRASES:
-        last = last | F.contains(text, F.lit(phrase.split()[-1]))
+def places(all_words: Column) -> Column:
+    """One array of starts for each phrase; texts without a phrase's last word are not searched."""
+    last = strings(sorted({phrase.split()[-1] for phrase in PHRASES}))
     none = F.array(*[F.array().cast("array<int>") for _ in PHRASES])
-    return F.when(last, bound_once(words(text), lambda w: F.array(*[starts(w, p) for p in PHRASES]))).otherwise(none)
+    return F.when(F.arrays_overlap(all_words, last), F.array(*[starts(all_words, p) for p in PHRASES])).otherwise(none)
 
 
 def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
+def taken_apart(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """row, doc_id, n_words, places of the phrases, and the words in their order, null where no template has them."""
+
+    def parts(w: Column) -> Column:
+        tokens = F.transform(w, lambda x: F.when(x.isin(vocabulary), x))
+        return F.struct(F.size(w).cast("long").alias("n_words"), places(w).alias("places"), tokens.alias("tokens"))
+
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", bound_once(words(F.col("lower")), parts).alias("of")).select("row", "doc_id", "of.*")
+
+
+def token_order(scanned: DataFrame, vocabulary: list[str]) -> list[str]:
     """The templates' tokens by the number of texts that hold them, over all rows, rarest first."""
-    held = docs.select(F.explode(F.array_intersect(F.split("lower", BETWEEN), strings(vocabulary))).alias("token"))
+    held = scanned.select(F.explode(F.array_compact(F.array_distinct("tokens"))).alias("token"))
     counts = {r.token: r.n for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each template token at most
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
-def windows(all_words: Column, of: int, template: Template, prefix: list[str]) -> Column:
-    """The windows for a template that hold a token of its prefix, as struct(template, words)."""
+def windows(tokens: Column, of: int, template: Template, prefix: list[str]) -> Column:
+    """The windows for a template that hold a token of its prefix, as struct(template, words); words are those that templates have."""
     n = template.words
-    first = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_words) / n).cast("int") - 1, F.lit(0)))
-    cut = F.transform(first, lambda j: F.slice(all_words, j * n + 1, F.lit(2 * n)))
+    first = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(tokens) / n).cast("int") - 1, F.lit(0)))
+    cut = F.transform(first, lambda j: F.slice(tokens, j * n + 1, F.lit(2 * n)))
     near = F.filter(cut, lambda w: F.arrays_overlap(w, strings(prefix)))
-    found = F.transform(near, lambda w: F.struct(F.lit(of).alias("template"), F.array_distinct(w).alias("words")))
-    return F.when(F.arrays_overlap(all_words, strings(prefix)), found).otherwise(F.array().cast(BLOCKS))
+    found = F.transform(near, lambda w: F.struct(F.lit(of).alias("template"), F.array_compact(F.array_distinct(w)).alias("words")))
+    return F.when(F.arrays_overlap(tokens, strings(prefix)), found).otherwise(F.array().cast(BLOCKS))
 
 
 BLOCKS = "array<struct<template:int,words:array<string>>>"
@@ -141,25 +173,21 @@ BLOCKS = "array<struct<template:int,words:array<string>>>"
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     sets = template_sets(templates)
+    vocabulary = sorted({t for s in sets for t in s.tokens})
     rows = docs.select(F.col(key).alias("doc_id"), lowered(F.col(text)).alias("lower"))
-    order = token_order(rows, sorted({t for s in sets for t in s.tokens}))
+    scanned = kept(taken_apart(rows, vocabulary), "license-scan")
+    order = token_order(scanned, vocabulary)
     rank = {t: i for i, t in enumerate(order)}
     index, first = [], []
     for i, s in enumerate(sets):
         tokens = sorted(s.tokens, key=rank.get)
         first.append(tokens[: len(tokens) - s.need + 1])
         index += [(i, token, at, len(tokens), s.need, s.label, tokens) for at, token in enumerate(first[i])]
-    # words are runs of these characters, so a text without this text has no prefix token
-    some = "|".join(sorted({t for own in first for t in own}))
-    blocks = bound_once(words(F.col("lower")), lambda w: F.flatten(F.array(*[windows(w, i, s, first[i]) for i, s in enumerate(sets)])))
-    scanned = rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_count("lower", F.lit(WORD)).cast("long").alias("n_words"),
-        places(F.col("lower")).alias("places"), F.when(F.col("lower").rlike(some), blocks).otherwise(F.array().cast(BLOCKS)).alias("blocks"),
-    )
-    scanned = kept(scanned, "license-scan")
+    some = sorted({t for own in first for t in own})
 
     prefixes = F.broadcast(spark.createDataFrame(index, "template int, token string, at int, size int, need int, label string, tokens array<string>"))
-    block = scanned.select("row", F.inline("blocks"))
+    blocks = F.flatten(F.array(*[windows(F.col("tokens"), i, s, first[i]) for i, s in enumerate(sets)]))
+    block = scanned.filter(F.arrays_overlap("tokens", strings(some))).select("row", F.inline(blocks))
     block = block.withColumn("ordered", F.array_intersect(strings(order), "words"))
     shared = block.select("row", "template", "words", F.size("ordered").alias("n"), F.posexplode("ordered").alias("place", "token")).join(prefixes, ["template", "token"])
     room = F.least("place", "at") + F.least(F.col("n") - F.col("place"), F.col("size") - F.col("at"))

@@ -33,7 +33,9 @@ def test_wrapped_notices(spark):
     lines = lambda t: " ".join("\n * " + w if i % 9 == 0 else w for i, w in enumerate(t.split()))
     changed = " ".join(w for i, w in enumerate(notice["bsd"].split()) if i % 12)
     given = [(1, prose + lines(notice["apache"]) + prose), (2, lines(changed)), (3, lines(notice["isc"]).upper()), (4, prose + wrap("x") + prose), (5, "Released under\nthe MIT\nLicense")]
+    mit = notice["mit"].split()
+    given += [(6, prose + lines(notice["zlib"])), (7, " ".join(mit[:40] + ["inserted words"] + mit[40:]) + prose)]
     given += [(10 + i, lines(notice["unlicense"])) for i in range(300)]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
-    assert [got[i].labels for i in range(1, 6)] == ["apache", "bsd", "isc", "", "mit"]
+    assert [got[i].labels for i in range(1, 8)] == ["apache", "bsd", "isc", "", "mit", "zlib", "mit"]
     assert {got[10 + i].labels for i in range(300)} == {"unlicense"} and 0.8 <= got[2].score < 1
