@@ -44,3 +44,21 @@ def test_query(spark, small, tables, name):
     names = [x[0] for x in want.description]
     assert sorted(names) == columns
     assert sorted(([plain(r[names.index(c)]) for c in columns] for r in want.fetchall()), key=repr) == got
+
+
+def test_venues_with_n_tips(spark, small, medium, tmp_path):
+    """The query's n comes from the tips, so tables of any size give venues; a given n is honoured."""
+    f = registry.QUERIES["A8_venues_with_n_tips"]
+    assert [sorted(tuple(r) for r in f(spark, d).collect()) for d in (small, medium)] == [[(v, n) for v in range(40)] for n in (5, 25)]
+    times = {1: 3, 2: 2, 3: 4, 7: 2, 9: 3, 39: 40}
+    tips = [(v + 40 * i, ("de", "en", None)[i % 3], "a") for v, n in times.items() for i in range(n)]
+    schema = "doc_id long, lang string, text string"
+    for name, rows, least in (("odd", tips, {(2, 2), (7, 2)}), ("null", [*tips, (None, "de", None)], {(None, 1)}), ("none", [], set())):
+        d = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{d}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+        want = con.execute(registry.ORACLES["A8_venues_with_n_tips"]).fetchall()
+        assert {tuple(r) for r in f(spark, d).collect()} == set(want) == least
+    for n in (1, 2, 3, 4, 40):
+        assert {tuple(r) for r in f(spark, str(tmp_path / "odd"), n).collect()} == {(v, k) for v, k in times.items() if k == n}
