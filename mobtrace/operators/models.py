@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mobtrace.operators import rows as rows_
 from mobtrace.sources.scratch import cut
 
 #: Rows of a block in which neighbours are sought.
@@ -165,52 +166,160 @@ def topic_mix(n: np.ndarray, terms: np.ndarray, alpha: float, most: int = 20, ne
     return gamma, theta * beta * part[:, None]
 
 
+def topic_mixes(n: np.ndarray, terms: np.ndarray, alpha: float, most: int = 20, near: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """``topic_mix`` of many texts at once, a row of ``n`` (text by term) each: the mixes, and the counts dealt to topics in sum over the texts."""
+    beta, gamma = np.exp(terms), np.ones((len(n), terms.shape[1]))
+    theta, part, left = np.empty_like(gamma), np.empty(n.shape), np.arange(len(n))
+    for _ in range(most):
+        last = gamma[left]
+        t = np.exp(digamma(last) - digamma(last.sum(axis=1, keepdims=True)))
+        p = n[left] / (t @ beta.T + 1e-100)
+        gamma[left], theta[left], part[left] = alpha + t * (p @ beta), t, p
+        left = left[np.abs(gamma[left] - last).mean(axis=1) >= near]
+        if not len(left):
+            break
+    return gamma, beta * (part.T @ theta)
+
+
+#: Tips whose counts are one row of a bag, texts whose mixes are worked out at once, and words that are counted at once.
+PACKED, AT_ONCE, WORDS = 1000, 256, 1_000_000
+
+
+def counted_grams(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The terms of one and two words of texts: for each text and different term the text's number, the term's and how often it is there (by text, then term), and the terms. No term holds a null or goes over one."""
+    flat = words.flatten().cast(pa.string()).dictionary_encode()
+    code, names = flat.indices.fill_null(-1).to_numpy().astype(np.int64), flat.dictionary
+    text = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy())
+    size = max(1, len(names))
+    pair = (text[1:] == text[:-1]) & (code[1:] >= 0) & (code[:-1] >= 0)
+    grams = np.concatenate([code[code >= 0], size + code[:-1][pair] * size + code[1:][pair]])
+    found, own = np.unique(grams, return_inverse=True)
+    key, n = np.unique(np.concatenate([text[code >= 0], text[:-1][pair]]) * max(1, len(found)) + own, return_counts=True)
+    one, two = found[found < size], found[found >= size] - size
+    terms = pa.concat_arrays([names.take(pa.array(one)), pc.binary_join_element_wise(names.take(pa.array(two // size)), names.take(pa.array(two % size)), " ")])
+    return key // max(1, len(found)), key % max(1, len(found)), n, terms
+
+
+def slices(batch: pa.RecordBatch, words: str) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about WORDS words, a text at least."""
+    upto = np.cumsum(batch.column(batch.schema.get_field_index(words)).value_lengths().fill_null(0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def topics(tips: DataFrame, k: int = 20, least: int = 100, terms: int = 1000, rounds: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """A topic model for each category with ``least`` tips, of tips (tip_id, category_id, words): all are fitted in the same rounds.
 
-    Variational Bayes over whole categories: weights of topics are kept by category and term,
-    meet the counts of the tips, are worked out a tip at a time in tasks, and are summed by
+    Variational Bayes over whole categories. Words and pairs are counted where their tip lies, a
+    column of many tips at a time, and tips are packed with their counts of the model's terms, some PACKED a row. In a round
+    such a row meets its category's weights (``terms`` by ``k`` numbers), its tips are worked
+    out together, and what they deal to topics leaves the task as one sum; the sums are added up by
     category and term. Terms of a model are those of one and two words that at least two and
     at most 95 of a hundred of its tips hold, the ``terms`` most frequent ones. Gives the
     weights (category_id, term, weights: by topic, of all terms adding up to 1 where divided
     by their sum) and the mixes (tip_id, category_id, mix: by topic, adding up to 1). A tip
     without any of the terms has an even mix; a tip of several categories counts in each.
     """
-    size = tips.groupBy("category_id").agg(F.count_distinct("tip_id").alias("size")).filter(F.col("size") >= least)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
-    grams = F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")))
-    rows = tips.select("category_id", "tip_id", F.explode(grams).alias("term")).groupBy("category_id", "tip_id", "term").agg(F.count("*").alias("n"))
-    rows = cut(rows.join(size.select("category_id"), "category_id", "left_semi"), "terms")
-    often = rows.groupBy("category_id", "term").agg(F.count("*").alias("df"), F.sum("n").alias("all")).join(size, "category_id").filter((F.col("df") >= 2) & (F.col("df") <= 0.95 * F.col("size")))
-    vocabulary = rows_.top(often, ["category_id"], [F.desc("all"), F.col("term")], terms).select("category_id", "term")
-    bag = cut(rows.join(vocabulary, ["category_id", "term"], "left_semi"), "bag")
+    tip = ["category_id", "tip_id"]
+    size = tips.groupBy("category_id").agg(F.count_distinct("tip_id").alias("size"), F.count("*").alias("rows")).filter(F.col("size") >= least)
+    size = cut(size, "sizes")
+    used = tips.join(size.select("category_id"), "category_id", "left_semi").select(*tip, "words")
+    if not size.filter("rows > size").isEmpty():  # what a tip has in several rows is one list, with nulls between
+        used = used.groupBy(*tip).agg(F.flatten(F.collect_list(F.concat("words", F.array(F.lit(None).cast("string"))))).alias("words"))
+    kinds = dict(used.dtypes)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in slices(whole, "words")):
+            of = batch.column(0).dictionary_encode()
+            text, term, n, names = counted_grams(batch.column(1))
+            key, own = np.unique(of.indices.to_numpy()[text].astype(np.int64) * max(1, len(names)) + term, return_inverse=True)
+            category, term = key // max(1, len(names)), key % max(1, len(names))
+            sums = [pa.array(np.bincount(own, w, len(key)).astype(np.int64)) for w in (None, n)]
+            yield pa.RecordBatch.from_arrays([of.dictionary.take(pa.array(category)), names.take(pa.array(term)), *sums], names=["category_id", "term", "df", "all"])
+
+    often = used.select("category_id", "words").mapInArrow(counted, f"category_id {kinds['category_id']}, term string, df long, all long")
+    often = often.groupBy("category_id", "term").agg(F.sum("df").alias("df"), F.sum("all").alias("all")).filter("df >= 2")
+    often = often.join(size, "category_id").filter(F.col("df") <= 0.95 * F.col("size"))
+    order = Window.partitionBy("category_id").orderBy(F.desc("all"), F.col("term"))
+    vocabulary = cut(often.withColumn("at", F.row_number().over(order) - 1).filter(F.col("at") < terms).select("category_id", "term", "at"), "vocabulary")
+    parts = F.ceil(F.col("size") / PACKED)
+    dealt_out = used.join(size, "category_id").select(*tip, "words", F.pmod(F.xxhash64("tip_id"), parts).alias("part"))
+    known = vocabulary.join(size, "category_id").select("category_id", "term", "at", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+
+    schema = f"category_id {kinds['category_id']}, part long, tips array<struct<tip_id:{kinds['tip_id']},terms:array<struct<at:int,n:int>>>>"
+
+    def bagged(key: tuple[pa.Scalar, ...], own: pa.Table, terms: pa.Table) -> pa.Table:
+        own, pair = own.combine_chunks(), pa.struct([("at", pa.int32()), ("n", pa.int32())])
+        ids, held = [own["tip_id"].slice(0, 0).combine_chunks()], [pa.array([], pa.list_(pair))]
+        for piece in (p for batch in own.to_batches() for p in slices(batch, "words")):
+            text, term, n, names = counted_grams(piece.column(piece.schema.get_field_index("words")))
+            at = pc.index_in(names, terms["term"].combine_chunks()).fill_null(-1).to_numpy()[term]
+            text, at, n = text[at >= 0], terms["at"].to_numpy()[at[at >= 0]], n[at >= 0]
+            some, first = np.unique(text, return_index=True)
+            pairs = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int32())], fields=list(pair))
+            held.append(pa.ListArray.from_arrays(pa.array([*first, len(text)], pa.int32()), pairs))
+            ids.append(piece.column(piece.schema.get_field_index("tip_id")).take(pa.array(some)))
+        every = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(held)], names=["tip_id", "terms"])
+        lists = pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)
+        return pa.table([*(pa.array([k.as_py()], k.type) for k in key), lists], names=["category_id", "part", "tips"])
+
+    bag = dealt_out.groupBy("category_id", "part").cogroup(known.groupBy("category_id", "part")).applyInArrow(bagged, schema)
+    bag = cut(bag, "bag")
     start = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: 0.5 + F.pmod(F.xxhash64("term", i, F.lit(seed)), F.lit(1_000_000)) / 1_000_000)
-    weights = cut(vocabulary.select("category_id", "term", start.alias("weights")), "weights")
-    kinds = dict(bag.dtypes)
-    schema = f"category_id {kinds['category_id']}, tip_id {kinds['tip_id']}, mix array<double>, term array<string>, dealt array<array<double>>"
+    weights = cut(vocabulary.select("category_id", "at", start.alias("weights")), "weights")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Category, ids of tips, counts (tip by term) and expected log weights, for some tips at a time."""
         for batch in batches:
-            mixes, dealt = [], []
-            for n, w, total in zip(batch["n"], batch["weights"], batch["total"], strict=True):
-                gamma, own = topic_mix(np.array(n, dtype=float), digamma(np.stack(w)) - digamma(np.array(total)), 1 / k)
-                mixes.append(gamma / gamma.sum())
-                dealt.append(own.tolist())
-            yield batch[["category_id", "tip_id"]].assign(mix=mixes, term=batch["term"], dealt=dealt)
-
-    def worked_out(weights: DataFrame) -> DataFrame:
-        """Each tip's mix and its counts dealt to topics. A tip's list has at most as many terms as a model."""
-        total = weights.groupBy("category_id").agg(F.array(*[F.sum(F.col("weights")[i]) for i in range(k)]).alias("total"))
-        met = bag.join(weights, ["category_id", "term"]).groupBy("category_id", "tip_id").agg(F.array_sort(F.collect_list(F.struct("term", "n", "weights"))).alias("x"))
-        return met.join(total, "category_id").select("category_id", "tip_id", "x.term", "x.n", "x.weights", "total").mapInPandas(run, schema)
+            for category, held, model in zip(*batch.columns, strict=True):
+                w = model.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                e = digamma(w) - digamma(w.sum(axis=0))
+                for i in range(0, len(held.values), AT_ONCE):
+                    some = held.values.slice(i, AT_ONCE)
+                    own = some.field("terms")
+                    n, flat = np.zeros((len(some), len(w))), own.flatten()
+                    n[np.repeat(np.arange(len(some)), own.value_lengths().to_numpy()), flat.field("at").to_numpy()] = flat.field("n").to_numpy()
+                    yield category, some.field("tip_id"), n, e
+
+    def listed(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(np.arange(0, values.size + 1, k, dtype=np.int32), values.ravel())
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None
+        for category, _, n, e in packed(batches):
+            if total is not None and category != last:
+                yield sums(last, total)
+                total = None
+            own = topic_mixes(n, e, 1 / k)[1]
+            last, total = category, own if total is None else total + own
+        if total is not None:
+            yield sums(last, total)
+
+    def sums(category: pa.Scalar, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(category, len(total)), pa.array(np.arange(len(total), dtype=np.int32)), listed(total)], names=["category_id", "at", "dealt"])
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for category, ids, n, e in packed(batches):
+            gamma = topic_mixes(n, e, 1 / k)[0]
+            yield pa.RecordBatch.from_arrays([pa.repeat(category, len(ids)), ids, listed(gamma / gamma.sum(axis=1, keepdims=True))], names=["category_id", "tip_id", "mix"])
+
+    def met(weights: DataFrame) -> DataFrame:
+        """Each row of the bag with its category's weights in the order of the terms."""
+        models = weights.groupBy("category_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "weights"))), lambda x: x["weights"]).alias("weights"))
+        own = bag.select("category_id", "part").join(models, "category_id")
+        return bag.join(own, ["category_id", "part"]).select("category_id", "tips", "weights")
 
     for _ in range(rounds):
-        flat = worked_out(weights).select("category_id", F.explode(F.arrays_zip("term", "dealt")).alias("x"))
-        summed = F.array(*[F.sum(F.col("x.dealt")[i]) + 1 / k for i in range(k)])
-        weights = cut(flat.groupBy("category_id", F.col("x.term").alias("term")).agg(summed.alias("weights")), "weights")
-    mix = tips.select("tip_id", "category_id").distinct().join(size.select("category_id"), "category_id", "left_semi")
-    mix = mix.join(worked_out(weights).select("category_id", "tip_id", "mix"), ["category_id", "tip_id"], "left")
-    return weights, cut(mix.withColumn("mix", F.coalesce("mix", F.array_repeat(F.lit(1 / k), k))), "mixes")
+        flat = met(weights).mapInArrow(dealt, f"category_id {kinds['category_id']}, at int, dealt array<double>")
+        summed = F.array(*[F.sum(F.col("dealt")[i]) + 1 / k for i in range(k)])
+        weights = cut(flat.groupBy("category_id", "at").agg(summed.alias("weights")), "weights")
+    own = met(weights).mapInArrow(mixed, f"category_id {kinds['category_id']}, tip_id {kinds['tip_id']}, mix array<double>")
+    mix = tips.select("tip_id", "category_id").distinct().join(size.select("category_id"), "category_id", "left_semi").join(own, tip, "left")
+    mix = cut(mix.withColumn("mix", F.coalesce("mix", F.array_repeat(F.lit(1 / k), k))), "mixes")
+    return vocabulary.join(weights, ["category_id", "at"]).select("category_id", "term", "weights"), mix
 
 
 def factor_topics(weights: DataFrame, k: int = 5, seed: int = 1):

@@ -192,6 +192,7 @@ def by_topic(spark, d, topics: int = 20, least: int = 20):
     """A model of the English tips of each category that has ``least`` (the operator's default of 100 leaves none of the small tables): weights of terms, and each tip's shares."""
     c = view(spark, d, "fx_category").select(F.col("category_id").alias("extra_category"), F.col("parent_id").alias("category_id"))
     v = view(spark, d, "fx_venue").join(c, "extra_category").select("venue_id", "category_id")
+    v = cut(v.join(view(spark, d, "fx_tip").select("venue_id").distinct(), "venue_id", "left_semi"), "tipped")  # few venues have tips, and texts needn't move to them
     tips = cut(english(spark, d).join(v, "venue_id").select("tip_id", "category_id", "words"), "tips")
     weights, mixes = m.topics(tips, topics, least)
     return weights, mixes.select("category_id", "tip_id", F.posexplode("mix").alias("topic", "share"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -581,3 +582,31 @@ def test_topics_by_category(spark):
         best = {i: int(mix[i].argmax()) for i, k, w in rows if k == c and i < 80}
         assert len({(i // 2 % 2, t) for i, t in best.items()}) == 2
     assert np.allclose(models.digamma(np.array([1.0, 0.1, 20.0])), [-0.5772156649, -10.4237549404, 2.9705239922], atol=1e-7)
+
+
+def test_topics_are_packed(spark, monkeypatch):
+    """Terms are counted by columns as one by one, whatever rows a tip comes in, and a round's rows are packs of tips, not terms of tips."""
+    from mobtrace.sources import scratch
+
+    texts = [["a", "b", "a", "b", None, "c"], [], None, ["c"], ["b", "a", "b"]]
+    text, term, n, names = models.counted_grams(pa.array(texts, pa.list_(pa.string())))
+    want = {}
+    for i, w in enumerate(texts):
+        for g in [x for x in w or [] if x] + [f"{a} {b}" for a, b in zip(w or [], (w or [])[1:]) if a and b]:
+            want[i, g] = want.get((i, g), 0) + 1
+    assert {(int(i), names[int(t)].as_py()): int(c) for i, t, c in zip(text, term, n, strict=True)} == want
+    monkeypatch.setattr(models, "PACKED", 7)
+    monkeypatch.setattr(models, "WORDS", 20)
+    written = {}
+    monkeypatch.setattr(models, "cut", lambda df, name: written.setdefault(name, scratch.cut(df, name)) if name == "bag" else scratch.cut(df, name))
+    rng = random.Random(1)
+    rows = [(i, "c", [rng.choice("pqrst") for _ in range(9)]) for i in range(60)]
+    split = [(i, c, part) for i, c, w in rows for part in ([w] if i % 9 else [w[:4], w[4:]])]
+    schema = "tip_id long, category_id string, words array<string>"
+    weights, mixes = models.topics(spark.createDataFrame(split, schema), k=2, least=30, rounds=2)
+    bag = written["bag"].select("part", F.explode("tips").alias("x")).collect()
+    assert written["bag"].count() <= 9 and {r.x.tip_id for r in bag} == set(range(60)) == {r.tip_id for r in mixes.collect()}
+    terms = {r.term for r in weights.collect()}
+    held = {r.x.tip_id: sum(t.n for t in r.x.terms) for r in bag}
+    of = lambda i: [p for k, _, p in split if k == i]
+    assert held == {i: sum(g in terms for p in of(i) for g in [*p, *(f"{a} {b}" for a, b in zip(p, p[1:]))]) for i in range(60)}
