@@ -118,6 +118,12 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))
 
 
+def rounded(number: Column, digits: int) -> Column:
+    """A double rounded as C's round of the shifted number does (half away from zero), as DuckDB has it: zero keeps its sign, and what the product makes a half is one. Spark's own goes by the decimal digits."""
+    scale = float(10**digits)
+    return F.when(number == 0, number).when(number < 0, -(F.round(-number * scale, 0) / scale)).otherwise(F.round(number * scale, 0) / scale)
+
+
 def parse_tags(tags: Column) -> Column:
     """``"k"=>"v", ...`` to a map."""
     return F.str_to_map(F.regexp_replace(tags, '"', ""), F.lit(",\\s*"), F.lit("=>"))

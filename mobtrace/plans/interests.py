@@ -172,7 +172,7 @@ def phrases(spark, d):
 def tag_vectors(spark, d):
     """The vectors of the tags of interests of six categories; tags out of the vocabulary have none."""
     t = view(spark, d, "fx_tag").filter(F.col("pi_id") < 6)
-    return t.join(vectors(spark, d), "word_id").select(F.col("pi_id").cast("long").alias("pi_id"), "word_id", F.transform("embedding", lambda e: F.round(e.cast("double"), 6)).alias("vector"))
+    return t.join(vectors(spark, d), "word_id").select(F.col("pi_id").cast("long").alias("pi_id"), "word_id", F.transform("embedding", lambda e: x.rounded(e.cast("double"), 6)).alias("vector"))
 
 
 def vectors(spark, d):

@@ -62,3 +62,15 @@ def test_venues_with_n_tips(spark, small, medium, tmp_path):
         assert {tuple(r) for r in f(spark, d).collect()} == set(want) == least
     for n in (1, 2, 3, 4, 40):
         assert {tuple(r) for r in f(spark, str(tmp_path / "odd"), n).collect()} == {(v, k) for v, k in times.items() if k == n}
+
+
+def test_tag_vectors_bit_by_bit(spark, tmp_path):
+    """Small negative numbers become a zero with a sign, and products that are halves are rounded away from zero, as in SQL."""
+    numbers = [-1e-7, 1e-7, -4.9e-7, 5.1e-7, -0.0, 0.0, 0.0078125, -0.0078125, 1.25, -3.5e-6, None, float("inf"), float("nan"), *((k + 0.5) / 1e6 for k in range(1, 400_000, 997))]
+    d = str(tmp_path / "ties")
+    spark.createDataFrame([(1, numbers, 2), (3, [], 1), (4, None, 0), (6, [0.5], None)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{d}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["M4_tag_vectors"]).fetchall()
+    got = registry.QUERIES["M4_tag_vectors"](spark, d).select("pi_id", "word_id", "vector").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
