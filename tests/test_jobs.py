@@ -610,3 +610,20 @@ def test_topics_are_packed(spark, monkeypatch):
     held = {r.x.tip_id: sum(t.n for t in r.x.terms) for r in bag}
     of = lambda i: [p for k, _, p in split if k == i]
     assert held == {i: sum(g in terms for p in of(i) for g in [*p, *(f"{a} {b}" for a, b in zip(p, p[1:]))]) for i in range(60)}
+
+
+def test_best_matches_in_blocks(spark):
+    """Whatever the blocks, the best are those of all pairs by rounded cosine and id; no lambda works out a cosine; vectors without a direction come last, those that are null not at all."""
+    draw = np.random.default_rng(3)
+    v = {i: draw.integers(-2, 3, 4).astype(float).tolist() for i in range(60)} | {60: [0.0] * 4, 61: None}
+    df = spark.createDataFrame(list(v.items()), "id long, v array<double>")
+    asked = df.filter("id < 20").withColumnsRenamed({"id": "of", "v": "q"})
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    fine = {i: unit(x) for i, x in v.items() if x and any(x)}
+    want = {(a, b, s) for a in range(20) if a in fine for s, b in sorted((-round(float(fine[a] @ x), 6), b) for b, x in fine.items())[:5]}
+    for block, pack in ((1000, 1000), (7, 3)):
+        found = interests.best_matches(asked, "q", df, "id", "v", 5, block, pack)
+        text = found._jdf.queryExecution().toString()
+        assert "zip_with" not in text and "MapInArrow" in text
+        assert {(r.of, r.id, -r.score) for r in found.collect() if r.of in fine} == want
+    assert [r.id for r in interests.best_matches(asked.filter("of = 1"), "q", df, "id", "v", 99).collect() if r.score is None] == [i for i in v if v[i] and not any(v[i])]
