@@ -228,13 +228,17 @@ def variants(spark, d, singles: int = 4, most: int = 10):
     f = tips.withColumn("source", F.lit("tips")).unionByName(name_words(spark, d))
     e, of = word_vectors(spark, d)
     f = f.withColumn("at", F.explode(F.array(*[F.struct(F.lit(m).alias("model_type"), of(F.col("word"), i).alias("vec_id")) for i, m in enumerate(VECTOR_SETS)])))
-    f = cut(f.select("venue_id", "word", "phrase", "source", "at.*").join(e, "vec_id").drop("vec_id"), "features")
-    means = tag_means(spark, d)
+    f = cut(f.select("venue_id", "word", "phrase", "source", "at.*"), "features")
+    means = cut(tag_means(spark, d), "means")
     by = ["venue_id", "model_type", "source", "phrase"]
-    single = op.best_matches(f, "embedding", means, "pi_id", "of_pi", singles).groupBy(*by, "pi_id").agg(F.avg("score").alias("mean"), F.max("score").alias("top"))
+    # a vector's interests, and those of a mean of the same vectors, are worked out once, whichever features have them
+    known = cut(op.best_matches(e.join(f.select("vec_id").distinct(), "vec_id", "left_semi"), "embedding", means, "pi_id", "of_pi", singles), "matched")
+    single = f.join(known, "vec_id").groupBy(*by, "pi_id").agg(F.avg("score").alias("mean"), F.max("score").alias("top"))
     single = single.select(*by, "pi_id", F.lit(False).alias("avg"), F.when(F.col("source") == "tips", F.col("mean")).otherwise(F.col("top")).alias("score"))
-    whole = op.mean_vectors(f.filter("source <> 'tips'").select(*by, "embedding"), by, "embedding")
-    whole = op.best_matches(whole, "embedding", means, "pi_id", "of_pi", singles).select(*by, "pi_id", F.lit(True).alias("avg"), "score")
+    sets = cut(f.filter("source <> 'tips'").groupBy(*by).agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "sets")
+    mean = sets.select("ids").distinct().select("ids", F.explode("ids").alias("vec_id")).join(e, "vec_id")
+    whole = op.best_matches(op.mean_vectors(mean, ["ids"], "embedding"), "embedding", means, "pi_id", "of_pi", singles)
+    whole = sets.join(whole, "ids").select(*by, "pi_id", F.lit(True).alias("avg"), "score")
     w = Window.partitionBy(*by, "avg").orderBy(F.desc("score"), "pi_id")
     both = single.unionByName(whole).withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w).cast("long") - 1)
     return both.filter(F.col("rank") < most).withColumnRenamed("source", "feature_type")
