@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mobtrace.fixtures import oracle, table, view
 from mobtrace.functions import scalars as x
+from mobtrace.operators import overlaps
 from mobtrace.operators import rows as r
 from mobtrace.operators import spatial
 from mobtrace.operators.trees import paths
@@ -402,7 +403,8 @@ OVERLAP = " + ".join(f"greatest(0, least(s.a + s.n + 3600, p.a + p.n + {k}) - gr
 def time_of_day_overlap(spark, d, most: int = 5, reach: float = 0.015, pad: int = 3600):
     """Seconds of day, padded by an hour, that a visit shares with the user's earlier visits at the five nearest places.
 
-    Visits meet those of the candidate places only, on user and place; midnight counts.
+    Visits meet those of the candidate places only, on user and place, sorted by time; earlier
+    ones are counts by second of the day, not rows to be paired. Midnight counts.
     """
     from mobtrace.functions import geo
 
@@ -415,11 +417,9 @@ def time_of_day_overlap(spark, d, most: int = 5, reach: float = 0.015, pad: int
     c = c.withColumn("away", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3))
     c = r.top(c, ["user_id", "place_id"], [F.col("away"), F.col("near")], most).select("user_id", "place_id", "near")
     v = view(spark, d, "fx_visit").select("visit_id", "user_id", "place_id", "arrival", F.pmod("arrival", F.lit(86400)).alias("a"), F.least(F.col("departure") - F.col("arrival"), F.lit(86400)).alias("n"))
-    s = v.select("visit_id", "user_id", "place_id", F.col("arrival").alias("at"), (F.col("a") - pad).alias("sa"), (F.col("a") + F.col("n") + pad).alias("sb")).join(c, ["user_id", "place_id"])
-    before = v.select("user_id", F.col("place_id").alias("near"), "arrival", "a", "n")
-    both = s.join(before, ["user_id", "near"]).filter("arrival < at")
-    shared = sum((F.greatest(F.lit(0), F.least("sb", F.col("a") + F.col("n") + k) - F.greatest("sa", F.col("a") + k)) for k in (-86400, 0, 86400)), F.lit(0))
-    return both.groupBy("visit_id", F.col("near").alias("place_id")).agg(F.sum(shared).alias("overlap")).filter("overlap > 0")
+    s = v.select("visit_id", "user_id", "place_id", F.col("arrival").alias("at"), (F.col("a") - pad).alias("start"), (F.col("a") + F.col("n") + pad).alias("end")).join(c, ["user_id", "place_id"])
+    before = v.select("user_id", F.col("place_id").alias("near"), F.col("arrival").alias("at"), F.col("a").alias("start"), (F.col("a") + F.col("n")).alias("end"))
+    return overlaps.with_earlier(s, before, ["user_id", "near"], "visit_id", pad).groupBy("visit_id", F.col("near").alias("place_id")).agg(F.sum("overlap").alias("overlap")).filter("overlap > 0")
 
 
 @query("J23_redirected", oracle("WITH m AS (SELECT venue_id, venue_id // 2 AS redirect FROM fx_venue WHERE nb_checkins <= 50) SELECT coalesce(redirect, c.venue_id) AS venue_id, count(*) AS n FROM fx_checkin c LEFT JOIN m ON c.venue_id = m.venue_id GROUP BY 1"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mobtrace.fixtures import view
 from mobtrace.functions import scalars
-from mobtrace.operators import changes, interests, rows
+from mobtrace.operators import changes, interests, overlaps, rows
 from mobtrace.plans import interests as jobs
 from mobtrace.plans import joins
 
@@ -106,3 +106,20 @@ def test_trigrams_as_numbers(spark):
     number = scalars.trigram_numbers
     assert df.filter(scalars.containment(a, b) != scalars.containment(number(a), number(b))).count() == 0
     assert df.filter(F.size(number(a)) != F.size(F.array_distinct(number(a)))).count() == 0
+
+
+def test_overlaps_make_no_pairs(spark, small, monkeypatch):
+    """Rows by rows and with counts of earlier ones the sums are those of all pairs; no join is of visits with visits."""
+    monkeypatch.setattr(overlaps, "AT_ONCE", 7)
+    draw, day = random.Random(4), 86400
+    visits = [(draw.randrange(2), draw.randrange(40), s, s + draw.choice([0, 5, 600, 40_000, day])) for s in (draw.randrange(day) for _ in range(90))]
+    asked = [(100 + i, u, at, s - 3600, e + 3600) for i, (u, at, s, e) in enumerate(visits[:50])]
+    want = {}
+    for k, u, at, s, e in asked:
+        n = sum(max(0, min(e, b + m) - max(s, a + m)) for w, t, a, b in visits if w == u and t < at for m in (-day, 0, day))
+        want |= {(k, u): n} if n else {}
+    a = spark.createDataFrame(asked, "id long, u long, at long, start long, end long").repartition(3)
+    v = spark.createDataFrame(visits, "u long, at long, start long, end long").repartition(3)
+    assert {(r.id, r.u): r.overlap for r in overlaps.with_earlier(a, v, ["u"], "id", 3600).collect()} == want
+    text = plan(joins.time_of_day_overlap(spark, small))
+    assert "arrival" not in "".join(line for line in text.splitlines() if "Join" in line) and "MapInArrow" in text
