@@ -123,3 +123,11 @@ def test_overlaps_make_no_pairs(spark, small, monkeypatch):
     assert {(r.id, r.u): r.overlap for r in overlaps.with_earlier(a, v, ["u"], "id", 3600).collect()} == want
     text = plan(joins.time_of_day_overlap(spark, small))
     assert "arrival" not in "".join(line for line in text.splitlines() if "Join" in line) and "MapInArrow" in text
+
+
+def test_phrases_are_counted_in_columns(spark):
+    """Words and pairs come out of batches as sums, so no word is a row of its own."""
+    df = spark.createDataFrame([(i, ["new", "york", "is", "big"]) for i in range(9)] + [(10, []), (11, None), (12, ["york"])], "id long, words array<string>").repartition(3)
+    found = interests.learned_phrases(df, 5, 0.0)
+    assert {(r.a, r.b): (r.n, r.score) for r in found.collect()} == {("new", "york"): (9, round(7 / 90, 9)), ("york", "is"): (9, round(7 / 90, 9)), ("is", "big"): (9, round(7 / 81, 9))}
+    assert "Generate" not in plan(found)
