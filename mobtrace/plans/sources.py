@@ -129,10 +129,13 @@ def user_export(spark, d):
         "visits": (v, "arrival"), "places": (view(spark, d, "fx_place"), "place_id"), "moves": (stays.moves(v), "arrived_at"),
         "interests": (view(spark, d, "fx_rating").withColumnRenamed("session_id", "user_id"), "place_id"), "traces": (view(spark, d, "fx_trace"), "ts_local"),
     }
-    path = scratch(spark, "export")
+    path, every = scratch(spark, "export"), None
     for kind, (df, first) in tables.items():
         rows = df.select(F.lit(kind).alias("kind"), "user_id", F.col(first).cast("long").alias("first"), F.to_json(F.struct(*[c for c in df.columns if c != "user_id"])).alias("row"))
-        rows.write.mode("append").partitionBy("user_id", "kind").json(path)
+        every = rows if every is None else every.unionByName(rows)
+    # a folder's rows come together, so it has one file (several if it is large); tasks move their files in, not the driver one by one
+    every = every.hint("rebalance", "user_id", "kind").sortWithinPartitions("user_id", "kind")
+    every.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("user_id", "kind").json(path)
     back = spark.read.schema("row string, first long, user_id long, kind string").json(path)
     return back.filter("row is not null").groupBy("kind", "user_id").agg(F.count("*").alias("n"), F.min("first").alias("first"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mobtrace.fixtures import view
 from mobtrace.functions import geo
 from mobtrace.operators import changes, interests, models, spatial, stays, trees
-from mobtrace.plans import sequences, streams
+from mobtrace.plans import registry, sequences, streams
 from mobtrace.sources import files
 
 
@@ -627,3 +627,43 @@ def test_best_matches_in_blocks(spark):
         assert "zip_with" not in text and "MapInArrow" in text
         assert {(r.of, r.id, -r.score) for r in found.collect() if r.of in fine} == want
     assert [r.id for r in interests.best_matches(asked.filter("of = 1"), "q", df, "id", "v", 99).collect() if r.score is None] == [i for i in v if v[i] and not any(v[i])]
+
+
+def test_an_export_has_one_file_a_folder(spark, small):
+    """A user's folder of a kind has one file, however many tasks its rows come from."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        registry.load()
+        found = registry.QUERIES["S21_user_export"](spark, small).inputFiles()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert found and len(found) == len({f.rsplit("/", 1)[0] for f in found})
+
+
+def test_sequence_vectors_in_several_tasks(spark, monkeypatch):
+    """A round's words are shared out over tasks by their number; words of one theme stay nearest."""
+    from pyspark.ml.feature import Word2Vec
+
+    asked, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, *a, **b: (asked.append(self.getNumPartitions()), fit(self, *a, **b))[1])
+    rng = random.Random(3)
+    rows = [(u, t, [rng.choice(["abcde", "vwxyz"][u % 2])]) for u in range(60) for t in range(120)]
+    steps = spark.createDataFrame(rows, "user_id long, ts long, words array<string>")
+    v = {r.word: np.array(r.vector) for r in models.sequence_vectors(steps, "user_id", ["ts"], "words", 12, share=2000).collect()}
+    assert asked == [3] and set(v) == set("abcdevwxyz")
+    unit = {w: x / np.linalg.norm(x) for w, x in v.items()}
+    for word in v:
+        assert max((w for w in v if w != word), key=lambda w: unit[w] @ unit[word]) in ("abcde" if word in "abcde" else "vwxyz")
+
+
+def test_factors_in_blocks_of_bounded_size(spark, monkeypatch):
+    """The blocks of documents grow in number with the weights, not in size."""
+    from pyspark.ml.recommendation import ALS
+
+    asked, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, *a, **b: (asked.append(self.getNumUserBlocks()), fit(self, *a, **b))[1])
+    df = spark.range(300).select((F.col("id") % 30).cast("int").alias("doc"), F.floor(F.col("id") / 30).cast("int").alias("term"), F.lit(1.0).cast("float").alias("weight"))
+    models.factor_topics(df, 2)
+    found = models.factor_topics(df, 2, share=20)
+    assert asked == [10, 15] and found.itemFactors.count() == 10
